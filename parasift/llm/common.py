@@ -73,3 +73,19 @@ def row_bytes(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
     whole = data.tobytes()
     for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         yield whole[a:z]
+
+
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few planned rows as one literal, without a Python scan."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def file_system(uri: str):
+    """The file system of a shared folder and the path in it, for Python workers."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri[5:] if uri.startswith('file:') else uri}")

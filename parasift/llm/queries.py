@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parasift.llm import bpe, decontaminate, linededup, quality, sharding, simhash, toxicity
+from parasift.llm import bpe, decontaminate, linededup, media, quality, sharding, simhash, toolcalls, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPLY_SCHEMA = {
+    "type": "object",
+    "required": ["prompt", "turn"],
+    "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+    "additionalProperties": False,
+}
+
+
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.format_chat(messages, {"reply": REPLY_SCHEMA}).drop("problems")
+
+
 def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -52,6 +65,15 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -62,10 +84,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_tool_call_linking": op4_tool_call_linking,
     "op5_ftrl_quality": op5_ftrl_quality,
     "op6_greedy_tiling": op6_greedy_tiling,
     "op7_hypergeometric_shards": op7_hypergeometric_shards,
+    "op8_media_columns": op8_media_columns,
+    "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_tool_call_linking": """
+WITH m AS (
+  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations
+), users AS (
+  SELECT DISTINCT conv_id, turn FROM m WHERE kind = 'call'
+), answers AS (
+  SELECT DISTINCT conv_id, turn FROM m WHERE kind = 'result'
+), chains AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS place FROM users
+), depth AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * place ORDER BY turn) - 1 AS depth FROM chains
+)
+SELECT m.conv_id, m.turn, m.role, m.kind,
+  CASE kind WHEN 'call' THEN m.conv_id || '-' || m.turn WHEN 'result' THEN m.conv_id || '-' || (m.turn - 1) END AS call_id,
+  CASE kind WHEN 'call' THEN a.conv_id IS NOT NULL WHEN 'result' THEN d.conv_id IS NOT NULL ELSE false END AS linked,
+  CASE kind WHEN 'call' THEN 2 * d.depth WHEN 'result' THEN 2 * d.depth + 1 END AS level,
+  CASE WHEN kind = 'call' THEN coalesce(length(m.text) > 0, false) AND m.turn >= 0 END AS valid,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(m.text) || ',"turn":' || m.turn || '},"call_id":"' || m.conv_id || '-' || m.turn || '","kind":"call","name":"reply"}'
+    WHEN 'result' THEN '{"call_id":"' || m.conv_id || '-' || (m.turn - 1) || '","content":' || to_json(m.text) || ',"kind":"result"}'
+    ELSE '{"content":' || to_json(m.text) || ',"kind":"message","role":' || to_json(m.role) || '}' END AS json
+FROM m
+LEFT JOIN answers a ON kind = 'call' AND a.conv_id = m.conv_id AND a.turn = m.turn + 1
+LEFT JOIN depth d ON d.conv_id = m.conv_id AND d.turn = CASE kind WHEN 'call' THEN m.turn WHEN 'result' THEN m.turn - 1 END
+""",
+    "op10_line_dedup": """
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), cut AS (
+  SELECT doc_id, pos, list_transform(string_split_regex(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \\t\\v\\f\\r]+'),
+    lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t FROM raw
+), lines AS (
+  SELECT doc_id, pos, len(t) AS n, array_to_string(t, ' ') AS template, array_to_string(t[1:3], ' ') AS lead,
+    [array_to_string(t[i * len(t) // 5 + 1 : (i + 1) * len(t) // 5], ' ') FOR i IN range(5)] AS stretches
+  FROM cut WHERE len(list_filter(t, lambda w: w <> '<*>')) >= 3 AND NOT (len(t) = 1 AND t[1] = '')
+), across AS (
+  SELECT n, template, min(doc_id) AS first FROM lines GROUP BY n, template HAVING min(doc_id) < max(doc_id)
+), leaves AS (
+  SELECT n, lead, min(doc_id) AS first FROM lines WHERE n >= 10 GROUP BY n, lead HAVING min(doc_id) < max(doc_id) AND count(DISTINCT template) > 1
+), head AS (
+  SELECT l.n, l.lead, l.first, arg_min(s.stretches, s.pos) AS stretches FROM leaves l JOIN lines s ON s.n = l.n AND s.lead = l.lead AND s.doc_id = l.first GROUP BY ALL
+), gone AS (
+  SELECT doc_id, pos FROM lines JOIN across USING (n, template) WHERE doc_id > first
+  UNION
+  SELECT s.doc_id, s.pos FROM lines s JOIN head h ON s.n = h.n AND s.lead = h.lead
+  WHERE s.doc_id > h.first AND len(list_filter(range(1, 6), lambda i: s.stretches[i] = h.stretches[i])) >= 4
+), kept AS (
+  SELECT doc_id, count(*) AS lines_total, count(g.pos) AS lines_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY r.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+  FROM raw r LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.lines_total, 0)::INTEGER AS lines_total, coalesce(k.lines_dropped, 0)::INTEGER AS lines_dropped, sha256(coalesce(k.text, d.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+}

@@ -9,14 +9,14 @@ blocks, from the block counts.
 
 from __future__ import annotations
 
-import json
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parasift.llm.common import stage
+from parasift.llm.common import small_table, stage
 
 LEAST_BLOCKS = 64
 BLOCK_ROWS = 500_000
@@ -85,8 +85,8 @@ def assign_shards(df: DataFrame, shards: int, identity: list[Column], seed: int
     goal = [count // shards + (i < count % shards) for i in range(shards)]
     random.Random(seed).shuffle(goal)
     matrix = communication_matrix([sizes.get(i, 0) for i in range(n_blocks)], goal, seed)
-    text = json.dumps([{"__block": i, "__upto": [sum(row[: k + 1]) for k in range(shards)]} for i, row in enumerate(matrix)])
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<__block:int,__upto:array<bigint>>>")))
+    upto = [{"__block": i, "__upto": list(accumulate(row))} for i, row in enumerate(matrix)]
+    plan = small_table(spark, upto, "__block:int,__upto:array<bigint>")
     order = [F.col(c) for c in columns]
     place = F.row_number().over(Window.partitionBy("__block").orderBy("__r2", *order))
     # n_blocks rows of one array each: bounded by the number of blocks.
