@@ -1,4 +1,548 @@
-"""Queries over the driver's tables, with the SQL that must give the same rows."""
+"""Queries over the driver's tables, with the SQL that must give the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no Chinese text, so several queries build it from columns; the SQL builds the same
+strings and computes the answer another way.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parasift.functions import amounts
+from parasift.functions import textnorm as tn
+from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
+from parasift.plans import translate
+from parasift.sources import docx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Fixed values of the examples.
+GLOSSARY = {"small": "petite", "small ring": "petite ring|little ring", "red": "crimson", "widget": "device", "ring": "circle"}
+COMPANIES = {"甲": "Harbor Light Trading Co., Ltd.", "乙": "Silver Lake Research Institute|SLRI"}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, table: str, sql: str | None = None) -> Callable[[Callable[[DataFrame], DataFrame]], Callable]:
+    """Register a query over one table, and its SQL."""
+
+    def add(build: Callable[[DataFrame], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: build(_table(spark, sf_dir, table))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return build
+
+    return add
+
+
+def _n(column: Column) -> Column:
+    return column.cast("string")
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in tn.STOPWORDS)
+_PROTECTED_SQL = "regexp_full_match(w, '" + "|".join(f"(?:{p})" for p in tn.PROTECTED_TOKEN_PATTERNS) + "')"
+_TOKENS_SQL = r"regexp_extract_all(text, '[^\s]+')"
+
+
+@query("adjacent_dup_k1", "documents", f"""
+SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_filter(t, lambda x, i: i > 1 AND x = t[i - 1]))::INTEGER AS n_repeats
+FROM (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents)
+""")
+def adjacent_dup_k1(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.size(tn.tokens(F.col("text"))).alias("n_tokens"), F.size(dedup.adjacent_repeats(F.col("text"))).alias("n_repeats"))
+
+
+@query("dup_audit_summary", "documents", f"""
+WITH t AS (SELECT doc_id, source, {_TOKENS_SQL} AS t FROM documents),
+r AS (SELECT doc_id, source, unnest(list_filter(t, lambda x, i: i > 1 AND x = t[i - 1])) AS w FROM t),
+d AS (
+  SELECT source, doc_id, count(*) AS n, count(*) FILTER (lower(w) IN ({_STOP_SQL}) OR {_PROTECTED_SQL}) AS high FROM r GROUP BY source, doc_id
+)
+SELECT source, count(*) AS flagged_docs, sum(n)::BIGINT AS repeats, sum(high)::BIGINT AS high_confidence, sum(n - high)::BIGINT AS medium_confidence,
+  count(*) FILTER (n > 5) AS critical, count(*) FILTER (n > 2 AND n <= 5) AS moderate, count(*) FILTER (n <= 2) AS minor
+FROM d GROUP BY source
+""")
+def dup_audit_summary(docs: DataFrame) -> DataFrame:
+    word = F.col("word")
+    sure = tn.is_stopword(word) | tn.is_protected_token(word)
+    found = docs.select("doc_id", "source", F.explode(dedup.adjacent_repeats(F.col("text"))).alias("word"))
+    by_doc = found.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_if(sure).alias("high")).withColumn("severity", quality.file_severity(F.col("n")))
+    return by_doc.groupBy("source").agg(
+        F.count("*").alias("flagged_docs"),
+        F.sum("n").alias("repeats"),
+        F.sum("high").alias("high_confidence"),
+        F.sum(F.col("n") - F.col("high")).alias("medium_confidence"),
+        *(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "moderate", "minor")),
+    )
+
+
+@query("protected_tokens", "documents", f"""
+SELECT source, lower(trim(w, '.,;:!?"''()[]【】《》')) AS token, count(*) AS n
+FROM (SELECT source, unnest({_TOKENS_SQL}) AS w FROM documents)
+WHERE lower(w) NOT IN ({_STOP_SQL}) AND NOT {_PROTECTED_SQL}
+GROUP BY ALL HAVING count(*) <= 2
+""")
+def protected_tokens(docs: DataFrame) -> DataFrame:
+    return dedup.protected_tokens(docs, "text", ["source"])
+
+
+@query("dedup_full", "documents")
+def dedup_full(docs: DataFrame) -> DataFrame:
+    done = docs.select("doc_id", "text", dedup.dedup(F.col("text")).alias("d"))
+    removed = F.filter("d.audit", lambda a: a["action"] == "removed")
+    return done.select("doc_id", F.length("text").alias("chars"), F.length("d.text").alias("chars_left"), F.size(removed).alias("removed"), F.md5("d.text").alias("text_md5"))
+
+
+@query("duplicate_audit", "documents")
+def duplicate_audit(docs: DataFrame) -> DataFrame:
+    found = dedup.audit(F.col("text"))
+    return docs.select("doc_id", found.alias("d")).select("doc_id", F.size("d").alias("blocks"), F.size(F.filter("d", lambda x: x["removable"])).alias("removable"))
+
+
+# Repeated stopwords, then removed: pairs of words that are equal, in texts where no longer block repeats.
+@query("stopword_dedup", "orders", """
+SELECT o_orderkey, concat('the order ', o_orderkey, ' of ', o_orderpriority, ' is ready') AS cleaned, 2 AS removed FROM orders
+""")
+def stopword_dedup(orders: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("the the order "), F.col("o_orderkey"), F.lit(" of "), F.col("o_orderpriority"), F.lit(" is is ready"))
+    done = orders.select("o_orderkey", dedup.dedup(text).alias("d"))
+    return done.select("o_orderkey", F.col("d.text").alias("cleaned"), F.size("d.audit").alias("removed"))
+
+
+@query("cn_date_convert", "orders", """
+SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') AS full_date, strftime(o_orderdate, '%B %Y') AS year_month, strftime(o_orderdate, '%B %-d') AS month_day FROM orders
+""")
+def cn_date_convert(orders: DataFrame) -> DataFrame:
+    y, m, d = (_n(f(F.col("o_orderdate"))) for f in (F.year, F.month, F.day))
+    forms = {
+        "full_date": F.concat(y, F.lit("年"), m, F.lit("月"), d, F.lit("日")),
+        "year_month": F.concat(y, F.lit(" 年"), m, F.lit("月")),
+        "month_day": F.concat(F.lpad(m, 2, "0"), F.lit("月"), F.lpad(d, 2, "0"), F.lit("日")),
+    }
+    return orders.select("o_orderkey", *(tn.convert_chinese_dates(c).alias(n) for n, c in forms.items()))
+
+
+@query("numeric_date_convert", "orders", """
+SELECT o_orderkey, 'Signed on ' || strftime(o_orderdate, '%B %-d, %Y') || '.' AS dashed, strftime(o_orderdate, '%B %-d, %Y') AS dotted, o_orderkey || '-2025.13.45' AS impossible FROM orders
+""")
+def numeric_date_convert(orders: DataFrame) -> DataFrame:
+    at = lambda pattern: F.date_format("o_orderdate", pattern)
+    forms = {"dashed": F.concat(F.lit("Signed on "), at("yyyy-MM-dd"), F.lit(".")), "dotted": at("yyyy.M.d"), "impossible": F.concat(_n(F.col("o_orderkey")), F.lit("-2025.13.45"))}
+    return orders.select("o_orderkey", *(tn.convert_chinese_dates(c).alias(n) for n, c in forms.items()))
+
+
+@query("english_date_normalize", "lineitem", """
+SELECT l_orderkey, l_linenumber, d AS european, d AS ordinal, d AS month_year_day, 'RMB ' || l_quantity::INTEGER || ',000' AS amount, d AS doubled
+FROM (SELECT *, strftime(l_shipdate, '%B %-d, %Y') AS d FROM lineitem)
+""")
+def english_date_normalize(items: DataFrame) -> DataFrame:
+    at = lambda pattern: F.date_format("l_shipdate", pattern)
+    forms = {
+        "european": tn.normalize_dates(at("dd MMMM yyyy")),
+        "ordinal": tn.normalize_dates(F.concat(at("MMMM d"), F.lit("th, "), at("yyyy"))),
+        "month_year_day": tn.normalize_dates(at("MMMM yyyy dd'th'")),
+        "amount": tn.normalize_dates(F.concat(F.lit("RMB "), _n(F.col("l_quantity").cast("int")), F.lit(",000 yuan"))),
+        "doubled": tn.double_dates(F.concat(at("MMMM d, yyyy"), F.lit(" "), F.when(F.col("l_linenumber") % 2 == 0, at("yyyy.MM.dd")).otherwise(at("MMMM d, yyyy")))),
+    }
+    return items.select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in forms.items()))
+
+
+@query("cn_punct_map", "documents", """SELECT doc_id, md5(text) AS mapped_md5 FROM documents""")
+def cn_punct_map(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.md5(tn.cn_punctuation(F.translate("text", ",.:;!?()", "，。：；！？（）"))).alias("mapped_md5"))
+
+
+@query("quote_normalize", "documents", """
+SELECT doc_id, md5(array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i = len(p) THEN '' WHEN i % 2 = 1 THEN '“' ELSE '”' END), '')) AS quoted_md5, (len(p) - 1)::INTEGER AS marks
+FROM (SELECT doc_id, string_split(replace(text, ' ', ' "'), '"') AS p FROM documents)
+""")
+def quote_normalize(docs: DataFrame) -> DataFrame:
+    quoted = tn.normalize_quotes(F.replace("text", F.lit(" "), F.lit(' "')))
+    return docs.select("doc_id", F.md5(quoted).alias("quoted_md5"), F.size(F.regexp_extract_all(quoted, F.lit("[“”]"), F.lit(0))).alias("marks"))
+
+
+@query("punct_spacing", "pages", r"""
+SELECT page_id, md5(regexp_replace(regexp_replace(html, '([.,;:!?])([A-Za-z])', '\1 \2', 'g'), ' {2,}', ' ', 'g')) AS spaced_md5 FROM pages
+""")
+def punct_spacing(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.md5(tn.single_spaces(tn.punctuation_spacing(F.col("html")))).alias("spaced_md5"))
+
+
+@query("punctuation_runs", "documents", r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(replace(replace(text, '.', '..'), ',', ',,,'), '\.{3,}', chr(1), 'g'), chr(1)), lambda p: replace(p, '..', '.')), '...'), ',{2,}', ',', 'g'), ',\.', '.', 'g')) AS cleaned_md5
+FROM documents
+""")
+def punctuation_runs(docs: DataFrame) -> DataFrame:
+    noisy = F.replace(F.replace("text", F.lit("."), F.lit("..")), F.lit(","), F.lit(",,,"))
+    return docs.select("doc_id", F.md5(tn.punctuation_runs(noisy)).alias("cleaned_md5"))
+
+
+@query("camel_split", "customer", r"""
+SELECT c_custkey, lower(c_mktsegment) || ' ' || c_name || ' (' || c_nationkey || ') x' AS spaced FROM customer
+""")
+def camel_split(customers: DataFrame) -> DataFrame:
+    joined = F.concat(F.lower("c_mktsegment"), F.col("c_name"), F.lit("("), _n(F.col("c_nationkey")), F.lit(")x"))
+    return customers.select("c_custkey", tn.parenthesis_spacing(tn.split_camel(joined)).alias("spaced"))
+
+
+@query("char_run_collapse", "part", """
+SELECT p_partkey, CASE WHEN lower(p_name[1]) IN ('i', 'v', 'x', 'l', 'c', 'd', 'm') THEN repeat(p_name[1], 3) ELSE '' END || p_name || ' 1000 III' AS collapsed FROM part
+""")
+def char_run_collapse(parts: DataFrame) -> DataFrame:
+    longer = F.concat(F.repeat(F.substring("p_name", 1, 1), 3), F.col("p_name"), F.lit(" 1000 III"))
+    return parts.select("p_partkey", tn.collapse_char_runs(longer).alias("collapsed"))
+
+
+@query("url_filter", "pages", """SELECT page_id, true AS is_url, false AS bare_is_url, true AS protected FROM pages""")
+def url_filter(pages: DataFrame) -> DataFrame:
+    bare = F.translate("url", ":/.", "   ")
+    return pages.select("page_id", tn.contains_url(F.col("url")).alias("is_url"), tn.contains_url(bare).alias("bare_is_url"), tn.is_protected_token(F.col("url")).alias("protected"))
+
+
+@query("email_filter", "documents", rf"""
+SELECT doc_id, len(list_filter({_TOKENS_SQL}, lambda w: regexp_full_match(w, '[\w.+-]+@[\w.-]+\.?')))::INTEGER AS emails,
+  regexp_matches(text, '[a-zA-Z0-9][^\s]*\.(com|cn|net|org|edu|gov|io)\b') AS has_domain FROM documents
+""")
+def email_filter(docs: DataFrame) -> DataFrame:
+    emails = F.filter(tn.tokens(F.col("text")), lambda w: w.contains("@") & tn.is_protected_token(w))
+    return docs.select("doc_id", F.size(emails).alias("emails"), tn.contains_url(F.col("text")).alias("has_domain"))
+
+
+@query("amount_render", "orders", r"""
+SELECT o_orderkey, CASE o_orderkey % 3
+  WHEN 0 THEN 'RMB ' || format('{:,.2f}', v * 10000.0)
+  WHEN 1 THEN 'RMB ' || CASE WHEN v >= 10000 THEN regexp_replace((v::DECIMAL(38, 6) / 10000)::DECIMAL(38, 6)::VARCHAR, '\.?0+$', '') || ' trillion'
+    WHEN v >= 10 THEN regexp_replace((v::DECIMAL(38, 6) / 10)::DECIMAL(38, 6)::VARCHAR, '\.?0+$', '') || ' billion' ELSE (v * 100)::VARCHAR || ' million' END
+  ELSE 'USD ' || format('{:,.2f}', v::DOUBLE) END AS rendered
+FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders)
+""")
+def amount_render(orders: DataFrame) -> DataFrame:
+    unit = F.when(F.col("o_orderkey") % 3 == 0, "万元").when(F.col("o_orderkey") % 3 == 1, "亿元").otherwise("美元")
+    return orders.select("o_orderkey", amounts.render(amounts.decimal_of(F.format_number(F.floor("o_totalprice"), 0)), unit).alias("rendered"))
+
+
+@query("guard_restore_roundtrip", "documents", """SELECT doc_id, md5(text) AS restored_md5, false AS digits_left FROM documents""")
+def guard_restore_roundtrip(docs: DataFrame) -> DataFrame:
+    masked = docs.select("doc_id", guards.mask(F.col("text")).alias("g"))
+    bare = F.regexp_replace("g.text", F.lit(r"__G\d+__|[\d_]*_[\d_]*"), F.lit(""))
+    return masked.select("doc_id", F.md5(guards.restore(F.col("g.text"), F.col("g.guards"))).alias("restored_md5"), bare.rlike("[0-9]").alias("digits_left"))
+
+
+@query("guard_amounts", "orders", r"""
+SELECT o_orderkey, '合同__G0__，见__G1__' AS masked, 2 AS guards, '合同RMB ' || format('{:,.2f}', floor(o_totalprice) * 10000.0) || '，见http://example.com/' || o_orderkey AS restored FROM orders
+""")
+def guard_amounts(orders: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("合同"), _n(F.floor("o_totalprice")), F.lit("万元，见http://example.com/"), F.col("o_orderkey"))
+    masked = orders.select("o_orderkey", guards.mask(text).alias("g"))
+    return masked.select("o_orderkey", F.col("g.text").alias("masked"), F.size("g.guards").alias("guards"), guards.restore(F.col("g.text"), F.col("g.guards")).alias("restored"))
+
+
+@query("must_preserve", "orders", """
+SELECT o_orderkey, floor(o_totalprice)::BIGINT || '万元' || CASE WHEN floor(o_totalprice) >= 1000 THEN '|' || floor(o_totalprice)::BIGINT ELSE '' END || CASE WHEN o_orderkey >= 1000 AND o_orderkey <> floor(o_totalprice) THEN '|' || o_orderkey ELSE '' END AS kept FROM orders
+""")
+def must_preserve(orders: DataFrame) -> DataFrame:
+    text = F.concat(_n(F.floor("o_totalprice")), F.lit("万元，编号"), F.col("o_orderkey"))
+    return orders.select("o_orderkey", F.array_join(guards.must_preserve(text), "|").alias("kept"))
+
+
+@query("fidelity_amounts", "orders", """
+SELECT o_orderkey, (o_orderkey % 7 = 0)::INTEGER AS missing FROM orders
+""")
+def fidelity_amounts(orders: DataFrame) -> DataFrame:
+    price = F.floor("o_totalprice")
+    cn = F.concat(F.lit("合同金额"), _n(price), F.lit("万元"))
+    shown = F.format_number(price * 10000 + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0), 2)
+    en = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("worth RMB "), shown)).otherwise(F.concat(F.lit("worth RMB "), _n((price * 10000 + F.when(F.col("o_orderkey") % 7 == 0, 1000).otherwise(0)).cast("decimal(20,6)") / F.lit(1000000)), F.lit(" million in 3 parts")))
+    return orders.select("o_orderkey", F.size(fidelity.missing_amounts(cn, en)).alias("missing"))
+
+
+@query("fidelity_integers", "orders", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND NOT contains('No. ' || left((o_orderkey + 100000)::VARCHAR, 4), (o_orderkey + 100000)::VARCHAR) THEN 1 ELSE 0 END AS missing FROM orders
+""")
+def fidelity_integers(orders: DataFrame) -> DataFrame:
+    number = _n(F.col("o_orderkey") + 100000)
+    en = F.concat(F.lit("No. "), F.when(F.col("o_orderkey") % 5 == 0, F.substring(number, 1, 4)).otherwise(number))
+    return orders.select("o_orderkey", F.size(fidelity.missing_integers(F.concat(F.lit("编号"), number), en)).alias("missing"))
+
+
+@query("glossary_replace", "part", """
+SELECT p_partkey, list_reduce(['small ring', 'widget', 'small', 'ring', 'red'], lambda a, t: replace(a, t, map {'small ring': 'petite ring|little ring', 'widget': 'device', 'small': 'petite', 'ring': 'circle', 'red': 'crimson'}[t]), p_name) AS replaced FROM part
+""")
+def glossary_replace(parts: DataFrame) -> DataFrame:
+    return parts.select("p_partkey", glossary.replace_terms(F.col("p_name"), GLOSSARY).alias("replaced"))
+
+
+@query("term_verify", "part", """
+SELECT p_partkey, t.cn AS term_cn FROM part CROSS JOIN (VALUES ('small', 'petite'), ('small ring', 'petite ring|little ring'), ('red', 'crimson'), ('widget', 'device'), ('ring', 'circle')) t(cn, en)
+WHERE contains(p_name, t.cn) AND len(list_filter(string_split(t.en, '|'), lambda v: contains(lower(replace(p_name, 'red', 'Crimson')), v))) = 0
+""")
+def term_verify(parts: DataFrame) -> DataFrame:
+    pairs = parts.select("p_partkey", F.col("p_name").alias("cn_text"), F.replace("p_name", F.lit("red"), F.lit("Crimson")).alias("en_text"))
+    terms = parts.sparkSession.range(1).select(F.explode(F.create_map(*(F.lit(x) for kv in GLOSSARY.items() for x in kv))).alias("cn", "en"))
+    return glossary.missing_terms(pairs, terms).select("p_partkey", "term_cn")
+
+
+@query("glossary_load_filter", "supplier", """
+WITH r AS (
+  SELECT s_suppkey AS pos, ' 词' || (s_suppkey % 40) || ' ' AS cn, CASE WHEN s_suppkey % 5 = 0 THEN 'English' WHEN s_suppkey % 7 = 0 THEN 'One sentence; of its own' WHEN s_suppkey % 11 = 0 THEN '  ' ELSE s_name END AS en FROM supplier
+)
+SELECT trim(cn) AS cn, arg_max(trim(en), pos) AS en, min(pos) AS ord FROM r WHERE en <> 'English' AND NOT contains(en, ';') AND trim(en) <> '' GROUP BY 1
+""")
+def glossary_load_filter(suppliers: DataFrame) -> DataFrame:
+    key = F.col("s_suppkey")
+    en = F.when(key % 5 == 0, "English").when(key % 7 == 0, "One sentence; of its own").when(key % 11 == 0, "  ").otherwise(F.col("s_name"))
+    return glossary.clean_terms(suppliers.select(key.alias("pos"), F.concat(F.lit(" 词"), _n(key % 40), F.lit(" ")).alias("cn"), en.alias("en")))
+
+
+@query("term_completion", "supplier", """
+SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name || ' met Harbor Light Trading Co., Ltd. today' WHEN 1 THEN s_name || ' met Harbor Light Trading Co., Ltd.' WHEN 2 THEN s_name || ' met Harbor today' ELSE s_name || ' met Silver Lake Research Institute people' END AS completed,
+  CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS changes FROM supplier
+""")
+def term_completion(suppliers: DataFrame) -> DataFrame:
+    kind = F.col("s_suppkey") % 4
+    tail = F.when(kind == 0, "Harbor Light Trading today").when(kind == 1, "Harbor Light Trading Co., Ltd.").when(kind == 2, "Harbor today").otherwise("silver lake people")
+    done = suppliers.select("s_suppkey", glossary.completed(F.concat(F.col("s_name"), F.lit(" met "), tail), COMPANIES).alias("c"))
+    return done.select("s_suppkey", F.col("c.text").alias("completed"), F.size("c.audit").alias("changes"))
+
+
+def _listed(items: DataFrame) -> DataFrame:
+    n = F.col("l_linenumber")
+    mark = F.when(F.col("l_suppkey") % 2 == 0, F.get(F.array(*map(F.lit, tn.ROMAN_NUMERALS)), n - 1)).otherwise(_n(n))
+    text = F.when(F.col("l_suppkey") % 10 == 1, F.concat(F.lit("Article "), _n(n), F.lit(" on "), "l_returnflag")).otherwise(F.concat(mark, F.lit(". item "), "l_returnflag"))
+    # Several lines of one order can have one line number; the text decides between them.
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_linenumber").cast("long") * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("pos"), text.alias("text"))
+
+
+_LISTED_SQL = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber::BIGINT * 10000000000 + l_partkey * 100000 + l_suppkey AS pos, l_returnflag AS flag,
+  ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][l_linenumber] AS roman,
+  CASE WHEN l_suppkey % 10 = 1 THEN 'article' WHEN l_suppkey % 2 = 0 THEN 'roman' ELSE 'arabic' END AS kind FROM lineitem
+"""
+
+
+@query("numbering_classify", "lineitem", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, l_linenumber::INTEGER AS seq FROM ({_LISTED_SQL})")
+def numbering_classify(items: DataFrame) -> DataFrame:
+    return _listed(items).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbering.classify(F.col("text")).alias("c")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c.kind", "c.seq")
+
+
+@query("numbering_normalize", "lineitem", f"""
+WITH c AS (SELECT *, count(*) FILTER (kind = 'roman') OVER w AS r, count(*) FILTER (kind = 'arabic') OVER w AS a FROM ({_LISTED_SQL}) WINDOW w AS (PARTITION BY l_orderkey))
+SELECT l_orderkey, pos, CASE WHEN kind = 'article' THEN 'Article ' || l_linenumber || ' on ' || flag
+  WHEN (a = 0 AND kind = 'roman') OR (a > 0 AND r >= a) THEN roman || '. item ' || flag ELSE l_linenumber || '. item ' || flag END AS new_text,
+  CASE WHEN r > 0 AND a > 0 THEN CASE WHEN r >= a THEN 'roman' ELSE 'arabic' END END AS mixed FROM c
+""")
+def numbering_normalize(items: DataFrame) -> DataFrame:
+    return numbering.normalize(_listed(items), ["l_orderkey"]).select("l_orderkey", "pos", "new_text", "mixed")
+
+
+@query("numbering_duplicates", "lineitem", f"""
+SELECT l_orderkey, pos, kind, first_pos FROM (SELECT *, min(pos) OVER (PARTITION BY l_orderkey, kind, l_linenumber) AS first_pos FROM ({_LISTED_SQL})) WHERE first_pos < pos
+""")
+def numbering_duplicates(items: DataFrame) -> DataFrame:
+    return numbering.normalize(_listed(items), ["l_orderkey"]).where("first_pos is not null").select("l_orderkey", "pos", "kind", "first_pos")
+
+
+@query("split_long", "documents", """SELECT doc_id, md5(text) AS joined_md5, true AS short_enough, length(text) > 400 AS cut FROM documents""")
+def split_long(docs: DataFrame) -> DataFrame:
+    chunks = docs.select("doc_id", tn.split_long(F.col("text")).alias("c"))
+    return chunks.select("doc_id", F.md5(F.array_join("c", "")).alias("joined_md5"), F.forall("c", lambda x: F.length(x) <= 400).alias("short_enough"), (F.size("c") > 1).alias("cut"))
+
+
+@query("chinese_residue", "orders", """SELECT o_orderkey, 3 AS before, 0 AS after, 2 AS label FROM orders""")
+def chinese_residue(orders: DataFrame) -> DataFrame:
+    text = F.date_format("o_orderdate", "yyyy年M月d日")
+    count = lambda c: F.size(tn.chinese_residue(c))
+    return orders.select("o_orderkey", count(text).alias("before"), count(tn.convert_chinese_dates(text)).alias("after"), (count(F.concat(text, F.lit("订单"))) - 3).alias("label"))
+
+
+@query("residue_locations", "lineitem", """
+SELECT l_orderkey::VARCHAR AS file_id, count(*) AS warnings, min('Table 1R' || (l_linenumber + 1) || 'C1') AS first_cell FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1
+""")
+def residue_locations(items: DataFrame) -> DataFrame:
+    cells = items.select(
+        _n(F.col("l_orderkey")).alias("file_id"), F.lit("cell").alias("region"), F.col("l_partkey").cast("int").alias("pos"), F.lit(0).alias("tbl"),
+        F.col("l_linenumber").cast("int").alias("row"), F.lit(0).alias("col"), F.lit(None).cast("int").alias("box"), F.lit("第一行").alias("text"),
+    )
+    found = quality.residue_warnings(cells).select("file_id", quality.split_warning(F.col("warning")).alias("w"))
+    return found.groupBy("file_id").agg(F.count("*").alias("warnings"), F.min("w.loc").alias("first_cell"))
+
+
+@query("snippet", "documents", r"""
+SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(t[1:80]) || '…' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+""")
+def snippet(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", tn.snippet(F.col("text")).alias("snippet"))
+
+
+@query("html_escape", "pages", """SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages""")
+def html_escape(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.md5(tn.html_escape(F.col("html"))).alias("escaped_md5"))
+
+
+@query("labels_and_enumerations", "orders", """
+SELECT o_orderkey, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][o_orderkey % 10 + 1] || '.[Image] ' || (o_orderkey % 10) || '.Tel: (' || ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][o_orderkey % 10 + 1] || ') Email' AS fixed FROM orders
+""")
+def labels_and_enumerations(orders: DataFrame) -> DataFrame:
+    numeral = F.substring(F.lit(tn.CN_NUMERALS), (F.col("o_orderkey") % 10 + 1).cast("int"), F.lit(1))
+    text = F.concat(numeral, F.lit("、【照片】 "), _n(F.col("o_orderkey") % 10), F.lit("、电话: （"), numeral, F.lit("） 电子邮箱"))
+    return orders.select("o_orderkey", tn.fix_cn_labels(text).alias("fixed"))
+
+
+@query("url_label_line", "pages", """SELECT page_id, 'Source link：' || url || ' and Website: x' AS translated FROM pages""")
+def url_label_line(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", cleaning.url_line(F.concat(F.lit("来源链接："), "url", F.lit(" and 网站: x")), {}).alias("translated"))
+
+
+@query("mechanical_clean", "documents")
+def mechanical_clean(docs: DataFrame) -> DataFrame:
+    done = cleaning.clean_segments(docs.select("doc_id", "text"))
+    return done.select("doc_id", F.md5("text").alias("clean_md5"), F.length("text").alias("chars"), F.size("dedup_audit").alias("audited"))
+
+
+@query("glossary_ttl", "events", """
+SELECT user_id::VARCHAR AS glossary_id, max(ts) AS uploaded_at FROM events GROUP BY user_id HAVING TIMESTAMP '2024-01-31 12:00:00' - max(ts) <= INTERVAL 2 DAY
+""")
+def glossary_ttl(events: DataFrame) -> DataFrame:
+    used = events.select(_n(F.col("user_id")).alias("glossary_id"), F.col("ts").alias("used_at"))
+    loaded = used.groupBy("glossary_id").agg(F.min("used_at").alias("uploaded_at"))
+    return glossary.alive(glossary.touch(loaded, used), F.lit("2024-01-31 12:00:00"), 2)
+
+
+@query("prompt_terms", "part", """
+SELECT p_brand, string_agg(p_name || ' → ' || upper(p_name), chr(10) ORDER BY ord) AS terms FROM (SELECT p_brand, p_name, min(p_partkey) AS ord FROM part GROUP BY ALL) GROUP BY 1
+""")
+def prompt_terms(parts: DataFrame) -> DataFrame:
+    terms = glossary.clean_terms(parts.select("p_brand", F.col("p_partkey").alias("pos"), F.col("p_name").alias("cn"), F.upper("p_name").alias("en")), ["p_brand"])
+    return glossary.prompt_list(terms, ["p_brand"])
+
+
+@query("longest_first", "part", """
+SELECT p_brand, p_name AS cn, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, ord)::INTEGER AS rank FROM (SELECT p_brand, p_name, min(p_partkey) AS ord FROM part GROUP BY ALL)
+""")
+def longest_first(parts: DataFrame) -> DataFrame:
+    terms = parts.groupBy("p_brand", F.col("p_name").alias("cn")).agg(F.min("p_partkey").alias("ord"))
+    return glossary.longest_first(terms, ["p_brand"]).select("p_brand", "cn", "rank")
+
+
+@query("term_counts", "part", "SELECT p_brand AS glossary_id, count(*) AS term_count FROM part GROUP BY 1")
+def term_counts(parts: DataFrame) -> DataFrame:
+    return glossary.term_counts(parts.select(F.col("p_brand").alias("glossary_id")))
+
+
+def _warned(items: DataFrame) -> DataFrame:
+    texts = ["金额/数量缺失: x", "术语缺失: x", "Para 3: x", "重复检测[需人工确认]: x", "编号重复: x", "else"]
+    return items.select(_n(F.col("l_orderkey")).alias("file_id"), F.get(F.array(*map(F.lit, texts)), (F.col("l_partkey") % 6).cast("int")).alias("warning"))
+
+
+@query("quality_rollup", "lineitem", """
+WITH w AS (SELECT l_orderkey::VARCHAR AS file_id, ['数字保真', '术语', '中文残留', '重复', '编号', '其他'][l_partkey % 6 + 1] AS category FROM lineitem),
+c AS (SELECT file_id, category, count(*) AS n FROM w GROUP BY ALL)
+SELECT file_id, sum(n)::INTEGER AS warning_count, string_agg(category || '=' || n, ',' ORDER BY category) AS categories,
+  CASE WHEN sum(n) > 5 THEN 'critical' WHEN sum(n) > 2 THEN 'moderate' ELSE 'minor' END AS severity FROM c GROUP BY file_id
+""")
+def quality_rollup(items: DataFrame) -> DataFrame:
+    pairs = F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), _n(e["value"])))
+    return quality.file_summary(_warned(items)).withColumn("categories", F.array_join(pairs, ","))
+
+
+@query("fix_types", "lineitem", """
+SELECT l_orderkey::VARCHAR AS file_id, ['fidelity', 'term', 'chinese', 'duplicate', 'numbering', NULL][l_partkey % 6 + 1] AS fix, count(*) AS n FROM lineitem GROUP BY ALL
+""")
+def fix_types(items: DataFrame) -> DataFrame:
+    return _warned(items).groupBy("file_id", quality.fix_type(quality.category(F.col("warning"))).alias("fix")).agg(F.count("*").alias("n"))
+
+
+@query("job_rollup", "orders", """
+WITH f AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'completed' END AS status, o_orderkey % 4 AS n FROM orders)
+SELECT o_custkey::VARCHAR AS job_id, sum(n)::BIGINT AS warnings, count(*) FILTER (status = 'completed' AND n = 0) AS clean_files, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'failed') AS failed_count,
+  CASE WHEN sum(n) > 10 THEN 'critical' WHEN sum(n) > 4 THEN 'moderate' WHEN sum(n) > 0 THEN 'minor' ELSE 'clean' END AS severity FROM f GROUP BY o_custkey
+""")
+def job_rollup(orders: DataFrame) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return quality.job_summary(orders.select(_n(F.col("o_custkey")).alias("job_id"), status.alias("status"), (F.col("o_orderkey") % 4).alias("warning_count")))
+
+
+def _runs(items: DataFrame) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    blank = F.col("l_linenumber") % 3 == 0
+    run = F.struct(
+        F.when(blank, "  ").otherwise(F.col("l_returnflag")).alias("text"), (F.col("l_quantity") > 45).alias("bold"), (F.col("l_discount") > 0.09).alias("italic"), F.lit(False).alias("underline"),
+        none("string").alias("font_name"), none("double").alias("font_size"), F.when(F.col("l_linenumber") > 3, F.col("l_linenumber").cast("int")).alias("highlight"), F.when(F.col("l_tax") > 0.04, "FF0000").alias("color"),
+    )
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), run.alias("run")))), lambda x: x["run"])
+    return items.groupBy("l_orderkey").agg(ordered.alias("runs"))
+
+
+_CARRIER_SQL = "SELECT l_orderkey, count(*) AS runs, count(*) FILTER (l_linenumber % 3 = 0) AS blanks, bool_or(l_quantity > 45) AS bold, bool_or(l_discount > 0.09) AS italic, min(l_linenumber) FILTER (l_linenumber > 3) AS highlight, bool_or(l_tax > 0.04) AS colored FROM lineitem GROUP BY 1"
+
+
+@query("run_format_union", "lineitem", f"""
+SELECT l_orderkey, bold, italic, false AS underline, highlight::INTEGER AS highlight, CASE WHEN colored THEN 'FF0000' END AS color, repeat('  ', blanks::INTEGER) AS blank_text, CASE WHEN runs > blanks THEN 1 ELSE 0 END AS carriers FROM ({_CARRIER_SQL})
+""")
+def run_format_union(items: DataFrame) -> DataFrame:
+    found = _runs(items).select("l_orderkey", docx.union_format(F.col("runs")).alias("f"), docx.full_text_runs(F.col("runs"), F.lit("NEW")).alias("texts"))
+    return found.select(
+        "l_orderkey", "f.bold", "f.italic", "f.underline", "f.highlight", "f.color",
+        F.array_join(F.filter("texts", lambda t: F.trim(t) == ""), "").alias("blank_text"), F.size(F.filter("texts", lambda t: t == "NEW")).alias("carriers"),
+    )
+
+
+@query("term_route", "documents", r"""
+SELECT doc_id, CASE WHEN trim(t) = '' THEN 'blank' WHEN doc_id % 4 = 1 THEN 'url' WHEN length(t) < 100 AND doc_id % 4 <> 2 AND NOT regexp_matches(t, '[‘-‟]') AND NOT e THEN 'term' WHEN e THEN 'url' ELSE 'model' END AS route
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'http://a.example.com ' WHEN 2 THEN '中文 ' ELSE '' END || text AS t, regexp_matches(text, '[a-zA-Z0-9][^\s]*\.(com|cn|net|org|edu|gov|io)\b') AS e FROM documents)
+""")
+def term_route(docs: DataFrame) -> DataFrame:
+    kind = F.col("doc_id") % 4
+    text = F.concat(F.when(kind == 1, "http://a.example.com ").when(kind == 2, "中文 ").otherwise(""), F.col("text"))
+    return docs.select("doc_id", tn.route(text).alias("route"))
+
+
+@query("format_actions", "orders", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'line_spacing=double,bold=true' ELSE 'font_color=FF0000' END AS asked, o_orderkey % 3 = 0 AS retranslate FROM orders
+""")
+def format_actions(orders: DataFrame) -> DataFrame:
+    asked = F.when(F.col("o_orderkey") % 2 == 0, "请用double spacing并加粗").otherwise("make it red")
+    answer = F.concat(F.lit('Sure: {"needs_retranslation": '), F.when(F.col("o_orderkey") % 3 == 0, "true").otherwise("false"), F.lit(', "actions": [{"indices": [1], "action": "bold", "value": "true"}]} done'))
+    pairs = F.transform(docx.keyword_actions(asked), lambda a: F.concat(a["action"], F.lit("="), a["value"]))
+    return orders.select("o_orderkey", F.array_join(pairs, ",").alias("asked"), translate.parse_actions(answer)["needs_retranslation"].alias("retranslate"))
+
+
+@query("model_remarks", "orders", """SELECT o_orderkey, 'Order ' || o_orderkey AS stripped FROM orders""")
+def model_remarks(orders: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("**Order** *"), _n(F.col("o_orderkey")), F.lit("* [REVISION_INSTRUCTION]shorter[/REVISION_INSTRUCTION] [REVISION_INSTRUCTION] open"))
+    return orders.select("o_orderkey", tn.strip_markdown(tn.strip_revision_tags(text)).alias("stripped"))
+
+
+def _paragraphs(orders: DataFrame) -> DataFrame:
+    price, key = F.floor("o_totalprice"), F.col("o_orderkey")
+    kind = key % 4
+    text = (
+        F.when(kind == 0, F.concat(_n(key % 9 + 1), F.lit(". 合同金额"), _n(price), F.lit("万元，日期"), F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("，数字化转型。")))
+        .when(kind == 1, F.concat(F.lit("链接：http://example.com/"), _n(key)))
+        .when(kind == 2, F.concat(F.lit("Order "), _n(key)))
+        .otherwise(" ")
+    )
+    return orders.select(_n(F.col("o_custkey")).alias("file_id"), F.lit("body").alias("region"), key.cast("int").alias("pos"), text.alias("text"))
+
+
+@query("translate_pipeline", "orders")
+def translate_pipeline(orders: DataFrame) -> DataFrame:
+    terms = {"合同金额": "contract amount ", "日期": "dated "}
+    done = translate.translate_segments(_paragraphs(orders), terms | glossary.COMMON_TERMS)
+    return translate.number_document(done, ["file_id", "region"]).select("file_id", "pos", "route", "translated_text", F.size("warnings").alias("n_warnings"))
+
+
+@query("warning_contexts", "orders", """
+SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, 'source ' || o_orderkey AS cn, o_orderpriority AS en FROM orders WHERE o_orderkey % 3 = 0
+""")
+def warning_contexts(orders: DataFrame) -> DataFrame:
+    keys = orders.select(_n(F.col("o_custkey")).alias("file_id"), F.col("o_orderkey").cast("int").alias("pos"), F.concat(F.lit("source \n "), "o_orderkey").alias("cn_text"), F.col("o_orderpriority").alias("en_text"))
+    return quality.contexts(keys.where("pos % 3 = 0").select("file_id", "pos"), keys)
