@@ -206,7 +206,7 @@ def _child(parent: ET.Element, name: str, at: int | None = None) -> ET.Element:
 
 
 def _set_text(run: ET.Element, text: str) -> None:
-    for node in [n for n in run if n.tag != _W + "rPr"]:
+    for node in [n for n in run if n.tag.removeprefix(_W) in ("t", "br", "cr", "tab")]:  # drawings and boxes stay
         run.remove(node)
     for i, line in enumerate(text.split("\n")):
         if i:
@@ -300,6 +300,8 @@ def rewrite(raw: bytes, edits: list[dict], spacing: str | None = "double") -> by
         if edit is None:
             continue
         runs = p.findall(_W + "r")
+        if not edit["new_text"].strip() and not any(_run_text(r).strip() for r in runs):
+            continue
         first = next((r for r in runs if _run_text(r).strip()), runs[0] if runs else None)
         if first is None:
             first = ET.SubElement(p, _W + "r")
