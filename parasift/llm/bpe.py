@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from parasift.llm.common import row_bytes, row_chunks, utf8
 
-CACHE_WORDS = 400_000
-BATCH_BYTES = 8 << 20
+CACHE_WORDS = 200_000
+BATCH_BYTES = 3 << 20
 #: Pre-tokens are merged together up to about so many bytes.
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 20
 NONE = -1
 #: A lone space between two other characters starts a pre-token, whatever stands around it.
 _ODD_SPACE = re.compile(r"\s\s|^ | $")
@@ -77,7 +77,7 @@ class Ranks:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.width = len(self.tokens)
         keys, values = [], []
         for token, rank in ranks.items():
@@ -87,12 +87,12 @@ class Ranks:
                     keys.append(left * self.width + right)
                     values.append(rank)
         order = np.argsort(keys)
-        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.width + right
+        key = np.multiply(left, self.width, dtype=np.int64) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        return np.where(self.keys[at] == key, self.values[at], np.int32(NONE))
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, as 32-bit integers. In each, the leftmost pair of the least rank merges next."""
@@ -100,12 +100,12 @@ class Ranks:
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         token = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = NONE
         before[ends - sizes] = NONE
         at = np.flatnonzero(after >= 0)
-        rank_at = np.full(n, NONE, np.int64)
+        rank_at = np.full(n, NONE, np.int32)
         rank_at[at] = self.pair(token[at], token[at + 1])
         alive = np.ones(n, bool)
         queue = RankQueue()
@@ -236,7 +236,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` plus ``ids`` (array of int) and ``decoded`` (the bytes those ids stand for).
 
-    Narrow: no shuffle; a worker holds batches of about 8 MB of text (a longer text alone) and word
+    Narrow: no shuffle; a worker holds batches of about 3 MB of text (a longer text alone) and word
     tables of ``CACHE_WORDS`` entries, which are emptied when full. A null text is the empty text: no
     ids, no bytes. Repeated rows each give their own row; an empty table gives none. Other columns of
     ``df`` are ignored, whatever their names. ``vocabulary`` is a path that every worker can open.
