@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import glossary, quality
-from parasift.plans import translate
+from parasift.plans import jobs, translate
 from parasift.sources import docx, tables
 
 
@@ -47,6 +47,15 @@ class Engine:
         rows = translated if file_id is None else translated.where(F.col("file_id") == file_id)
         return rows.select("file_id", "region", "pos", tn.snippet(F.col("text")).alias("source"), tn.snippet(F.col("translated_text")).alias("target"))
 
+    def job(self, file_ids: list[str], glossary_id: str | None = None) -> DataFrame:
+        return jobs.new_job(self.spark, file_ids, glossary_id)
+
+    def result(self, results: DataFrame, file_id: str | None = None) -> DataFrame:
+        return jobs.first_result(results, file_id)
+
+    def bundle(self, results: DataFrame, names: DataFrame, load: Callable[[str], bytes]) -> bytes:
+        return jobs.bundle(results, names, load)
+
     def write_docx(self, path: str, translated: DataFrame, store: Callable[[str, bytes], str]) -> DataFrame:
         edits = translated.select("file_id", "region", "pos", "tbl", "row", "col", "box", F.col("translated_text").alias("new_text"), docx.union_format(F.col("runs")).alias("format"))
         return docx.write_docx(self.spark, path, edits, store)

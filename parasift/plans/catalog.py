@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parasift.functions import amounts
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
-from parasift.plans import translate
+from parasift.plans import jobs, translate
 from parasift.sources import docx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,3 +546,31 @@ SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, 'source ' || o
 def warning_contexts(orders: DataFrame) -> DataFrame:
     keys = orders.select(_n(F.col("o_custkey")).alias("file_id"), F.col("o_orderkey").cast("int").alias("pos"), F.concat(F.lit("source \n "), "o_orderkey").alias("cn_text"), F.col("o_orderpriority").alias("en_text"))
     return quality.contexts(keys.where("pos % 3 = 0").select("file_id", "pos"), keys)
+
+
+def _results(orders: DataFrame) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return orders.select(_n(F.col("o_custkey")).alias("job_id"), _n(F.col("o_orderkey")).alias("file_id"), F.col("o_orderkey").cast("int").alias("pos"), status.alias("status"), (F.col("o_orderkey") % 4).alias("warning_count"))
+
+
+@query("first_result", "orders", """
+SELECT o_custkey::VARCHAR AS job_id, min(o_orderkey)::VARCHAR AS file_id FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1
+""")
+def first_result(orders: DataFrame) -> DataFrame:
+    return jobs.first_result(_results(orders)).select("job_id", "file_id")
+
+
+@query("named_results", "orders", """
+SELECT o_orderkey::VARCHAR AS file_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderkey::VARCHAR END AS name FROM orders
+""")
+def named_results(orders: DataFrame) -> DataFrame:
+    names = orders.where("o_orderkey % 2 = 0").select(_n(F.col("o_orderkey")).alias("file_id"), F.col("o_orderpriority").alias("name"))
+    return jobs.named(_results(orders), names).select("file_id", "name")
+
+
+@query("job_progress", "orders", """
+SELECT o_custkey::VARCHAR AS file_id, count(*) AS total, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') = count(*) THEN 1.0::DOUBLE ELSE least(count(*) FILTER (o_orderstatus <> 'F') / count(*), 0.99) END AS completed FROM orders GROUP BY 1
+""")
+def job_progress(orders: DataFrame) -> DataFrame:
+    rows = orders.select(_n(F.col("o_custkey")).alias("file_id"), "o_orderstatus")
+    return jobs.progress(rows, rows.where("o_orderstatus <> 'F'"))

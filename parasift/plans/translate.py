@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
+from parasift.staging import stage
 
 ATTEMPTS, FIRST_PAUSE = 3, 0.6
 POLISH_FROM = 120
@@ -58,7 +59,8 @@ def with_retries(call: Callable[[], str], attempts: int = ATTEMPTS, pause: float
 
 def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: int = MOST_CALLERS) -> DataFrame:
     """``df`` with ``column`` run through the translator and ``model_error`` where it failed thrice: the
-    text then stays as it was. ``callers`` bounds the partitions, and so the calls under way at once."""
+    text then stays as it was. ``callers`` bounds the partitions, and so the calls under way at once. The
+    answers are written once: no later step or lost executor asks again for what has been answered."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", model_error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +77,7 @@ def call_model(df: DataFrame, column: str, make: Callable[[], Translator], metho
                     errors.append(str(error))
             yield frame.assign(**{column: texts, "model_error": errors})
 
-    return df.repartition(callers).mapInPandas(run, schema)
+    return stage(df.repartition(callers).mapInPandas(run, schema), f"model-{method}")
 
 
 def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int = MOST_CALLERS) -> DataFrame:
@@ -98,9 +100,11 @@ def unions(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _through_model(rows: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
+def _speak(rows: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
+    """``rows`` with ``translated_text`` and ``model_error``: dates converted, numbers masked, chunks of
+    whole sentences translated, joined and unmasked. Where the model failed, terms alone are replaced."""
     columns = rows.columns
-    masked = rows.withColumn("__g", guards.mask(tn.convert_chinese_dates(F.col("text")))).withColumn("__row", F.xxhash64("file_id", "region", "pos", "text", F.monotonically_increasing_id()))
+    masked = rows.withColumn("__g", guards.mask(tn.convert_chinese_dates(F.col("text")))).withColumn("__row", F.monotonically_increasing_id())
     chunks = masked.select(*columns, "__row", F.col("__g.guards").alias("__guards"), F.posexplode(tn.split_long(F.col("__g.text"))).alias("__n", "__chunk"))
     spoken = call_model(chunks, "__chunk", make, "translate", terms, callers)
     whole = spoken.groupBy("__row").agg(
@@ -109,19 +113,44 @@ def _through_model(rows: DataFrame, terms: Mapping[str, str], make: Callable[[],
         F.max("model_error").alias("model_error"),
         *(F.first(c).alias(c) for c in columns),
     )
-    failed = F.col("model_error").isNotNull()
     restored = guards.restore(F.trim("__text"), F.col("__guards"))
-    text = F.when(failed, glossary.translate_terms(F.col("text"), terms)).otherwise(restored)
-    text = tn.strip_markdown(tn.strip_revision_tags(tn.fix_cn_labels(text)))
-    rough = whole.withColumn("translated_text", text).select(*columns, "translated_text", "model_error")
-    clean = cleaning.clean_segments(rough, "translated_text")
-    long = F.length("translated_text") > POLISH_FROM
-    polished = call_model(clean.where(long).drop("model_error"), "translated_text", make, "polish", None, callers)
-    both = polished.unionByName(clean.where(~F.coalesce(long, F.lit(False))))
+    text = F.when(F.col("model_error").isNotNull(), glossary.translate_terms(F.col("text"), terms)).otherwise(restored)
+    return whole.withColumn("__new", tn.strip_markdown(tn.strip_revision_tags(tn.fix_cn_labels(text)))).select(*columns, F.col("__new").alias("__spoken"), "model_error")
+
+
+def _retry(rows: DataFrame, bad: Column, better: Callable[[Column], Column], terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
+    """Bad rows once more through the model; the answer counts only if it is ``better``."""
+    bad = F.coalesce(bad, F.lit(False))
+    again = _speak(rows.where(bad), terms, make, callers)
+    taken = F.col("model_error").isNull() & better(F.col("__spoken"))
+    again = again.withColumn("translated_text", F.when(taken, F.col("__spoken")).otherwise(F.col("translated_text")))
+    return stage(rows.where(~bad).unionByName(again.drop("__spoken", "model_error")), "retried")
+
+
+def _residue(text: Column) -> Column:
+    return F.size(tn.chinese_residue(text))
+
+
+def _findings(target: Column) -> Column:
+    return F.size(fidelity.warnings(F.col("text"), target))
+
+
+def _through_model(rows: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
+    """First answer, a retry where Chinese is left, clean-up, polish of long texts, completion of terms, a
+    retry where numbers are missing that counts if it has fewer findings; then the findings."""
+    columns = rows.columns
+    first = stage(_speak(rows, terms, make, callers).withColumnRenamed("__spoken", "translated_text").drop("model_error"), "spoken")
+    first = _retry(first, _residue(F.col("translated_text")) > 0, lambda t: _residue(t) < _residue(F.col("translated_text")), terms, make, callers)
+    clean = stage(cleaning.clean_segments(first, "translated_text"), "cleaned")
+    long = F.coalesce(F.length("translated_text") > POLISH_FROM, F.lit(False))
+    polished = call_model(clean.where(long), "translated_text", make, "polish", None, callers).drop("model_error")
+    both = polished.unionByName(clean.where(~long))
     done = both.withColumn("__c", glossary.completed(F.col("translated_text"), terms)).withColumn("translated_text", F.col("__c.text"))
     completions = F.transform("__c.audit", lambda a: F.concat(F.lit("术语补全: "), a["from_text"], F.lit(" → "), a["to_text"]))
-    removals = F.transform(F.filter("dedup_audit", lambda a: a["action"] == "kept_warn"), lambda a: F.concat(F.lit("重复检测[需人工确认]: 「"), a["dup"], F.lit("」置信度: 中")))
-    return done.withColumn("warnings", F.concat(fidelity.warnings(F.col("text"), F.col("translated_text")), completions, removals)).select(*columns, "translated_text", "warnings")
+    repeats = F.transform(F.filter("dedup_audit", lambda a: a["action"] == "kept_warn"), lambda a: F.concat(F.lit("重复检测[需人工确认]: 「"), a["dup"], F.lit("」置信度: 中")))
+    noted = done.withColumn("__notes", F.concat(completions, repeats)).select(*columns, "translated_text", "__notes")
+    kept = _retry(noted, _findings(F.col("translated_text")) > 0, lambda t: _findings(t) < _findings(F.col("translated_text")), terms, make, callers)
+    return kept.withColumn("warnings", F.concat(fidelity.warnings(F.col("text"), F.col("translated_text")), "__notes")).select(*columns, "translated_text", "warnings")
 
 
 def number_document(translated: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,20 +189,12 @@ def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str]
         elif fix == "duplicate":
             now = now.withColumn("translated_text", dedup.dedup(F.col("translated_text"))["text"])
         elif fix == "fidelity":
-            now = _retry(now, F.size(fidelity.warnings(F.col("text"), F.col("translated_text"))) > 0, lambda t: F.size(fidelity.warnings(F.col("text"), t)) == 0, terms, make, callers)
+            now = _retry(now, _findings(F.col("translated_text")) > 0, lambda t: _findings(t) == 0, terms, make, callers)
         else:
-            now = _retry(now, F.size(tn.chinese_residue(F.col("translated_text"))) > 0, lambda t: F.size(tn.chinese_residue(t)) == 0, terms, make, callers)
+            now = _retry(now, _residue(F.col("translated_text")) > 0, lambda t: _residue(t) == 0, terms, make, callers)
     return now.select(columns).unionByName(boxes)
 
 
-def _retry(rows: DataFrame, bad: Column, good: Callable[[Column], Column], terms, make, callers) -> DataFrame:
-    """Bad rows once more through the model; the answer counts only if it is good."""
-    bad = F.coalesce(bad, F.lit(False))
-    again = call_model(rows.where(bad).withColumn("__new", F.col("text")), "__new", make, "translate", terms, callers)
-    taken = again.withColumn("translated_text", F.when(F.col("model_error").isNull() & good(F.col("__new")), F.col("__new")).otherwise(F.col("translated_text")))
-    return rows.where(~bad).unionByName(taken.drop("__new", "model_error"))
-
-
 def parse_actions(response: Column) -> Column:
     """Format actions from a model's answer: the outermost JSON object in it; none if there is none."""
     body = F.regexp_extract(response, r"(?s)\{.*\}", 0)
