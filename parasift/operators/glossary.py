@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 
@@ -80,20 +81,21 @@ def missing_terms(pairs: DataFrame, terms: DataFrame, cn: str = "cn_text", en: s
     """Rows of ``pairs`` with each term (``term_cn``, ``term_en``) that occurs in the source while none of
     its ``|`` variants occurs in the translation.
 
-    The terms are gathered into one array that every row scans, so the pairs are not shuffled; the
-    array is bounded by ``MOST_LITERAL_TERMS``, beyond which the terms go in blocks.
+    The terms are a literal array that every row scans: no join and no shuffle of the pairs. The array
+    holds ``MOST_LITERAL_TERMS`` at most; a larger glossary takes one pass a block.
     """
-    blocks = terms.select("cn", "en").where(F.col("cn") != "").withColumn("block", F.pmod(F.xxhash64("cn"), F.lit(_blocks(terms))))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("cn", "en")).alias("__terms")).drop("block")
     variants = lambda t: F.transform(F.split(t["en"], r"\|"), lambda v: F.lower(F.btrim(v)))
     there = lambda t, lower: F.exists(variants(t), lambda v: (v != "") & lower.contains(v))
-    missing = tn.let(F.lower(F.col(en)), lambda lower: F.filter("__terms", lambda t: F.col(cn).contains(t["cn"]) & ~there(t, lower)))
-    # A few rows, each a bounded block of terms.
-    return pairs.crossJoin(F.broadcast(packed)).select(*pairs.columns, F.explode(missing).alias("__t")).select(*pairs.columns, F.col("__t.cn").alias("term_cn"), F.col("__t.en").alias("term_en"))
-
-
-def _blocks(terms: DataFrame) -> int:
-    return max(1, -(-terms.count() // MOST_LITERAL_TERMS))
+    missing = lambda known: tn.let(F.lower(F.col(en)), lambda lower: F.filter(known, lambda t: F.col(cn).contains(t["cn"]) & ~there(t, lower)))
+    used = terms.select("cn", "en").where((F.col("cn") != "") & F.col("en").isNotNull())
+    blocks = max(1, -(-used.count() // (MOST_LITERAL_TERMS // 2)))
+    out = None
+    for block in range(blocks):
+        rows = used.where(F.pmod(F.xxhash64("cn"), F.lit(blocks)) == block).collect()
+        known = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<cn:string,en:string>>")
+        part = pairs.select(*pairs.columns, F.explode(missing(known)).alias("__t")).select(*pairs.columns, F.col("__t.cn").alias("term_cn"), F.col("__t.en").alias("term_en"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def complete_terms(text: str, variants: list[tuple[str, list[str]]]) -> tuple[str, list[dict]]:
