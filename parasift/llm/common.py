@@ -29,13 +29,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read again."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, file)
+    """Delete the files of a table that ``stage`` returned and nothing will read again."""
+    remove(df.sparkSession, df.staged_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
