@@ -199,7 +199,9 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 yield rows.astype({"key": "Int64", "refers_to": "Int64"})
 
     schema = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("file", "sha256").repartition("file").mapInPandas(run, schema)
+    # A row stands for a whole file, so the number of tasks follows the files and not the rows' bytes.
+    tasks = min(max(1, manifest.count()), MOST_RANGES)
+    return manifest.select("file", "sha256").repartitionByRange(tasks, "file").mapInPandas(run, schema)
 
 
 def round_trip(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
