@@ -8,6 +8,7 @@ payload crosses the network; of several stored copies the catalog names the firs
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from parasift.llm.common import file_system, row_bytes, stage, stage_path, utf8
 WIDTH = 64
 SHARD_BYTES = 128 << 20
 LEVEL = 6
+#: Stored bytes that one task reads back, and the most such tasks.
+READ_BYTES = 16 << 20
+MOST_READS = 50_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and header chunk: all that the metadata columns need.
 HEADER_BYTES = 33
@@ -148,9 +152,14 @@ def write_media(df: DataFrame, folder: str, text: str = "text", key: str = "doc_
 
 
 def _places(catalog: DataFrame) -> DataFrame:
-    """One stored place of each payload, dealt out evenly in the order of shards and offsets."""
+    """One stored place of each payload, dealt out evenly in the order of shards and offsets.
+
+    A row stands for its stored bytes, so the number of tasks follows those and not the rows' size.
+    """
+    stored = catalog.agg(F.sum("length")).first()[0] or 0
+    tasks = min(max(1, math.ceil(stored / READ_BYTES)), MOST_READS)
     first = catalog.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return first.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    return first.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _reader(folder: str, whole: bool):
