@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 
+# Fixed values.
 _NUMERAL = r"I{1,3}|IV|V|VI{0,3}|IX|X|[1-9]\d{0,2}"
 ARTICLE = rf"(?i)^(?:Article|Clause|Section)\s+({_NUMERAL})\b"
 MARKER = rf"^(?:\(\s*)?({_NUMERAL})([.、．)）])(\s*)"
