@@ -89,7 +89,6 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, text: str, key
 
 def fit(sample: DataFrame, featurize: Callable[[list[bytes]], list[dict]], train: Callable[[pd.DataFrame], Model]) -> Model:
     """Featurise the sample where it lies, train in one task, return the bounded model."""
-    spark = sample.sparkSession
     names = list(featurize([b""])[0])
     schema = T.StructType(
         [T.StructField("turn", T.LongType()), T.StructField("y", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in names)]
@@ -112,7 +111,6 @@ def fit(sample: DataFrame, featurize: Callable[[list[bytes]], list[dict]], train
     order = ["turn", "y", *names]
     ready = sample.select("text", "y", "turn").mapInArrow(features, schema).repartition(1).sortWithinPartitions(*order)
     found = ready.mapInPandas(learn, "slots binary, weights binary, bias double").take(1)
-    assert spark is not None
     if not found:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     row = found[0]
@@ -123,13 +121,14 @@ def score_rows(df: DataFrame, model: Model, logits: Callable[[list[bytes], np.nd
     """``key`` (and ``keep``) with ``score`` in 0..1 of each row's whole text; a null text is empty."""
     names = [key, *keep]
     schema = T.StructType([*(df.schema[n] for n in names), T.StructField("score", T.DoubleType(), False)])
+    at = names.index(text) if text in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.dense()
         for batch in batches:
-            raw = list(row_bytes(*utf8(batch.column(batch.num_columns - 1))))
+            raw = list(row_bytes(*utf8(batch.column(at))))
             scores = [sigmoid(logits(part, weights) + model.bias) for part in chunks(raw)]
             own = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, "score"])
 
-    return df.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*names, *([] if text in names else [text])).mapInArrow(run, schema)
