@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parasift.llm import bpe, decontaminate, linededup, quality, simhash
+from parasift.llm import bpe, decontaminate, linededup, nearcopies, quality
 from parasift.llm.common import stage
 
 #: A document is a copy of others if recurring lines hold this share of its words.
@@ -34,11 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of linked fingerprints."""
-    groups = simhash.near_duplicates(docs)
-    # A row without an id belongs to no one's copies and stays.
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The document of the least id of each group of texts linked at a five-word similarity of 0.8."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,11 +37,11 @@ JOIN_ROWS = 200_000
 _PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
-def fingerprint(text: bytes, words_in: int = 3) -> int:
-    """Majority bits of the shingles' hashes; 0 for a text without words."""
+def shingle_hashes(text: bytes, words_in: int) -> np.ndarray:
+    """Hashes of each run of ``words_in`` words, or of all words of a shorter text."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(sizes + 1) - 1
@@ -49,13 +49,21 @@ def fingerprint(text: bytes, words_in: int = 3) -> int:
     width = min(words_in, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    count = len(words) - width + 1
-    hashes = np.fromiter((digest(joined[a:z], SEED) for a, z in spans), np.uint64, count)
+    return np.fromiter((digest(joined[a:z], SEED) for a, z in spans), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have; 0 for none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, SHINGLE_BLOCK):
+    for at in range(0, len(hashes), SHINGLE_BLOCK):
         bits = np.unpackbits(hashes[at : at + SHINGLE_BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words_in: int = 3) -> int:
+    """Majority bits of the shingles' hashes; 0 for a text without words."""
+    return majority(shingle_hashes(text, words_in))
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words_in: int = 3) -> DataFrame:
