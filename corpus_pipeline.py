@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from parasift.llm import bpe, decontaminate, linededup, nearcopies, quality
 from parasift.llm.common import stage
 
-#: A document is a copy of others if recurring lines hold this share of its words.
-COPIED_SHARE = 0.8
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more."""
@@ -24,13 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines. A document that such lines made up but for less than a fifth of
-    its words goes: an earlier document holds what it held."""
-    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    kept = linededup.dedup_lines(docs.withColumn("__words", words(F.col("text"))))
-    left = (F.col("lines_dropped") == 0) | (words(F.col("text")) > (1 - COPIED_SHARE) * F.col("__words"))
-    kept = kept.where(F.coalesce(left, F.lit(True)))
-    return kept.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Texts without recurring lines. Only a document that such lines leave without any word goes: each of
+    its lines stands in an earlier document, which keeps it and so stays. Copies are left to the next stage."""
+    kept = linededup.dedup_lines(docs)
+    changed = F.col("lines_dropped") > 0
+    kept = kept.where(~changed | F.coalesce(F.col("text").rlike(r"\S"), F.lit(True)))
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,24 @@ def test_near_dedup_stage_matches_brute_force(spark):
 
 def test_near_dedup_stage_of_nothing(spark):
     assert pipeline.near_dedup_stage(spark, documents(spark, []), "").count() == 0
+
+
+def test_line_stage_drops_lines_only(spark):
+    """A document goes only without any word left, and every line that went stands in one that stays."""
+    shared = ["Terms of use apply to all of this site", "Contact the office during the usual opening hours", "This page was last changed by its own author"]
+    texts = [
+        (1, f"{shared[0]}\nfirst own words of one document"),
+        (2, f"{shared[0]}\nmine alone\n{shared[0]}"),  # the words left are a fraction
+        (3, f"{shared[0]}\n{shared[1]}\n{shared[0]}\n{shared[0]}\n{shared[0]}\n{shared[0]}"),  # owns a line, 84 % recurring
+        (4, f"{shared[1]}\nfourth own words of a document"),
+        (5, f"{shared[0]}\n{shared[1]}\n \n"),  # nothing of its own
+        (6, f"{shared[2]}"),
+        (7, None),
+        (8, ""),
+        (9, f"{shared[2]}\nok"),
+    ]
+    kept = {r.doc_id: (r.text, r.n_chars) for r in pipeline.line_stage(spark, documents(spark, texts), "").collect()}
+    assert sorted(kept) == [1, 2, 3, 4, 6, 7, 8, 9]
+    assert kept[2] == ("mine alone", 10) and kept[3][0] == shared[1] and kept[9] == ("ok", 2) and kept[7] == (None, None)
+    held = {line for text, _ in kept.values() for line in (text or "").split("\n")}
+    assert all(line in held for _, text in texts for line in (text or "").split("\n") if line.strip())
