@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
+from parasift.llm import nearcopies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +83,30 @@ def test_line_stage_drops_lines_only(spark):
     assert kept[2] == ("mine alone", 10) and kept[3][0] == shared[1] and kept[9] == ("ok", 2) and kept[7] == (None, None)
     held = {line for text, _ in kept.values() for line in (text or "").split("\n")}
     assert all(line in held for _, text in texts for line in (text or "").split("\n") if line.strip())
+
+
+def test_linked_sets_match_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        core = [rng.getrandbits(64) for _ in range(rng.choice([5, 12, 30]))]
+        sets = [np.array(sorted({*rng.sample(core, rng.randint(len(core) // 2, len(core))), *(rng.getrandbits(64) for _ in range(rng.randint(0, 4)))}), np.uint64) for _ in range(40)]
+        sets += [np.zeros(0, np.uint64)] * 2
+        like = lambda a, b: not a | b or 5 * len(a & b) >= 4 * len(a | b)
+        whole = [set(s.tolist()) for s in sets]
+        want = [-1] * len(sets)
+        for first in range(len(sets)):
+            queue = [first] if want[first] < 0 else []
+            while queue:
+                at = queue.pop()
+                if want[at] < 0:
+                    want[at] = first
+                    queue += [i for i in range(len(sets)) if want[i] < 0 and like(whole[at], whole[i])]
+        assert nearcopies.linked(sets).tolist() == want
+
+
+def test_near_dedup_stage_with_repeated_and_missing_ids(spark):
+    """Rows that share an id but not a text are two documents; rows without an id are copies like any other."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, two), (None, one), (None, three), (None, three)]
+    kept = pipeline.near_dedup_stage(spark, documents(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, three), (1, one), (1, two)]
