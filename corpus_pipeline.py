@@ -55,7 +55,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level bpe", bpe_stage),
 ]
 
-#: SQL can express neither the classifier nor the fingerprints; the tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the fingerprints. Tests hold the line and near-dedup stages; of the others
+#: only the operators are tested.
 ORACLE_SQL = None
 
 
