@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import row_bytes, utf8
+from parasift.llm.common import row_bytes, tidy, utf8
 from parasift.llm.features import BITS, chunks
 
 #: Features of a run of texts: index of the text, slot and value of each, sorted by text.
@@ -94,6 +94,7 @@ def fit(sample: DataFrame, featurize: Callable[[list[bytes]], list[dict]], train
         [T.StructField("turn", T.LongType()), T.StructField("y", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in names)]
     )
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
@@ -102,6 +103,7 @@ def fit(sample: DataFrame, featurize: Callable[[list[bytes]], list[dict]], train
             columns = [pa.array([r[n] for r in rows], pa.binary()) for n in names]
             yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("y"), *columns], names=["turn", "y", *names])
 
+    @tidy
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(frames)
         if held:
@@ -123,6 +125,7 @@ def score_rows(df: DataFrame, model: Model, logits: Callable[[list[bytes], np.nd
     schema = T.StructType([*(df.schema[n] for n in names), T.StructField("score", T.DoubleType(), False)])
     at = names.index(text) if text in names else len(names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.dense()
         for batch in batches:

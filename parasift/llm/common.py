@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
@@ -34,6 +37,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
+#: A key with more than one in so many rows is hot; there can be no more such keys than that.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and in ``count`` how many of ``rows`` have it.
+
+    Hot keys, ``HOT_SHARE`` at most, go to the rows by broadcast, so their rows stay where they lie; all
+    others meet in a hash join. Both are to be staged tables, as each is read twice.
+    """
+    bound = rows.count() / HOT_SHARE
+    hot, others = table.where(F.col(count) > bound), table.where(F.col(count) <= bound)
+    return rows.join(others, on).unionByName(rows.join(F.broadcast(hot), on))
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a table that ``stage`` returned and nothing will read again."""
     remove(df.sparkSession, df.staged_path)
@@ -44,6 +62,27 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system when it ends: worker processes serve
+    many tasks, of many stages, and would each keep the most that any of them took."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string (or binary) column as one array, and each row's offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,8 +119,6 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     """A table of a few planned rows as one literal, without a Python scan."""
     import json
 
-    from pyspark.sql import functions as F
-
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 

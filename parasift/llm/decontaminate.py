@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import row_bytes, utf8
+from parasift.llm.common import row_bytes, tidy, utf8
 from parasift.llm.features import Words, chunks, mixed
 from parasift.llm.toxicity import _WORD, _lower
 
@@ -248,6 +248,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     tile_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("text_start", "item_start", "words")]))
 
     def search(shared: _Shared):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(shared, least, coverage)
             for batch in batches:
@@ -281,6 +282,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     """The rows of ``df``, all columns, without those that hold a test item as ``contaminated`` finds."""
 
     def keep(shared: _Shared):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(shared, least, coverage)
             for batch in batches:

@@ -12,8 +12,20 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
+#: Powers for stretches of so many bytes stay in a worker; those for a longer text are made anew.
+KEPT_POWERS = 1 << 20
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _kept_powers() if size <= KEPT_POWERS else _new_powers(size)
+
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(KEPT_POWERS)
+
+
+def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     inverse = pow(_BASE, -1, 1 << 64)
     out = []
@@ -24,10 +36,6 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _room(size: int) -> int:
-    return max(1 << 20, 1 << (size - 1).bit_length())
-
-
 class Words:
     """The words of a chunk of texts: where they begin and end, and their text's index."""
 
@@ -44,7 +52,7 @@ class Words:
         self.counts = np.bincount(self.text, minlength=len(texts))
 
     def rolling(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        power, inverse = _powers(_room(len(data) + 1))
+        power, inverse = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64, out=sums[1:])
         return sums, inverse

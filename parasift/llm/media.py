@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import file_system, row_bytes, stage, stage_path, utf8
+from parasift.llm.common import file_system, row_bytes, stage, stage_path, tidy, utf8
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
@@ -125,6 +125,7 @@ def write_media(df: DataFrame, folder: str, text: str = "text", key: str = "doc_
     """
     schema = T.StructType([df.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         stem, shards, shard = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0, None
@@ -163,6 +164,7 @@ def _places(catalog: DataFrame) -> DataFrame:
 
 
 def _reader(folder: str, whole: bool):
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = file_system(folder)
         name, file = None, None

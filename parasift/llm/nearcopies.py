@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parasift.llm import simhash
-from parasift.llm.common import row_bytes, row_chunks, stage, utf8
+from parasift.llm.common import row_bytes, row_chunks, stage, tidy, utf8
 from parasift.llm.components import components
 
 WORDS = 5
@@ -87,6 +87,7 @@ def _marks(df: DataFrame, text: str, key: str) -> DataFrame:
     """``key``, the id of the text, its fingerprint and bands for each row."""
     schema = T.StructType([df.schema[key], T.StructField("row", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))

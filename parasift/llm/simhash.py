@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import row_bytes, row_chunks, stage, utf8
+from parasift.llm.common import row_bytes, row_chunks, stage, tidy, utf8
 from parasift.llm.components import components
 
 SEED = 42
@@ -70,6 +70,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words_i
     """``key`` and ``fp`` (the 64 bits as a signed long) of each row; a null text counts as empty."""
     schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType(), False)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -126,6 +127,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+@tidy
 def _join_tries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges to the least fingerprint of each linked set in the sub-tries that a task gets in order."""
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parasift.llm.common import file_system, small_table, stage, stage_path
+from parasift.llm.common import file_system, small_table, stage, stage_path, tidy
 
 FILE_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
@@ -125,6 +125,7 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
     placed = both.withColumn("bucket", bucket).join(F.broadcast(plan), "bucket", "left").withColumn("range", F.coalesce("range", F.lit(0))).drop("bucket")
     dealt = placed.repartitionByRange(ranges, "range").sortWithinPartitions("range", "key", "kind", "payload", "url")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
         file, here, number, now, owner_of, seen = None, None, 0, None, {}, {}
@@ -187,6 +188,7 @@ def parse(raw: bytes) -> dict:
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the files that ``manifest`` names; each file's checksum is verified."""
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = file_system(folder)
         for frame in frames:
