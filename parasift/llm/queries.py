@@ -123,23 +123,21 @@ LEFT JOIN depth d ON d.conv_id = m.conv_id AND d.turn = CASE kind WHEN 'call' TH
 WITH raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), cut AS (
-  SELECT doc_id, pos, list_transform(string_split_regex(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \\t\\v\\f\\r]+'),
-    lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t FROM raw
+  SELECT doc_id, pos, string_split_regex(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \\t\\v\\f\\r]+') AS words
+  FROM raw WHERE regexp_matches(line, '[^ \\t\\v\\f\\r]')
+), masked AS (
+  SELECT doc_id, pos, words, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS m FROM cut
 ), lines AS (
-  SELECT doc_id, pos, len(t) AS n, array_to_string(t, ' ') AS template, array_to_string(t[1:3], ' ') AS lead,
-    [array_to_string(t[i * len(t) // 5 + 1 : (i + 1) * len(t) // 5], ' ') FOR i IN range(5)] AS stretches
-  FROM cut WHERE len(list_filter(t, lambda w: w <> '<*>')) >= 3 AND NOT (len(t) = 1 AND t[1] = '')
-), across AS (
-  SELECT n, template, min(doc_id) AS first FROM lines GROUP BY n, template HAVING min(doc_id) < max(doc_id)
-), leaves AS (
-  SELECT n, lead, min(doc_id) AS first FROM lines WHERE n >= 10 GROUP BY n, lead HAVING min(doc_id) < max(doc_id) AND count(DISTINCT template) > 1
-), head AS (
-  SELECT l.n, l.lead, l.first, arg_min(s.stretches, s.pos) AS stretches FROM leaves l JOIN lines s ON s.n = l.n AND s.lead = l.lead AND s.doc_id = l.first GROUP BY ALL
+  SELECT doc_id, pos, len(m) AS n, len(list_filter(m, lambda w: w <> '<*>')) AS c, CASE WHEN len(list_filter(m, lambda w: w <> '<*>')) = 0 THEN words ELSE m END AS t FROM masked
+), filed AS (
+  SELECT doc_id, pos, array_to_string(t, ' ') AS key FROM lines
+  UNION ALL
+  SELECT doc_id, pos, concat_ws(chr(10), n, i, array_to_string(t[1:3], ' '), array_to_string(t[1 : i * n // 5], ' '), array_to_string(t[(i + 1) * n // 5 + 1 : n], ' ')) AS key
+  FROM lines, range(5) r(i) WHERE n >= 5 AND c - ((i + 1) * n // 5 - i * n // 5) >= 3
+), first AS (
+  SELECT key, min(doc_id) AS first FROM filed GROUP BY key HAVING min(doc_id) < max(doc_id)
 ), gone AS (
-  SELECT doc_id, pos FROM lines JOIN across USING (n, template) WHERE doc_id > first
-  UNION
-  SELECT s.doc_id, s.pos FROM lines s JOIN head h ON s.n = h.n AND s.lead = h.lead
-  WHERE s.doc_id > h.first AND len(list_filter(range(1, 6), lambda i: s.stretches[i] = h.stretches[i])) >= 4
+  SELECT DISTINCT doc_id, pos FROM filed JOIN first USING (key) WHERE doc_id > first
 ), kept AS (
   SELECT doc_id, count(*) AS lines_total, count(g.pos) AS lines_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY r.pos) FILTER (WHERE g.pos IS NULL), '') AS text

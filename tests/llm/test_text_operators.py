@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from parasift.llm import bpe, decontaminate, linededup, simhash
+from parasift.llm import bpe, common, decontaminate, linededup, simhash
 from parasift.llm.components import components
 
 SCHEMA = "doc_id long, text string, fp string, line string, way int"
@@ -129,7 +129,8 @@ def library():
 def test_bpe_equals_the_library(spark, library):
     rng = random.Random(1)
     texts = ["", None, "  a", "a  b", " a b ", "a\n b", "aaa" * 700, "x" * 5000, "日本語 text  's don't  ", "\t\t a\t b", "<|endoftext|>", "12 345 6!! ??"]
-    texts += ["".join(rng.choice(" \n\t\x1c\x85　ab'sé12!?日\r​\x0b") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += ["' 's' 't''s 're'really don't I'll we've  'll", "'s", "'", "a'", "a'r", "a's\u0301b", "²Ⅷ½ x²", "\u3000 \u3000a \u0085"]
+    texts += ["".join(rng.choice(" \n\t\x1c\x85　ab'sétrelvdm12!?日\r​\x0b½🙂") for _ in range(rng.randint(0, 30))) for _ in range(600)]
     rows = bpe.encode_decode(documents(spark, list(enumerate(texts))), PATH, public_tokenizers.PATTERN).collect()
     assert len(rows) == len(texts)
     for row in rows:
@@ -138,46 +139,96 @@ def test_bpe_equals_the_library(spark, library):
     assert bpe.encode_decode(documents(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_texts(spark, library, monkeypatch):
+    """Texts beyond a window and a batch, with and without spaces to cut at, and repeated rows."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéß'-1") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60_000)), "\n".join(rng.choice(words) for _ in range(30_000)), "".join(rng.choice("ab1") for _ in range(700_000))]
+    monkeypatch.setattr(bpe, "WINDOW_BYTES", 1 << 12)
+    own = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    for text in texts:
+        assert own.encode(text) == library.encode_ordinary(text)
+    docs = documents(spark, [(1, texts[0]), (1, texts[0]), (2, texts[1])])
+    for row in bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect():
+        text = texts[row.doc_id - 1]
+        assert row.ids == library.encode_ordinary(text) and row.decoded == text.encode()
+    with pytest.raises(ValueError):
+        bpe.encode_decode(docs.withColumn("ids", F.lit(1)), PATH, public_tokenizers.PATTERN, keep=("doc_id", "ids"))
+
+
+def test_bpe_of_other_patterns(library):
+    own = bpe.Codec(PATH, r"\s+|\w+|[^\s\w]+")
+    other = tiktoken.Encoding("other", pat_str=r"\s+|\w+|[^\s\w]+", mergeable_ranks=own.ranks.ranks, special_tokens={})
+    for text in ("", "Hello there, don't!  12x", "a" * 40 + " é"):
+        assert own.encode(text) == other.encode_ordinary(text)
+
+
 def test_bpe_of_ranks_that_go_back(monkeypatch):
     """A merge can make a pair of lesser rank; the queue must take that one next."""
     rng = random.Random(3)
-    for _ in range(300):
+    for _ in range(600):
         ranks = {bytes([b]): b for b in range(256)}
         while len(ranks) < 256 + 12:
             token = bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 4)))
             if token not in ranks:
                 ranks[token] = len(ranks)
-        model = bpe.Ranks(ranks)
+        spread = {t: i if i < 256 else 256 + 23 * (i - 256) for t, i in ranks.items()}  # over several leaves
+        model = bpe.Ranks(spread)
         pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 20))) for _ in range(5)]
-        for piece, ids in zip(pieces, model.merge(pieces)):
+        ids, counts = model.merge(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]))
+        for piece, own in zip(pieces, np.split(ids, np.cumsum(counts)[:-1])):
             parts = [piece[i : i + 1] for i in range(len(piece))]
             while True:
-                best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+                best = min(((spread[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in spread), default=None)
                 if best is None:
                     break
                 i = best[1]
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            assert np.frombuffer(ids, np.int32).tolist() == [ranks[p] for p in parts], (piece, ranks)
+            assert own.tolist() == [spread[p] for p in parts], (piece, spread)
 
 
-def test_bpe_tables_stay_bounded(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+def test_bpe_table_stays_bounded(monkeypatch, library):
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 20)
     own = bpe.Codec(PATH, public_tokenizers.PATTERN)
     texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6)]
     for text in texts * 2:
-        assert own.encode_batch([text])[0].tolist() == library.encode_ordinary(text)
-        assert len(own.words) <= 20
+        assert own.encode(text) == library.encode_ordinary(text)
+        own.pieces.shrink(20)
+        assert own.pieces.count - own.pieces.base <= 20
 
 
 # Line dedup
 
 
+def plain_lines(docs):
+    """(kept text, dropped) of each (id, text): two lines share a template if they are equal once tokens with a
+    digit are masked, or of five tokens or more and equal but for one of five stretches."""
+    lines = []
+    for i, text in docs:
+        for pos, line in enumerate((text or "").split("\n")):
+            words = re.findall(r"[^ \t\r\x0b\x0c]+", line)
+            masked = ["<*>" if re.search("[0-9]", w) else w for w in words]
+            constants = sum(m != "<*>" for m in masked)
+            t = masked if constants else words
+            n = len(t)
+            cuts = [i * n // 5 for i in range(6)]
+            keys = {(tuple(t), None)} if words else set()
+            keys |= {(tuple(t[:a] + ["|"] + t[z:]), tuple(t[:3]), k) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if n >= 5 and constants - (z - a) >= 3}
+            lines.append((i, pos, line, {(n, *k) for k in keys}))
+    first = {}
+    for i, _, _, keys in lines:
+        for k in keys:
+            first[k] = min(i, first.get(k, i))
+    gone = {(i, pos) for i, pos, _, keys in lines if any(first[k] < i for k in keys)}
+    return {i: (None if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if (i, p) not in gone), len({g for g in gone if g[0] == i})) for i, text in docs}
+
+
 def test_lines(spark):
     long = "alpha beta gamma one two three four five six seven"
     texts = [
         (1, f"User 17 logged in today\nunique words here now\n{long}"),
         (2, "User 99 logged in today\nother words stand here\nok\n1 2 3 4"),
-        (3, f"ok\n1 2 3 4\n\n{long.replace('seven', 'eight')}\n{long.replace('beta', 'other')}"),
+        (3, f"ok\n1 2 3 4\n1 2 3 5\n\n{long.replace('seven', 'eight')}\n{long.replace('beta', 'other')}"),
         (4, "All lines here are mine\nAll lines here are mine"),
         (5, None),
         (6, ""),
@@ -188,15 +239,48 @@ def test_lines(spark):
     kept = [(r.doc_id, r.text, r.lines_dropped) for r in rows]
     assert kept[0] == (1, texts[0][1], 0)
     assert kept[1] == (2, "other words stand here\nok\n1 2 3 4", 1)
-    assert kept[2] == (3, f"ok\n1 2 3 4\n\n{long.replace('beta', 'other')}", 1)
+    assert kept[2] == (3, f"1 2 3 5\n\n{long.replace('beta', 'other')}", 3)  # a leading token is no field; numbers alone no template
     assert kept[3] == (4, texts[3][1], 0) and kept[4] == (5, None, 0) and kept[5] == (6, "", 0)
     assert kept[6] == kept[7] == (7, "", 1) and kept[8] == (None, "User 17 logged in today", 0)
     assert linededup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_a_leaf_has_several_templates(spark):
+    """Lines alike to each other, but not to the first line of their leaf."""
+    lead = "Posted in the"
+    texts = [(1, f"{lead} a b c d e f g"), (2, f"{lead} p q r s t u v"), (3, f"{lead} p q r s t u w"), (4, f"{lead} p q r s other u v")]
+    got = {r.doc_id: r.lines_dropped for r in linededup.dedup_lines(documents(spark, texts)).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("share", [1000, 20])
+def test_lines_match_brute_force(spark, monkeypatch, share):
+    """With a small share many lines count as hot and meet their templates by broadcast."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice(["aa", "b", "c7", "42", "dd", "e"]) for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 8)):
+            words = rng.choice(pool).split()
+            if words and rng.random() < 0.5:
+                words[rng.randrange(len(words))] = rng.choice(["x", "y9", "zz"])
+            lines.append(rng.choice([" ", "  ", "\t"]).join(words) + rng.choice(["", " ", "\r"]))
+        docs.append((i, "\n".join(lines)))
+    rows = linededup.dedup_lines(documents(spark, docs)).collect()
+    assert {r.doc_id: (r.text, r.lines_dropped) for r in rows} == plain_lines(docs) and sum(r.lines_dropped for r in rows) > 50
+
+
+def test_a_text_of_many_lines(spark):
+    many = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} of a long text" for i in range(100_000))
+    rows = {r.doc_id: r for r in linededup.dedup_lines(documents(spark, [(1, many), (2, many + "\nmy own"), (3, "x" * 3_000_000)])).collect()}
+    assert rows[1].lines_dropped == 0 and rows[2].text == "my own" and rows[2].lines_dropped == 100_000 and len(rows[3].text) == 3_000_000
+
+
 def test_line_dedup_runs_no_python(spark):
     lines = linededup.template_lines(documents(spark, [(1, "a b c d")]), "text", "doc_id")
-    plan = linededup.recurring_lines(lines)._jdf.queryExecution().toString()
+    plan = linededup.recurring_templates(lines)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
