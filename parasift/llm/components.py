@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parasift.llm.common import stage, unstage
 
-MOST_ROUNDS = 64
-
-
 def _star(edges: DataFrame) -> DataFrame:
     """Large-star, then small-star, over edges (a, b) with a > b: nodes move to ever smaller roots."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,7 +31,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """
     now = stage(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), label)
     mark = _mark(now)
-    for _ in range(MOST_ROUNDS):
+    # The steps settle within some multiple of log2 of the nodes; beyond that something is wrong.
+    for _ in range(16 + 4 * math.ceil(math.log2(mark[0] + 2))):
         if not mark[0]:
             break
         after = stage(_star(now), label)

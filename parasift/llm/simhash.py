@@ -6,10 +6,10 @@ have no error left to spend; its sub-tries are independent and are dealt out by
 sub-trie the join descends pairs of nodes together, level by level, adds the bits in which they differ,
 and drops a pair once it has spent more than the budget.
 
-Sub-tries with over ``HOT_TRIE`` fingerprints (large groups of near copies) are not given to one task.
-Two fingerprints at distance one or two share a neighbour at distance at most one, so there each
-fingerprint is dealt out under itself and its 64 one-bit neighbours; such a key has 65 holders at most,
-all within two bits of each other. Both ways are exact.
+A sub-trie of over ``HOT_TRIE`` fingerprints (large groups of near copies) is not given to one task: its
+nodes ``SPLIT`` levels down are paired with all nodes whose path differs within the budget, and each node
+pair, with the bits it has spent, is dealt out as a task of its own. Pairs that are still hot are split
+again; after 32 bits none can be.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import row_bytes, row_chunks, stage, tidy, utf8
+from parasift.llm.common import join_counted, row_bytes, row_chunks, stage, tidy, utf8
 from parasift.llm.components import components
 
 SEED = 42
 BUDGET = 2
 HOT_TRIE = 1024
+SPLIT = 8
 BATCH_BYTES = 4 << 20
 SHINGLE_BLOCK = 1 << 15
-#: Fingerprints that a task joins at a time (whole sub-tries, so up to HOT_TRIE more).
+#: Fingerprints that a task joins at a time (whole node pairs, so up to HOT_TRIE more).
 JOIN_ROWS = 200_000
 _PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
@@ -83,14 +84,13 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words_i
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def trie_pairs(keys: np.ndarray, starts: np.ndarray, levels: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sorted ``keys`` that differ in at most ``budget`` of their low ``levels`` bits,
-    within the groups that begin at ``starts``. A trie node is a range of ``keys``."""
-    stops = np.append(starts[1:], len(keys))
-    many = stops - starts > 1
-    a_lo = b_lo = starts[many]
-    a_hi = b_hi = stops[many]
-    spent = np.zeros(len(a_lo), np.int64)
+def trie_pairs(keys: np.ndarray, nodes: tuple[np.ndarray, ...], levels: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``keys`` that differ in at most ``budget`` of their low ``levels`` bits, below pairs of
+    trie nodes. A node is a range of sorted ``keys``; ``nodes`` are the ends of the first and of the second
+    node of each pair and the bits it has spent. A node paired with itself gives each pair of keys once."""
+    a_lo, a_hi, b_lo, b_hi, spent = nodes
+    several = (a_lo != b_lo) | (a_hi - a_lo > 1)
+    a_lo, a_hi, b_lo, b_hi, spent = (x[several] for x in nodes)
     for level in range(levels - 1, -1, -1):
         if not len(a_lo):
             break
@@ -127,31 +127,59 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-@tidy
-def _join_tries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges to the least fingerprint of each linked set in the sub-tries that a task gets in order."""
+_NODES = ["way", "prefix", "a", "b"]
+
+
+def _join_nodes(levels: int):
+    """Edges to the least fingerprint of each linked set below the node pairs that a task gets in order."""
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        prefix, way = frame["prefix"].to_numpy(), frame["way"].to_numpy()
-        starts = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (way[1:] != way[:-1])))
-        a, b = trie_pairs(frame["rest"].to_numpy().astype(np.uint64), starts, 32, BUDGET)
+        pair = frame[_NODES].to_numpy()
+        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(axis=1)))
+        end = np.append(first[1:], len(pair))
+        side = np.concatenate([[0], np.cumsum(frame["side"].to_numpy())])
+        middle = end - (side[end] - side[first])  # where the second node's keys begin
+        alone = pair[first, 2] == pair[first, 3]
+        nodes = first, np.where(alone, end, middle), np.where(alone, first, middle), end, frame["spent"].to_numpy()[first].astype(np.int64)
+        a, b = trie_pairs(frame["rest"].to_numpy().astype(np.uint64), nodes, levels, BUDGET)
         fp = frame["fp"].to_numpy()
         root = _roots(len(fp), a, b)
         other = root != np.arange(len(fp))
         return pd.DataFrame({"u": fp[other], "v": fp[root[other]]})
 
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        held.append(frame)
-        if sum(map(len, held)) < JOIN_ROWS:
-            continue
-        whole = pd.concat(held, ignore_index=True)
-        last = whole.iloc[-1]
-        tail = ((whole["prefix"] == last["prefix"]) & (whole["way"] == last["way"])).to_numpy()
-        yield edges(whole[~tail].reset_index(drop=True))
-        held = [whole[tail]]
-    if held:
-        yield edges(pd.concat(held, ignore_index=True))
+    @tidy
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) < JOIN_ROWS:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            tail = (whole[_NODES] == whole[_NODES].iloc[-1]).all(axis=1).to_numpy()
+            yield edges(whole[~tail].reset_index(drop=True))
+            held = [whole[tail]]
+        if held:
+            yield edges(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _split(hot: DataFrame, levels: int) -> DataFrame:
+    """The node pairs ``SPLIT`` levels further down, ``levels`` above the keys: a key goes to the pairs of its
+    own node with each that its pair's budget still reaches."""
+    masks = sorted((m for m in range(1 << SPLIT) if m.bit_count() <= BUDGET), key=int.bit_count)
+    reached = F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.bit_count(m) + F.col("spent") <= BUDGET)
+    spread = hot.select("*", F.shiftright("rest", levels).alias("x"), F.explode(reached).alias("mask"))
+    x, y, alone, first = F.col("x"), F.col("x").bitwiseXOR(F.col("mask")), F.col("a") == F.col("b"), F.col("side") == 0
+    down = lambda path, step: F.shiftleft(path, SPLIT).bitwiseOR(step)
+    return spread.select(
+        "fp", "way", "prefix",
+        down(F.col("a"), F.when(alone, F.least(x, y)).when(first, x).otherwise(y)).alias("a"),
+        down(F.col("b"), F.when(alone, F.greatest(x, y)).when(first, y).otherwise(x)).alias("b"),
+        F.when(alone, (x > y).cast("int")).otherwise(F.col("side")).alias("side"),
+        (F.col("spent") + F.bit_count("mask")).cast("int").alias("spent"),
+        F.col("rest").bitwiseAND(F.lit((1 << levels) - 1)).alias("rest"),
+    )
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -164,15 +192,26 @@ def links(fps: DataFrame) -> DataFrame:
         k, m = (x for x in range(4) if x not in (i, j))
         ways.append(F.struct(F.lit(way).alias("way"), joined(i, j).alias("prefix"), joined(k, m).alias("rest")))
     keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*ways)).alias("k")).select("fp", "k.*")
-    sizes = keyed.groupBy("way", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(keyed.join(sizes, ["way", "prefix"]), "tries")
-    tries = shared.where(F.col("n") <= HOT_TRIE).drop("n").repartition("way", "prefix").sortWithinPartitions("way", "prefix", "rest")
-    cold = tries.mapInPandas(_join_tries, "u long, v long")
-    hot = shared.where(F.col("n") > HOT_TRIE).select("fp").distinct()
-    near = F.expr("transform(sequence(0, 64), b -> if(b = 64, fp, fp ^ shiftleft(1L, b)))")
-    held = hot.select("fp", F.explode(near).alias("near")).groupBy("near").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    hot_edges = held.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v").select("u", "v")
-    return cold.unionByName(hot_edges).distinct()
+    zero = F.lit(0).cast("long")
+    now = keyed.select("fp", "way", "prefix", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.lit(0).alias("spent"), "rest")
+    found, levels = [], 32
+    while True:
+        sizes = now.groupBy(*_NODES).agg(F.count("*").alias("n"), F.min("side").alias("least"), F.max("side").alias("most"))
+        sizes = sizes.where((F.col("n") > 1) & ((F.col("a") == F.col("b")) | (F.col("least") < F.col("most")))).drop("least", "most")
+        shared = stage(now.join(sizes, _NODES), "tries")
+        deepest = levels <= SPLIT
+        mild = F.lit(deepest) | (F.col("n") <= HOT_TRIE)
+        dealt = shared.where(mild).drop("n").repartition(*_NODES).sortWithinPartitions(*_NODES, "side", "rest")
+        found.append(dealt.mapInPandas(_join_nodes(levels), "u long, v long"))
+        hot = shared.where(~mild).drop("n")
+        if deepest or not hot.limit(1).count():
+            break
+        levels -= SPLIT
+        now = _split(hot, levels)
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges.distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words_in: int = 3) -> DataFrame:
@@ -185,9 +224,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     An empty table gives no rows; other columns are ignored.
     """
     prints = stage(fingerprints(df, text, key, words_in), "fps")
-    own = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    own = prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
     stars = components(links(prints), "simhash")
     rooted = own.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = stage(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "members")
-    return prints.join(member, "fp").select(key, "fp", "component_id")
+    member = stage(rooted.select("fp", "root", "rows").join(least, "root").select("fp", "rows", "component_id"), "members")
+    return join_counted(prints, member, ["fp"], "rows").select(key, "fp", "component_id")
