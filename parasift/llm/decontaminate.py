@@ -12,21 +12,24 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import row_bytes, tidy, utf8
+from parasift.llm.common import file_system, row_bytes, stage, tidy, utf8
 from parasift.llm.features import Words, chunks, mixed
 from parasift.llm.toxicity import _WORD, _lower
 
 LEAST_TILE = 5
 LEAST_COVERAGE = 0.8
 FIRST_LENGTH = 20
-#: Benchmark text held at a time; a larger benchmark is taken in blocks of about this size.
+#: Benchmark text that a worker holds at a time. A larger benchmark lies in files of about this size, and the
+#: documents pass each in turn.
 BLOCK_BYTES = 16 << 20
 PAIR_BLOCK = 1 << 20
 _BASE = 0xBF58476D1CE4E5B9
@@ -194,48 +197,34 @@ class Index:
                 yield text, item, tiles
 
 
-_INDEXES: dict[int, Index] = {}
+def _blocks(benchmark: DataFrame, item_key: str, text: str) -> list[str]:
+    """Files in the shared folder, each with test items of a bounded number of bytes (or one longer item).
 
-
-def _blocks(benchmark: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[int, bytes]]]:
-    """The test items, in blocks of a bounded number of bytes."""
+    Workers read a block themselves: no item passes through the driver or a broadcast.
+    """
     raw = benchmark.where(F.col(text).isNotNull()).select(F.col(item_key).alias("item"), F.encode(text, "UTF-8").alias("text"))
-    size = raw.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = raw.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not size:
+        return []
     parts = math.ceil(size / BLOCK_BYTES)
-    for part in range(parts):
-        block = raw.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        if block:
-            yield [(row["item"], bytes(row["text"])) for row in block]
-
-
-def _index(shared, least: int, coverage: float) -> Index:
-    """One index a worker process and block."""
-    if shared.id not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[shared.id] = Index(shared.value, least, coverage)
-    return _INDEXES[shared.id]
-
+    dealt = raw.repartition(parts, F.xxhash64("item", "text")).sortWithinPartitions("item", "text")
+    return sorted(stage(dealt, "benchmark").inputFiles())
 
-class _Shared:
-    """A block sent to the executors once."""
 
-    def __init__(self, spark, block: list):
-        self.cast = spark.sparkContext.broadcast(block)
-        self.id = self.cast._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"cast": self.cast, "id": self.id}
-
-    @property
-    def value(self) -> list:
-        return self.cast.value
+@lru_cache(maxsize=1)
+def _index(file: str, least: int, coverage: float) -> Index:
+    """The index of one block; a worker process keeps one."""
+    system, path = file_system(file)
+    with system.open_input_file(path) as source:
+        table = pq.read_table(source)
+    return Index(list(zip(table["item"].to_pylist(), table["text"].to_pylist())), least, coverage)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", least: int = LEAST_TILE, coverage: float = LEAST_COVERAGE) -> DataFrame:
     """One row per document and test item of which tiles cover ``coverage``: ``key``, ``item_key``,
     ``item_words``, ``covered_words``, ``coverage``, ``tiles`` (starts in words, and sizes).
 
-    Whole texts, no shuffle: the benchmark goes to the documents block by block. Words are runs of
+    Whole texts, no shuffle: the documents pass the benchmark block by block. Words are runs of
     letters and digits, lower-cased. Items of fewer than ``least`` words must occur whole; items and
     documents without words (null, empty) match nothing. Repeated items and repeated documents each
     give their rows; a null key is kept. Empty tables give no rows; other columns are ignored.
@@ -247,10 +236,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     )
     tile_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("text_start", "item_start", "words")]))
 
-    def search(shared: _Shared):
+    def search(block: str):
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(shared, least, coverage)
+            index = _index(block, least, coverage)
             for batch in batches:
                 first, rows = 0, []
                 for part in chunks(list(row_bytes(*utf8(batch.column(1))))):
@@ -273,18 +262,23 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     out = df.sparkSession.createDataFrame([], schema)
     found = None
     for block in _blocks(benchmark, item_key, item_text):
-        own = df.select(key, text).mapInArrow(search(_Shared(df.sparkSession, block)), schema)
+        own = df.select(key, text).mapInArrow(search(block), schema)
         found = own if found is None else found.unionByName(own)
     return out if found is None else found
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", least: int = LEAST_TILE, coverage: float = LEAST_COVERAGE) -> DataFrame:
-    """The rows of ``df``, all columns, without those that hold a test item as ``contaminated`` finds."""
+    """The rows of ``df``, all columns, without those that hold a test item as ``contaminated`` finds.
 
-    def keep(shared: _Shared):
+    Rows with a null or empty text stay; repeated rows stay or go together; an empty benchmark changes
+    nothing, an empty table gives no rows; columns of any name pass. What one block leaves is written
+    before the next is taken, so a task never holds more than one.
+    """
+
+    def keep(block: str):
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(shared, least, coverage)
+            index = _index(block, least, coverage)
             for batch in batches:
                 first, clean = 0, np.ones(batch.num_rows, bool)
                 for part in chunks(list(row_bytes(*utf8(batch.column(text))))):
@@ -295,6 +289,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
 
         return run
 
-    for block in _blocks(benchmark, item_key, item_text):
-        df = df.mapInArrow(keep(_Shared(df.sparkSession, block)), df.schema)
+    for i, block in enumerate(_blocks(benchmark, item_key, item_text)):
+        df = (stage(df, "decontaminated") if i else df).mapInArrow(keep(block), df.schema)
     return df
