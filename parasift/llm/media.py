@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parasift.llm.common import file_system, row_bytes, stage, stage_path, tidy, utf8
+from parasift.llm.common import file_system, join_counted, row_bytes, stage, stage_path, tidy, utf8
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
@@ -208,7 +208,8 @@ def media_features(catalog: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, place and features of each row's payload, stored in the shared folder and read back.
+    """``key``, metadata and features of each row's payload, stored in the shared folder and read back: width,
+    height and depth from the headers alone, the features from the whole stored bytes.
 
     A null text is the empty text; its payload is one row of zeros. Equal texts share one payload and
     get equal values; each repeated row gives its row, null keys too. An empty table gives no rows;
@@ -216,5 +217,8 @@ def media_columns(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     folder = stage_path(df.sparkSession, "media")
     catalog = stage(write_media(df, folder, text, key), "media-catalog")
-    found = media_features(catalog, folder)
-    return catalog.select(key, "n_bytes", "digest").join(found, "digest")
+    counts = catalog.groupBy("digest").agg(F.count("*").alias("rows"))
+    meta = media_metadata(catalog, folder).select("digest", "width", "height", "depth").join(counts, "digest")
+    whole = media_features(catalog, folder).drop("width", "height", "depth")
+    found = stage(meta.join(whole, "digest"), "media-features")
+    return join_counted(catalog.select(key, "n_bytes", "digest"), found, ["digest"], "rows").drop("rows")
