@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parasift.llm.common import file_system, small_table, stage, stage_path, tidy
+from parasift.llm.common import file_system, join_counted, small_table, stage, stage_path, tidy
 
 FILE_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
@@ -85,20 +85,81 @@ class _File:
         return self.name, self.records, self.size, self.sha.hexdigest(), self.first, self.last
 
 
-def _ranges(sized: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(bucket, range) table, and the least key, bucket width and number of ranges: ranges of nearly
-    equal bytes over a histogram of keys. Only the histogram reaches the driver."""
-    low, high, total = sized.agg(F.min("key"), F.max("key"), F.sum("size")).first()
-    ranges = min(max(1, math.ceil((total or 0) / RANGE_BYTES)), MOST_RANGES)
-    low, high = (low or 0), (high or 0)
-    width = max(1, math.ceil((high - low + 1) / max(LEAST_BUCKETS, BUCKETS_A_RANGE * ranges)))
-    bucket = F.floor((F.col("key") - F.lit(low)) / F.lit(width))
-    sizes = dict(sized.where("key is not null").groupBy(bucket.alias("bucket")).agg(F.sum("size")).collect())
-    share, filled, plan = max(1, math.ceil((total or 0) / ranges)), 0, []
-    for number in sorted(sizes):
-        plan.append({"bucket": number, "range": 1 + filled // share})
-        filled += sizes[number]
-    return small_table(sized.sparkSession, plan, "bucket:bigint,range:int"), low, width, ranges + 1
+_TIE = 12
+
+
+def _tie(digest: Column) -> Column:
+    """The first bits of a digest in hexadecimal."""
+    return F.conv(F.substring(digest, 1, _TIE // 4), 16, 10).cast("int")
+
+
+class _Plan:
+    """Ranges of nearly equal bytes over (key, digest): a histogram over the keys' leading bits, refined
+    where one bucket holds more than a range's share, down to single keys and then to their digests.
+
+    Bits are split the same way whatever the partitioning, so equal tables have equal ranges. A level's
+    histogram, a few thousand rows or 8 a range, is all that reaches the driver.
+    """
+
+    def __init__(self, sized: DataFrame):
+        low, high, total = sized.agg(F.min("key"), F.max("key"), F.sum("size")).first()
+        ranges = min(max(1, math.ceil((total or 0) / RANGE_BYTES)), MOST_RANGES)
+        self.share, self.spark = max(1, math.ceil((total or 0) / ranges)), sized.sparkSession
+        most = max(LEAST_BUCKETS, BUCKETS_A_RANGE * ranges)
+        shift = next(s for s in range(65) if low is None or (high >> s) - (low >> s) < most)
+        self.shifts, leaves, rows = [], [], sized.where("key is not null")
+        while low is not None:
+            bucket = F.shiftright("key", min(shift, 63))
+            sizes = rows.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("bytes")).collect()
+            heavy = [r["bucket"] for r in sizes if r["bytes"] > self.share]
+            leaves += [(r["bucket"] << shift, -1, len(self.shifts), r["bucket"], r["bytes"]) for r in sizes if r["bytes"] <= self.share]
+            self.shifts.append(shift)
+            if not heavy:
+                break
+            # At most one heavy bucket a range.
+            table = small_table(self.spark, [{"bucket": b} for b in heavy], "bucket:bigint")
+            rows = rows.join(F.broadcast(table), bucket == F.col("bucket"), "left_semi")
+            if shift == 0:
+                leaves += self._ties(rows)
+                break
+            shift = max(0, shift - max(1, (most // len(heavy)).bit_length() - 1))
+        none = sized.where("key is null")
+        if (none.agg(F.sum("size")).first()[0] or 0) > self.share:
+            leaves += self._ties(none)
+        self._deal(leaves)
+
+    def _ties(self, rows: DataFrame) -> list[tuple]:
+        sizes = rows.groupBy("key", _tie(F.hex("digest")).alias("tie")).agg(F.sum("size").alias("bytes")).collect()
+        return [(-(1 << 64) if r["key"] is None else r["key"], r["tie"], None, r["key"], r["bytes"]) for r in sizes]
+
+    def _deal(self, leaves: list[tuple]) -> None:
+        filled, keyed = 0, False
+        self.levels: list[list[dict]] = [[] for _ in self.shifts]
+        self.tied: list[dict] = []
+        self.last = 0
+        for _, tie, level, bucket, size in sorted(leaves, key=lambda x: x[:2]):
+            if bucket is not None and not keyed:  # rows without a key have ranges of their own
+                keyed, filled, first = True, 0, self.last + 1
+            self.last = (first if keyed else 0) + filled // self.share
+            filled += size
+            if level is None:
+                self.tied.append({"key": bucket, "tie": tie, "range": self.last})
+            else:
+                self.levels[level].append({"bucket": bucket, "range": self.last})
+
+    def place(self, rows: DataFrame, digest: Column) -> DataFrame:
+        """``rows`` with ``range``; each key is in the table of one level."""
+        found = []
+        for i, (shift, level) in enumerate(zip(self.shifts, self.levels)):
+            if level:
+                table = small_table(self.spark, level, "bucket:bigint,range:int").toDF(f"__b{i}", f"__r{i}")
+                rows = rows.join(F.broadcast(table), F.shiftright("key", min(shift, 63)) == F.col(f"__b{i}"), "left")
+                found.append(f"__r{i}")
+        if self.tied:
+            table = small_table(self.spark, self.tied, "key:bigint,tie:int,range:int").toDF("__key", "__tie", "__r")
+            rows = rows.join(F.broadcast(table), F.col("key").eqNullSafe(F.col("__key")) & (_tie(digest) == F.col("__tie")), "left")
+            found.append("__r")
+        return rows.withColumn("range", F.coalesce(*found, F.lit(0))).drop(*(c for c in rows.columns if c.startswith("__")))
 
 
 def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", least_revisit: int = 0) -> DataFrame:
@@ -107,23 +168,23 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
     Payload: ``body`` in UTF-8, null as empty. Of records with equal payloads of at least
     ``least_revisit`` bytes the one with the least key is the response and the others revisit it; smaller
     ones are all responses. Of rows with equal key and payload the first is the response. Rows with a
-    null key come first, in one range of their own, as responses, or as revisits if a row with a key has
-    the payload. An empty table gives an empty manifest and no file. Other columns are ignored.
+    null key come first, in ranges of their own, as responses, or as revisits if a row with a key has
+    the payload. Within a key records are ordered by payload, or where the key is spread over ranges first by
+    digest. An empty table gives an empty manifest and no file. Other columns are ignored. Records of one
+    range are sorted in one task; rows equal in key and payload always share a range.
     """
     payload = F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8")
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     sized = stage(rows.select("key", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("digest")), "warc-digests")
-    plan, low, width, ranges = _ranges(sized)
-    owners = sized.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n")
+    plan = _Plan(sized)
+    owners = sized.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null")
     # What a row needs to know about its payload's owner meets the row itself in the range sort.
-    known = sized.join(owners, "digest").select("key", "digest", "owner").distinct()
+    known = join_counted(sized.select("key", "digest"), stage(owners, "warc-owners"), ["digest"], "n").select("key", "digest", "owner").distinct()
     none = lambda kind: F.lit(None).cast(kind)
     told = known.select("key", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "digest", "owner")
     both = told.unionByName(rows.select("key", F.lit(1).alias("kind"), "url", "payload", none("binary").alias("digest"), none("long").alias("owner")))
-    bucket = F.floor((F.col("key") - F.lit(low)) / F.lit(width))
-    # One row a bucket of the histogram.
-    placed = both.withColumn("bucket", bucket).join(F.broadcast(plan), "bucket", "left").withColumn("range", F.coalesce("range", F.lit(0))).drop("bucket")
-    dealt = placed.repartitionByRange(ranges, "range").sortWithinPartitions("range", "key", "kind", "payload", "url")
+    placed = plan.place(both, F.coalesce(F.hex("digest"), F.sha1("payload")))
+    dealt = placed.repartitionByRange(plan.last + 1, "range").sortWithinPartitions("range", "key", "kind", "payload", "url")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,16 +192,13 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
         file, here, number, now, owner_of, seen = None, None, 0, None, {}, {}
         done: list[tuple] = []
         for batch in batches:
-            names = batch.schema.names
-            columns = {n: batch.column(i) for i, n in enumerate(names)}
-            for i in range(batch.num_rows):
-                at, own = columns["range"][i].as_py(), columns["key"][i].as_py()
+            columns = (batch.column(n).to_pylist() for n in ("range", "key", "kind", "url", "payload", "digest", "owner"))
+            for at, own, kind, link, data, told_digest, told_owner in zip(*columns):
                 if (at, own) != now:
                     now, owner_of, seen = (at, own), {}, {}
-                if columns["kind"][i].as_py() == 0:
-                    owner_of[columns["digest"][i].as_py()] = columns["owner"][i].as_py()
+                if kind == 0:
+                    owner_of[told_digest] = told_owner
                     continue
-                data = columns["payload"][i].as_py()
                 digest = hashlib.sha1(data).digest()
                 owner, copy = owner_of.get(digest), seen.get(digest, 0)
                 seen[digest] = copy + 1
@@ -152,7 +210,7 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
                 if file is None:
                     number = number if at == here else 0
                     here, file = at, _File(folder, f"{at:06d}-{number:04d}.warc.gz", attempt)
-                file.add(own, record(own, columns["url"][i].as_py(), data, owner, copy))
+                file.add(own, record(own, link, data, owner, copy))
         if file is not None:
             done.append(file.close())
         if done:
