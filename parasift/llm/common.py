@@ -13,13 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "file:///tmp/checkpoints"
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where unset, a local one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    return (set_dir or FALLBACK_DIR).rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``; only where unset and the master is local, a
+    local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or LOCAL_DIR).rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:

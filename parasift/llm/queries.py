@@ -66,7 +66,7 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.media_columns(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,7 @@ SELECT m.conv_id, m.turn, m.role, m.kind,
   CASE kind WHEN 'call' THEN m.conv_id || '-' || m.turn WHEN 'result' THEN m.conv_id || '-' || (m.turn - 1) END AS call_id,
   CASE kind WHEN 'call' THEN a.conv_id IS NOT NULL WHEN 'result' THEN d.conv_id IS NOT NULL ELSE false END AS linked,
   CASE kind WHEN 'call' THEN 2 * d.depth WHEN 'result' THEN 2 * d.depth + 1 END AS level,
+  m.turn AS place,
   CASE WHEN kind = 'call' THEN coalesce(length(m.text) > 0, false) AND m.turn >= 0 END AS valid,
   CASE kind
     WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(m.text) || ',"turn":' || m.turn || '},"call_id":"' || m.conv_id || '-' || m.turn || '","kind":"call","name":"reply"}'

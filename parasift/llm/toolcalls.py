@@ -1,15 +1,17 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and written as canonical JSON.
 
-Calls and results meet in a hash join on the call's identifier. The level of a call in its dependency
-order is the length of the chain of calls it depends on, found by pointer doubling: a chain of n calls
-takes log2(n) joins on unique identifiers, however many calls one conversation has. Arguments are checked
-against the tool's JSON schema and serialised with sorted keys and without white space.
+Calls and results meet in a hash join on conversation and identifier. A call's level in the dependency
+order is the longest path of calls that it depends on. Runs of calls with one parent each are skipped by
+pointer doubling: a chain of n calls takes log2(n) joins on unique identifiers. Calls with several parents
+are then peeled frontier by frontier, each as soon as all that it depends on has a level. Arguments are
+checked against the tool's JSON schema and serialised with sorted keys and without white space.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parasift.llm.common import stage, unstage
+from parasift.llm.common import join_counted, stage, tidy, unstage
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -67,54 +69,118 @@ def _plain(value: Any) -> Any:
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _escaped(text: str) -> str:
+    """Lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _escaped(json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) for each distinct ``call_id`` of ``calls``: 0 without a ``parent`` among the
-    calls, else one more than its parent's; null on or behind a cycle. Of several parents given for one
-    identifier the least counts."""
-    own = calls.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min("parent").alias("parent"))
-    known = own.select(F.col("call_id").alias("parent"), F.lit(True).alias("known"))
-    linked = own.join(known, "parent", "left").select("call_id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    now = stage(linked.select("call_id", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
-    count = now.count()
-    rounds = max(1, math.ceil(math.log2(count + 1))) + 1
-    for _ in range(rounds):
-        if not now.where(F.col("parent").isNotNull()).limit(1).count():
+_ID = ["conv_id", "call_id"]
+
+
+def _skip_chains(nodes: DataFrame, degree: DataFrame) -> DataFrame:
+    """For each call the anchor that its run of single parents ends at: a call with no parent or several.
+
+    (conv_id, call_id, up, steps, reach, open): ``up`` is the anchor, or still ``open`` on and behind
+    cycles; ``reach`` the last turn of the calls on the way, the anchor's too.
+    """
+    turns = nodes.select("conv_id", F.col("call_id").alias("up"), F.col("last_turn").alias("reach"))
+    one = degree.where("parents = 1").select(*_ID, F.col("parent").alias("up")).join(turns, ["conv_id", "up"]).select(*_ID, "up", F.lit(1).cast("long").alias("steps"), "reach", F.lit(True).alias("open"))
+    anchors = nodes.join(one, _ID, "left_anti").select(*_ID, F.col("call_id").alias("up"), F.lit(0).cast("long").alias("steps"), F.lit(None).cast("long").alias("reach"), F.lit(False).alias("open"))
+    now = stage(anchors.unionByName(one), "chains")
+    for _ in range(math.ceil(math.log2(nodes.count() + 1)) + 1):
+        if not now.where("open").limit(1).count():
             break
-        above = now.select(F.col("call_id").alias("parent"), F.col("parent").alias("further"), F.col("level").alias("more"))
-        onward = now.where(F.col("parent").isNotNull()).join(above, "parent").select("call_id", F.col("further").alias("parent"), (F.col("level") + F.col("more")).alias("level"))
-        after = stage(onward.unionByName(now.where(F.col("parent").isNull())), "levels")
+        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("reach").alias("beyond"), F.col("open").alias("still"))
+        onward = now.where("open").join(above, ["conv_id", "up"])
+        onward = onward.select(*_ID, F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.greatest("reach", "beyond").alias("reach"), F.col("still").alias("open"))
+        after = stage(onward.unionByName(now.where("not open")), "chains")
         unstage(now)
         now = after
-    return now.select("call_id", F.when(F.col("parent").isNull(), F.col("level")).alias("level"))
+    return now
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, before) for each call of ``calls`` (``conv_id``, ``call_id``, ``parents``:
+    an array of identifiers, ``last_turn``).
+
+    ``level`` is the number of calls on the longest path of dependencies, 0 without a parent among the
+    conversation's calls; ``before`` the last turn of all that it depends on, null if there is nothing.
+    Both are null on and behind cycles. Rows with a null ``conv_id`` or ``call_id`` are left out, rows of
+    one identifier are one call with all their parents. The rounds of the peeling are as many as the calls
+    with several parents on one path.
+    """
+    known = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
+    nodes = stage(known.groupBy(*_ID).agg(F.max("last_turn").alias("last_turn")), "calls")
+    given = known.select(*_ID, F.explode("parents").alias("parent")).distinct()
+    edges = stage(given.join(nodes.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi").select(*_ID, "parent"), "parents")
+    degree = edges.groupBy(*_ID).agg(F.count("*").alias("parents"), F.min("parent").alias("parent"))
+    chains = _skip_chains(nodes, degree)
+    several = degree.where("parents > 1").select(*_ID, "parents")
+    anchors = chains.where("not open and steps = 0").select(*_ID)
+    solved = anchors.join(several, _ID, "left_anti").select(*_ID, F.lit(0).cast("long").alias("level"), F.lit(None).cast("long").alias("before"))
+    # From a call with several parents to the anchor behind each of them.
+    behind = chains.select("conv_id", F.col("call_id").alias("parent"), F.col("up").alias("anchor"), F.col("steps").alias("way"), "reach", "open")
+    turns = nodes.select("conv_id", F.col("call_id").alias("parent"), F.col("last_turn").alias("own"))
+    hops = edges.join(several, _ID).join(behind, ["conv_id", "parent"]).join(turns, ["conv_id", "parent"])
+    hops = hops.select(*_ID, "parents", F.when(~F.col("open"), F.col("anchor")).alias("anchor"), (F.col("way") + 1).alias("way"), F.greatest("reach", "own").alias("reach"))
+    hops = stage(hops, "hops")
+    left = hops.limit(1).count()
+    while left:
+        solved = stage(solved, "levels")
+        waiting = hops.join(solved.select(*_ID), _ID, "left_anti")
+        ends = solved.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base"), F.col("before").alias("far"))
+        met = waiting.join(ends, ["conv_id", "anchor"]).groupBy(*_ID, "parents").agg(F.count("*").alias("n"), F.max(F.col("base") + F.col("way")).alias("level"), F.max(F.greatest("reach", "far")).alias("before"))
+        found = stage(met.where("n = parents").select(*_ID, "level", "before"), "frontier")
+        left = found.limit(1).count()
+        solved = solved.unionByName(found)
+    ends = solved.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("base"), F.col("before").alias("far"))
+    closed = F.when(~F.col("open"), F.col("up"))
+    placed = chains.withColumn("up", closed).join(ends, ["conv_id", "up"], "left")
+    return placed.select(*_ID, (F.col("base") + F.col("steps")).alias("level"), F.when(F.col("base").isNotNull(), F.greatest("reach", "far")).alias("before"))
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per row of ``messages``: its columns ``conv_id``, ``turn``, ``role`` and ``kind``,
-    ``call_id``, ``linked``, ``level``, ``valid``, ``problems``, ``json``.
-
-    ``messages`` has those and ``kind`` (call, result or message), ``call_id``, ``parent`` (the call this
-    one depends on), ``name``, ``arguments`` (JSON text of a call), ``content``; others are ignored.
-    Within a conversation, order by level, then turn: a call has an even level, its results the odd one
-    after it, other messages none. ``linked`` tells whether a call has a result, a result its call.
-    ``valid``: the arguments are JSON and meet the tool's schema; null for other kinds. A tool without
-    a schema, arguments that are no JSON or null are invalid; then ``json`` holds them as a string.
-    Rows with a null ``call_id`` are never linked; repeated rows give a row each, and repeated identifiers
-    are one node of the order. Empty tables give no rows.
+    ``call_id``, ``linked``, ``level``, ``place``, ``valid``, ``problems``, ``json``.
+
+    ``messages`` has those and ``kind`` (call, result or message), ``call_id``, ``parents`` (an array of the
+    calls this one depends on), ``name``, ``arguments`` (JSON text of a call), ``content``; others are ignored.
+    Identifiers hold within a conversation. Ordered by ``place``, then ``level`` (nulls first), then ``turn``,
+    a conversation's messages stand where their turn puts them, but no call or result before what it depends
+    on: ``place`` is the last turn of all that. A call has an even level, its results the odd one after it,
+    other messages none; calls on and behind cycles and results without a call have none either and stand at
+    their turn. ``linked`` tells whether a call has a result, a result its call. ``valid``: the arguments are
+    JSON and meet the tool's schema; null for other kinds. A tool without a schema, arguments that are no
+    JSON, too deeply nested or null are invalid; then ``json`` holds them as a string. Rows with a null
+    ``conv_id`` or ``call_id`` are never linked; repeated rows give a row each, and repeated identifiers are
+    one node of the order. Empty tables give no rows.
     """
-    calls, results = messages.where("kind = 'call'"), messages.where("kind = 'result'")
-    ids = lambda df, flag: df.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.lit(True).alias(flag))
-    level = levels(calls.select("call_id", "parent"))
-    known = ids(calls, "has_call").join(ids(results, "has_result").hint("shuffle_hash"), "call_id", "full").join(level, "call_id", "left")
-    linked = F.coalesce(F.when(F.col("kind") == "call", F.col("has_result")).when(F.col("kind") == "result", F.col("has_call")), F.lit(False))
-    deep = F.when(F.col("kind") == "call", 2 * F.col("level")).when(F.col("kind") == "result", 2 * F.col("level") + 1)
     columns = ["conv_id", "turn", "role", "kind", "call_id", "name", "arguments", "content"]
-    joined = messages.select(*columns).join(known, "call_id", "left").select(*columns, linked.alias("linked"), deep.cast("long").alias("level"))
-    kept = ["conv_id", "turn", "role", "kind", "call_id", "linked", "level"]
-
+    linkable = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & F.col("kind").isin("call", "result")
+    linkable = F.coalesce(linkable, F.lit(False))
+    own, others = messages.where(linkable), messages.where(~linkable)
+    call = F.col("kind") == "call"
+    ids = own.groupBy(*_ID).agg(
+        F.max(call).alias("has_call"), F.max(~call).alias("has_result"), F.max(F.when(call, F.col("turn").cast("long"))).alias("call_turn"), F.max(F.col("turn").cast("long")).alias("last_turn"), F.count("*").alias("rows")
+    )
+    ids = stage(ids, "ids")
+    parents = own.where(call).select(*_ID, "parents").join(ids.select(*_ID, "last_turn"), _ID)
+    known = ids.join(levels(parents), _ID, "left").drop("last_turn")
+    linked = F.when(call, F.col("has_result")).otherwise(F.col("has_call"))
+    deep = F.when(call, 2 * F.col("level")).otherwise(2 * F.col("level") + 1)
+    place = F.greatest(F.col("turn").cast("long"), "before", F.when(~call, F.col("call_turn")))
+    joined = join_counted(own.select(*columns), stage(known, "known"), _ID, "rows").select(*columns, linked.alias("linked"), deep.cast("long").alias("level"), place.alias("place"))
+    rest = others.select(*columns, F.lit(False).alias("linked"), F.lit(None).cast("long").alias("level"), F.col("turn").cast("long").alias("place"))
+    kept = ["conv_id", "turn", "role", "kind", "call_id", "linked", "level", "place"]
+
+    @tidy
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, valid, problems = [], [], []
@@ -125,19 +191,23 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                     valid.append(None)
                     problems.append([])
                     continue
+                body = {"kind": kind, "call_id": call_id, "name": name}
                 try:
-                    value = _plain(json.loads(arguments))
-                    wrong = violations(value, schemas[name]) if name in schemas else ["no schema"]
+                    value = json.loads(arguments)
+                    text = canonical(body | {"arguments": value})
+                    wrong = [_escaped(v) for v in violations(_plain(value), schemas[name])] if name in schemas else ["no schema"]
                 except (TypeError, ValueError):
-                    value, wrong = arguments, ["not JSON"]
-                texts.append(canonical({"kind": kind, "call_id": call_id, "name": name, "arguments": value}))
+                    text, wrong = canonical(body | {"arguments": arguments}), ["not JSON"]
+                except RecursionError:
+                    text, wrong = canonical(body | {"arguments": arguments}), ["too deeply nested"]
+                texts.append(text)
                 valid.append(not wrong)
                 problems.append(wrong)
             yield frame[kept].assign(valid=pd.array(valid, "boolean"), problems=problems, json=texts)
 
     types = dict(messages.dtypes)
-    schema = ", ".join(f"{c} {types.get(c, 'string')}" for c in kept[:5]) + ", linked boolean, level long, valid boolean, problems array<string>, json string"
-    ready = joined.select(*kept, "name", "arguments", "content")
+    schema = ", ".join(f"{c} {types.get(c, 'string')}" for c in kept[:5]) + ", linked boolean, level long, place long, valid boolean, problems array<string>, json string"
+    ready = joined.unionByName(rest).select(*kept, "name", "arguments", "content")
     return ready.mapInPandas(_nullable(write, types), schema)
 
 
@@ -146,7 +216,7 @@ def _nullable(write, types: dict):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def whole(frame: pd.DataFrame) -> pd.DataFrame:
-            return frame.astype({c: "Int64" for c in ("conv_id", "turn", "level") if types.get(c, "bigint") in ("bigint", "int")})
+            return frame.astype({c: "Int64" for c in ("conv_id", "turn", "level", "place") if types.get(c, "bigint") in ("bigint", "int")})
 
         yield from write(map(whole, frames))
 
@@ -155,13 +225,14 @@ def _nullable(write, types: dict):
 
 def turns_as_calls(conversations: DataFrame, tool: str = "reply") -> DataFrame:
     """The messages of a plain chat as calls: each user turn calls ``tool`` and depends on the user turn
-    two before it, the assistant turn after it is the result; other turns are plain messages."""
+    two before it, the assistant turn after it is the result; other turns are plain messages. Turns with a
+    null ``conv_id`` or ``turn`` get no identifier; null roles are plain messages, null texts null content."""
     at = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message")
     call_id = F.when(known & (F.col("kind") == "call"), at(0)).when(known & (F.col("kind") == "result"), at(1))
     arguments = F.when(F.col("kind") == "call", F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"))))
     return conversations.withColumn("kind", kind).select(
-        "conv_id", "turn", "role", "kind", call_id.alias("call_id"), F.when(known & (F.col("kind") == "call"), at(2)).alias("parent"),
+        "conv_id", "turn", "role", "kind", call_id.alias("call_id"), F.when(known & (F.col("kind") == "call"), F.array(at(2))).alias("parents"),
         F.when(F.col("kind") == "call", tool).alias("name"), arguments.alias("arguments"), F.col("text").alias("content"),
     )

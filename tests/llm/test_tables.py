@@ -127,6 +127,18 @@ def test_shards_of_repeated_and_null_rows(spark):
     assert len({(r.shard, r.slot) for r in rows}) == 49
 
 
+def test_a_third_of_the_rows_equal(spark, monkeypatch):
+    """Equal rows spread over blocks like any others, in runs if there are many."""
+    monkeypatch.setattr(sharding, "RUN", 64)
+    monkeypatch.setattr(sharding, "MATRIX_ROWS", 10)
+    monkeypatch.setattr(sharding, "MOST_BROADCAST", 0)
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("own").alias("text")).union(spark.range(500).select(F.lit(7).cast("long"), F.lit("same")))
+    rows = sharding.assign_shards(df, 6, [F.col("doc_id"), F.col("text")]).collect()
+    assert sorted(rows) == sorted(sharding.assign_shards(df.repartition(5), 6, [F.col("doc_id"), F.col("text")]).collect())
+    assert Counter(r.shard for r in rows) == {s: 250 for s in range(6)} and all(sorted(r.slot for r in rows if r.shard == s) == list(range(250)) for s in range(6))
+    assert all(50 < sum(r.shard == s and r.text == "same" for r in rows) < 120 for s in range(6))
+
+
 def test_sharding_runs_no_python(spark):
     plan = sharding.assign_shards(spark.range(10), 3, [F.col("id")])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -194,6 +206,23 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_ranges_of_odd_keys(spark, monkeypatch):
+    """Outlying keys, keys more than 2**63 apart, one hot key and hot rows without a key still fill many ranges."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(warc, "LEAST_BUCKETS", 16)
+    rows = [(i, f"page {i} " + "x" * 50) for i in range(400)] + [(2**63 - 1, "far"), (-(2**63), "far off")]
+    rows += [(77, f"hot {i} " + "y" * 50) for i in range(200)] + [(None, f"none {i} " + "z" * 50) for i in range(200)]
+    df = spark.createDataFrame([(k, "u", b) for k, b in rows], "page_id long, url string, html string")
+    folder = stage_path(spark, "warc-test")
+    manifest = warc.write_warc(df, folder)
+    files = manifest.collect()
+    assert len(files) > 20 and max(f.records for f in files) < 100
+    got = [(r.key, r.payload_digest) for r in warc.read_warc(manifest, folder).collect()]
+    assert Counter(got) == Counter((k, warc.base32_sha1(b.encode())) for k, b in rows)
+    spans = [(f.first_key, f.last_key) for f in sorted(files) if f.first_key is not None]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_warc_files_are_equal_each_time(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 200)
     monkeypatch.setattr(warc, "RANGE_BYTES", 20_000)
@@ -221,24 +250,36 @@ def test_damaged_records_are_told():
 # Chat
 
 
+NUMBER = {"type": "integer", "minimum": 0}
+SCHEMAS = {"add": {"type": "object", "required": ["a", "b"], "properties": {"a": NUMBER, "b": NUMBER}, "additionalProperties": False}}
+MESSAGES = "conv_id long, turn long, role string, kind string, call_id string, parents array<string>, name string, arguments string, content string, level string"
+
+
+def chat(spark, rows):
+    return toolcalls.format_chat(spark.createDataFrame([(*r, "extra") for r in rows], MESSAGES), SCHEMAS).collect()
+
+
 def test_tool_calls(spark):
+    deep = "[" * 100_000 + "]" * 100_000
     rows = [
         (1, 0, "a", "call", "c1", None, "add", '{"b": 2.0, "a": 1}', None),
         (1, 1, "t", "result", "c1", None, None, None, "3é"),
-        (1, 2, "a", "call", "c2", "c1", "add", '{"a": "x", "b": 1, "z": 0}', None),
-        (1, 3, "a", "call", "c3", "c2", "add", "no json", None),
-        (1, 4, "a", "call", "c4", "nowhere", "unknown", "{}", None),
+        (1, 2, "a", "call", "c2", ["c1"], "add", '{"a": "x", "b": 1, "z": 0}', None),
+        (1, 3, "a", "call", "c3", ["c2", None], "add", "no json", None),
+        (1, 4, "a", "call", "c4", ["nowhere"], "unknown", "{}", None),
         (1, 5, "t", "result", "lost", None, None, None, ""),
-        (2, 0, "a", "call", "x", "y", "add", None, None),
-        (2, 1, "a", "call", "y", "x", "add", '{"a":1,"b":1}', None),
+        (2, 0, "a", "call", "x", ["y"], "add", None, None),
+        (2, 1, "a", "call", "y", ["x"], "add", '{"a":1,"b":1}', None),
         (2, 2, "s", "message", None, None, None, None, None),
+        (2, 3, "a", "call", "behind", ["x"], "add", '{"a":1,"b":1}', "q" * 300_000),
         (3, 0, "a", "call", "c1", None, "add", '{"a":1,"b":1}', None),
+        (3, 1, "a", "call", "s", None, "add", '{"a":"\\ud800","\\udfff":1}', None),
+        (3, 2, "a", "call", "d", ["d"], "add", deep, None),
         (None, None, "a", "call", None, None, "add", '{"a":1,"b":1}', None),
+        (None, 1, "a", "result", "c1", None, None, None, None),
+        (4, 1, None, None, "c1", None, None, None, None),
     ]
-    schema = "conv_id long, turn long, role string, kind string, call_id string, parent string, name string, arguments string, content string, level string"
-    df = spark.createDataFrame([(*r, "extra") for r in rows], schema)
-    number = {"type": "integer", "minimum": 0}
-    found = toolcalls.format_chat(df, {"add": {"type": "object", "required": ["a", "b"], "properties": {"a": number, "b": number}, "additionalProperties": False}}).collect()
+    found = chat(spark, rows)
     got = {(r.conv_id, r.turn): r for r in found}
     assert len(found) == len(rows)
     assert got[1, 0].json == '{"arguments":{"a":1,"b":2},"call_id":"c1","kind":"call","name":"add"}' and got[1, 0].valid and got[1, 0].linked and got[1, 0].level == 0
@@ -247,11 +288,51 @@ def test_tool_calls(spark):
     assert got[1, 3].level == 4 and got[1, 3].problems == ["not JSON"]
     assert got[1, 4].level == 0 and got[1, 4].problems == ["no schema"]
     assert not got[1, 5].linked and got[1, 5].level is None
-    assert got[2, 0].level is None and got[2, 1].level is None and got[2, 0].problems == ["not JSON"]
-    assert got[3, 0].linked and not got[None, None].linked and got[None, None].level is None
-    assert toolcalls.format_chat(df.limit(0), {}).count() == 0
+    assert got[2, 0].level is None and got[2, 1].level is None and got[2, 3].level is None and got[2, 0].problems == ["not JSON"]
+    assert not got[3, 0].linked and got[3, 0].level == 0 and not got[None, None].linked and got[None, None].level is None and not got[None, 1].linked
+    assert got[3, 1].json == '{"arguments":{"a":"\\ud800","\\udfff":1},"call_id":"s","kind":"call","name":"add"}' and not got[3, 1].valid
+    assert got[3, 2].problems == ["too deeply nested"] and got[3, 2].level is None and got[4, 1].level is None
+    assert sorted(r.place for r in found if r.conv_id == 1) == [0, 1, 2, 3, 4, 5]
+    assert chat(spark, []) == []
+
+
+def plain_levels(parents):
+    """The longest path behind each call; none on and behind cycles."""
+    level, changed = {}, True
+    while changed:
+        changed = False
+        for i, above in parents.items():
+            above = [p for p in above if p in parents]
+            if i not in level and all(p in level for p in above):
+                level[i] = max((level[p] + 1 for p in above), default=0)
+                changed = True
+    return level
+
+
+def test_order_of_calls_with_several_parents(spark):
+    rng = random.Random(2)
+    rows, want = [(9, 0, "a", "call", "a", [], "add", "{}", None), (9, 1, "a", "call", "b", ["a"], "add", "{}", None), (9, 2, "a", "call", "c", ["b"], "add", "{}", None), (9, 3, "a", "call", "d", ["a", "c"], "add", "{}", None)], {(9, i): n for n, i in enumerate("abcd")}
+    for conv in range(3):
+        parents = {}
+        for i in range(40):
+            above = [f"n{rng.randrange(i)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if i else []
+            parents[f"n{i}"] = above + (["n39"] if conv == 2 and i == 30 else []) + (["gone"] if rng.random() < 0.2 else [])
+        turns = {i: rng.randrange(100) for i in parents}
+        rows += [(conv, turns[i], "a", "call", i, above, "add", "{}", None) for i, above in parents.items()]
+        rows += [(conv, turns[i] + rng.randrange(5), "t", "result", i, None, None, None, "r") for i in parents if rng.random() < 0.5]
+        want |= {(conv, i): n for i, n in plain_levels(parents).items()}
+    found = chat(spark, rows)
+    assert {(r.conv_id, r.call_id): r.level // 2 for r in found if r.kind == "call" and r.level is not None} == want
+    order = sorted((r for r in found if r.level is not None), key=lambda r: (r.conv_id, r.place, r.level, r.turn))
+    at = {(r.conv_id, r.call_id, r.kind, r.turn): n for n, r in enumerate(order)}
+    above = {(r[0], r[4]): r[5] for r in rows if r[3] == "call"}
+    for conv, call_id, kind, turn in at:
+        for (c, i, k, t), n in at.items():  # after every parent, its results, and a result's own call
+            if c == conv and (i in above[conv, call_id] or kind == "result" and i == call_id and k == "call"):
+                assert n < at[conv, call_id, kind, turn]
 
 
 def test_long_chain_of_calls(spark):
-    calls = spark.range(700).select(F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
-    assert all(int(r.call_id) == r.level for r in toolcalls.levels(calls.union(calls.limit(3))).collect())
+    calls = spark.range(700).select(F.lit(1).alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).alias("parents"), F.col("id").alias("last_turn"))
+    rows = toolcalls.levels(calls.union(calls.limit(3))).collect()
+    assert len(rows) == 700 and all(int(r.call_id) == r.level and r.before == (r.level - 1 if r.level else None) for r in rows)

@@ -78,10 +78,11 @@ def cluster(n, seed):
     return sorted({rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 4))) for _ in range(n)})
 
 
-@pytest.mark.parametrize("hot", [1024, 8])
-def test_links_of_dense_clusters(spark, monkeypatch, hot):
-    """With a low bound the one-bit-neighbour way serves the large sub-tries; both give all groups."""
+@pytest.mark.parametrize("hot,split", [(1024, 8), (8, 8), (2, 4)])
+def test_links_of_dense_clusters(spark, monkeypatch, hot, split):
+    """With a low bound sub-tries are split into node pairs, some down to the last bits."""
     monkeypatch.setattr(simhash, "HOT_TRIE", hot)
+    monkeypatch.setattr(simhash, "SPLIT", split)
     prints = cluster(250, 4)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     stars = components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")), "test").collect()
@@ -97,12 +98,28 @@ def test_links_of_dense_clusters(spark, monkeypatch, hot):
 def test_trie_pairs_find_every_pair():
     rng = random.Random(9)
     keys = np.array(sorted(rng.sample(range(1 << 12), 300)), np.uint64)
-    a, b = simhash.trie_pairs(keys, np.array([0, 120]), 32, 2)
+    first, end = np.array([0, 120]), np.array([120, 300])
+    a, b = simhash.trie_pairs(keys, (first, end, first, end, np.zeros(2, np.int64)), 32, 2)
     groups = [0] * 120 + [1] * 180
     want = {(i, j) for i in range(300) for j in range(i) if groups[i] == groups[j] and (int(keys[i]) ^ int(keys[j])).bit_count() <= 2}
     assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
 
 
+def test_trie_pairs_below_two_nodes():
+    rng = random.Random(10)
+    keys = np.array([*sorted(rng.sample(range(1 << 10), 90)), *sorted(rng.sample(range(1 << 10), 70))], np.uint64)
+    for spent in (0, 1, 2):
+        a, b = simhash.trie_pairs(keys, tuple(np.array([x]) for x in (0, 90, 90, 160, spent)), 10, 2)
+        want = {(i, j) for i in range(90) for j in range(90, 160) if (int(keys[i]) ^ int(keys[j])).bit_count() <= 2 - spent}
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    text = " ".join(f"w{i * 7919 % 5003}" for i in range(150_000))
+    rows = simhash.near_duplicates(documents(spark, [(1, text), (2, text + " more")])).collect()
+    assert {r.fp % (1 << 64) for r in rows if r.doc_id == 1} == {plain_fingerprint(text)} and {r.component_id for r in rows} == {1}
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.root for r in components(edges, "chain").collect()} == {0}
@@ -341,6 +358,7 @@ def test_contaminated(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         rows = decontaminate.contaminated(docs, benchmark).collect()
         assert sorted((r.doc_id, r.item_id) for r in rows) == [(10, 1), (10, 1), (11, 1), (13, 2)]
+        assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == len(texts)
         clean = decontaminate.decontaminate(docs, benchmark)
         assert sorted(r.doc_id for r in clean.collect()) == [12, 14, 15, 16, 17] and clean.columns == docs.columns
     moved = next(r for r in rows if r.doc_id == 11)
