@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
-from parasift.operators import glossary, quality
+from parasift.operators import glossary, numbering, quality
 from parasift.plans import jobs, translate
 from parasift.sources import docx, tables
 
@@ -17,31 +18,82 @@ class Engine:
     """Jobs over one session. ``make`` builds the translator in each worker; without one the offline
     stand-in serves. API keys belong to ``make``'s closure and never become data."""
 
-    def __init__(self, spark: SparkSession, make: Callable[[], translate.Translator] = translate.OfflineTranslator, callers: int = translate.MOST_CALLERS):
+    def __init__(self, spark: SparkSession, make: Callable[[], translate.Translator] = translate.OfflineTranslator, callers: int | None = None):
         self.spark, self.make, self.callers = spark, make, callers
 
+    def ping(self) -> str:
+        """One short call to the translator on the driver, to see whether it answers."""
+        return self.make().translate("测试", {"测试": "test"})
+
     def load_glossary(self, path: str) -> dict[str, str]:
         return glossary.as_mapping(tables.read_glossaries(self.spark, path))
 
+    def save_glossary(self, store: str, glossary_id: str, path: str) -> int:
+        """Terms of the files below ``path`` kept under ``glossary_id``; returns their number."""
+        terms = tables.read_glossaries(self.spark, path).groupBy("cn").agg(F.max_by("en", "file").alias("en"), F.min("ord").alias("ord"))
+        terms = terms.select(F.lit(glossary_id).alias("glossary_id"), "cn", "en", "ord")
+        jobs.save(terms, store, "terms", ["glossary_id"])
+        count = terms.count()
+        self._touch(store, glossary_id, path, count)
+        return count
+
+    def _touch(self, store: str, glossary_id: str, filename: str, count: int) -> None:
+        row = self.spark.range(1).select(F.lit(glossary_id).alias("glossary_id"), F.lit(filename).alias("filename"), F.lit(count).cast("long").alias("term_count"), F.current_timestamp().alias("uploaded_at"))
+        jobs.save(row, store, "glossaries", ["glossary_id"])
+
+    def stored_glossary(self, store: str, glossary_id: str) -> dict[str, str]:
+        """A kept glossary; use renews its time to live. One that is gone or past its time raises."""
+        known = glossary.alive(jobs.load(self.spark, store, "glossaries", ["glossary_id"]).where(F.col("glossary_id") == glossary_id), F.current_timestamp()).first()
+        if known is None:
+            raise KeyError(glossary_id)
+        self._touch(store, glossary_id, known["filename"], known["term_count"])
+        return glossary.as_mapping(jobs.load(self.spark, store, "terms", ["glossary_id"]).where(F.col("glossary_id") == glossary_id))
+
     def read_docx(self, path: str) -> DataFrame:
-        return docx.read_docx(self.spark, path)
+        """Segments of the files that can be read; ``broken_files`` tells of the others."""
+        return docx.read_docx(self.spark, path).where("error is null").drop("error")
+
+    def broken_files(self, path: str) -> DataFrame:
+        return docx.read_docx(self.spark, path).where("error is not null").select("file_id", F.lit("failed").alias("status"), "error")
 
-    def translate(self, segments: DataFrame, terms: Mapping[str, str]) -> DataFrame:
-        done = translate.translate_segments(segments, terms, self.make, self.callers)
+    def translate(self, segments: DataFrame, terms: Mapping[str, str], feedback: str | None = None) -> DataFrame:
+        done = translate.translate_segments(segments, terms, self.make, self.callers, feedback)
         return translate.number_document(done, ["file_id", "region"])
 
     def fix(self, segments: DataFrame, fixes: list[str], terms: Mapping[str, str]) -> DataFrame:
         return translate.fix_segments(segments, fixes, terms, self.make, self.callers)
 
+    def fix_files(self, source: str, target: str, fixes: list[str], terms: Mapping[str, str]) -> DataFrame:
+        """The same from the files of a source and of its translation, whose paths end in the same name."""
+        name = lambda df: df.withColumn("file_id", F.regexp_replace(F.element_at(F.split("file_id", "/"), -1), F.lit(r"(?:_EN)?\.docx$"), F.lit("")))
+        pairs = quality.aligned(name(self.read_docx(source)), name(self.read_docx(target)))
+        return self.fix(translate.audited(pairs, terms), fixes, terms)
+
+    def revise(self, segments: DataFrame, previous: DataFrame | None, feedback: str, terms: Mapping[str, str], ask: Callable[[str], str]) -> DataFrame:
+        """A translation revised after ``feedback``; ``ask`` is one call to a model about formats."""
+        listed = [r["text"] or "" for r in segments.where("region in ('body', 'cell')").orderBy("file_id", numbering.document_order()).select("text").toLocalIterator()]
+        answer = translate.interpret_feedback(listed, feedback, ask)
+        return translate.revise_segments(segments, previous, feedback, answer, terms, self.make, self.callers)
+
     def quality_report(self, translated: DataFrame) -> DataFrame:
         counts = translated.groupBy("file_id").agg(F.count("*").alias("paragraphs"))
         return quality.file_summary(translate.quality_gate(translated), counts)
 
     def html_report(self, translated: DataFrame, title: str, limit: int = 500) -> str:
-        """A page of the ``limit`` first files and warnings."""
-        summary = self.quality_report(translated).orderBy("file_id").limit(limit).collect()
-        warnings = translate.quality_gate(translated).orderBy("file_id", "warning").limit(limit).collect()
-        return quality.render_html(title, [r.asDict() for r in summary], [r.asDict() for r in warnings], limit)
+        """A page of the ``limit`` first files and warnings; it says how many there are where it shows fewer."""
+        report, gate = self.quality_report(translated), translate.quality_gate(translated)
+        summary = report.orderBy("file_id").limit(limit).collect()
+        warnings = gate.orderBy("file_id", "warning").limit(limit).collect()
+        return quality.render_html(title, [r.asDict() for r in summary], [r.asDict() for r in warnings], report.count(), gate.count())
+
+    def job_report(self, results: DataFrame, names: DataFrame, title: str, limit: int = 500) -> dict[str, str]:
+        """A page for each job of ``results`` (job_id, file_id, pos, status, warning_count, severity, categories)."""
+        pages = {}
+        for totals in quality.job_summary(results).orderBy("job_id").toLocalIterator():
+            own = jobs.named(results.where(F.col("job_id") == totals["job_id"]), names)
+            files = own.orderBy("pos", "file_id").limit(limit).collect()
+            pages[totals["job_id"]] = quality.render_job_html(title, totals.asDict(), [f.asDict() for f in files], own.count())
+        return pages
 
     def preview(self, translated: DataFrame, file_id: str | None = None) -> DataFrame:
         rows = translated if file_id is None else translated.where(F.col("file_id") == file_id)
@@ -53,9 +105,12 @@ class Engine:
     def result(self, results: DataFrame, file_id: str | None = None) -> DataFrame:
         return jobs.first_result(results, file_id)
 
-    def bundle(self, results: DataFrame, names: DataFrame, load: Callable[[str], bytes]) -> bytes:
-        return jobs.bundle(results, names, load)
+    def bundle(self, results: DataFrame, names: DataFrame, load: Callable[[str], bytes], target: BinaryIO) -> int:
+        return jobs.bundle(results, names, load, target)
 
     def write_docx(self, path: str, translated: DataFrame, store: Callable[[str, bytes], str]) -> DataFrame:
-        edits = translated.select("file_id", "region", "pos", "tbl", "row", "col", "box", F.col("translated_text").alias("new_text"), docx.union_format(F.col("runs")).alias("format"))
+        """Texts, formats and line spacing of ``translated`` in the files of ``path``."""
+        asked = F.col("asked") if "asked" in translated.columns else None
+        spacing = F.col("line_spacing") if "line_spacing" in translated.columns else F.lit(None).cast("string")
+        edits = translated.select("file_id", "region", "pos", "tbl", "row", "col", "box", F.col("translated_text").alias("new_text"), docx.union_format(F.col("runs"), asked).alias("format"), spacing.alias("line_spacing"))
         return docx.write_docx(self.spark, path, edits, store)

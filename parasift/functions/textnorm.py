@@ -24,9 +24,11 @@ EN_PUNCTUATION = ":,.;!?()[]\"\"<>,."
 MONTHS = "January February March April May June July August September October November December".split()
 CN_NUMERALS = "一二三四五六七八九十"
 ROMAN_NUMERALS = "I II III IV V VI VII VIII IX X".split()
-URL_CHAR = r"[^\s一-鿿　-〿＀-￯]"
+URL_CHAR = r"[^\s\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]"
 URL_TLDS = "com|cn|net|org|edu|gov|io"
 URL_PATTERN = rf"https?://{URL_CHAR}+|www\.{URL_CHAR}+\.\w{{2,}}|[a-zA-Z0-9]{URL_CHAR}*\.(?:{URL_TLDS})(?!\w){URL_CHAR}*"
+#: What each kind of URL cannot do without; quick to look for, whatever the length of a word.
+URL_MARK = rf"https?://|www\.|\.(?:{URL_TLDS})(?!\w)"
 INLINE_URL_PATTERN = rf"https?://{URL_CHAR}+|www\.{URL_CHAR}+\.\w{{2,}}"
 EMAIL_PATTERN = r"[\w.+-]+@[\w.-]+\.\w{2,}"
 PROTECTED_TOKEN_PATTERNS = [
@@ -39,8 +41,8 @@ PROTECTED_TOKEN_PATTERNS = [
     r"(?:https?://|www\.)[\w.%-]+\.\w{2,}.*",
     r"\[(?:Image|Seal|Barcode|Logo|Original)[^\]]*\]",
 ]
-CJK = r"[一-鿿]"
-TERM_ONLY_BLOCK = r"[一-鿿＀-￯　-〿‘-‟]"
+CJK = r"[\u4e00-\u9fff]"
+TERM_ONLY_BLOCK = r"[\u4e00-\u9fff\uff00-\uffef\u3000-\u303f\u2018-\u201f]"
 CN_LABELS = {
     "【图片】": "[Image]",
     "【照片】": "[Image]",
@@ -88,6 +90,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where_seen(text: Column, seen: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of texts that a quick look ``seen`` says may change; others stay as they are."""
+    return let(text, lambda t: F.when(seen(t), rule(t)).otherwise(t))
+
+
+def names_month(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(m) for m in MONTHS))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
 
@@ -106,12 +117,17 @@ def normal_token(token: Column) -> Column:
     return F.lower(F.btrim(token, F.lit(TOKEN_PUNCTUATION)))
 
 
-def normal_word(word: Column) -> Column:
-    return F.lower(F.btrim(word, F.lit(WORD_PUNCTUATION)))
+def contains_url(text: Column) -> Column:
+    return text.rlike(f"(?iu)(?:{URL_MARK})") & text.rlike(f"(?iu)(?:{URL_PATTERN})")
 
 
-def contains_url(text: Column) -> Column:
-    return text.rlike(f"(?iu)(?:{URL_PATTERN})")
+def url_stretches(text: Column) -> Column:
+    """The text as an array of stretches (``part``, ``url``): what lies between URLs, and the URLs."""
+    pattern = F.lit(f"(?iu)(?:{URL_PATTERN})")
+    both = F.struct(F.split(text, f"(?iu)(?:{URL_PATTERN})", -1).alias("others"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("urls"))
+    stretch = lambda part, url: F.struct(part.alias("part"), F.lit(url).alias("url"))
+    pairs = let(both, lambda b: F.flatten(F.transform(b["others"], lambda o, i: F.array(stretch(o, False), stretch(F.coalesce(F.get(b["urls"], i), F.lit("")), True)))))
+    return F.filter(pairs, lambda x: x["part"] != "")
 
 
 def chinese_residue(text: Column) -> Column:
@@ -166,25 +182,27 @@ def cn_punctuation(text: Column) -> Column:
 
 def double_dates(text: Column) -> Column:
     date = rf"(?<!\w)({_MONTH}\s+\d{{1,2}},\s+\d{{4}})"
-    return substitute(text, [(rf"(?U){date}\s+\d{{4}}[-.]\d{{1,2}}[-.]\d{{1,2}}(?!\w)", "$1"), (rf"(?U){date}\s+\1(?!\w)", "$1")])
+    rules = [(rf"(?U){date}\s+\d{{4}}[-.]\d{{1,2}}[-.]\d{{1,2}}(?!\w)", "$1"), (rf"(?U){date}\s+\1(?!\w)", "$1")]
+    return where_seen(text, names_month, lambda t: substitute(t, rules))
 
 
 def normalize_dates(text: Column) -> Column:
     """Other English date orders and ordinals become ``Month D, YYYY``; ``RMB n yuan`` becomes ``RMB n``."""
-    return substitute(
-        text,
-        [
-            (rf"(?U)(?<!\w)({_MONTH})\s+(\d{{4}})\s+{_DAY}(?:st|nd|rd|th)?(?!\w)", "$1 $3, $2"),
-            (rf"(?U)(?<!\w)({_MONTH})\s+{_DAY}(?:st|nd|rd|th),\s+(\d{{4}})(?!\w)", "$1 $2, $3"),
-            (rf"(?U)(?<!\w){_DAY}\s+({_MONTH})\s+(\d{{4}})(?!\w)", "$2 $1, $3"),
-            (r"(?U)(?<!\w)RMB\s+([\d,]+\.?\d*)\s*(?:yuan|Yuan)(?!\w)", "RMB $1"),
-        ],
-    )
+    dates = [
+        (rf"(?U)(?<!\w)({_MONTH})\s+(\d{{4}})\s+{_DAY}(?:st|nd|rd|th)?(?!\w)", "$1 $3, $2"),
+        (rf"(?U)(?<!\w)({_MONTH})\s+{_DAY}(?:st|nd|rd|th),\s+(\d{{4}})(?!\w)", "$1 $2, $3"),
+        (rf"(?U)(?<!\w){_DAY}\s+({_MONTH})\s+(\d{{4}})(?!\w)", "$2 $1, $3"),
+    ]
+    dated = where_seen(text, names_month, lambda t: substitute(t, dates))
+    amount = (r"(?U)(?<!\w)RMB\s+([\d,]+\.?\d*)\s*(?:yuan|Yuan)(?!\w)", "RMB $1")
+    return where_seen(dated, lambda t: t.contains("RMB"), lambda t: substitute(t, [amount]))
 
 
 def punctuation_runs(text: Column) -> Column:
     """Two dots become one, more an ellipsis; runs of commas and a comma before a dot shrink."""
-    return substitute(text, [(r"\.{3,}", "\u0000"), (r"\.\.", "."), ("\u0000", "..."), (r",{2,}", ","), (r",\.", ".")])
+    dots = [(r"\.{3,}", "\u0000"), (r"\.\.", "."), ("\u0000", "...")]
+    dotted = where_seen(text, lambda t: t.contains(".."), lambda t: substitute(t, dots))
+    return where_seen(dotted, lambda t: t.contains(",,") | t.contains(",."), lambda t: substitute(t, [(r",{2,}", ","), (r",\.", ".")]))
 
 
 def normalize_formats(text: Column) -> Column:
@@ -193,7 +211,8 @@ def normalize_formats(text: Column) -> Column:
 
 def collapse_char_runs(text: Column) -> Column:
     """Three or more of one word character become one, but for digits and Roman numeral letters."""
-    return F.regexp_replace(text, F.lit(r"(?U)((?![\divxlcdmIVXLCDM])\w)\1{2,}"), F.lit("$1"))
+    # The repeat is looked for first: nearly every character fails there, and costs no look at its class.
+    return F.regexp_replace(text, F.lit(r"(?U)(.)(?=\1\1)(?<=[\w&&[^\divxlcdmIVXLCDM]])\1+"), F.lit("$1"))
 
 
 def split_camel(text: Column) -> Column:
@@ -205,7 +224,8 @@ def punctuation_spacing(text: Column) -> Column:
 
 
 def parenthesis_spacing(text: Column) -> Column:
-    return substitute(text, [(r"(?U)(\w)\(", "$1 ("), (r"(?U)\)(\w)", ") $1")])
+    opened = where_seen(text, lambda t: t.contains("("), lambda t: substitute(t, [(r"(?U)\((?<=\w\()", " (")]))
+    return where_seen(opened, lambda t: t.contains(")"), lambda t: substitute(t, [(r"(?U)\)(\w)", ") $1")]))
 
 
 def single_spaces(text: Column) -> Column:
@@ -220,9 +240,10 @@ def before_dedup(text: Column) -> Column:
 def after_dedup(text: Column) -> Column:
     """The steps after it; dates doubled by them go last."""
     spaced = parenthesis_spacing(punctuation_spacing(split_camel(collapse_char_runs(text))))
-    spaced = F.regexp_replace(spaced, F.lit("([a-zA-Z])'s([A-Z])"), F.lit("$1's $2"))
+    spaced = where_seen(spaced, lambda t: t.contains("'s"), lambda t: substitute(t, [("([a-zA-Z])'s([A-Z])", "$1's $2")]))
     date = rf"(?<!\w)({_MONTH}\s+\d{{1,2}},\s+\d{{4}})"
-    return F.regexp_replace(single_spaces(spaced), F.lit(rf"(?U){date}\s+\d{{4}}[-.]\d{{1,2}}[-.]\d{{1,2}}(?!\w)"), F.lit("$1"))
+    rule = (rf"(?U){date}\s+\d{{4}}[-.]\d{{1,2}}[-.]\d{{1,2}}(?!\w)", "$1")
+    return where_seen(single_spaces(spaced), names_month, lambda t: substitute(t, [rule]))
 
 
 def enumerations(text: Column) -> Column:

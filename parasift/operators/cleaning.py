@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
-from parasift.operators.dedup import dedup
-from parasift.operators.glossary import COMMON_TERMS
+from parasift.operators.dedup import dedup_stretches
+from parasift.operators.glossary import COMMON_TERMS, replaced_in_stretches
 
-_URL = re.compile(tn.URL_PATTERN, re.IGNORECASE)
 # Fixed values.
 URL_LABELS = {
     "链接": "link",
@@ -26,68 +24,29 @@ URL_LABELS = {
 }
 
 
-def _cut(text: str) -> list[dict]:
-    """The text as stretches, each a URL or not."""
-    out, at = [], 0
-    for m in _URL.finditer(text):
-        if m.start() > at:
-            out.append({"part": text[at : m.start()], "url": False})
-        out.append({"part": m[0], "url": True})
-        at = m.end()
-    return out + ([{"part": text[at:], "url": False}] if at < len(text) else [])
-
-
-def _cut_all(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _cut(t) for t in texts], dtype=object)
-
-
-def url_stretches(text: Column) -> Column:
-    return F.pandas_udf(_cut_all, "array<struct<part:string,url:boolean>>")(text)
-
-
 def clean_segments(df: DataFrame, text: str = "text", protected: str | None = None) -> DataFrame:
     """``df`` with ``text`` cleaned and ``dedup_audit``: only stretches outside URLs change.
 
-    Texts without a URL, nearly all, stay whole. Repeated words are judged in each stretch apart.
+    Texts without a URL, nearly all, stay whole. Repeated words are judged in each stretch apart. One scan;
+    Python sees the words between the two runs of rules, and nothing else.
     """
-    columns = df.columns
-    has_url = F.coalesce(tn.contains_url(F.col(text)), F.lit(False))
-    words = F.col(protected) if protected else None
-    several = df.where(has_url).withColumn("__row", F.monotonically_increasing_id()).withColumn("__cut", url_stretches(F.col(text)))
-    one = df.where(~has_url).withColumn("__d", dedup(tn.before_dedup(F.col(text)), words))
-    one = one.withColumn(text, tn.after_dedup(F.col("__d.text"))).withColumn("dedup_audit", F.col("__d.audit"))
-    parts = several.select("*", F.posexplode("__cut").alias("__pos", "__part"))
-    parts = parts.withColumn("__d", dedup(F.when(F.col("__part.url"), "").otherwise(tn.before_dedup(F.col("__part.part"))), words))
-    new = F.when(F.col("__part.url"), F.col("__part.part")).otherwise(tn.after_dedup(F.col("__d.text")))
-    keep = [c for c in columns if c != text]
-    joined = parts.withColumn("__new", new).groupBy("__row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__new"))), lambda x: x["__new"]), "").alias(text),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__d.audit"))), lambda x: x["audit"])).alias("dedup_audit"),
-        *(F.first(c).alias(c) for c in keep),
-    )
-    return one.select(*columns, "dedup_audit").unionByName(joined.select(*columns, "dedup_audit"))
+    stretches = tn.let(F.col(text), lambda t: F.when(tn.contains_url(t), tn.url_stretches(t)).otherwise(F.array(F.struct(t.alias("part"), F.lit(False).alias("url")))))
+    ready = F.transform(stretches, lambda s: F.struct(F.when(s["url"], s["part"]).otherwise(tn.before_dedup(s["part"])).alias("part"), s["url"].alias("url")))
+    # Read twice, so that it stays a column of its own and the Python function's argument is a plain one.
+    judged = df.withColumn("__r", F.when(F.col(text).isNotNull(), ready)).withColumn("__s", dedup_stretches(F.col("__r"), F.col(protected) if protected else None))
+    parts = F.zip_with("__r", "__s", lambda r, s: F.when(r["url"], r["part"]).otherwise(tn.after_dedup(s["part"])))
+    audit = F.flatten(F.transform("__s", lambda s: s["audit"]))
+    return judged.select(*(F.array_join(parts, "").alias(c) if c == text else F.col(c) for c in df.columns), audit.alias("dedup_audit"))
 
 
-def translate_url_line(text: str, glossary: dict[str, str]) -> str:
-    """Labels and terms of a line with a URL in English; the URL itself and lines without Chinese stay."""
-    if not _URL.search(text) or not re.search(tn.CJK, text):
-        return text
-    for label in sorted(URL_LABELS, key=len, reverse=True):
-        text = re.sub(re.escape(label) + r"(?=[：:])", URL_LABELS[label], text, count=1)
-    terms = sorted({**COMMON_TERMS, **glossary}.items(), key=lambda t: -len(t[0]))
-    out = []
-    for stretch in _cut(text):
-        part = stretch["part"]
-        if not stretch["url"]:
-            for cn, en in terms:
-                part = part.replace(cn, en)
-        out.append(part)
-    return "".join(out)
-
-
-def url_line(text: Column, glossary: dict[str, str]) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else translate_url_line(t, glossary) for t in texts], dtype=object)
+def url_line(text: Column, terms: Mapping[str, str]) -> Column:
+    """Labels and terms of a line with a URL in English; the URL itself and lines without Chinese stay.
 
-    return run(text)
+    Each label gives way once, longer ones first, if a colon follows; terms in every stretch outside URLs.
+    """
+    labelled = text
+    for label in sorted(URL_LABELS, key=len, reverse=True):
+        labelled = F.regexp_replace(labelled, F.lit(rf"(?s)^(.*?)\Q{label}\E(?=[：:])"), F.lit(f"$1{URL_LABELS[label]}"))
+    every = {**COMMON_TERMS, **terms}
+    lines = tn.let(text, lambda t: tn.contains_url(t) & t.rlike(tn.CJK))
+    return F.when(lines, replaced_in_stretches(tn.url_stretches(labelled), every)).otherwise(text)

@@ -46,8 +46,3 @@ def warnings(cn: Column, en: Column) -> Column:
     amounts = F.transform(missing_amounts(cn, en), lambda a: F.concat(F.lit("金额/数量缺失: 中文「"), a["shown"], F.lit("」期望值 "), F.format_number(a["value"], 2), F.lit(" 未在英文中出现")))
     integers = F.transform(missing_integers(cn, en), lambda n: F.concat(F.lit("数字缺失: 中文「"), n, F.lit("」未在英文中出现")))
     return F.concat(amounts, integers)
-
-
-def better(before: Column, after: Column, current: Column, retried: Column) -> Column:
-    """A retry is taken if it has strictly fewer warnings."""
-    return F.when(F.size(after) < F.size(before), retried).otherwise(current)

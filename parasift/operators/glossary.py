@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +29,10 @@ COMMON_TERMS = {
     "注册建筑师": "Registered Architect",
 }
 
-#: A glossary that goes into a plan as literals may have so many terms; a larger one is joined.
-MOST_LITERAL_TERMS = 10_000
+#: Up to so many terms go into a plan as expressions; more are looked up in an index that each worker holds.
+MOST_EXPRESSIONS = 48
+#: A glossary goes to the workers whole, so it may have so many terms.
+MOST_TERMS = 500_000
 
 
 def is_header(cn: Column, en: Column) -> Column:
@@ -49,10 +51,10 @@ def clean_terms(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def as_mapping(terms: DataFrame) -> dict[str, str]:
-    """A glossary small enough for literals, in the order of its file."""
-    rows = terms.orderBy("ord").limit(MOST_LITERAL_TERMS + 1).collect()
-    if len(rows) > MOST_LITERAL_TERMS:
-        raise ValueError(f"over {MOST_LITERAL_TERMS} terms: join the table instead")
+    """A glossary of at most ``MOST_TERMS`` terms, in the order of its file."""
+    rows = terms.orderBy("ord").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} terms in one glossary")
     return {r["cn"]: r["en"] for r in rows}
 
 
@@ -61,76 +63,196 @@ def _curly(text: str) -> str:
     return "".join(p + ("" if i == len(parts) - 1 else "“”"[i % 2]) for i, p in enumerate(parts))
 
 
+class TermIndex:
+    """Terms by their first character and length: which of them a text holds costs a look at each place where
+    some term could begin, however many terms there are."""
+
+    def __init__(self, terms: Iterable[str]):
+        self.numbers: dict[str, int] = {}
+        sizes: dict[str, set[int]] = {}
+        for number, term in enumerate(terms):
+            if term:
+                self.numbers.setdefault(term, number)
+                sizes.setdefault(term[0], set()).add(len(term))
+        self.sizes = {first: sorted(some) for first, some in sizes.items()}
+        self.first = re.compile("[" + "".join(map(re.escape, sizes)) + "]") if sizes else None
+
+    def held(self, text: str) -> set[int]:
+        """Numbers of the terms that ``text`` holds."""
+        found: set[int] = set()
+        for m in self.first.finditer(text) if self.first else ():
+            at = m.start()
+            for size in self.sizes[m[0]]:
+                number = self.numbers.get(text[at : at + size])
+                if number is not None:
+                    found.add(number)
+        return found
+
+
+class Replacer:
+    """Plain replacements in order, each over what the ones before it left."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.pairs, self.index = pairs, TermIndex(cn for cn, _ in pairs)
+
+    def __call__(self, text: str) -> str:
+        done = -1
+        while (number := min((n for n in self.index.held(text) if n > done), default=None)) is not None:
+            text, done = text.replace(*self.pairs[number]), number
+        return text
+
+
+def _longest_first(terms: Mapping[str, str]) -> list[tuple[str, str]]:
+    return sorted(((cn, en) for cn, en in terms.items() if cn and en is not None), key=lambda t: -len(t[0]))
+
+
+def replaced_in_order(text: Column, terms: Mapping[str, str]) -> Column:
+    """Every term replaced, longest first."""
+    pairs = _longest_first(terms)
+    if len(pairs) <= MOST_EXPRESSIONS:
+        return tn.literal(text, pairs)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        replace = Replacer(pairs)
+        return pd.Series([None if t is None else replace(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
+def replaced_in_stretches(stretches: Column, terms: Mapping[str, str]) -> Column:
+    """The same within an array of (part, url), for the parts that are no URL; the parts, joined."""
+    pairs = _longest_first(terms)
+    if len(pairs) <= MOST_EXPRESSIONS:
+        return F.array_join(F.transform(stretches, lambda s: F.when(s["url"], s["part"]).otherwise(tn.literal(s["part"], pairs))), "")
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        replace = Replacer(pairs)
+        return pd.Series([None if row is None else "".join(s["part"] if s["url"] else replace(s["part"]) for s in row) for row in rows], dtype=object)
+
+    return run(stretches)
+
+
 def replace_terms(text: Column, glossary: Mapping[str, str]) -> Column:
     """Quotes made even, then every term replaced, longest first; an empty glossary changes nothing."""
     if not glossary:
         return text
-    terms = {_curly(cn): en for cn, en in glossary.items()}
-    return tn.literal(tn.normalize_quotes(text), sorted(terms.items(), key=lambda t: -len(t[0])))
+    return replaced_in_order(tn.normalize_quotes(text), {_curly(cn): en for cn, en in glossary.items()})
 
 
 def translate_terms(text: Column, glossary: Mapping[str, str]) -> Column:
     """``replace_terms`` with dates converted, common terms as fallback, and keys without their spaces."""
     terms = {**COMMON_TERMS, **glossary}
     for cn, en in list(terms.items()):
-        terms.setdefault(cn.replace(" ", "").replace("　", ""), en)
-    return tn.literal(tn.convert_chinese_dates(tn.normalize_quotes(text)), sorted(terms.items(), key=lambda t: -len(t[0])))
+        terms.setdefault(cn.replace(" ", "").replace("\u3000", ""), en)
+    return replaced_in_order(tn.convert_chinese_dates(tn.normalize_quotes(text)), terms)
 
 
-def missing_terms(pairs: DataFrame, terms: DataFrame, cn: str = "cn_text", en: str = "en_text") -> DataFrame:
-    """Rows of ``pairs`` with each term (``term_cn``, ``term_en``) that occurs in the source while none of
-    its ``|`` variants occurs in the translation.
+def _variants(en: str) -> list[str]:
+    return [v.strip().lower() for v in en.split("|") if v.strip()]
 
-    The terms are a literal array that every row scans: no join and no shuffle of the pairs. The array
-    holds ``MOST_LITERAL_TERMS`` at most; a larger glossary takes one pass a block.
-    """
-    variants = lambda t: F.transform(F.split(t["en"], r"\|"), lambda v: F.lower(F.btrim(v)))
-    there = lambda t, lower: F.exists(variants(t), lambda v: (v != "") & lower.contains(v))
-    missing = lambda known: tn.let(F.lower(F.col(en)), lambda lower: F.filter(known, lambda t: F.col(cn).contains(t["cn"]) & ~there(t, lower)))
+
+def unused_terms(cn: Column, en: Column, glossary: Mapping[str, str]) -> Column:
+    """Array of (cn, en): the terms that occur in the source while none of their ``|`` variants occurs in the
+    translation, in the glossary's order. A null text holds nothing."""
+    terms = [(c, e) for c, e in glossary.items() if c and e is not None]
+    kind = "array<struct<cn:string,en:string>>"
+    if len(terms) <= MOST_EXPRESSIONS:
+        none = F.lit(None).cast("struct<cn:string,en:string>")
+        told = lambda c, e: F.struct(F.lit(c).alias("cn"), F.lit(e).alias("en"))
+        there = lambda lower, e: reduce(lambda a, v: a | lower.contains(v), _variants(e), F.lit(False))
+        both = F.struct(F.coalesce(cn, F.lit("")).alias("cn"), F.lower(F.coalesce(en, F.lit(""))).alias("en"))
+        found = tn.let(both, lambda b: F.array(none, *(F.when(b["cn"].contains(c) & ~there(b["en"], e), told(c, e)) for c, e in terms)))
+        return F.filter(found, lambda t: t.isNotNull())
+
+    @F.pandas_udf(kind)
+    def run(sources: pd.Series, targets: pd.Series) -> pd.Series:
+        index, variants = TermIndex(c for c, _ in terms), {}
+        out = []
+        for source, target in zip(sources, targets):
+            lower, missing = (target or "").lower(), []
+            for n in sorted(index.held(source or "")):
+                if not any(v in lower for v in variants.setdefault(n, _variants(terms[n][1]))):
+                    missing.append({"cn": terms[n][0], "en": terms[n][1]})
+            out.append(missing)
+        return pd.Series(out, dtype=object)
+
+    return run(cn, en)
+
+
+def term_warnings(cn: Column, en: Column, glossary: Mapping[str, str]) -> Column:
+    return F.transform(unused_terms(cn, en, glossary), lambda t: F.concat(F.lit("术语缺失: 中文「"), t["cn"], F.lit("」标准译法「"), t["en"], F.lit("」未在英文中出现")))
+
+
+def missing_terms(pairs: DataFrame, terms: DataFrame, cn: str = "cn_text", en: str = "en_text") -> DataFrame:
+    """Rows of ``pairs`` with each term (``term_cn``, ``term_en``) that ``unused_terms`` finds: no join and no
+    shuffle of the pairs. A table of over ``MOST_TERMS`` terms takes one pass over the pairs a block."""
     used = terms.select("cn", "en").where((F.col("cn") != "") & F.col("en").isNotNull())
-    blocks = max(1, -(-used.count() // (MOST_LITERAL_TERMS // 2)))
+    blocks = max(1, -(-used.count() // MOST_TERMS))
     out = None
     for block in range(blocks):
         rows = used.where(F.pmod(F.xxhash64("cn"), F.lit(blocks)) == block).collect()
-        known = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<cn:string,en:string>>")
-        part = pairs.select(*pairs.columns, F.explode(missing(known)).alias("__t")).select(*pairs.columns, F.col("__t.cn").alias("term_cn"), F.col("__t.en").alias("term_en"))
+        part = pairs.withColumn("__t", unused_terms(F.col(cn), F.col(en), {r["cn"]: r["en"] for r in rows}))
+        part = part.select(*pairs.columns, F.explode("__t").alias("__t")).select(*pairs.columns, F.col("__t.cn").alias("term_cn"), F.col("__t.en").alias("term_en"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def complete_terms(text: str, variants: list[tuple[str, list[str]]]) -> tuple[str, list[dict]]:
+class Variants:
+    """Standard translations by their first two words, in the order they are tried; one-word ones apart."""
+
+    def __init__(self, variants: list[tuple[str, list[str]]]):
+        self.single: set[str] = set()
+        self.longer: dict[tuple[str, str], list[tuple[str, list[str]]]] = {}
+        for text, words in variants:
+            if len(words) == 1:
+                self.single.add(words[0])
+            elif words:
+                self.longer.setdefault((words[0], words[1]), []).append((text, words))
+
+
+_PIECE = re.compile(r"\s*\S+")
+_LINK = re.compile(r"https?://|www\.|@")
+
+
+def _plain(piece: str) -> str | None:
+    word = piece.lstrip()
+    return None if _LINK.search(word) else word.strip(tn.WORD_PUNCTUATION).lower()
+
+
+def complete_terms(text: str, variants: Variants) -> tuple[str, list[dict]]:
     """Cut standard translations made whole: two or more leading words of a variant, not the whole of any.
 
-    ``variants`` are (text, normalised words), longest first. Whole variants are looked for before cut
-    ones, and words of URLs and e-mails are left alone.
+    Whole variants are looked for before cut ones, and words of URLs and e-mails are left alone. What a
+    completion puts in is judged again from its first word; words before it stand.
     """
+    pieces = _PIECE.findall(text)
+    tail = text[sum(map(len, pieces)) :]
+    plain = [_plain(p) for p in pieces]
     audit: list[dict] = []
     at = 0
-    while True:
-        words = [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-        plain = [None if re.search(r"https?://|www\.|@", w) else w.strip(tn.WORD_PUNCTUATION).lower() for w, *_ in words]
-        while at < len(words):
-            shared = []
-            for variant, parts in variants:
-                n = 0
-                while n < len(parts) and at + n < len(plain) and plain[at + n] == parts[n]:
-                    n += 1
-                shared.append((n, len(parts), variant))
-            whole = max((n for n, size, _ in shared if n == size), default=0)
-            if whole:
-                at += whole
-                continue
-            cut = next(((n, v) for n, _, v in shared if n >= 2), None)
-            if cut is None:
-                at += 1
-                continue
-            n, variant = cut
-            begin, end = words[at][1], words[at + n - 1][2]
-            audit.append({"from_text": text[begin:end], "to_text": variant})
-            text = text[:begin] + variant + text[end:]
-            break
-        else:
-            return text, audit
+    while at < len(plain):
+        shared = []
+        for variant, words in variants.longer.get((plain[at], plain[at + 1]), ()) if at + 1 < len(plain) and plain[at] is not None else ():
+            n = 2
+            while n < len(words) and at + n < len(plain) and plain[at + n] == words[n]:
+                n += 1
+            shared.append((n, words, variant))
+        whole = max((n for n, words, _ in shared if n == len(words)), default=1 if plain[at] in variants.single else 0)
+        if whole or not shared:
+            at += whole or 1
+            continue
+        n, words, variant = shared[0]
+        found = "".join(pieces[at : at + n]).lstrip()
+        audit.append({"from_text": found, "to_text": variant})
+        lead = pieces[at][: len(pieces[at]) - len(pieces[at].lstrip())]
+        new = _PIECE.findall(lead + variant)
+        pieces[at : at + n] = new
+        plain[at : at + n] = [_plain(p) for p in new]
+        if plain[at : at + len(new)] != words:
+            at += len(new)  # its words are not all plain, as with a link in it: it would be completed again
+    return "".join(pieces) + tail, audit
 
 
 def variants_of(glossary: Mapping[str, str]) -> list[tuple[str, list[str]]]:
@@ -146,10 +268,11 @@ def variants_of(glossary: Mapping[str, str]) -> list[tuple[str, list[str]]]:
 
 def completed(text: Column, glossary: Mapping[str, str]) -> Column:
     """Struct of the completed ``text`` and an ``audit`` of (from_text, to_text)."""
-    variants = variants_of(glossary)
+    every = variants_of(glossary)
 
     @F.pandas_udf("struct<text:string,audit:array<struct<from_text:string,to_text:string>>>")
     def run(texts: pd.Series) -> pd.DataFrame:
+        variants = Variants(every)
         return pd.DataFrame([(None, None) if t is None else complete_terms(t, variants) for t in texts], columns=["text", "audit"])
 
     return run(text)

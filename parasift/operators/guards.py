@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,47 +16,52 @@ from parasift.functions.amounts import NUMBER, render_text, unit_pattern
 
 GUARDED = "struct<text:string,guards:array<struct<token:string,original:string>>>"
 _AMOUNT = re.compile(rf"({NUMBER})\s*({unit_pattern()})")
-_PASSES = [
-    re.compile(tn.INLINE_URL_PATTERN, re.IGNORECASE),
-    re.compile(tn.EMAIL_PATTERN),
-    re.compile(rf"(?<![\d_]){NUMBER}(?:\.\d+)?(?![\d_])"),
+# What is masked after amounts, in this order, each with its token's name.
+_PLAIN = [
+    ("G", re.compile(tn.INLINE_URL_PATTERN, re.IGNORECASE)),
+    ("G", re.compile(tn.EMAIL_PATTERN)),
+    ("G", re.compile(rf"(?<![\d_]){NUMBER}(?:\.\d+)?(?![\d_])")),
 ]
 # Dates and times that the second pass leaves alone.
-_DATE = re.compile(rf"\b(?:{'|'.join(tn.MONTHS)})\s+\d{{1,2}},\s+\d{{4}}\b")
-_TIME = re.compile(r"\b\d{1,2}:\d{2}[-–]\d{1,2}:\d{2}\b")
+_CALENDAR = [
+    ("DATE_", re.compile(rf"\b(?:{'|'.join(tn.MONTHS)})\s+\d{{1,2}},\s+\d{{4}}\b")),
+    ("TIME_", re.compile(r"\b\d{1,2}:\d{2}[-–]\d{1,2}:\d{2}\b")),
+]
 
 
-def mask_text(text: str) -> tuple[str, list[tuple[str, str]]]:
-    """The text with ``__G<n>__`` tokens, and (token, original) in the order of their making: amounts
-    first (already rendered in English), then URLs, e-mails, other numbers."""
-    guards: list[tuple[str, str]] = []
+class Mask:
+    """A text whose stretches give way to tokens ``__<name><n>__``, and what each token stands for."""
+
+    def __init__(self, text: str):
+        self.text, self.guards, self.next = text, [], Counter()
 
-    def token(original: str) -> str:
-        guards.append((f"__G{len(guards)}__", original))
-        return guards[-1][0]
+    def cover(self, name: str, pattern: re.Pattern, shown: Callable[[re.Match], str | None] = lambda m: m[0]) -> Mask:
+        def token(match: re.Match) -> str:
+            if (original := shown(match)) is None:
+                return match[0]
+            new = f"__{name}{self.next[name]}__"
+            self.next[name] += 1
+            self.guards.append((new, original))
+            return new
 
-    def amount(match: re.Match) -> str:
-        shown = render_text(match[1], match[2])
-        return match[0] if shown is None else token(shown)
+        self.text = pattern.sub(token, self.text)
+        return self
 
-    text = _AMOUNT.sub(amount, text)
-    for pattern in _PASSES:
-        text = pattern.sub(lambda m: token(m[0]), text)
-    return text, guards
+    def all(self, kinds: list[tuple[str, re.Pattern]]) -> Mask:
+        return reduce(lambda mask, kind: mask.cover(*kind), kinds, self)
 
 
-def mask_dates(text: str) -> tuple[str, list[tuple[str, str]]]:
-    """Dates and time ranges behind ``__DATE_<n>__`` and ``__TIME_<n>__``."""
-    guards: list[tuple[str, str]] = []
-    for kind, pattern in (("DATE", _DATE), ("TIME", _TIME)):
-        count = iter(range(len(text)))
+def mask_text(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """The text with ``__G<n>__`` tokens, and (token, original) in the order of their making: amounts
+    first (already rendered in English), then URLs, e-mails, other numbers."""
+    masked = Mask(text).cover("G", _AMOUNT, lambda m: render_text(m[1], m[2])).all(_PLAIN)
+    return masked.text, masked.guards
 
-        def token(match: re.Match) -> str:
-            guards.append((f"__{kind}_{next(count)}__", match[0]))
-            return guards[-1][0]
 
-        text = pattern.sub(token, text)
-    return text, guards
+def mask_for_polish(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """Dates and time ranges behind ``__DATE_<n>__`` and ``__TIME_<n>__``, then all that ``mask_text`` masks."""
+    masked = Mask(text).all(_CALENDAR).cover("G", _AMOUNT, lambda m: render_text(m[1], m[2])).all(_PLAIN)
+    return masked.text, masked.guards
 
 
 def _struct(mask):
@@ -69,8 +77,8 @@ def mask(text: Column) -> Column:
     return _struct(mask_text)(text)
 
 
-def mask_calendar(text: Column) -> Column:
-    return _struct(mask_dates)(text)
+def mask_polish(text: Column) -> Column:
+    return _struct(mask_for_polish)(text)
 
 
 def restore(text: Column, guards: Column) -> Column:

@@ -26,28 +26,55 @@ def classify(text: Column) -> Column:
     return F.struct(F.when(seq.isNotNull(), kind).alias("kind"), seq.alias("seq"))
 
 
-def normalize(df: DataFrame, keys: list[str], pos: str = "pos", text: str = "text") -> DataFrame:
-    """``df`` with ``kind``, ``seq``, ``new_text`` and ``warning`` of each line.
+#: Order of a document's segments: body, then table cells, then text boxes, each in its own order.
+REGIONS = ["body", "cell", "textbox"]
+
+
+def document_order() -> Column:
+    """A sortable place of a segment (region, tbl, row, col, box, pos) in its document."""
+    region = F.array_position(F.array(*map(F.lit, REGIONS)), F.col("region")).cast("int")
+    return F.struct(region.alias("region"), *(F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("tbl", "row", "col", "box", "pos")))
+
+
+def normalize(df: DataFrame, keys: list[str], pos: str | Column = "pos", text: str = "text") -> DataFrame:
+    """``df`` with ``kind``, ``seq``, ``new_text`` and what is to be told of each line.
 
     Where a document of ``keys`` mixes Roman and Arabic list markers, the more frequent style wins, Roman
-    on a tie; Arabic numbers over ten stay and are warned of. Later lines that repeat a kind and number
-    are warned of against the first. ``mixed`` is the document's style if it was mixed, ``articles`` tells
-    of article markers beside list markers. One shuffle by document; lines of one document share a task.
+    on a tie; Arabic numbers over ten stay (``beyond``). ``first_pos`` is the ``pos`` of the first line with
+    the same kind and number, for later ones. ``mixed`` is the document's style if it was mixed, ``articles``
+    tells of article markers beside list markers, ``opening`` marks the document's first line. ``pos`` is a
+    column or an expression that orders a document. One shuffle by document; lines of one document share a
+    task.
     """
-    tagged = df.withColumn("__c", classify(F.col(text))).withColumns({"kind": F.col("__c.kind"), "seq": F.col("__c.seq")}).drop("__c")
+    order = F.col(pos) if isinstance(pos, str) else pos
+    tagged = df.withColumn("__c", classify(F.col(text))).withColumns({"kind": F.col("__c.kind"), "seq": F.col("__c.seq"), "__at": order}).drop("__c")
     whole = Window.partitionBy(*keys)
     counted = tagged.withColumns({f"__{k}": F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(whole) for k in ("roman", "arabic", "article")})
+    counted = counted.withColumn("opening", F.col("__at") == F.min("__at").over(whole))
     mixed = F.when((F.col("__roman") > 0) & (F.col("__arabic") > 0), F.when(F.col("__roman") >= F.col("__arabic"), "roman").otherwise("arabic"))
     roman = F.get(F.array(*map(F.lit, tn.ROMAN_NUMERALS)), F.col("seq") - 1)
     mark = F.when(F.col("mixed") == "roman", F.when(F.col("kind") == "arabic", roman)).when((F.col("mixed") == "arabic") & (F.col("kind") == "roman"), F.col("seq").cast("string"))
     rest = F.concat(F.regexp_extract(text, MARKER, 3), F.regexp_replace(text, F.lit(MARKER), F.lit("")))
-    first = F.min(F.when(F.col("kind").isNotNull(), F.col(pos))).over(Window.partitionBy(*keys, "kind", "seq"))
+    first = F.min(F.when(F.col("kind").isNotNull(), F.col("__at"))).over(Window.partitionBy(*keys, "kind", "seq"))
     beyond = (F.col("mixed") == "roman") & (F.col("kind") == "arabic") & (F.col("seq") > 10)
     return (
         counted.withColumn("mixed", mixed)
         .withColumn("articles", (F.col("__article") > 0) & (F.col("__roman") + F.col("__arabic") > 0))
         .withColumn("new_text", F.when(mark.isNotNull(), F.concat(mark, F.lit("."), rest)).otherwise(F.col(text)))
-        .withColumn("first_pos", F.when(F.col("kind").isNotNull() & (first < F.col(pos)), first))
-        .withColumn("warning", F.when(beyond, "not_convertible").when(F.col("first_pos").isNotNull(), "duplicate_number"))
-        .drop("__roman", "__arabic", "__article")
+        .withColumn("first_pos", F.when(F.col("kind").isNotNull() & (first < F.col("__at")), first))
+        .withColumn("beyond", F.coalesce(beyond, F.lit(False)))
+        .drop("__roman", "__arabic", "__article", "__at")
+    )
+
+
+def warnings() -> Column:
+    """Array of what ``normalize`` found for a line: all that holds, and the document's own on its first line."""
+    style = F.when(F.col("mixed") == "roman", "罗马数字").otherwise("阿拉伯数字")
+    label = F.when(F.col("kind") == "roman", "罗马序号 ").when(F.col("kind") == "arabic", "阿拉伯序号 ").otherwise("条款序号 ")
+    told = F.array(
+        F.when(F.col("opening") & F.col("mixed").isNotNull(), F.concat(F.lit("编号体系混用: 已统一为 "), style)),
+        F.when(F.col("opening") & F.col("articles"), F.lit("编号混用: 条款编号(Article/Clause/Section)与列表编号混用，未自动修改，请人工确认")),
+        F.when(F.col("beyond"), F.concat(F.lit("编号未转换: 序号 "), F.col("seq").cast("string"), F.lit(" 超出罗马数字可表示范围(1-10)"))),
+        F.when(F.col("first_pos").isNotNull(), F.concat(F.lit("编号重复: "), label, F.col("seq").cast("string"))),
     )
+    return F.filter(told, lambda w: w.isNotNull())

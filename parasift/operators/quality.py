@@ -67,7 +67,8 @@ def residue_warnings(segments: DataFrame, text: str = "text") -> DataFrame:
 
 def split_warning(warning: Column) -> Column:
     """Struct of ``loc`` and ``preview``."""
-    return F.struct(F.substring_index(warning, ": ", 1).alias("loc"), F.substring(F.when(warning.contains(": "), F.expr("substring(warning, instr(warning, ': ') + 2)")).otherwise(""), 1, SHOWN).alias("preview"))
+    rest = F.substr(warning, F.position(F.lit(": "), warning) + 2)
+    return F.struct(F.substring_index(warning, ": ", 1).alias("loc"), F.substring(F.when(warning.contains(": "), rest).otherwise(""), 1, SHOWN).alias("preview"))
 
 
 def file_summary(warnings: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
@@ -92,23 +93,55 @@ def job_summary(results: DataFrame) -> DataFrame:
     ).withColumn("severity", job_severity(F.col("warnings")))
 
 
-def contexts(warnings: DataFrame, segments: DataFrame) -> DataFrame:
-    """Source and target snippets of each warning's segment (file_id, pos)."""
-    shown = segments.select("file_id", "pos", tn.snippet(F.col("cn_text")).alias("cn"), tn.snippet(F.col("en_text")).alias("en"))
-    return warnings.join(shown, ["file_id", "pos"], "left")
+PLACE = ["file_id", "region", "tbl", "row", "col", "box", "pos"]
 
 
-def render_html(title: str, summary: list[dict], warnings: list[dict], limit: int = 500) -> str:
-    """A report page of a small result: one card a file, then its warnings by place."""
+def contexts(warnings: DataFrame, segments: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """Source and target snippets of each warning's segment; both have the columns of its place, null where
+    a region has none."""
+    place = place or PLACE
+    shown = segments.select(*(F.col(c).alias(f"__{c}") for c in place), tn.snippet(F.col("cn_text")).alias("cn"), tn.snippet(F.col("en_text")).alias("en"))
+    same = [warnings[c].eqNullSafe(F.col(f"__{c}")) for c in place]
+    return warnings.join(shown, same, "left").drop(*(f"__{c}" for c in place))
 
-    def escape(value: object) -> str:
-        return str(value).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
+def aligned(source: DataFrame, target: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """Segments of a source document with those of its translation by place: ``text`` and
+    ``translated_text``. Inner: what only one side has is left out, as when lists are zipped."""
+    place = place or PLACE
+    other = target.select(*(F.col(c).alias(f"__{c}") for c in place), F.col("text").alias("translated_text"))
+    same = [source[c].eqNullSafe(F.col(f"__{c}")) for c in place]
+    return source.join(other, same).drop(*(f"__{c}" for c in place))
+
+
+def _escape(value: object) -> str:
+    return str(value).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def render_html(title: str, summary: list[dict], warnings: list[dict], files: int | None = None, warned: int | None = None) -> str:
+    """A report page: one card a file, then its warnings by place. ``files`` and ``warned`` are the whole
+    numbers of files and warnings; where the page shows fewer, it says so."""
     by_file: dict = {}
-    for w in warnings[:limit]:
+    for w in warnings:
         by_file.setdefault(w["file_id"], []).append(w["warning"])
     cards = []
     for row in summary:
-        items = "".join(f"<li><b>{escape(w.partition(': ')[0])}</b> {escape(w.partition(': ')[2][:SHOWN])}</li>" for w in by_file.get(row["file_id"], []))
-        cards.append(f"<section class='{escape(row['severity'] or 'clean')}'><h2>{escape(row['file_id'])}</h2><p>{row['warning_count']}</p><ul>{items}</ul></section>")
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{''.join(cards)}</body></html>"
+        items = "".join(f"<li><b>{_escape(w.partition(': ')[0])}</b> {_escape(w.partition(': ')[2][:SHOWN])}</li>" for w in by_file.get(row["file_id"], []))
+        cards.append(f"<section class='{_escape(row['severity'] or 'clean')}'><h2>{_escape(row['file_id'])}</h2><p>{row['warning_count']}</p><ul>{items}</ul></section>")
+    notes = [f"{len(some)} of {every} {what} shown" for some, every, what in ((summary, files, "files"), (warnings, warned, "warnings")) if every is not None and every > len(some)]
+    return _page(title, "".join(f"<p class='note'>{n}</p>" for n in notes) + "".join(cards))
+
+
+def render_job_html(title: str, totals: dict, files: list[dict], every: int | None = None) -> str:
+    """A job's page: its totals, then a card a file with its severity and categories."""
+    head = "".join(f"<dt>{_escape(k)}</dt><dd>{_escape(totals[k])}</dd>" for k in ("severity", "warnings", "clean_files", "done", "failed_count"))
+    cards = []
+    for f in files:
+        kinds = "".join(f"<li>{_escape(k)}: {n}</li>" for k, n in sorted((f.get("categories") or {}).items()))
+        cards.append(f"<section class='{_escape(f.get('severity') or 'clean')}'><h2>{_escape(f['name'])}</h2><p>{_escape(f['status'])}, {f.get('warning_count') or 0}</p><ul>{kinds}</ul></section>")
+    note = f"<p class='note'>{len(files)} of {every} files shown</p>" if every is not None and every > len(files) else ""
+    return _page(title, f"<dl class='{_escape(totals['severity'])}'>{head}</dl>{note}{''.join(cards)}")
+
+
+def _page(title: str, body: str) -> str:
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{_escape(title)}</title></head><body><h1>{_escape(title)}</h1>{body}</body></html>"

@@ -545,7 +545,7 @@ SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, 'source ' || o
 """)
 def warning_contexts(orders: DataFrame) -> DataFrame:
     keys = orders.select(_n(F.col("o_custkey")).alias("file_id"), F.col("o_orderkey").cast("int").alias("pos"), F.concat(F.lit("source \n "), "o_orderkey").alias("cn_text"), F.col("o_orderpriority").alias("en_text"))
-    return quality.contexts(keys.where("pos % 3 = 0").select("file_id", "pos"), keys)
+    return quality.contexts(keys.where("pos % 3 = 0").select("file_id", "pos"), keys, ["file_id", "pos"])
 
 
 def _results(orders: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,9 +47,24 @@ def summary(results: DataFrame) -> DataFrame:
     return totals.withColumn("status", F.when((F.col("done") == 0) & (F.col("failed_count") > 0), "failed").otherwise("completed"))
 
 
-def bundle(results: DataFrame, names: DataFrame, load, limit: int = 1000) -> bytes:
-    """A ZIP of a job's finished documents; ``load`` reads an output. One job's files, ``limit`` at most."""
-    rows = named(results.where("status = 'completed'"), names).orderBy("pos").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} files in one bundle")
-    return docx.bundle([(r["name"], load(r["output"])) for r in rows])
+def bundle(results: DataFrame, names: DataFrame, load: Callable[[str], bytes], target: BinaryIO) -> int:
+    """Writes a ZIP of a job's finished documents to ``target`` and returns their number; ``load`` reads an
+    output. One document is in memory at a time, however many there are."""
+    rows = named(results.where("status = 'completed'"), names).orderBy("pos", "file_id")
+    count = rows.count()
+    docx.bundle(((r["name"], load(r["output"])) for r in rows.toLocalIterator()), target)
+    return count
+
+
+def save(table: DataFrame, store: str, name: str, keys: list[str]) -> None:
+    """Rows added to the table ``name`` in the folder ``store``: jobs, results, glossaries and their terms. Of
+    rows with equal ``keys`` the last saved counts when they are read."""
+    stamped = table.withColumn("saved_at", F.current_timestamp())
+    stamped.write.mode("append").option("mergeSchema", "true").parquet(f"{store}/{name}")
+
+
+def load(spark: SparkSession, store: str, name: str, keys: list[str]) -> DataFrame:
+    """The table ``name`` as last saved: for equal ``keys`` the rows of the latest save."""
+    every = spark.read.option("mergeSchema", "true").parquet(f"{store}/{name}")
+    latest = every.groupBy(*keys).agg(F.max("saved_at").alias("saved_at"))
+    return every.join(latest, [*keys, "saved_at"]).drop("saved_at")

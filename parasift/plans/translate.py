@@ -18,18 +18,27 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
+from parasift.sources import docx
 from parasift.staging import stage
 
 ATTEMPTS, FIRST_PAUSE = 3, 0.6
-POLISH_FROM = 120
+POLISH_FROM, POLISH_LEAST = 120, 10
+#: A text under so many characters is asked for a third time if Chinese is left.
+SHORT = 300
+#: Calls under way at once to a remote model; the offline stand-in has no such bound.
 MOST_CALLERS = 6
+# What the model is told beside the text.
+FULLY = "Please fully translate the following Chinese to English (no Chinese characters should remain)."
+STRICTLY = "Translate the text below to English ONLY. Your output MUST contain NO Chinese characters whatsoever; if any Chinese remains, retranslate the whole text."
+PRESERVE = "CRITICAL: every number, amount, date and identifier listed below must appear in your translation verbatim. Must-preserve values:"
+RESTORED, NOT_RESTORED = "保真重译: 已自动恢复缺失的数字/金额", "保真重译后仍有数字缺失，请人工核对"
 FIX_ORDER = ["term", "numbering", "duplicate", "fidelity", "chinese"]
 
 
 class Translator(Protocol):
     """What turns a source text into a translation; one is made in each worker."""
 
-    def translate(self, text: str, terms: Mapping[str, str]) -> str: ...
+    def translate(self, text: str, terms: Mapping[str, str], instruction: str = "") -> str: ...
 
     def polish(self, text: str) -> str: ...
 
@@ -37,10 +46,10 @@ class Translator(Protocol):
 class OfflineTranslator:
     """Deterministic stand-in: terms replaced, nothing else."""
 
-    def translate(self, text: str, terms: Mapping[str, str]) -> str:
-        for cn in sorted(terms, key=len, reverse=True):
-            text = text.replace(cn, terms[cn])
-        return text
+    def translate(self, text: str, terms: Mapping[str, str], instruction: str = "") -> str:
+        if getattr(self, "terms", None) is not terms:
+            self.terms, self.replace = terms, glossary.Replacer(sorted(((c, e) for c, e in terms.items() if c), key=lambda t: -len(t[0])))
+        return self.replace(text)
 
     def polish(self, text: str) -> str:
         return text
@@ -57,19 +66,21 @@ def with_retries(call: Callable[[], str], attempts: int = ATTEMPTS, pause: float
     raise AssertionError
 
 
-def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: int = MOST_CALLERS) -> DataFrame:
+def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: int | None = None, instruction: str | None = None) -> DataFrame:
     """``df`` with ``column`` run through the translator and ``model_error`` where it failed thrice: the
-    text then stays as it was. ``callers`` bounds the partitions, and so the calls under way at once. The
-    answers are written once: no later step or lost executor asks again for what has been answered."""
+    text then stays as it was. ``instruction`` names a column with what the model is told beside the text.
+    ``callers`` bounds the partitions, and so the calls under way at once. The answers are written once: no
+    later step or lost executor asks again for what has been answered."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", model_error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for frame in frames:
             texts, errors = [], []
-            for text in frame[column]:
+            told = frame[instruction] if instruction else [""] * len(frame)
+            for text, more in zip(frame[column], told):
                 try:
-                    done = with_retries(lambda: model.translate(text, terms or {}) if method == "translate" else model.polish(text))
+                    done = with_retries(lambda: model.translate(text, terms or {}, more or "") if method == "translate" else model.polish(text))
                     texts.append(done or text)
                     errors.append(None)
                 except Exception as error:
@@ -77,20 +88,123 @@ def call_model(df: DataFrame, column: str, make: Callable[[], Translator], metho
                     errors.append(str(error))
             yield frame.assign(**{column: texts, "model_error": errors})
 
-    return stage(df.repartition(callers).mapInPandas(run, schema), f"model-{method}")
+    asked = df if callers is None else df.repartition(callers)
+    return stage(asked.mapInPandas(run, schema), f"model-{method}")
+
+
+class _Job:
+    """What all steps of one translation share."""
+
+    def __init__(self, terms: Mapping[str, str], make: Callable[[], Translator], callers: int | None, keys: list[str], feedback: str | None = None):
+        self.terms, self.make, self.keys, self.feedback = dict(terms), make, keys, feedback
+        self.callers = callers if callers is not None or make is OfflineTranslator else MOST_CALLERS
+        self.rare: DataFrame | None = None
+
+    def watch(self, segments: DataFrame) -> None:
+        """Words that are rare in a region's source are protected from the removal of repeats there."""
+        self.rare = stage(dedup.protected_tokens(segments, "text", self.keys).select(*self.keys, "token"), "rare-words")
+
+    def clean(self, rows: DataFrame, text: str) -> DataFrame:
+        """``rows`` with ``text`` cleaned, written once. A row gets those of its region's protected words that it
+        holds."""
+        if self.rare is None:
+            return stage(cleaning.clean_segments(rows, text).drop("dedup_audit"), "cleaned")
+        guarded = dedup.with_protected(rows, text, self.keys, self.rare)
+        return stage(cleaning.clean_segments(guarded, text, "protected").drop("dedup_audit", "protected"), "cleaned")
+
+    def speak(self, rows: DataFrame, instruction: Column | str | None = None) -> DataFrame:
+        """``rows`` with ``spoken`` and ``model_error``: dates converted, numbers masked, chunks of whole
+        sentences translated, joined and unmasked; labels, remarks and marks of the model taken out. A URL
+        line is no business of the model; where it failed, ``spoken`` is the source."""
+        columns = rows.columns
+        told = F.lit(instruction or "") if not isinstance(instruction, Column) else instruction
+        if self.feedback:
+            told = F.concat_ws("\n\n", F.when(told != "", told), F.lit(self.feedback))
+        masked = rows.withColumn("__told", told).withColumn("__g", guards.mask(tn.convert_chinese_dates(F.col("text")))).withColumn("__row", F.monotonically_increasing_id())
+        chunks = masked.select(*columns, "__row", "__told", F.col("__g.guards").alias("__guards"), F.posexplode(tn.split_long(F.col("__g.text"))).alias("__n", "__chunk"))
+        spoken = call_model(chunks, "__chunk", self.make, "translate", self.terms, self.callers, "__told")
+        whole = spoken.groupBy("__row").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__chunk"))), lambda c: c["__chunk"]), "").alias("__text"),
+            F.first("__guards").alias("__guards"),
+            F.max("model_error").alias("model_error"),
+            *(F.first(c).alias(c) for c in columns),
+        )
+        restored = guards.restore(F.trim("__text"), F.col("__guards"))
+        text = F.when(F.col("model_error").isNotNull(), F.col("text")).otherwise(restored)
+        return whole.withColumn("spoken", tidied(text)).select(*columns, "spoken", "model_error")
+
+    def again(self, rows: DataFrame, which: Column, instruction: Column | str, taken: Column) -> DataFrame:
+        """``rows``, a staged table, with the chosen ones asked for once more; the answer, cleaned, counts where ``taken`` (over
+        ``spoken`` and ``translated_text``) and the model did not fail. ``retaken`` tells where it did."""
+        which = F.coalesce(which, F.lit(False))
+        if not rows.where(which).limit(1).count():
+            return rows.withColumn("retaken", F.lit(False))
+        asked = self.clean(stage(self.speak(rows.where(which), instruction), "asked"), "spoken")
+        taken = F.col("model_error").isNull() & F.coalesce(taken, F.lit(False))
+        asked = asked.withColumn("retaken", taken).withColumn("translated_text", F.when(F.col("retaken"), F.col("spoken")).otherwise(F.col("translated_text")))
+        rest = rows.where(~which).withColumn("retaken", F.lit(False))
+        return stage(rest.unionByName(asked.drop("spoken", "model_error")), "retried")
+
+    def polish(self, rows: DataFrame) -> DataFrame:
+        """``translated_text`` of ``rows``, of a staged table, polished: cleaned, dates and numbers masked, asked, unmasked, cleaned
+        again. Lines with a URL are only cleaned, as is what the model fails on."""
+        if not rows.limit(1).count():
+            return rows
+        first = stage(cleaning.clean_segments(rows, "translated_text").drop("dedup_audit"), "cleaned")
+        asked = first.withColumn("__link", F.coalesce(tn.contains_url(F.col("translated_text")), F.lit(False)))
+        masked = stage(asked.where("not __link").withColumn("__g", guards.mask_polish(F.col("translated_text"))).withColumn("translated_text", F.col("__g.text")), "masked")
+        spoken = call_model(masked, "translated_text", self.make, "polish", None, self.callers)
+        back = spoken.withColumn("translated_text", guards.restore(F.trim("translated_text"), F.col("__g.guards"))).drop("__g", "model_error")
+        return cleaning.clean_segments(back, "translated_text").drop("dedup_audit").unionByName(asked.where("__link")).drop("__link")
+
+    def complete(self, rows: DataFrame, notes: str) -> DataFrame:
+        """``translated_text`` with cut terms made whole, and what was done added to the array ``notes``."""
+        done = rows.withColumn("__c", glossary.completed(F.col("translated_text"), self.terms))
+        told = F.transform("__c.audit", lambda a: F.concat(F.lit("术语补全: 「"), a["from_text"], F.lit("」→「"), a["to_text"], F.lit("」")))
+        return stage(done.withColumn("translated_text", F.col("__c.text")).withColumn(notes, F.concat(notes, told)).drop("__c"), "completed")
+
+    def findings(self) -> Column:
+        """Warnings of a row's numbers and terms."""
+        return F.concat(fidelity.warnings(F.col("text"), F.col("translated_text")), glossary.term_warnings(F.col("text"), F.col("translated_text"), self.terms))
+
+
+def tidied(text: Column) -> Column:
+    """A translation without labels, remarks, revision tags and markdown."""
+    return tn.strip_markdown(tn.strip_revision_tags(tn.fix_cn_labels(text)))
+
+
+def _residue(text: Column) -> Column:
+    return F.size(tn.chinese_residue(text))
+
+
+def _lost(target: Column) -> Column:
+    return F.size(fidelity.warnings(F.col("text"), target))
+
 
+def _must_preserve() -> Column:
+    return F.concat(F.lit(PRESERVE + "\n- "), F.array_join(guards.must_preserve(F.col("text")), "\n- "))
 
-def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int = MOST_CALLERS) -> DataFrame:
+
+def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int | None = None, feedback: str | None = None) -> DataFrame:
     """Rows (``file_id``, ``region``, ``pos``, ``text``; other key columns pass) with ``route``,
-    ``translated_text`` and ``warnings``."""
-    keyed = segments.withColumn("route", tn.route(F.col("text")))
-    blank = keyed.where("route = 'blank' or route is null").withColumn("translated_text", F.col("text"))
-    term = keyed.where("route = 'term'").withColumn("translated_text", glossary.translate_terms(F.col("text"), terms))
-    url = keyed.where("route = 'url'")
-    url = url.withColumn("translated_text", tn.fix_cn_labels(cleaning.url_line(F.col("text"), dict(terms))))
-    model = _through_model(keyed.where("route = 'model'"), terms, make, callers)
+    ``translated_text`` and ``warnings``.
+
+    Blank and null texts stay. Lines with a URL and short lines without Chinese need no model: labels and
+    terms are replaced, the rest cleaned. All others go through the model. ``callers`` bounds the calls under
+    way at once, ``MOST_CALLERS`` unless the translator is the offline one; ``feedback`` is told to the model
+    with every text.
+    """
+    job = _Job(terms, make, callers, ["file_id", "region"], feedback)
     empty = F.array().cast("array<string>")
-    return unions([x.withColumn("warnings", empty) for x in (blank, term, url)] + [model])
+    keyed = segments.withColumn("route", tn.route(F.col("text"))).withColumn("warnings", empty)
+    job.watch(segments)
+    blank = keyed.where("route = 'blank' or route is null").withColumn("translated_text", F.col("text"))
+    url = keyed.where("route = 'url'").withColumn("translated_text", tn.fix_cn_labels(cleaning.url_line(F.col("text"), job.terms)))
+    term = keyed.where("route = 'term'").withColumn("translated_text", tidied(glossary.translate_terms(F.col("text"), job.terms)))
+    term = job.complete(job.clean(term, "translated_text"), "warnings")
+    model = _through_model(keyed.where("route = 'model'"), job)
+    names = model.columns
+    return unions([x.select(names) for x in (blank, job.clean(url, "translated_text"), term, model)])
 
 
 def unions(parts: list[DataFrame]) -> DataFrame:
@@ -100,64 +214,43 @@ def unions(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _speak(rows: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
-    """``rows`` with ``translated_text`` and ``model_error``: dates converted, numbers masked, chunks of
-    whole sentences translated, joined and unmasked. Where the model failed, terms alone are replaced."""
-    columns = rows.columns
-    masked = rows.withColumn("__g", guards.mask(tn.convert_chinese_dates(F.col("text")))).withColumn("__row", F.monotonically_increasing_id())
-    chunks = masked.select(*columns, "__row", F.col("__g.guards").alias("__guards"), F.posexplode(tn.split_long(F.col("__g.text"))).alias("__n", "__chunk"))
-    spoken = call_model(chunks, "__chunk", make, "translate", terms, callers)
-    whole = spoken.groupBy("__row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__chunk"))), lambda c: c["__chunk"]), "").alias("__text"),
-        F.first("__guards").alias("__guards"),
-        F.max("model_error").alias("model_error"),
-        *(F.first(c).alias(c) for c in columns),
-    )
-    restored = guards.restore(F.trim("__text"), F.col("__guards"))
-    text = F.when(F.col("model_error").isNotNull(), glossary.translate_terms(F.col("text"), terms)).otherwise(restored)
-    return whole.withColumn("__new", tn.strip_markdown(tn.strip_revision_tags(tn.fix_cn_labels(text)))).select(*columns, F.col("__new").alias("__spoken"), "model_error")
-
-
-def _retry(rows: DataFrame, bad: Column, better: Callable[[Column], Column], terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
-    """Bad rows once more through the model; the answer counts only if it is ``better``."""
-    bad = F.coalesce(bad, F.lit(False))
-    again = _speak(rows.where(bad), terms, make, callers)
-    taken = F.col("model_error").isNull() & better(F.col("__spoken"))
-    again = again.withColumn("translated_text", F.when(taken, F.col("__spoken")).otherwise(F.col("translated_text")))
-    return stage(rows.where(~bad).unionByName(again.drop("__spoken", "model_error")), "retried")
-
-
-def _residue(text: Column) -> Column:
-    return F.size(tn.chinese_residue(text))
-
-
-def _findings(target: Column) -> Column:
-    return F.size(fidelity.warnings(F.col("text"), target))
-
-
-def _through_model(rows: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator], callers: int) -> DataFrame:
-    """First answer, a retry where Chinese is left, clean-up, polish of long texts, completion of terms, a
-    retry where numbers are missing that counts if it has fewer findings; then the findings."""
+def _through_model(rows: DataFrame, job: _Job) -> DataFrame:
+    """First answer; where Chinese is left, a second and, for short texts, a third, then terms alone; clean-up;
+    polish of long texts; completion of terms; where numbers are missing, an answer asked for with a list of
+    them, which counts if it has fewer findings. Then the findings."""
     columns = rows.columns
-    first = stage(_speak(rows, terms, make, callers).withColumnRenamed("__spoken", "translated_text").drop("model_error"), "spoken")
-    first = _retry(first, _residue(F.col("translated_text")) > 0, lambda t: _residue(t) < _residue(F.col("translated_text")), terms, make, callers)
-    clean = stage(cleaning.clean_segments(first, "translated_text"), "cleaned")
-    long = F.coalesce(F.length("translated_text") > POLISH_FROM, F.lit(False))
-    polished = call_model(clean.where(long), "translated_text", make, "polish", None, callers).drop("model_error")
-    both = polished.unionByName(clean.where(~long))
-    done = both.withColumn("__c", glossary.completed(F.col("translated_text"), terms)).withColumn("translated_text", F.col("__c.text"))
-    completions = F.transform("__c.audit", lambda a: F.concat(F.lit("术语补全: "), a["from_text"], F.lit(" → "), a["to_text"]))
-    repeats = F.transform(F.filter("dedup_audit", lambda a: a["action"] == "kept_warn"), lambda a: F.concat(F.lit("重复检测[需人工确认]: 「"), a["dup"], F.lit("」置信度: 中")))
-    noted = done.withColumn("__notes", F.concat(completions, repeats)).select(*columns, "translated_text", "__notes")
-    kept = _retry(noted, _findings(F.col("translated_text")) > 0, lambda t: _findings(t) < _findings(F.col("translated_text")), terms, make, callers)
-    return kept.withColumn("warnings", F.concat(fidelity.warnings(F.col("text"), F.col("translated_text")), "__notes")).select(*columns, "translated_text", "warnings")
+    terms_only = glossary.translate_terms(F.col("text"), job.terms)
+    first = job.speak(rows)
+    first = first.withColumn("translated_text", F.when(F.col("model_error").isNotNull(), tidied(terms_only)).otherwise(F.col("spoken"))).drop("spoken", "model_error")
+    left = _residue(F.col("translated_text")) > 0
+    second = job.again(stage(first, "spoken"), left, FULLY, F.lit(True)).withColumnRenamed("retaken", "__second")
+    short = left & F.col("__second") & (F.length("text") < SHORT)
+    third = job.again(second, short, STRICTLY, F.lit(True)).withColumn("__third", short & F.col("__second")).drop("retaken", "__second")
+    bare = F.when(F.col("__third") & left, tidied(terms_only))
+    third = third.withColumn("translated_text", F.when(_residue(bare) == 0, bare).otherwise(F.col("translated_text"))).drop("__third")
+    clean = job.clean(third, "translated_text")
+    long = F.coalesce(F.length("translated_text") > max(POLISH_FROM, POLISH_LEAST - 1), F.lit(False))
+    both = job.polish(clean.where(long)).unionByName(clean.where(~long))
+    done = job.complete(both.withColumn("__notes", F.array().cast("array<string>")), "__notes")
+    lost = _lost(F.col("translated_text"))
+    asked = (lost > 0) & guards.must_preserve(F.col("text")).isNotNull()
+    kept = job.again(done, asked, _must_preserve(), _lost(F.col("spoken")) < lost)
+    retaken = job.complete(kept.where("retaken").withColumn("__more", F.array().cast("array<string>")), "__more")
+    status = F.when(_lost(F.col("translated_text")) > 0, NOT_RESTORED).otherwise(RESTORED)
+    retaken = retaken.withColumn("__notes", F.concat("__more", F.array(status), "__notes")).drop("__more")
+    whole = retaken.unionByName(kept.where("not retaken"))
+    return whole.withColumn("warnings", F.concat(job.findings(), "__notes")).select(*columns, "translated_text")
 
 
 def number_document(translated: DataFrame, keys: list[str]) -> DataFrame:
-    """List numbers made one style in each document of ``keys``; warnings join those of the line."""
-    numbered = numbering.normalize(translated, keys, "pos", "translated_text")
-    told = F.when(F.col("warning").isNotNull(), F.array(F.concat(F.lit("编号"), F.lit(": "), F.col("warning")))).otherwise(F.array().cast("array<string>"))
-    return numbered.withColumn("warnings", F.concat("warnings", told)).withColumn("translated_text", F.col("new_text")).select(*translated.columns)
+    """List numbers made one style in each document of ``keys``, in the document's order; what was found joins
+    the warnings of its line."""
+    placed = translated
+    for name in ("tbl", "row", "col", "box"):
+        if name not in translated.columns:
+            placed = placed.withColumn(name, F.lit(None).cast("int"))
+    numbered = numbering.normalize(placed, keys, numbering.document_order(), "translated_text")
+    return numbered.withColumn("warnings", F.concat("warnings", numbering.warnings())).withColumn("translated_text", F.col("new_text")).select(*translated.columns)
 
 
 def quality_gate(translated: DataFrame) -> DataFrame:
@@ -172,27 +265,65 @@ def quality_gate(translated: DataFrame) -> DataFrame:
     return own.unionByName(left).unionByName(repeats)
 
 
-def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int = MOST_CALLERS) -> DataFrame:
+def audited(segments: DataFrame, terms: Mapping[str, str]) -> DataFrame:
+    """``segments`` with ``warnings`` found anew: numbers and terms of each line, numbering of each file.
+    Residue and repeats are the quality gate's."""
+    job = _Job(terms, OfflineTranslator, None, [])
+    found = F.when(tn.route(F.col("text")) == "model", job.findings()).otherwise(F.array().cast("array<string>"))
+    return number_document(segments.withColumn("warnings", found), ["file_id"]).withColumn("translated_text", F.col("translated_text"))
+
+
+def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int | None = None) -> DataFrame:
     """``segments`` (file_id, region, pos, text: source; translated_text, warnings) after the asked-for
-    ``fixes``, always in the order term, numbering, duplicate, fidelity, chinese. Body and cells only; a
-    text box, and a file that no fix changes, keeps its texts and warnings."""
+    ``fixes``, always in the order term, numbering, duplicate, fidelity, chinese.
+
+    Body and cells only; a text box keeps its text. A file that no fix changes keeps its warnings; one that
+    changes is audited anew, so warnings of what was mended go and new ones come.
+    """
     unknown = set(fixes) - set(FIX_ORDER)
     if unknown:
         raise ValueError(f"no such fix: {sorted(unknown)}")
-    columns, boxes = segments.columns, segments.where("region = 'textbox'")
-    now = segments.where("region <> 'textbox'")
+    columns, job = segments.columns, _Job(terms, make, callers, ["file_id", "region"])
+    boxes = segments.where("region = 'textbox'").withColumn("__was", F.col("translated_text"))
+    now = segments.where("region is null or region <> 'textbox'").withColumn("__was", F.col("translated_text"))
     for fix in (f for f in FIX_ORDER if f in fixes):
+        target = F.col("translated_text")
         if fix == "term":
-            now = now.withColumn("translated_text", glossary.completed(F.col("translated_text"), terms)["text"])
+            now = stage(now.withColumn("translated_text", glossary.completed(target, job.terms)["text"]), "fixed")
         elif fix == "numbering":
             now = number_document(now, ["file_id"])
         elif fix == "duplicate":
-            now = now.withColumn("translated_text", dedup.dedup(F.col("translated_text"))["text"])
+            now = stage(now.withColumn("translated_text", dedup.dedup(target)["text"]), "fixed")
         elif fix == "fidelity":
-            now = _retry(now, _findings(F.col("translated_text")) > 0, lambda t: _findings(t) == 0, terms, make, callers)
+            # The source of a table cell is no part of this fix, as it is found by body position only.
+            asked = (F.col("region") == "body") & (_lost(target) > 0) & guards.must_preserve(F.col("text")).isNotNull()
+            now = job.again(stage(now, "fixed"), asked, _must_preserve(), _lost(F.col("spoken")) == 0).drop("retaken")
         else:
-            now = _retry(now, _residue(F.col("translated_text")) > 0, lambda t: _residue(t) == 0, terms, make, callers)
-    return now.select(columns).unionByName(boxes)
+            now = job.again(stage(now, "fixed"), _residue(target) > 0, FULLY, _residue(F.col("spoken")) == 0).drop("retaken")
+    done = stage(now.unionByName(boxes), "fixed")
+    changed = done.where(~F.col("translated_text").eqNullSafe(F.col("__was"))).select("file_id").distinct()
+    fresh = audited(done.join(changed, "file_id", "left_semi").select(columns), terms)
+    same = done.join(changed, "file_id", "left_anti").select(columns)
+    before = segments.select(*[F.col(c).alias(f"__{c}") for c in quality.PLACE if c in columns], F.col("warnings").alias("__warnings"))
+    keyed = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in quality.PLACE if c in columns]
+    kept = same.drop("warnings").join(before, keyed).withColumn("warnings", F.col("__warnings")).select(columns)
+    return fresh.select(columns).unionByName(kept)
+
+
+def revise_segments(segments: DataFrame, previous: DataFrame | None, feedback: str, answer: Mapping, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int | None = None) -> DataFrame:
+    """A translation revised after ``feedback``: translated again with it where ``answer`` (of
+    ``interpret_feedback``) asks for that or there is no ``previous`` translation, then with the formats that
+    it asks for, or, if it names none, that the feedback's own words do."""
+    if answer["needs_retranslation"] or previous is None:
+        done = number_document(translate_segments(segments, terms, make, callers, feedback), ["file_id", "region"])
+    else:
+        done = previous
+    spark = segments.sparkSession
+    rows = [(i, a["action"], str(a.get("value")), a.get("region"), list(a.get("indices") or [])) for i, a in enumerate(answer["actions"])]
+    if not rows:
+        asked = spark.range(1).select(docx.keyword_actions(F.lit(feedback)).alias("a")).first()["a"]
+        rows = [(i, a["action"], a["value"], None, []) for i, a in enumerate(asked)]
+    return docx.apply_actions(done, spark.createDataFrame(rows, "ord int, action string, value string, region string, indices array<int>"))
 
 
 def parse_actions(response: Column) -> Column:

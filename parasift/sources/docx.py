@@ -10,7 +10,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -24,12 +25,14 @@ _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _XML_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 FONT = "Times New Roman"
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,font_name:string,font_size:double,highlight:int,color:string>"
-SEGMENTS = f"file_id string, region string, pos int, tbl int, row int, col int, box int, text string, alignment int, runs array<{RUN}>"
+SEGMENTS = f"file_id string, region string, pos int, tbl int, row int, col int, box int, text string, alignment int, runs array<{RUN}>, error string"
 # Numbers of alignments and highlights in the object model of Word.
 ALIGNMENTS = {"left": 0, "start": 0, "center": 1, "right": 2, "end": 2, "both": 3, "distribute": 4}
 HIGHLIGHTS = "black blue turquoise brightGreen pink red yellow white darkBlue teal green violet darkRed darkYellow gray50 gray25".split()
 HIGHLIGHT_NAMES = {"cyan": "turquoise", "magenta": "pink", "darkCyan": "teal", "darkGreen": "green", "darkMagenta": "violet", "darkGray": "gray50", "lightGray": "gray25", "green": "brightGreen"}
 FONT_SLOTS = ["ascii", "hAnsi", "eastAsia", "cs"]
+THEME_FONTS = ["asciiTheme", "hAnsiTheme", "eastAsiaTheme", "cstheme"]
+FORMATS = "struct<bold:boolean,italic:boolean,font_name:string,color:string>"
 PROPERTIES_BEFORE_SPACING = ["pStyle", "keepNext", "keepLines", "pageBreakBefore", "framePr", "widowControl", "numPr", "suppressLineNumbers", "pBdr", "shd", "tabs", "suppressAutoHyphens", "kinsoku", "wordWrap", "overflowPunct", "topLinePunct", "autoSpaceDE", "autoSpaceDN", "bidi", "adjustRightInd", "snapToGrid"]
 FORMAT_KEYWORDS = [
     (["单倍行距", "single spacing", "一倍行距"], "line_spacing", "single"),
@@ -125,18 +128,58 @@ def segments_of(raw: bytes) -> list[dict]:
     return rows
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """``SEGMENTS`` of all ``.docx`` files below ``path``; ``file_id`` is the file's path."""
+def parse_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``SEGMENTS`` of files (path, content); a file that cannot be read is one row with its ``error``."""
+    names = [f.strip().split(" ", 1)[0] for f in SEGMENTS.split(", ")]
+    for frame in frames:
+        for file_id, raw in zip(frame["path"], frame["content"]):
+            try:
+                rows = [{"file_id": file_id} | s for s in segments_of(raw)]
+            except Exception as error:  # one file's failure is that file's row
+                rows = [{"file_id": file_id, "error": f"{type(error).__name__}: {error}"}]
+            table = pd.DataFrame(rows, columns=names)
+            yield table.astype({c: "Int32" for c in ("pos", "tbl", "row", "col", "box", "alignment")} | {"error": object}).where(table.notna(), None)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.strip().split(" ", 1)[0] for f in SEGMENTS.split(", ")]
-        for frame in frames:
-            for file_id, raw in zip(frame["path"], frame["content"]):
-                rows = pd.DataFrame([{"file_id": file_id} | s for s in segments_of(raw)], columns=names)
-                yield rows.astype({c: "Int32" for c in ("pos", "tbl", "row", "col", "box", "alignment")})
 
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """``SEGMENTS`` of all ``.docx`` files below ``path``; ``file_id`` is the file's path. ``error`` is null but
+    for the one row of a file that cannot be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    return files.select("path", "content").mapInPandas(parse, SEGMENTS)
+    return files.select("path", "content").mapInPandas(parse_files, SEGMENTS)
+
+
+def new_document(segments: list[dict]) -> bytes:
+    """A package with body paragraphs and tables of one cell a row from (region, tbl, row, text, runs), in order;
+    ``runs`` are (text, bold, italic, color) or, if absent, the text is one run."""
+
+    def paragraph(s: dict) -> ET.Element:
+        p = ET.Element(_W + "p")
+        for text, bold, italic, color in s.get("runs") or [(s["text"], False, False, None)]:
+            r = ET.SubElement(p, _W + "r")
+            form = ET.SubElement(r, _W + "rPr")
+            for name, on in (("b", bold), ("i", italic)):
+                if on:
+                    ET.SubElement(form, _W + name)
+            if color:
+                ET.SubElement(form, _W + "color", {_W + "val": color})
+            _set_text(r, text)
+        return p
+
+    root = ET.Element(_W + "document")
+    body = ET.SubElement(root, _W + "body")
+    tables: dict = {}
+    for s in segments:
+        if s["region"] == "body":
+            body.append(paragraph(s))
+        else:
+            if s["tbl"] not in tables:
+                tables[s["tbl"]] = ET.SubElement(body, _W + "tbl")
+            cell = ET.SubElement(ET.SubElement(tables[s["tbl"]], _W + "tr"), _W + "tc")
+            cell.append(paragraph(s))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+        package.writestr("word/document.xml", ET.tostring(root, encoding="UTF-8", xml_declaration=True))
+    return out.getvalue()
 
 
 # Formats of a paragraph as expressions over its runs.
@@ -153,33 +196,39 @@ def full_text_runs(runs: Column, text: Column) -> Column:
     return tn.let(carrier(runs), lambda first: F.transform(runs, lambda r, i: F.when(i == first, text).when(F.trim(r["text"]) != "", "").otherwise(r["text"])))
 
 
-def union_format(runs: Column) -> Column:
-    """One format for the text of all runs: any bold, italic, underline; the first highlight and color."""
+def union_format(runs: Column, asked: Column | None = None) -> Column:
+    """One format for the text of all runs: any bold, italic, underline; the first highlight and color. What
+    ``asked`` (a struct of ``FORMATS``, null where nothing is) names goes before."""
+    asked = F.lit(None).cast(FORMATS) if asked is None else asked
     of = lambda name: F.exists(runs, lambda r: r[name])
     first = lambda name: F.get(F.filter(F.transform(runs, lambda r: r[name]), lambda v: v.isNotNull()), F.lit(0))
-    flags = [F.coalesce(of(n), F.lit(False)).alias(n) for n in ("bold", "italic", "underline")]
-    return F.struct(*flags, F.lit(FONT).alias("font_name"), F.lit(12.0).alias("font_size"), first("highlight").alias("highlight"), first("color").alias("color"))
+    flags = [(n, F.coalesce(of(n), F.lit(False))) for n in ("bold", "italic", "underline")]
+    flags = [F.coalesce(asked[n], f).alias(n) if n in ("bold", "italic") else f.alias(n) for n, f in flags]
+    name, color = F.coalesce(asked["font_name"], F.lit(FONT)), F.coalesce(asked["color"], first("color"))
+    return F.struct(*flags, name.alias("font_name"), F.lit(12.0).alias("font_size"), first("highlight").alias("highlight"), color.alias("color"))
 
 
 def apply_actions(segments: DataFrame, actions: DataFrame) -> DataFrame:
     """Run formats after ``actions`` (ord, action, value, region, indices): body positions by default,
-    all segments if there are no indices; later actions win. Line spacing and shading become the columns
-    ``line_spacing`` and ``clear_shading``."""
+    all segments if there are no indices; later actions win. What was asked of a segment is also in its column
+    ``asked`` (``FORMATS``), line spacing and shading in ``line_spacing`` and ``clear_shading``."""
     rows = actions.select("ord", "action", "value", "region", "indices").collect()  # one request's actions
     out, runs = segments.withColumns({"line_spacing": F.lit(None).cast("string"), "clear_shading": F.lit(False)}), F.col("runs")
+    asked: dict[str, Column] = {"bold": F.lit(None).cast("boolean"), "italic": F.lit(None).cast("boolean"), "font_name": F.lit(None).cast("string"), "color": F.lit(None).cast("string")}
     for row in sorted(rows, key=lambda r: r["ord"]):
         hit = F.lit(True)
         if row["indices"]:
             hit = (F.col("region") == (row["region"] or "body")) & F.col("pos").isin(list(row["indices"]))
-        value = row["value"]
-        field = {"font_color": ("color", F.lit(value)), "font_name": ("font_name", F.lit(value)), "bold": ("bold", F.lit(str(value).lower() == "true")), "italic": ("italic", F.lit(str(value).lower() == "true"))}.get(row["action"])
+        value, on = row["value"], F.lit(str(row["value"]).lower() == "true")
+        field = {"font_color": ("color", F.lit(value)), "font_name": ("font_name", F.lit(value)), "bold": ("bold", on), "italic": ("italic", on)}.get(row["action"])
         if field:
             changed = F.transform(runs, lambda r: r.withField(*field))
             out = out.withColumn("runs", F.when(hit, changed).otherwise(runs))
+            asked[field[0]] = F.when(hit, field[1]).otherwise(asked[field[0]])
         elif row["action"] in ("line_spacing", "clear_shading"):
             new = F.lit(value) if row["action"] == "line_spacing" else F.lit(True)
             out = out.withColumn(row["action"], F.when(hit, new).otherwise(F.col(row["action"])))
-    return out
+    return out.withColumn("asked", F.struct(*(c.alias(n) for n, c in asked.items())))
 
 
 def describe_actions(actions: DataFrame) -> DataFrame:
@@ -219,8 +268,22 @@ def _set_fonts(properties: ET.Element, name: str = FONT) -> None:
     fonts = _child(properties, "rFonts", 0)
     for slot in FONT_SLOTS:
         fonts.set(_W + slot, name)
-    for attribute in [a for a in fonts.attrib if "heme" in a]:
-        del fonts.attrib[attribute]
+    _drop_theme(fonts)
+
+
+def _drop_theme(fonts: ET.Element) -> None:
+    """A theme's font goes before a named one, so it must not be there."""
+    for name in THEME_FONTS:
+        fonts.attrib.pop(_W + name, None)
+
+
+def _fill_fonts(properties: ET.Element) -> None:
+    """The font in the slots that name none, where fonts are named at all."""
+    fonts = properties.find(_W + "rFonts")
+    if fonts is not None:
+        _drop_theme(fonts)
+        for slot in FONT_SLOTS:
+            fonts.attrib.setdefault(_W + slot, FONT)
 
 
 def _set_format(run: ET.Element, form: dict, boxed: bool) -> None:
@@ -263,20 +326,15 @@ def clear_shading(root: ET.Element) -> None:
 
 
 def _fix_styles(root: ET.Element) -> None:
-    """The defaults and the Normal style get the font; other styles get it where they name none."""
-    defaults = root.find(f"{_W}docDefaults/{_W}rPrDefault/{_W}rPr")
-    if defaults is not None:
-        _set_fonts(defaults)
+    """The document's defaults and the Normal style name the font; other styles keep what they name."""
+    for properties in root.findall(f"{_W}docDefaults/{_W}rPrDefault/{_W}rPr"):
+        _set_fonts(properties)
     for style in root.findall(_W + "style"):
-        normal = _val(style, "styleId") == "Normal"
-        properties = style.find(_W + "rPr")
-        if normal:
+        if _val(style, "styleId") == "Normal":
             _set_fonts(_child(style, "rPr"))
-        elif properties is not None and (fonts := properties.find(_W + "rFonts")) is not None:
-            for attribute in [a for a in fonts.attrib if "heme" in a]:
-                del fonts.attrib[attribute]
-            for slot in FONT_SLOTS:
-                fonts.attrib.setdefault(_W + slot, FONT)
+        else:
+            for properties in style.findall(_W + "rPr"):
+                _fill_fonts(properties)
 
 
 def _fix_theme(root: ET.Element) -> None:
@@ -317,11 +375,7 @@ def rewrite(raw: bytes, edits: list[dict], spacing: str | None = "double") -> by
             _set_spacing(p, line)
     clear_shading(root)
     for properties in root.iter(_W + "rPr"):
-        if (fonts := properties.find(_W + "rFonts")) is not None:
-            for attribute in [a for a in fonts.attrib if "heme" in a]:
-                del fonts.attrib[attribute]
-            for slot in FONT_SLOTS:
-                fonts.attrib.setdefault(_W + slot, FONT)
+        _fill_fonts(properties)
     root.attrib.pop("{http://schemas.openxmlformats.org/markup-compatibility/2006}Ignorable", None)  # names prefixes that may go unused
     files["word/document.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
     for name, fix in (("word/styles.xml", _fix_styles), ("word/theme/theme1.xml", _fix_theme)):
@@ -352,10 +406,8 @@ def write_docx(spark: SparkSession, path: str, edits: DataFrame, store: Callable
     return files.groupBy("file_id").cogroup(edits.groupBy("file_id")).applyInPandas(write, "file_id string, status string, output string, error string")
 
 
-def bundle(files: list[tuple[str, bytes]]) -> bytes:
-    """A ZIP of finished documents as ``<name>-EN.docx``."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+def bundle(files: Iterable[tuple[str, bytes]], target: BinaryIO) -> None:
+    """A ZIP of finished documents as ``<name>-EN.docx``, written to ``target`` one after another."""
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as package:
         for name, data in files:
             package.writestr(f"{name}-EN.docx", data)
-    return out.getvalue()

@@ -17,7 +17,7 @@ from parasift.operators.glossary import clean_terms
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-RAW = "file string, pos long, cn string, en string"
+RAW = "file string, pos long, cn string, en string, error string"
 JOB = T.StructType(
     [
         T.StructField("job_id", T.StringType()),
@@ -68,18 +68,27 @@ def _rows_of_xlsx(raw: bytes) -> list[tuple]:
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, raw in zip(frame["path"], frame["content"]):
-            rows = _rows_of_xlsx(raw) if path.lower().endswith(".xlsx") else _rows_of_csv(raw)
-            yield pd.DataFrame([(path, *r) for r in rows], columns=["file", "pos", "cn", "en"])
+            error = None
+            try:
+                rows = _rows_of_xlsx(raw) if path.lower().endswith(".xlsx") else _rows_of_csv(raw)
+            except Exception as failure:  # one file's failure is that file's row
+                rows, error = [(-1, None, None)], f"{type(failure).__name__}: {failure}"
+            yield pd.DataFrame([(path, *r, error) for r in rows], columns=["file", "pos", "cn", "en", "error"])
 
 
-def read_glossaries(spark: SparkSession, path: str) -> DataFrame:
-    """(file, cn, en, ord) of the terms in ``.csv`` and ``.xlsx`` files below ``path``, one task a file
-    at most; other formats raise."""
+def glossary_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``RAW`` rows of ``.csv`` and ``.xlsx`` files below ``path``, one task a file at most; other formats
+    raise. A file that cannot be read is one row with its ``error``."""
     files = spark.read.format("binaryFile").load(path)
     odd = files.where(~F.lower("path").rlike(r"\.(csv|xlsx)$")).select("path").take(1)
     if odd:
         raise ValueError(f"not a glossary format: {odd[0]['path']}")
-    return clean_terms(files.select("path", "content").mapInPandas(_parse, RAW), ["file"])
+    return files.select("path", "content").mapInPandas(_parse, RAW)
+
+
+def read_glossaries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, cn, en, ord) of the terms in the glossary files below ``path`` that can be read."""
+    return clean_terms(glossary_rows(spark, path).where("error is null"), ["file"])
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:

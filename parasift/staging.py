@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK_DIR = "file:///tmp/checkpoints"
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where unset, a local folder."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """``spark.checkpoint.dir``. Where it is unset a local folder serves a local master; a cluster needs one that
+    all its executors see."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or LOCAL_DIR).rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -7,30 +7,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parasift.operators import quality
 from parasift.plans import translate
-from parasift.sources.docx import SEGMENTS, segments_of
+from parasift.sources.docx import SEGMENTS, parse_files
 
 
 def read_docx_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of ``.docx`` files as they arrive."""
-    import pandas as pd
-
-    def parse(frames):
-        names = [f.strip().split(" ", 1)[0] for f in SEGMENTS.split(", ")]
-        for frame in frames:
-            for file_id, raw in zip(frame["path"], frame["content"]):
-                rows = pd.DataFrame([{"file_id": file_id} | s for s in segments_of(raw)], columns=names)
-                yield rows.astype({c: "Int32" for c in ("pos", "tbl", "row", "col", "box", "alignment")})
-
+    """Segments of ``.docx`` files as they arrive; a broken file is one row with its ``error``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.docx").load(path)
-    return files.select("path", "content").mapInPandas(parse, SEGMENTS)
+    return files.select("path", "content").mapInPandas(parse_files, SEGMENTS)
 
 
 def run_available(segments: DataFrame, terms: dict[str, str], output: str, checkpoint: str) -> StreamingQuery:
-    """Translate all that has arrived, append texts and file summaries to ``output``, and end."""
+    """Translate all that has arrived, append texts, file summaries and broken files to ``output``, and end."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = translate.translate_segments(rows, terms)
+        rows.where("error is not null").select("file_id", "error").write.mode("overwrite").parquet(f"{output}/broken/batch={number}")
+        done = translate.translate_segments(rows.where("error is null"), terms)
         done = translate.number_document(done, ["file_id", "region"])
         done.write.mode("overwrite").parquet(f"{output}/segments/batch={number}")
         written = rows.sparkSession.read.parquet(f"{output}/segments/batch={number}")

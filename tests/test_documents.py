@@ -125,7 +125,7 @@ def test_model_errors_and_retries(spark):
     assert translate.with_retries(flaky, pause=0) == "done"
 
     class Broken:
-        def translate(self, text, terms):
+        def translate(self, text, terms, instruction=""):
             raise OSError("down")
 
         def polish(self, text):

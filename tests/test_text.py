@@ -123,7 +123,8 @@ def test_guard_round_trip(spark):
     assert restored == list(GUARDED.values())
     masked = apply(spark, lambda c: guards.mask(c)["text"], ["看https://a.com/5万元 12"])
     assert not any(ch.isdigit() for ch in masked[0].replace("__G0__", "").replace("__G1__", "").replace("__G2__", ""))
-    assert guards.mask_dates("On May 5, 2024 at 9:00-10:30")[0] == "On __DATE_0__ at __TIME_0__"
+    text, originals = guards.mask_for_polish("On May 5, 2024 at 9:00-10:30 for 300 people")
+    assert text == "On __DATE_0__ at __TIME_0__ for __G0__ people" and dict(originals)["__TIME_0__"] == "9:00-10:30"
 
 
 @pytest.mark.parametrize("cn,en,count", [
@@ -155,7 +156,7 @@ def test_glossary(spark):
 
 def test_completion():
     names = {"a": "China Software Association", "b": "China Software Testing Center (CSTC)", "c": "Harbor Co., Ltd."}
-    variants = glossary.variants_of(names)
+    variants = glossary.Variants(glossary.variants_of(names))
     complete = lambda t: glossary.complete_terms(t, variants)[0]
     assert complete("the China Software Association said") == "the China Software Association said"
     assert complete("the China Software Testing group") == "the China Software Testing Center (CSTC) group"
@@ -171,19 +172,21 @@ def test_numbering(spark):
     rows = {(r.file_id, r.pos): r for r in numbering.normalize(df, ["file_id"]).collect()}
     assert [rows["f", i].kind for i in range(len(lines))] == ["roman", "arabic", "roman", "article", "arabic", "arabic", None, "article", "arabic"]
     assert rows["f", 0].new_text == "1. a" and rows["f", 5].new_text == "(1) f" and rows["f", 4].new_text == "12、 e"
-    assert rows["f", 8].warning == "duplicate_number" and rows["f", 8].first_pos == 1 and rows["f", 0].articles
+    assert rows["f", 8].first_pos == 1 and rows["f", 0].articles
     assert [rows["g", i].new_text for i in range(3)] == ["1. x", "1. y", "2. z"]
     tie = spark.createDataFrame([("h", 0, "I. x"), ("h", 1, "2.  y"), ("k", 0, "I. x"), ("k", 1, "11. y")], "file_id string, pos int, text string")
     tied = {(r.file_id, r.pos): r for r in numbering.normalize(tie, ["file_id"]).collect()}
-    assert tied["h", 1].new_text == "II.  y" and tied["k", 1].new_text == "11. y" and tied["k", 1].warning == "not_convertible"
+    assert tied["h", 1].new_text == "II.  y" and tied["k", 1].new_text == "11. y" and tied["k", 1].beyond and not tied["k", 0].beyond and tied["k", 0].opening
 
 
 def test_cleaning_leaves_urls(spark):
     df = spark.createDataFrame([(1, "the the cat https://a.com/the the"), (2, "see see Germany'sFraunhofer"), (3, None), (4, "")], "i int, text string")
     out = {r.i: r.text for r in cleaning.clean_segments(df).collect()}
     assert out[1].startswith("the cat https://a.com/the") and out[2] == "see see Germany's Fraunhofer" and out[3] is None and out[4] == ""
-    assert cleaning.translate_url_line("网址链接：https://a.com/网址", {}) == "URL：https://a.com/网址"
-    assert cleaning.translate_url_line("https://a.com", {}) == "https://a.com"
+    many = {f"词{i}": f"word {i}" for i in range(glossary.MOST_EXPRESSIONS)}  # with the common terms too many for expressions
+    for terms in ({"网站": "site"}, {"网站": "site"} | many):
+        lines = {"网址链接：https://a.com/网址": "URL：https://a.com/网址", "https://a.com": "https://a.com", "来源：x 来源：www.a.cn 网站 链接": "Source：x 来源：www.a.cn site 链接", "中文": "中文"}
+        assert apply(spark, lambda c: cleaning.url_line(c, terms), [*lines, None]) == [*lines.values(), None]
 
 
 def test_quality(spark):
