@@ -31,6 +31,7 @@ FIRST_LENGTH = 20
 #: Benchmark text that a worker holds at a time. A larger benchmark lies in files of about this size, and the
 #: documents pass each in turn.
 BLOCK_BYTES = 16 << 20
+FILES_A_BLOCK = 4
 PAIR_BLOCK = 1 << 20
 _BASE = 0xBF58476D1CE4E5B9
 _BITMAP = 22
@@ -197,8 +198,8 @@ class Index:
                 yield text, item, tiles
 
 
-def _blocks(benchmark: DataFrame, item_key: str, text: str) -> list[str]:
-    """Files in the shared folder, each with test items of a bounded number of bytes (or one longer item).
+def _blocks(benchmark: DataFrame, item_key: str, text: str) -> list[tuple[str, ...]]:
+    """Groups of files in the shared folder, each with test items of about ``BLOCK_BYTES``.
 
     Workers read a block themselves: no item passes through the driver or a broadcast.
     """
@@ -207,17 +208,20 @@ def _blocks(benchmark: DataFrame, item_key: str, text: str) -> list[str]:
     if not size:
         return []
     parts = math.ceil(size / BLOCK_BYTES)
-    dealt = raw.repartition(parts, F.xxhash64("item", "text")).sortWithinPartitions("item", "text")
-    return sorted(stage(dealt, "benchmark").inputFiles())
+    files = sorted(stage(raw.repartition(FILES_A_BLOCK * parts, "item", "text"), "benchmark").inputFiles())
+    return [block for i in range(parts) if (block := tuple(files[i::parts]))]
 
 
 @lru_cache(maxsize=1)
-def _index(file: str, least: int, coverage: float) -> Index:
+def _index(files: tuple[str, ...], least: int, coverage: float) -> Index:
     """The index of one block; a worker process keeps one."""
-    system, path = file_system(file)
-    with system.open_input_file(path) as source:
-        table = pq.read_table(source)
-    return Index(list(zip(table["item"].to_pylist(), table["text"].to_pylist())), least, coverage)
+    items: list[tuple[int, bytes]] = []
+    for file in files:
+        system, path = file_system(file)
+        with system.open_input_file(path) as source:
+            table = pq.read_table(source)
+        items.extend(zip(table["item"].to_pylist(), table["text"].to_pylist()))
+    return Index(items, least, coverage)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", least: int = LEAST_TILE, coverage: float = LEAST_COVERAGE) -> DataFrame:
@@ -236,7 +240,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     )
     tile_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("text_start", "item_start", "words")]))
 
-    def search(block: str):
+    def search(block: tuple[str, ...]):
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(block, least, coverage)
@@ -275,7 +279,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     before the next is taken, so a task never holds more than one.
     """
 
-    def keep(block: str):
+    def keep(block: tuple[str, ...]):
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(block, least, coverage)
