@@ -149,7 +149,7 @@ def is_blank(text: Column) -> Column:
 
 def route(text: Column) -> Column:
     """Which path of the translation a paragraph takes: blank, url, term or model."""
-    return F.when(is_blank(text), "blank").when(is_url_line(text), "url").when(is_term_only(text), "term").otherwise("model")
+    return F.when(is_blank(text), "blank").when(is_url_line(text), "url").when(is_term_only(text), "term").when(text.isNotNull(), "model")
 
 
 def is_sentence_like(value: Column) -> Column:

@@ -6,8 +6,10 @@ strings and computes the answer another way.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
 from parasift.plans import jobs, translate
 from parasift.sources import docx
+from parasift.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +103,23 @@ def dedup_full(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.length("text").alias("chars"), F.length("d.text").alias("chars_left"), F.size(removed).alias("removed"), F.md5("d.text").alias("text_md5"))
 
 
-@query("duplicate_audit", "documents")
+# Where a block of k words stands twice: its first word and the k - 1 after it equal those k further on. The longest
+# counts, and blocks are taken from left to right, each from behind the last one's copy.
+_TWICE = ", ".join(f"sum(CASE WHEN e{k} THEN 1 ELSE 0 END) OVER (d ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) = {k} AS b{k}, sum(content) OVER (d ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS c{k}" for k in range(1, 9))
+
+
+@query("duplicate_audit", "documents", f"""
+WITH t AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents)),
+e AS (SELECT doc_id, w, i, (lower(w) NOT IN ({_STOP_SQL}))::INTEGER AS content, {_PROTECTED_SQL} AS structural, {", ".join(f"w = lead(w, {k}) OVER d AS e{k}" for k in range(1, 9))} FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, i, content, structural, {_TWICE} FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, CASE {" ".join(f"WHEN b{k} THEN {k}" for k in range(8, 0, -1))} END AS k, CASE {" ".join(f"WHEN b{k} THEN c{k}" for k in range(8, 0, -1))} END AS words, content, structural FROM b),
+f AS (
+  SELECT doc_id, list_reduce(list_prepend({{'i': 0, 'k': 0, 'sure': 0, 'next': 1, 'n': 0}}, list({{'i': i::INTEGER, 'k': k, 'sure': (words >= 2 OR (k = 1 AND (content = 0 OR structural)))::INTEGER, 'next': 0, 'n': 0}} ORDER BY i)),
+    lambda a, b: CASE WHEN b.i < a.next THEN a ELSE {{'i': b.i, 'k': b.k, 'sure': a.sure + b.sure, 'next': b.i + 2 * b.k, 'n': a.n + 1}} END) AS f
+  FROM k WHERE k IS NOT NULL GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(f.f.n, 0)::INTEGER AS blocks, coalesce(f.f.sure, 0)::INTEGER AS removable FROM documents d LEFT JOIN f USING (doc_id)
+""")
 def duplicate_audit(docs: DataFrame) -> DataFrame:
     found = dedup.audit(F.col("text"))
     return docs.select("doc_id", found.alias("d")).select("doc_id", F.size("d").alias("blocks"), F.size(F.filter("d", lambda x: x["removable"])).alias("removable"))
@@ -154,9 +173,14 @@ def english_date_normalize(items: DataFrame) -> DataFrame:
     return items.select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in forms.items()))
 
 
-@query("cn_punct_map", "documents", """SELECT doc_id, md5(text) AS mapped_md5 FROM documents""")
+@query("cn_punct_map", "documents", r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(text, '-', ','), '/', '.'), '[''~]', '"', 'g'), '[{}]', '', 'g')) AS mapped_md5
+FROM (SELECT doc_id, translate(text, 'eE', '<>') AS text FROM documents)
+""")
 def cn_punct_map(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.md5(tn.cn_punctuation(F.translate("text", ",.:;!?()", "，。：；！？（）"))).alias("mapped_md5"))
+    """Each mark on its own: some characters of the text become Chinese marks first."""
+    marked = F.translate("text", ",.:;!?()[]-/'~eE{}", "，。：；！？（）【】、．“”《》")
+    return docs.select("doc_id", F.md5(tn.cn_punctuation(marked)).alias("mapped_md5"))
 
 
 @query("quote_normalize", "documents", """
@@ -533,13 +557,165 @@ def _paragraphs(orders: DataFrame) -> DataFrame:
     return orders.select(_n(F.col("o_custkey")).alias("file_id"), F.lit("body").alias("region"), key.cast("int").alias("pos"), text.alias("text"))
 
 
-@query("translate_pipeline", "orders")
+@query("translate_pipeline", "orders", """
+WITH p AS (SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, o_orderkey % 4 AS kind, o_orderkey % 9 + 1 AS n, floor(o_totalprice)::BIGINT AS price, o_orderkey AS k, o_orderdate FROM orders)
+SELECT file_id, pos, CASE kind WHEN 0 THEN 'model' WHEN 1 THEN 'url' WHEN 2 THEN 'term' ELSE 'blank' END AS route,
+  CASE kind WHEN 0 THEN n || '. contract amount RMB ' || format('{:,.2f}', price * 10000.0) || ', dated ' || strftime(o_orderdate, '%B %-d, %Y') || ', digital transformation.'
+    WHEN 1 THEN 'link:http://example.com/' || k WHEN 2 THEN 'Order ' || k ELSE ' ' END AS translated_text,
+  -- one term lies within another and is missed; later equal list numbers of a file are told of
+  CASE kind WHEN 0 THEN 1 + (row_number() OVER (PARTITION BY file_id, kind, n ORDER BY pos) > 1)::INTEGER ELSE 0 END AS n_warnings
+FROM p
+""")
 def translate_pipeline(orders: DataFrame) -> DataFrame:
     terms = {"合同金额": "contract amount ", "日期": "dated "}
     done = translate.translate_segments(_paragraphs(orders), terms | glossary.COMMON_TERMS)
     return translate.number_document(done, ["file_id", "region"]).select("file_id", "pos", "route", "translated_text", F.size("warnings").alias("n_warnings"))
 
 
+def _flawed(orders: DataFrame) -> DataFrame:
+    """Translations with a flaw of one kind each, and a warning of old."""
+    key, none = F.col("o_orderkey"), F.lit(None).cast("int")
+    kind, price = key % 6, _n(F.floor("o_totalprice"))
+    mark = F.when(key % 2 == 0, F.get(F.array(*map(F.lit, tn.ROMAN_NUMERALS)), (key % 9).cast("int"))).otherwise(_n(key % 9 + 1))
+    source = F.when(kind == 0, "订单已完成").when(kind == 1, "海港照明公司").when(kind == 2, F.concat(F.lit("合同金额"), price, F.lit("万元"))).when(kind == 3, "日期").when(kind == 4, "表格中的条目").otherwise("没有问题")
+    target = F.when(kind == 0, F.concat(F.lit("the the order "), _n(key), F.lit(" is is ready"))).when(kind == 1, "said Harbor Light Trading today").when(kind == 2, "the contract sum").when(kind == 3, "日期 here")
+    target = target.when(kind == 4, F.concat(mark, F.lit(". item"))).otherwise("fine")
+    cell = lambda value: F.when(kind == 4, value).otherwise(none)
+    return orders.select(
+        _n(F.col("o_custkey") % 400).alias("file_id"), F.when(kind == 4, "cell").otherwise("body").alias("region"), F.when(kind == 4, 0).otherwise(key.cast("int")).alias("pos"),
+        cell(F.lit(0)).alias("tbl"), cell(key.cast("int")).alias("row"), cell(F.lit(0)).alias("col"), none.alias("box"), source.alias("text"), target.alias("translated_text"), F.array(F.lit("old")).alias("warnings"),
+    )
+
+
+_FIX_SQL = """
+WITH p AS (
+  SELECT (o_custkey % 400)::VARCHAR AS file_id, o_orderkey % 6 AS kind, o_orderkey AS k, o_orderkey % 9 + 1 AS n, o_orderkey % 2 = 0 AS is_roman, floor(o_totalprice)::BIGINT AS price FROM orders
+), c AS (
+  SELECT *, count(*) FILTER (kind = 4 AND is_roman) OVER f AS r, count(*) FILTER (kind = 4 AND NOT is_roman) OVER f AS a, count(*) FILTER (kind < 4) OVER f AS flaws FROM p WINDOW f AS (PARTITION BY file_id)
+), d AS (
+  SELECT *, CASE kind WHEN 0 THEN 'the order ' || k || ' is ready' WHEN 1 THEN 'said Harbor Light Trading Co., Ltd. today' WHEN 2 THEN 'contract amount RMB ' || format('{:,.2f}', price * 10000.0) WHEN 3 THEN 'dated'
+    WHEN 4 THEN CASE WHEN (a = 0 AND is_roman) OR (a > 0 AND r >= a) THEN ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n] ELSE n::VARCHAR END || '. item' ELSE 'fine' END AS fixed,
+    flaws = 0 AND (r = 0 OR a = 0) AS unchanged FROM c
+)
+"""
+
+
+@query("fix_pipeline", "orders", _FIX_SQL + """
+, m AS (SELECT *, row_number() OVER (PARTITION BY file_id, kind, n ORDER BY k) > 1 AS again FROM d)
+SELECT file_id, kind = 4 AS in_table, k AS place, fixed AS translated_text, CASE WHEN unchanged THEN 'old' WHEN kind = 4 AND again THEN '编号重复' ELSE '' END AS told FROM m
+""")
+def fix_pipeline(orders: DataFrame) -> DataFrame:
+    terms = {"合同金额": "contract amount ", "日期": "dated", "海港": "Harbor Light Trading Co., Ltd."}
+    done = translate.fix_segments(_flawed(orders), translate.FIX_ORDER, terms)
+    told = F.array_join(F.transform("warnings", lambda w: F.substring_index(w, ":", 1)), "|")
+    return done.select("file_id", (F.col("region") == "cell").alias("in_table"), F.coalesce("row", "pos").cast("long").alias("place"), "translated_text", told.alias("told"))
+
+
+@query("numbering_cells", "lineitem", f"""
+WITH c AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, kind, l_linenumber ORDER BY l_partkey, l_suppkey) AS nth, count(*) FILTER (kind = 'roman') OVER w AS r, count(*) FILTER (kind = 'arabic') OVER w AS a, count(*) FILTER (kind = 'article') OVER w AS t,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) = 1 AS opening FROM ({_LISTED_SQL}) WINDOW w AS (PARTITION BY l_orderkey)
+)
+SELECT l_orderkey, l_partkey, l_suppkey, concat_ws('|', CASE WHEN opening AND r > 0 AND a > 0 THEN '编号体系混用: 已统一为 ' || CASE WHEN r >= a THEN '罗马数字' ELSE '阿拉伯数字' END END,
+  CASE WHEN opening AND t > 0 AND r + a > 0 THEN '编号混用: 条款编号(Article/Clause/Section)与列表编号混用，未自动修改，请人工确认' END,
+  CASE WHEN nth > 1 THEN '编号重复: ' || CASE kind WHEN 'roman' THEN '罗马序号 ' WHEN 'arabic' THEN '阿拉伯序号 ' ELSE '条款序号 ' END || l_linenumber END) AS told
+FROM c
+""")
+def numbering_cells(items: DataFrame) -> DataFrame:
+    """List numbers in table cells: each cell's first paragraph, so only the whole place orders them."""
+    zero = F.lit(0)
+    cells = _listed(items).select("l_orderkey", "l_partkey", "l_suppkey", "text", F.lit("cell").alias("region"), zero.alias("pos"), zero.alias("tbl"), F.col("l_partkey").cast("int").alias("row"), F.col("l_suppkey").cast("int").alias("col"), F.lit(None).cast("int").alias("box"))
+    done = numbering.normalize(cells, ["l_orderkey"], numbering.document_order())
+    return done.select("l_orderkey", "l_partkey", "l_suppkey", F.array_join(numbering.warnings(), "|").alias("told"))
+
+
+@query("revise_formats", "lineitem", f"""
+SELECT l_orderkey, bold OR l_orderkey % 5 IN (0, 2) AS bold, italic, CASE WHEN l_orderkey % 5 = 2 THEN '0000FF' WHEN colored THEN 'FF0000' END AS color, CASE WHEN l_orderkey % 5 = 3 THEN '宋体' ELSE 'Times New Roman' END AS font_name,
+  CASE WHEN l_orderkey % 5 = 4 THEN 'double' END AS line_spacing FROM ({_CARRIER_SQL})
+""")
+def revise_formats(items: DataFrame) -> DataFrame:
+    """What a feedback's actions do to the formats that go to the file."""
+    segments = _runs(items).select("l_orderkey", _n(F.col("l_orderkey")).alias("file_id"), F.lit("body").alias("region"), (F.col("l_orderkey") % 5).cast("int").alias("pos"), F.lit("x").alias("translated_text"), "runs")
+    reply = '{"needs_retranslation": false, "actions": [{"indices": [0, 2], "action": "bold", "value": true}, {"indices": [2], "action": "font_color", "value": "0000FF"}, {"indices": [3], "action": "font_name", "value": "宋体"}, {"indices": [4], "action": "line_spacing", "value": "double"}]}'
+    answer = translate.interpret_feedback(["x"] * 5, "bold the first", lambda prompt: f"Here: {reply}")
+    done = translate.revise_segments(segments, segments, "bold the first", answer, {})
+    return done.select("l_orderkey", docx.union_format(F.col("runs"), F.col("asked")).alias("f"), "line_spacing").select("l_orderkey", "f.bold", "f.italic", "f.color", "f.font_name", "line_spacing")
+
+
+@query("docx_round_trip", "orders", """
+WITH p AS (SELECT o_custkey::VARCHAR AS file_id, o_orderkey, o_orderkey % 3 = 0 AS in_table, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT file_id, CASE WHEN in_table THEN 'cell' ELSE 'body' END AS region, CASE WHEN in_table THEN 0 ELSE n END::INTEGER AS pos, CASE WHEN in_table THEN n ELSE -1 END::INTEGER AS row,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'new ' || o_orderkey ELSE o_orderpriority || chr(10) || ' <&> ' || o_orderkey END AS text,
+  o_orderstatus = 'F' AS bold, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'O' THEN '00FF00' WHEN o_orderstatus = 'O' THEN '00FF00' END AS color FROM p
+""")
+def docx_round_trip(orders: DataFrame) -> DataFrame:
+    """A document for each customer, written, every second paragraph rewritten, and read again."""
+    kind = (F.col("o_orderkey") % 3 == 0).alias("in_table")
+    rows = orders.select(_n(F.col("o_custkey")).alias("file_id"), "o_orderkey", "o_orderpriority", "o_orderstatus", kind)
+
+    def make(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        given, edits = [], []
+        counts = {True: 0, False: 0}
+        for r in frame.sort_values("o_orderkey").itertuples():
+            tail, n, boxed = f"\n <&> {r.o_orderkey}", counts[r.in_table], r.in_table
+            counts[boxed] += 1
+            first = (r.o_orderpriority, r.o_orderstatus == "F", False, "00ff00" if r.o_orderstatus == "O" else None)
+            given.append({"region": "cell" if boxed else "body", "tbl": 0, "runs": [first, (tail, False, False, None)]})
+            place = {"region": "cell", "pos": 0, "tbl": 0, "row": n, "col": 0, "box": None} if boxed else {"region": "body", "pos": n, "tbl": None, "row": None, "col": None, "box": None}
+            if r.o_orderkey % 2 == 0:
+                edits.append(place | {"new_text": f"new {r.o_orderkey}", "format": {"bold": first[1], "color": first[3] and first[3].upper()}})
+        found = docx.segments_of(docx.rewrite(docx.new_document(given), edits))
+        out = [(key[0], s["region"], s["pos"], -1 if s["row"] is None else s["row"], s["text"], any(x["bold"] for x in s["runs"]), next((x["color"] for x in s["runs"] if x["color"]), None)) for s in found]
+        return pd.DataFrame(out, columns=["file_id", "region", "pos", "row", "text", "bold", "color"])
+
+    return rows.groupBy("file_id").applyInPandas(make, "file_id string, region string, pos int, row int, text string, bold boolean, color string")
+
+
+@query("source_alignment", "orders", """
+SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, 'cn ' || o_orderkey AS text, 'en ' || o_orderkey AS translated_text FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0
+""")
+def source_alignment(orders: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("int")
+    segments = lambda rows, word: rows.select(
+        _n(F.col("o_custkey")).alias("file_id"), F.lit("body").alias("region"), F.col("o_orderkey").cast("int").alias("pos"), *(none.alias(c) for c in ("tbl", "row", "col", "box")), F.concat(F.lit(word), "o_orderkey").alias("text")
+    )
+    found = quality.aligned(segments(orders.where("o_orderkey % 3 <> 0"), "cn "), segments(orders.where("o_orderkey % 5 <> 0"), "en "))
+    return found.select("file_id", "pos", "text", "translated_text")
+
+
+@query("stored_results", "orders", """
+SELECT o_custkey::VARCHAR AS job_id, count(*) AS files, count(*) FILTER (o_custkey % 2 = 0) AS finished FROM orders GROUP BY 1
+""")
+def stored_results(orders: DataFrame) -> DataFrame:
+    """Results saved, some of them again, and read as last saved."""
+    store = f"{shared_dir(orders.sparkSession)}/parasift/store-{uuid.uuid4().hex}"
+    rows = orders.select(_n(F.col("o_custkey")).alias("job_id"), _n(F.col("o_orderkey")).alias("file_id"), F.lit("pending").alias("status"), (F.col("o_custkey") % 2).alias("odd"))
+    jobs.save(rows.drop("odd"), store, "results", ["job_id"])
+    jobs.save(rows.where("odd = 0").withColumn("status", F.lit("completed")).drop("odd"), store, "results", ["job_id"])
+    found = jobs.load(orders.sparkSession, store, "results", ["job_id"])
+    return found.groupBy("job_id").agg(F.count("*").alias("files"), F.count_if(F.col("status") == "completed").alias("finished"))
+
+
+@query("glossary_large", "part", """
+WITH t AS (SELECT p_name AS cn, 'P' || min(p_partkey) AS en, min(p_partkey) AS ord FROM part GROUP BY 1)
+SELECT p_partkey, 'x ' || t.en || ' and ' || t.en || ' y' AS replaced, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS missing FROM part JOIN t ON p_name = t.cn
+""")
+def glossary_large(parts: DataFrame) -> DataFrame:
+    """Every part name is a term, far too many for expressions; no name lies within another's place."""
+    names = parts.groupBy(F.col("p_name").alias("cn")).agg(F.min("p_partkey").alias("ord")).withColumn("en", F.concat(F.lit("P"), _n(F.col("ord"))))
+    terms = {f"[{c}]": e for c, e in glossary.as_mapping(names).items()} | {f"unseen {i}": "never" for i in range(200)}
+    source = F.concat(F.lit("x ["), "p_name", F.lit("] and ["), "p_name", F.lit("] y"))
+    done = parts.select("p_partkey", glossary.replaced_in_order(source, terms).alias("replaced"), source.alias("source"))
+    target = F.when(F.col("p_partkey") % 2 == 0, F.lower("replaced")).otherwise("nothing")
+    found = glossary.missing_terms(done.select("p_partkey", F.col("source").alias("cn_text"), target.alias("en_text")), _term_table(parts.sparkSession, terms))
+    counts = found.groupBy("p_partkey").agg(F.count("*").cast("int").alias("missing"))
+    return done.join(counts, "p_partkey", "left").select("p_partkey", "replaced", F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+def _term_table(spark: SparkSession, terms: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(terms.items()), "cn string, en string")
+
+
 @query("warning_contexts", "orders", """
 SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, 'source ' || o_orderkey AS cn, o_orderpriority AS en FROM orders WHERE o_orderkey % 3 = 0
 """)

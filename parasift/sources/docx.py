@@ -137,8 +137,9 @@ def parse_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows = [{"file_id": file_id} | s for s in segments_of(raw)]
             except Exception as error:  # one file's failure is that file's row
                 rows = [{"file_id": file_id, "error": f"{type(error).__name__}: {error}"}]
-            table = pd.DataFrame(rows, columns=names)
-            yield table.astype({c: "Int32" for c in ("pos", "tbl", "row", "col", "box", "alignment")} | {"error": object}).where(table.notna(), None)
+            columns = {n: [r.get(n) for r in rows] for n in names}
+            whole = {c: pd.array(columns[c], "Int32") for c in ("pos", "tbl", "row", "col", "box", "alignment")}
+            yield pd.DataFrame({n: whole[n] if n in whole else pd.Series(columns[n], dtype=object) for n in names})
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
