@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as pipeline
 from parasift.llm import nearcopies
@@ -41,7 +42,11 @@ def plain_survivors(texts):
     return sorted(i for i in root if root[i] == i)
 
 
-def test_near_dedup_stage_matches_brute_force(spark):
+@pytest.mark.parametrize("texts_a_task,pivots", [(1000, 1024), (2, 3)])
+def test_near_dedup_stage_matches_brute_force(spark, monkeypatch, texts_a_task, pivots):
+    """With a low bound groups of candidates are held against pivots, a few at a time."""
+    monkeypatch.setattr(nearcopies, "GROUP_TEXTS", texts_a_task)
+    monkeypatch.setattr(nearcopies, "MOST_PIVOTS", pivots)
     rng = random.Random(5)
     texts = []
     for i in range(40):
