@@ -182,7 +182,7 @@ def _reader(folder: str, whole: bool):
                     payload = from_png(media)
                     if hashlib.sha256(payload).digest() != digest:
                         raise ValueError(f"{shard}: the payload at {offset} is not what its digest says")
-                    row += [hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, width, height)]
+                    row += [zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).digest(), feature(payload, width, height)]
                 rows.append(row)
             yield pd.DataFrame(rows, columns=META + (FULL if whole else []))
         if file is not None:
@@ -192,9 +192,9 @@ def _reader(folder: str, whole: bool):
 
 
 META = ["digest", "width", "height", "depth", "payload_bytes"]
-FULL = ["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+FULL = ["tail_crc32", "media_bytes", "media_digest", "feature"]
 _META_SCHEMA = "digest binary, width int, height int, depth int, payload_bytes long"
-_FULL_SCHEMA = _META_SCHEMA + ", payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FULL_SCHEMA = _META_SCHEMA + ", tail_crc32 long, media_bytes long, media_digest binary, feature string"
 
 
 def media_metadata(catalog: DataFrame, folder: str) -> DataFrame:
@@ -203,7 +203,8 @@ def media_metadata(catalog: DataFrame, folder: str) -> DataFrame:
 
 
 def media_features(catalog: DataFrame, folder: str) -> DataFrame:
-    """Metadata, digests of the stored bytes and features of each distinct payload, all read back."""
+    """Metadata, digest of the stored bytes and features of each distinct payload, all read back; a payload
+    that is not what its digest says raises."""
     return _places(catalog).mapInPandas(_reader(folder, True), _FULL_SCHEMA)
 
 
@@ -217,8 +218,10 @@ def media_columns(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     folder = stage_path(df.sparkSession, "media")
     catalog = stage(write_media(df, folder, text, key), "media-catalog")
-    counts = catalog.groupBy("digest").agg(F.count("*").alias("rows"))
-    meta = media_metadata(catalog, folder).select("digest", "width", "height", "depth").join(counts, "digest")
+    meta = media_metadata(catalog, folder).select("digest", "width", "height", "depth")
     whole = media_features(catalog, folder).drop("width", "height", "depth")
-    found = stage(meta.join(whole, "digest"), "media-features")
-    return join_counted(catalog.select(key, "n_bytes", "digest"), found, ["digest"], "rows").drop("rows")
+    counts = catalog.groupBy("digest").agg(F.count("*").alias("rows"))
+    found = stage(whole.join(meta, "digest").join(counts, "digest"), "media-features")
+    hexed = lambda c: F.lower(F.hex(c))
+    joined = join_counted(catalog.select(key, "n_bytes", "digest"), found, ["digest"], "rows")
+    return joined.withColumns({"payload_sha256": hexed("digest"), "media_sha256": hexed("media_digest")}).drop("rows", "media_digest")
