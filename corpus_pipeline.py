@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each over all that the one before it kept."""
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and extra columns,
+and but for the last return the columns they got. Rows with a null text count as empty: they score like the
+empty text, have no lines and no benchmark item, are copies of each other, and give no tokens.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from parasift.llm.common import stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more."""
+    """Documents that score 0.5 or more. Equal texts have equal scores, so repeated rows stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     columns = docs.columns
     scored = quality.quality_scores(docs, labels, keep=tuple(c for c in columns if c != "doc_id"))
@@ -22,7 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines. Only a document that such lines leave without any word goes: each of
-    its lines stands in an earlier document, which keeps it and so stays. Copies are left to the next stage."""
+    its lines has its template in an earlier document. Rows without an id pass as they are; repeated rows lose
+    the same lines. Copies are left to the next stage."""
     kept = linededup.dedup_lines(docs)
     changed = F.col("lines_dropped") > 0
     kept = kept.where(~changed | F.coalesce(F.col("text").rlike(r"\S"), F.lit(True)))
@@ -30,17 +36,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of texts linked at a five-word similarity of 0.8."""
+    """The document of the least id of each group of texts linked at a five-word similarity of 0.8; of rows with
+    one id the text of the least hash, a missing id last. Repeated rows become one."""
     return nearcopies.drop_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items; repeated rows stay or go together."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text; a row for each row."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.encode_decode(docs, path, pattern, keep=("doc_id", "lang", "source", "text"))
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -55,8 +62,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level bpe", bpe_stage),
 ]
 
-#: SQL can express neither the classifier nor the fingerprints. Tests hold the line and near-dedup stages; of the others
-#: only the operators are tested.
+#: SQL can express neither the classifier nor the fingerprints. Tests hold the line and near-dedup stages against brute
+#: force, the others' operators, and the whole on a small folder of odd rows.
 ORACLE_SQL = None
 
 
