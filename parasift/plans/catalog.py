@@ -17,7 +17,7 @@ from parasift.functions import amounts
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
 from parasift.plans import jobs, translate
-from parasift.sources import docx
+from parasift.sources import docx, tables
 from parasift.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,14 +125,17 @@ def duplicate_audit(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", found.alias("d")).select("doc_id", F.size("d").alias("blocks"), F.size(F.filter("d", lambda x: x["removable"])).alias("removable"))
 
 
-# Repeated stopwords, then removed: pairs of words that are equal, in texts where no longer block repeats.
 @query("stopword_dedup", "orders", """
-SELECT o_orderkey, concat('the order ', o_orderkey, ' of ', o_orderpriority, ' is ready') AS cleaned, 2 AS removed FROM orders
+SELECT o_orderkey, concat('the order ', o_orderkey, ' of ', o_orderpriority, ' is ready', CASE o_orderkey % 3 WHEN 0 THEN ' go now' WHEN 1 THEN ' go go' ELSE '' END) AS cleaned,
+  (o_orderkey % 5 + CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END)::INTEGER AS removed, (o_orderkey % 3 = 1)::INTEGER AS kept FROM orders
 """)
 def stopword_dedup(orders: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("the the order "), F.col("o_orderkey"), F.lit(" of "), F.col("o_orderpriority"), F.lit(" is is ready"))
+    """Stopwords any number of times, a phrase twice, and a single content word, which stays with a warning."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.repeat(F.lit("the "), (key % 5 + 1).cast("int")), F.lit("order "), key, F.lit(" of "), F.col("o_orderpriority"), F.lit(" is is ready"), F.when(key % 3 == 0, " go now go now").when(key % 3 == 1, " go go").otherwise(""))
     done = orders.select("o_orderkey", dedup.dedup(text).alias("d"))
-    return done.select("o_orderkey", F.col("d.text").alias("cleaned"), F.size("d.audit").alias("removed"))
+    count = lambda action: F.size(F.filter("d.audit", lambda a: a["action"] == action))
+    return done.select("o_orderkey", F.col("d.text").alias("cleaned"), count("removed").alias("removed"), count("kept_warn").alias("kept"))
 
 
 @query("cn_date_convert", "orders", """
@@ -379,11 +382,11 @@ def split_long(docs: DataFrame) -> DataFrame:
     return chunks.select("doc_id", F.md5(F.array_join("c", "")).alias("joined_md5"), F.forall("c", lambda x: F.length(x) <= 400).alias("short_enough"), (F.size("c") > 1).alias("cut"))
 
 
-@query("chinese_residue", "orders", """SELECT o_orderkey, 3 AS before, 0 AS after, 2 AS label FROM orders""")
+@query("chinese_residue", "orders", """SELECT o_orderkey, (3 + o_orderkey % 4)::INTEGER AS before, (o_orderkey % 4)::INTEGER AS after, 2 AS label FROM orders""")
 def chinese_residue(orders: DataFrame) -> DataFrame:
-    text = F.date_format("o_orderdate", "yyyy年M月d日")
+    text = F.concat(F.repeat(F.lit("龥x"), (F.col("o_orderkey") % 4).cast("int")), F.date_format("o_orderdate", "yyyy年M月d日"))
     count = lambda c: F.size(tn.chinese_residue(c))
-    return orders.select("o_orderkey", count(text).alias("before"), count(tn.convert_chinese_dates(text)).alias("after"), (count(F.concat(text, F.lit("订单"))) - 3).alias("label"))
+    return orders.select("o_orderkey", count(text).alias("before"), count(tn.convert_chinese_dates(text)).alias("after"), (count(F.concat(text, F.lit("订单"))) - count(text)).alias("label"))
 
 
 @query("residue_locations", "lineitem", """
@@ -430,6 +433,43 @@ def mechanical_clean(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.md5("text").alias("clean_md5"), F.length("text").alias("chars"), F.size("dedup_audit").alias("audited"))
 
 
+@query("clean_lines", "orders", """
+SELECT o_orderkey, concat('price is RMB ', o_orderkey, ', see http://x.com/', o_orderkey, ',,b and order Status (', o_orderstatus, ') so good, Germany''s Ltd', CASE o_orderkey % 2 WHEN 0 THEN ' January 5, 2024' ELSE ' 1...' END) AS cleaned, 1 AS audited FROM orders
+""")
+def clean_lines(orders: DataFrame) -> DataFrame:
+    """Every step of the clean-up in one line, with a URL that must stay as it is."""
+    key = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("price  is is RMB "), key, F.lit(" yuan，，see http://x.com/"), key, F.lit(",,b and orderStatus("), "o_orderstatus", F.lit(")sooo good,.Germany's Ltd"),
+        F.when(key % 2 == 0, " January 5, 2024 2024.01.05").otherwise(" 1....."),
+    )
+    done = cleaning.clean_segments(orders.select("o_orderkey", F.regexp_replace(text, F.lit(r",\."), F.lit(",")).alias("text")))
+    return done.select("o_orderkey", F.col("text").alias("cleaned"), F.size("dedup_audit").alias("audited"))
+
+
+@query("glossary_files", "supplier", """
+WITH r AS (SELECT s_suppkey AS pos, '词' || (s_suppkey % 30) AS cn, CASE WHEN s_suppkey % 7 = 0 THEN 'translation' WHEN s_suppkey % 11 = 0 THEN 'A sentence! And another' ELSE s_name || ', "' || s_suppkey || '"' END AS en FROM supplier)
+SELECT cn, arg_max(en, pos) AS en FROM r WHERE en <> 'translation' AND en NOT LIKE 'A sentence%' GROUP BY 1
+""")
+def glossary_files(suppliers: DataFrame) -> DataFrame:
+    """A glossary written as CSV, with quotes and a header, and loaded."""
+    key, folder = F.col("s_suppkey"), f"{shared_dir(suppliers.sparkSession)}/parasift/glossary-{uuid.uuid4().hex}"
+    en = F.when(key % 7 == 0, "translation").when(key % 11 == 0, "A sentence! And another").otherwise(F.concat("s_name", F.lit(', "'), key, F.lit('"')))
+    rows = suppliers.select(key, F.concat(F.lit(" 词"), _n(key % 30)).alias("中文术语"), en.alias("英文翻译")).repartition(1).sortWithinPartitions("s_suppkey").drop("s_suppkey")
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    return tables.read_glossaries(suppliers.sparkSession, folder).select("cn", "en")
+
+
+@query("terms_override", "orders", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'going digital and digital transformation' WHEN 1 THEN strftime(o_orderdate, '%B %-d, %Y') || ' smart city' WHEN 2 THEN 'Big System v2' ELSE '“' || o_orderkey || '” own' END AS translated FROM orders
+""")
+def terms_override(orders: DataFrame) -> DataFrame:
+    """Common terms, the glossary's own before them, keys without their spaces, dates and quotes."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, "数字化 and 数字化转型").when(key % 4 == 1, F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit(" 智慧城市"))).when(key % 4 == 2, "大系统V2").otherwise(F.concat(F.lit('"'), key, F.lit('" 自有')))
+    return orders.select("o_orderkey", glossary.translate_terms(text, {"数字化": "going digital", "大 系统 V2": "Big System v2", "自有": "own", "系统": "system"}).alias("translated"))
+
+
 @query("glossary_ttl", "events", """
 SELECT user_id::VARCHAR AS glossary_id, max(ts) AS uploaded_at FROM events GROUP BY user_id HAVING TIMESTAMP '2024-01-31 12:00:00' - max(ts) <= INTERVAL 2 DAY
 """)
