@@ -119,6 +119,20 @@ SELECT m.conv_id, m.turn, m.role, m.kind,
 FROM m
 LEFT JOIN answers a ON kind = 'call' AND a.conv_id = m.conv_id AND a.turn = m.turn + 1
 LEFT JOIN depth d ON d.conv_id = m.conv_id AND d.turn = CASE kind WHEN 'call' THEN m.turn WHEN 'result' THEN m.turn - 1 END
+""",
+    # Base 32 by hand: the digest's hexadecimal digits as bits, five at a time.
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), o AS (
+  SELECT body, min(page_id) AS owner FROM p GROUP BY body
+), b AS (
+  SELECT page_id, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', hex[i])]), '') AS bits FROM p
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::INTEGER + 8 * bits[5 * i + 2]::INTEGER + 4 * bits[5 * i + 3]::INTEGER + 2 * bits[5 * i + 4]::INTEGER + bits[5 * i + 5]::INTEGER]), '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM p JOIN o USING (body) JOIN b USING (page_id)
 """,
     "op10_line_dedup": """
 WITH raw AS (
