@@ -121,10 +121,16 @@ def contains_url(text: Column) -> Column:
     return text.rlike(f"(?iu)(?:{URL_MARK})") & text.rlike(f"(?iu)(?:{URL_PATTERN})")
 
 
+def url_parts(text: Column) -> tuple[Column, Column]:
+    """What lies between a text's URLs (one more than those, maybe empty), and the URLs."""
+    pattern = f"(?iu)(?:{URL_PATTERN})"
+    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def url_stretches(text: Column) -> Column:
     """The text as an array of stretches (``part``, ``url``): what lies between URLs, and the URLs."""
-    pattern = F.lit(f"(?iu)(?:{URL_PATTERN})")
-    both = F.struct(F.split(text, f"(?iu)(?:{URL_PATTERN})", -1).alias("others"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("urls"))
+    others, urls = url_parts(text)
+    both = F.struct(others.alias("others"), urls.alias("urls"))
     stretch = lambda part, url: F.struct(part.alias("part"), F.lit(url).alias("url"))
     pairs = let(both, lambda b: F.flatten(F.transform(b["others"], lambda o, i: F.array(stretch(o, False), stretch(F.coalesce(F.get(b["urls"], i), F.lit("")), True)))))
     return F.filter(pairs, lambda x: x["part"] != "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators.dedup import dedup_stretches
-from parasift.operators.glossary import COMMON_TERMS, replaced_in_stretches
+from parasift.operators.glossary import COMMON_TERMS, replaced_between_urls
 
 # Fixed values.
 URL_LABELS = {
@@ -49,4 +49,4 @@ def url_line(text: Column, terms: Mapping[str, str]) -> Column:
         labelled = F.regexp_replace(labelled, F.lit(rf"(?s)^(.*?)\Q{label}\E(?=[：:])"), F.lit(f"$1{URL_LABELS[label]}"))
     every = {**COMMON_TERMS, **terms}
     lines = tn.let(text, lambda t: tn.contains_url(t) & t.rlike(tn.CJK))
-    return F.when(lines, replaced_in_stretches(tn.url_stretches(labelled), every)).otherwise(text)
+    return F.when(lines, replaced_between_urls(labelled, every)).otherwise(text)

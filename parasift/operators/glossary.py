@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,18 +121,20 @@ def replaced_in_order(text: Column, terms: Mapping[str, str]) -> Column:
     return run(text)
 
 
-def replaced_in_stretches(stretches: Column, terms: Mapping[str, str]) -> Column:
-    """The same within an array of (part, url), for the parts that are no URL; the parts, joined."""
+def replaced_between_urls(text: Column, terms: Mapping[str, str]) -> Column:
+    """The same in what stands between a text's URLs; the URLs stay."""
     pairs = _longest_first(terms)
     if len(pairs) <= MOST_EXPRESSIONS:
-        return F.array_join(F.transform(stretches, lambda s: F.when(s["url"], s["part"]).otherwise(tn.literal(s["part"], pairs))), "")
+        return F.array_join(F.transform(tn.url_stretches(text), lambda s: F.when(s["url"], s["part"]).otherwise(tn.literal(s["part"], pairs))), "")
 
     @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
+    def run(others: pd.Series, urls: pd.Series) -> pd.Series:
         replace = Replacer(pairs)
-        return pd.Series([None if row is None else "".join(s["part"] if s["url"] else replace(s["part"]) for s in row) for row in rows], dtype=object)
+        whole = lambda o, u: "".join(replace(part) + url for part, url in zip_longest(o, u, fillvalue=""))
+        return pd.Series([None if o is None else whole(o, u) for o, u in zip(others, urls)], dtype=object)
 
-    return run(stretches)
+    # Two plain arrays: Spark does not evaluate a Python function whose argument nests lambdas.
+    return run(*tn.url_parts(text))
 
 
 def replace_terms(text: Column, glossary: Mapping[str, str]) -> Column:
