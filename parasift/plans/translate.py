@@ -98,19 +98,32 @@ class _Job:
     def __init__(self, terms: Mapping[str, str], make: Callable[[], Translator], callers: int | None, keys: list[str], feedback: str | None = None):
         self.terms, self.make, self.keys, self.feedback = dict(terms), make, keys, feedback
         self.callers = callers if callers is not None or make is OfflineTranslator else MOST_CALLERS
-        self.rare: DataFrame | None = None
+        self.source: DataFrame | None = None
+        self._rare: DataFrame | None = None
 
     def watch(self, segments: DataFrame) -> None:
         """Words that are rare in a region's source are protected from the removal of repeats there."""
-        self.rare = stage(dedup.protected_tokens(segments, "text", self.keys).select(*self.keys, "token"), "rare-words")
+        self.source = segments
+
+    def rare(self) -> DataFrame:
+        """Those words, counted when a row first needs them."""
+        if self._rare is None:
+            self._rare = stage(dedup.protected_tokens(self.source, "text", self.keys).select(*self.keys, "token"), "rare-words")
+        return self._rare
 
     def clean(self, rows: DataFrame, text: str) -> DataFrame:
         """``rows`` with ``text`` cleaned, written once. A row gets those of its region's protected words that it
         holds."""
-        if self.rare is None:
+        if self.source is None:
             return stage(cleaning.clean_segments(rows, text).drop("dedup_audit"), "cleaned")
-        guarded = dedup.with_protected(rows, text, self.keys, self.rare)
-        return stage(cleaning.clean_segments(guarded, text, "protected").drop("dedup_audit", "protected"), "cleaned")
+        rows = stage(rows, "rows")
+        # Only where some word comes twice can a repeat be removed, and a protected word matter.
+        again = F.coalesce(tn.let(tn.tokens(tn.before_dedup(F.col(text))), lambda t: F.size(F.array_distinct(t)) < F.size(t)), F.lit(False))
+        none = rows.where(~again).withColumn("protected", F.lit(None).cast("array<string>"))
+        some = rows.where(again)
+        if some.limit(1).count():
+            none = none.unionByName(dedup.with_protected(some, text, self.keys, self.rare()))
+        return stage(cleaning.clean_segments(none, text, "protected").drop("dedup_audit", "protected"), "cleaned")
 
     def speak(self, rows: DataFrame, instruction: Column | str | None = None) -> DataFrame:
         """``rows`` with ``spoken`` and ``model_error``: dates converted, numbers masked, chunks of whole
