@@ -29,12 +29,12 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/parasift/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends in files that
     outlive any executor."""
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     return staged

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parasift.llm import bpe, decontaminate, linededup, media, quality, sharding, simhash, toolcalls, toxicity, warc
+from parasift.llm import alignment, bpe, collocations, decontaminate, linededup, media, quality, secretscan, sharding, simhash, toolcalls, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines_total", "lines_dropped", digest.alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned_with_counts(table(spark, sf_dir, "documents"), alignment_files(), digest=True)
+    return found.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def alignment_files() -> tuple[str, str, str, str]:
+    ranks, library, model = map(public_tokenizers.path, ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return ranks, public_tokenizers.PATTERN, library, model
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secretscan.BASE]))
+    counts = (F.size(F.filter("spans", lambda s: s["kind"] == r.kind)).cast("long").alias(f"n_{r.kind}") for r in secretscan.BASE)  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(secretscan.shown(base).cast("binary"), 256).alias("base_sha256"), secretscan.shown(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -91,8 +113,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_secret_scan": op13_secret_scan,
 }
 
+
+def _secret_sql() -> str:
+    """Matches of each rule and what stands between them, cut by the rule's expression; a match's place is the length
+    of all that is before it."""
+    kinds = []
+    for n, rule in enumerate(secretscan.RULES):
+        head, value = (part.replace("\\x20", " ").replace("'", "''") for part in (rule.head, rule.value))
+        if rule.any_case:
+            head = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head)
+        whole = f"'(?:{head})({value})'"
+        kinds.append(f"""
+  SELECT doc_id, {n} AS n, '{rule.kind}' AS kind, unnest(m) AS m, unnest(v) AS v, unnest(list_slice(p, 1, len(m))) AS p, generate_subscripts(m, 1) AS i, {rule.least} AS least, {rule.least_value} AS least_value
+  FROM (SELECT doc_id, regexp_extract_all(text, {whole}) AS m, regexp_extract_all(text, {whole}, {whole.count("(") - whole.count("(?:")}) AS v, regexp_split_to_array(text, {whole}) AS p FROM d)""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({" UNION ALL ".join(kinds)}
+), placed AS (
+  SELECT doc_id, n, kind, m, v, least, least_value, (sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a
+  FROM f WINDOW w AS (PARTITION BY doc_id, n ORDER BY i)
+), kept AS (
+  SELECT doc_id, n, kind, a, kind || ':' || a || ':' || (a + length(m)) AS shown FROM placed WHERE length(m) >= least AND length(v) >= least_value
+)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secretscan.BASE)},
+  sha256(coalesce(string_agg(shown, ',' ORDER BY a, n) FILTER (n < {len(secretscan.BASE)}), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY a, n), '') AS spans
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_tool_call_linking": """
 WITH m AS (
@@ -161,4 +213,29 @@ WITH raw AS (
 SELECT d.doc_id, coalesce(k.lines_total, 0)::INTEGER AS lines_total, coalesce(k.lines_dropped, 0)::INTEGER AS lines_dropped, sha256(coalesce(k.text, d.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """,
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), f AS MATERIALIZED (
+  SELECT lang, p, count(*) AS a FROM (SELECT lang, w[i : i + k - 1] AS p FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 5) r(k) WHERE i + k - 1 <= len(w)) GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, p, a FROM f WHERE len(p) > 1
+), longer AS (
+  SELECT lang, part AS p, max(a) AS a FROM (SELECT lang, a, p[i : i + k - 1] AS part FROM c, range(1, 4) s(i), range(2, 4) r(k) WHERE k < len(p) AND i + k - 1 <= len(p)) GROUP BY ALL
+), parts AS (
+  SELECT lang, p, a, k, p[1:k] AS before, p[k + 1 : len(p)] AS after FROM c, range(1, 4) x(k) WHERE k < len(p)
+), cuts AS (
+  SELECT t.lang, t.p, t.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * t.a // (l.a + r.a))::BIGINT AS score
+  FROM parts t JOIN f l ON l.lang = t.lang AND l.p = t.before JOIN f r ON r.lang = t.lang AND r.p = t.after
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), ranked AS (
+  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN longer g USING (lang, p) WHERE g.a IS NULL OR 100 * g.a < 80 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang) USING (lang) QUALIFY rank <= 2000
+""",
+    "op13_secret_scan": _secret_sql(),
 }
