@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from parasift.functions import textnorm as tn
 from parasift.operators import glossary, numbering, quality
 from parasift.plans import jobs, translate
+from parasift.plans.calls import Calls
 from parasift.sources import docx, tables
 
 
 class Engine:
     """Jobs over one session. ``make`` builds the translator in each worker; without one the offline
-    stand-in serves. API keys belong to ``make``'s closure and never become data."""
+    stand-in serves. API keys belong to ``make``'s closure and never become data. ``callers`` bounds the calls
+    under way at once."""
 
-    def __init__(self, spark: SparkSession, make: Callable[[], translate.Translator] = translate.OfflineTranslator, callers: int | None = None):
+    def __init__(self, spark: SparkSession, make: Callable[[], translate.Translator] = translate.OfflineTranslator, callers: Calls | int | None = None):
         self.spark, self.make, self.callers = spark, make, callers
 
     def ping(self) -> str:

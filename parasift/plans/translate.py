@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
@@ -18,19 +19,18 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
+from parasift.plans.calls import ATTEMPTS, FIRST_PAUSE, OFFLINE, REMOTE, Answer, Calls, Window
 from parasift.sources import docx
 from parasift.staging import stage
 
-ATTEMPTS, FIRST_PAUSE = 3, 0.6
 POLISH_FROM, POLISH_LEAST = 120, 10
 #: A text under so many characters is asked for a third time if Chinese is left.
 SHORT = 300
-#: Calls under way at once to a remote model; the offline stand-in has no such bound.
-MOST_CALLERS = 6
-# What the model is told beside the text.
-FULLY = "Please fully translate the following Chinese to English (no Chinese characters should remain)."
-STRICTLY = "Translate the text below to English ONLY. Your output MUST contain NO Chinese characters whatsoever; if any Chinese remains, retranslate the whole text."
-PRESERVE = "CRITICAL: every number, amount, date and identifier listed below must appear in your translation verbatim. Must-preserve values:"
+#: What the model is told beside the text.
+FULLY = "Your last answer still held Chinese. Give the whole text in English."
+STRICTLY = "Two answers still held Chinese. Write English alone: not one Chinese character may be left, names included."
+PRESERVE = "Your last answer lost figures. Each of these has to stand in the translation exactly as written:"
+# Fixed values.
 RESTORED, NOT_RESTORED = "保真重译: 已自动恢复缺失的数字/金额", "保真重译后仍有数字缺失，请人工核对"
 FIX_ORDER = ["term", "numbering", "duplicate", "fidelity", "chinese"]
 
@@ -56,6 +56,7 @@ class OfflineTranslator:
 
 
 def with_retries(call: Callable[[], str], attempts: int = ATTEMPTS, pause: float = FIRST_PAUSE) -> str:
+    """The same for one call on the driver."""
     for attempt in range(attempts):
         try:
             return call()
@@ -66,38 +67,54 @@ def with_retries(call: Callable[[], str], attempts: int = ATTEMPTS, pause: float
     raise AssertionError
 
 
-def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: int | None = None, instruction: str | None = None) -> DataFrame:
-    """``df`` with ``column`` run through the translator and ``model_error`` where it failed thrice: the
+def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: Calls | int | None = None, instruction: str | None = None) -> DataFrame:
+    """``df`` with ``column`` run through the translator and ``model_error`` where it failed in all attempts: the
     text then stays as it was. ``instruction`` names a column with what the model is told beside the text.
-    ``callers`` bounds the partitions, and so the calls under way at once. The answers are written once: no
-    later step or lost executor asks again for what has been answered."""
+    ``callers`` bounds the calls under way at once: so many tasks, and in each a window of calls whose answers come in
+    the order of the rows. The window goes on from batch to batch. The answers are written once: no later step
+    or lost executor asks again for what has been answered."""
+    calls = callers if isinstance(callers, Calls) else Calls(callers)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", model_error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for frame in frames:
-            texts, errors = [], []
-            told = frame[instruction] if instruction else [""] * len(frame)
-            for text, more in zip(frame[column], told):
-                try:
-                    done = with_retries(lambda: model.translate(text, terms or {}, more or "") if method == "translate" else model.polish(text))
-                    texts.append(done or text)
-                    errors.append(None)
-                except Exception as error:
-                    texts.append(text)
-                    errors.append(str(error))
-            yield frame.assign(**{column: texts, "model_error": errors})
-
-    asked = df if callers is None else df.repartition(callers)
+        model, window, held = make(), Window(calls), deque()
+
+        def asked() -> Iterator[tuple]:
+            for frame in frames:
+                held.append(frame)
+                told = frame[instruction] if instruction else [""] * len(frame)
+                for text, more in zip(frame[column], told):
+                    yield (model.translate, text, terms or {}, more or "") if method == "translate" else (model.polish, text)
+
+        try:
+            answers = window.ordered(asked())
+            got: list[Answer] = []
+            for answer in answers:
+                got.append(answer)
+                while held and len(got) >= len(held[0]):
+                    yield _answered(held.popleft(), column, got)
+            for frame in held:  # empty ones
+                yield _answered(frame, column, got)
+        finally:
+            window.close()
+
+    asked = df if calls.callers is None else df.repartition(calls.callers)
     return stage(asked.mapInPandas(run, schema), f"model-{method}")
 
 
+def _answered(frame: pd.DataFrame, column: str, got: list[Answer]) -> pd.DataFrame:
+    """``frame`` with its answers, the first of ``got``, which are taken off there."""
+    own, got[:] = got[: len(frame)], got[len(frame) :]
+    texts = [text if a.error is not None else a.value or text for text, a in zip(frame[column], own)]
+    return frame.assign(**{column: texts, "model_error": [a.error for a in own]})
+
+
 class _Job:
     """What all steps of one translation share."""
 
-    def __init__(self, terms: Mapping[str, str], make: Callable[[], Translator], callers: int | None, keys: list[str], feedback: str | None = None):
+    def __init__(self, terms: Mapping[str, str], make: Callable[[], Translator], callers: Calls | int | None, keys: list[str], feedback: str | None = None):
         self.terms, self.make, self.keys, self.feedback = dict(terms), make, keys, feedback
-        self.callers = callers if callers is not None or make is OfflineTranslator else MOST_CALLERS
+        self.callers = callers if callers is not None else OFFLINE if make is OfflineTranslator else REMOTE
         self.source: DataFrame | None = None
         self._rare: DataFrame | None = None
 
@@ -198,14 +215,14 @@ def _must_preserve() -> Column:
     return F.concat(F.lit(PRESERVE + "\n- "), F.array_join(guards.must_preserve(F.col("text")), "\n- "))
 
 
-def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int | None = None, feedback: str | None = None) -> DataFrame:
+def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None, feedback: str | None = None) -> DataFrame:
     """Rows (``file_id``, ``region``, ``pos``, ``text``; other key columns pass) with ``route``,
     ``translated_text`` and ``warnings``.
 
     Blank and null texts stay. Lines with a URL and short lines without Chinese need no model: labels and
     terms are replaced, the rest cleaned. All others go through the model. ``callers`` bounds the calls under
-    way at once, ``MOST_CALLERS`` unless the translator is the offline one; ``feedback`` is told to the model
-    with every text.
+    way at once, to ``REMOTE`` unless the translator is the offline one; ``feedback`` is told to the model with every
+    text.
     """
     job = _Job(terms, make, callers, ["file_id", "region"], feedback)
     empty = F.array().cast("array<string>")
@@ -286,7 +303,7 @@ def audited(segments: DataFrame, terms: Mapping[str, str]) -> DataFrame:
     return number_document(segments.withColumn("warnings", found), ["file_id"]).withColumn("translated_text", F.col("translated_text"))
 
 
-def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int | None = None) -> DataFrame:
+def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None) -> DataFrame:
     """``segments`` (file_id, region, pos, text: source; translated_text, warnings) after the asked-for
     ``fixes``, always in the order term, numbering, duplicate, fidelity, chinese.
 
@@ -323,7 +340,7 @@ def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str]
     return fresh.select(columns).unionByName(kept)
 
 
-def revise_segments(segments: DataFrame, previous: DataFrame | None, feedback: str, answer: Mapping, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: int | None = None) -> DataFrame:
+def revise_segments(segments: DataFrame, previous: DataFrame | None, feedback: str, answer: Mapping, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None) -> DataFrame:
     """A translation revised after ``feedback``: translated again with it where ``answer`` (of
     ``interpret_feedback``) asks for that or there is no ``previous`` translation, then with the formats that
     it asks for, or, if it names none, that the feedback's own words do."""

@@ -29,8 +29,8 @@ class Forgetful:
         if "丁" in text:
             return "always 丁"
         if "金额" in text:
-            assert "MUST" in instruction or "Must" in instruction or not instruction
-            return "the amount __G0__" if "Must-preserve" in instruction and "500万元" in instruction else "the amount"
+            assert translate.PRESERVE in instruction or translate.FULLY in instruction or not instruction
+            return "the amount __G0__" if translate.PRESERVE in instruction and "500万元" in instruction else "the amount"
         if "润色" in text:
             return "On May 5, 2024 at 9:00-10:30 the group of 300 people met " + "and talked of this, that and many other things which nobody wrote down at the time"
         return "well well Rare Rare Word Rare Rare Word"
