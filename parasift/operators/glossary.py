@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterable, Mapping
-from functools import reduce
+from collections.abc import Iterable, Iterator, Mapping
+from functools import lru_cache, reduce
 from itertools import zip_longest
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
+from parasift.staging import in_order, read_file, stage
 
 TTL_DAYS = 7
 # Fixed values.
@@ -91,16 +95,93 @@ class TermIndex:
 
 
 class Replacer:
-    """Plain replacements in order, each over what the ones before it left."""
+    """Plain replacements in order, each over what the ones before it left.
+
+    One automaton finds all terms in one pass; they are then replaced by order and place. A replacement is scanned
+    again only where it stands, with as much beside it as the longest term, for later terms that it made. The
+    text is a linked list of characters, so a change moves nothing: the cost follows the text and its changes, not
+    the number of terms.
+    """
 
     def __init__(self, pairs: list[tuple[str, str]]):
-        self.pairs, self.index = pairs, TermIndex(cn for cn, _ in pairs)
+        self.pairs = pairs
+        self.automaton = ahocorasick.Automaton()
+        for number, (cn, _) in enumerate(pairs):
+            if cn and cn not in self.automaton:
+                self.automaton.add_word(cn, number)
+        self.longest = max((len(cn) for cn, _ in pairs), default=0)
+        if self.longest:
+            self.automaton.make_automaton()
 
     def __call__(self, text: str) -> str:
-        done = -1
-        while (number := min((n for n in self.index.held(text) if n > done), default=None)) is not None:
-            text, done = text.replace(*self.pairs[number]), number
-        return text
+        if not self.longest:
+            return text
+        pairs, found = self.pairs, sorted((n, end - len(self.pairs[n][0]) + 1) for end, n in self.automaton.iter(text))
+        if not found:
+            return text
+        # The list's ends are nodes of their own, after the text's characters.
+        size = len(text)
+        chars = [*text, "", ""]
+        after, before = [*range(1, size), size + 1, 0, size + 1], [size, *range(size + 1)]
+        before[size], before[size + 1] = size, size - 1
+        gone = bytearray(size + 2)
+        place: dict[int, tuple[int, ...]] = {}  # of nodes put in: sorts behind the node they stand for
+        fresh: list[tuple[int, tuple[int, ...], int]] = []  # a heap of what replacements made
+        at = 0
+        while at < len(found) or fresh:
+            if at < len(found) and (not fresh or (found[at][0], (found[at][1],)) <= fresh[0][:2]):
+                number, node = found[at]
+                at += 1
+            else:
+                number, _, node = heapq.heappop(fresh)
+            if gone[node]:
+                continue
+            cn, en = pairs[number]
+            nodes = []
+            for char in cn:
+                if gone[node] or chars[node] != char:  # the ends hold no character
+                    break
+                nodes.append(node)
+                node = after[node]
+            if len(nodes) < len(cn):
+                continue
+            label = place.get(nodes[0], (nodes[0],))
+            left, right = before[nodes[0]], after[nodes[-1]]
+            for n in nodes:
+                gone[n] = 1
+            last = left
+            for i, char in enumerate(en):
+                chars.append(char)
+                new = len(chars) - 1
+                gone.append(0)
+                place[new] = (*label, i)
+                after.append(right)
+                before.append(last)
+                after[last], last = new, new
+            after[last], before[right] = right, last
+            self._look_again(number, left, right, len(en), chars, after, before, place, fresh)
+        out, node = [], after[size]
+        while node != size + 1:
+            out.append(chars[node])
+            node = after[node]
+        return "".join(out)
+
+    def _look_again(self, number, left, right, put_in, chars, after, before, place, fresh) -> None:
+        """Terms after ``number`` that hold a new character or go across the place of a change."""
+        nodes, node = [], left
+        while len(nodes) < self.longest - 1 and chars[node]:
+            nodes.append(node)
+            node = before[node]
+        nodes.reverse()
+        begin, node = len(nodes), after[left]
+        stop = begin + put_in
+        while len(nodes) < stop + self.longest - 1 and chars[node]:
+            nodes.append(node)
+            node = after[node]
+        for end, later in self.automaton.iter("".join(chars[n] for n in nodes)):
+            first = end - len(self.pairs[later][0]) + 1
+            if later > number and first < stop and end >= begin:
+                heapq.heappush(fresh, (later, place.get(nodes[first], (nodes[first],)), nodes[first]))
 
 
 def _longest_first(terms: Mapping[str, str]) -> list[tuple[str, str]]:
@@ -114,9 +195,10 @@ def replaced_in_order(text: Column, terms: Mapping[str, str]) -> Column:
         return tn.literal(text, pairs)
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         replace = Replacer(pairs)
-        return pd.Series([None if t is None else replace(t) for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([None if t is None else replace(t) for t in texts], dtype=object)
 
     return run(text)
 
@@ -128,15 +210,54 @@ def replaced_between_urls(text: Column, terms: Mapping[str, str]) -> Column:
         return F.array_join(F.transform(tn.url_stretches(text), lambda s: F.when(s["url"], s["part"]).otherwise(tn.literal(s["part"], pairs))), "")
 
     @F.pandas_udf("string")
-    def run(others: pd.Series, urls: pd.Series) -> pd.Series:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         replace = Replacer(pairs)
         whole = lambda o, u: "".join(replace(part) + url for part, url in zip_longest(o, u, fillvalue=""))
-        return pd.Series([None if o is None else whole(o, u) for o, u in zip(others, urls)], dtype=object)
+        for others, urls in batches:
+            yield pd.Series([None if o is None else whole(o, u) for o, u in zip(others, urls)], dtype=object)
 
     # Two plain arrays: Spark does not evaluate a Python function whose argument nests lambdas.
     return run(*tn.url_parts(text))
 
 
+#: Terms whose automaton a worker holds at a time where a glossary is a table.
+TERMS_A_BLOCK = 200_000
+
+
+def replaced_by_table(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``df`` with every term of ``terms`` (cn, en, ord) replaced in ``text``, longest first, those of one length in the
+    order of ``ord``: ``replaced_in_order`` for a glossary of any size, of which nothing passes through the driver.
+
+    The terms lie in the shared folder in ranges of that order. A task takes one range after another over its rows,
+    so it holds one range's automaton at a time. Of terms with one ``cn`` the first counts; null and empty ones
+    are left out; null texts stay null.
+    """
+    used = terms.where((F.col("cn") != "") & F.col("en").isNotNull()).groupBy("cn").agg(F.min_by("en", "ord").alias("en"), F.min("ord").alias("ord"))
+    used = used.select((-F.length("cn")).alias("rank"), "ord", "cn", "en")
+    blocks = max(1, -(-used.count() // TERMS_A_BLOCK))
+    ranges = used.repartitionByRange(blocks, "rank", "ord", "cn").withColumn("block", F.spark_partition_id()).sortWithinPartitions("rank", "ord", "cn")
+    files = in_order(stage(ranges, "terms"), "block")
+    at, schema = df.columns.index(text), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for group in files:
+                replace = _block_replacer(tuple(group))
+                texts = [None if t is None else replace(t) for t in texts]
+            columns = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+@lru_cache(maxsize=1)
+def _block_replacer(files: tuple[str, ...]) -> Replacer:
+    """The automaton of one range of terms; a worker process keeps one."""
+    rows = [r for file in files for r in read_file(file, ["rank", "ord", "cn", "en"]).to_pylist()]
+    return Replacer([(r["cn"], r["en"]) for r in sorted(rows, key=lambda r: (r["rank"], r["ord"], r["cn"]))])
+
+
 def replace_terms(text: Column, glossary: Mapping[str, str]) -> Column:
     """Quotes made even, then every term replaced, longest first; an empty glossary changes nothing."""
     if not glossary:
@@ -188,18 +309,52 @@ def term_warnings(cn: Column, en: Column, glossary: Mapping[str, str]) -> Column
     return F.transform(unused_terms(cn, en, glossary), lambda t: F.concat(F.lit("术语缺失: 中文「"), t["cn"], F.lit("」标准译法「"), t["en"], F.lit("」未在英文中出现")))
 
 
+#: A pair of characters with over one in so many of all pairs is hot; there can be no more such than that.
+HOT_SHARE = 1000
+
+
+def _grams(text: Column, single: bool) -> Column:
+    """The distinct pairs of characters that stand side by side in ``text``; with ``single`` its characters too."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    pairs = lambda c: F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1)))
+    every = tn.let(chars, lambda c: F.concat(pairs(c), c) if single else pairs(c))
+    return F.array_distinct(F.filter(every, lambda g: g.isNotNull()))
+
+
+def candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(``row``, ``cn``, ``en``): the terms (cn, en) that may stand in a text of ``texts`` (row, text), a table on disk.
+
+    A term is sought by its anchor, the pair of characters in it that the fewest texts have; one with a pair that no
+    text has is in none. Texts and terms meet on anchors in a hash join. Anchors of over a ``HOT_SHARE``-th of all
+    pairs are split: their texts are dealt out at random and their terms go to each part.
+    """
+    single = terms.where(F.char_length("cn") == 1).limit(1).count() > 0
+    held = texts.select("row", F.explode(_grams(F.col("text"), single)).alias("gram"))
+    counts = stage(held.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
+    bound = (counts.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    own = terms.select("cn", "en", F.explode(F.when(F.char_length("cn") == 1, F.array("cn")).otherwise(_grams(F.col("cn"), False))).alias("gram"))
+    known = own.join(counts, "gram", "left").groupBy("cn", "en").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.min(F.struct("n", "gram")).alias("least"))
+    anchors = stage(known.where("absent = 0").select("cn", "en", "least.n", "least.gram"), "anchors")
+    hot = counts.where(F.col("n") > bound).select("gram")
+    cold = held.join(F.broadcast(hot), "gram", "left_anti").join(anchors.where(F.col("n") <= bound), "gram")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.join(F.broadcast(hot), "gram").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    copies = anchors.where(F.col("n") > bound).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return cold.select("row", "cn", "en").unionByName(dealt.join(copies, ["gram", "part"]).select("row", "cn", "en"))
+
+
 def missing_terms(pairs: DataFrame, terms: DataFrame, cn: str = "cn_text", en: str = "en_text") -> DataFrame:
-    """Rows of ``pairs`` with each term (``term_cn``, ``term_en``) that ``unused_terms`` finds: no join and no
-    shuffle of the pairs. A table of over ``MOST_TERMS`` terms takes one pass over the pairs a block."""
-    used = terms.select("cn", "en").where((F.col("cn") != "") & F.col("en").isNotNull())
-    blocks = max(1, -(-used.count() // MOST_TERMS))
-    out = None
-    for block in range(blocks):
-        rows = used.where(F.pmod(F.xxhash64("cn"), F.lit(blocks)) == block).collect()
-        part = pairs.withColumn("__t", unused_terms(F.col(cn), F.col(en), {r["cn"]: r["en"] for r in rows}))
-        part = part.select(*pairs.columns, F.explode("__t").alias("__t")).select(*pairs.columns, F.col("__t.cn").alias("term_cn"), F.col("__t.en").alias("term_en"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Rows of ``pairs`` with each term (``term_cn``, ``term_en``) that ``unused_terms`` finds, for any number of terms: none
+    passes through the driver or is held in a worker. Of terms with one ``cn`` the last by ``ord``, where there is
+    such a column, else the greatest, counts. Repeated rows each give theirs; null texts hold nothing."""
+    last = F.max_by("en", "ord") if "ord" in terms.columns else F.max("en")
+    used = terms.where((F.col("cn") != "") & F.col("en").isNotNull()).groupBy("cn").agg(last.alias("en"))
+    rows = stage(pairs.withColumns({"__row": F.monotonically_increasing_id(), "__cn": F.col(cn), "__en": F.lower(F.coalesce(F.col(en), F.lit("")))}), "term-pairs")
+    found = candidates(rows.select(F.col("__row").alias("row"), F.col("__cn").alias("text")), used)
+    found = found.select(F.col("row").alias("__row"), F.col("cn").alias("term_cn"), F.col("en").alias("term_en"))
+    variants = F.transform(F.split("term_en", r"\|"), lambda v: F.lower(F.regexp_replace(v, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))))
+    there = F.exists(variants, lambda v: (v != "") & F.col("__en").contains(v))
+    return rows.join(found, "__row").where(F.col("__cn").contains(F.col("term_cn")) & ~there).select(*pairs.columns, "term_cn", "term_en")
 
 
 class Variants:

@@ -741,21 +741,17 @@ WITH t AS (SELECT p_name AS cn, 'P' || min(p_partkey) AS en, min(p_partkey) AS o
 SELECT p_partkey, 'x ' || t.en || ' and ' || t.en || ' y' AS replaced, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS missing FROM part JOIN t ON p_name = t.cn
 """)
 def glossary_large(parts: DataFrame) -> DataFrame:
-    """Every part name is a term, far too many for expressions; no name lies within another's place."""
-    names = parts.groupBy(F.col("p_name").alias("cn")).agg(F.min("p_partkey").alias("ord")).withColumn("en", F.concat(F.lit("P"), _n(F.col("ord"))))
-    terms = {f"[{c}]": e for c, e in glossary.as_mapping(names).items()} | {f"unseen {i}": "never" for i in range(200)}
+    """Every part name is a term, as a table of which nothing passes through the driver; no name lies within another's
+    place."""
+    names = parts.groupBy(F.concat(F.lit("["), "p_name", F.lit("]")).alias("cn")).agg(F.min("p_partkey").alias("ord")).withColumn("en", F.concat(F.lit("P"), _n(F.col("ord"))))
     source = F.concat(F.lit("x ["), "p_name", F.lit("] and ["), "p_name", F.lit("] y"))
-    done = parts.select("p_partkey", glossary.replaced_in_order(source, terms).alias("replaced"), source.alias("source"))
+    done = glossary.replaced_by_table(parts.select("p_partkey", source.alias("source"), source.alias("replaced")), "replaced", names)
     target = F.when(F.col("p_partkey") % 2 == 0, F.lower("replaced")).otherwise("nothing")
-    found = glossary.missing_terms(done.select("p_partkey", F.col("source").alias("cn_text"), target.alias("en_text")), _term_table(parts.sparkSession, terms))
+    found = glossary.missing_terms(done.select("p_partkey", "replaced", F.col("source").alias("cn_text"), target.alias("en_text")), names)
     counts = found.groupBy("p_partkey").agg(F.count("*").cast("int").alias("missing"))
     return done.join(counts, "p_partkey", "left").select("p_partkey", "replaced", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
-def _term_table(spark: SparkSession, terms: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(terms.items()), "cn string, en string")
-
-
 @query("warning_contexts", "orders", """
 SELECT o_custkey::VARCHAR AS file_id, o_orderkey::INTEGER AS pos, 'source ' || o_orderkey AS cn, o_orderpriority AS en FROM orders WHERE o_orderkey % 3 = 0
 """)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DIR = "file:///tmp/checkpoints"
 
@@ -23,3 +27,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/parasift/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(staged: DataFrame, block: str) -> list[list[str]]:
+    """The files of each ``block`` of a staged table, in the order of the blocks; small numbers, one a file."""
+    named = staged.select(block, F.col("_metadata.file_path").alias("file"))
+    own = named.groupBy(block).agg(F.collect_set("file").alias("files")).collect()
+    return [sorted(r["files"]) for r in sorted(own, key=lambda r: r[block])]
+
+
+def read_file(file: str, columns: list[str]) -> pa.Table:
+    """A file of a staged table, for a worker."""
+    system, path = fs.FileSystem.from_uri(file if "://" in file else f"file://{file[5:] if file.startswith('file:') else file}")
+    with system.open_input_file(path) as source:
+        return pq.read_table(source, columns=columns)
