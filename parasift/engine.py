@@ -104,6 +104,34 @@ class Engine:
     def job(self, file_ids: list[str], glossary_id: str | None = None) -> DataFrame:
         return jobs.new_job(self.spark, file_ids, glossary_id)
 
+    def start_job(self, store: str, path: str, glossary_id: str | None = None) -> str:
+        """A job over the documents below ``path``, kept in ``store``; ``run_job`` does its work, now or after a stop."""
+        made = self.job([], glossary_id)
+        job_id = made.first()["job_id"]
+        jobs.save(made, store, "jobs", ["job_id"])
+        files = docx.list_docx(self.spark, path)
+        jobs.start(files.withColumn("pos", F.lit(None)), store, job_id)
+        return job_id
+
+    def run_job(self, store: str, job_id: str, group: int = jobs.GROUP, feedback: str | None = None) -> DataFrame:
+        """Translates the files of a job that are not finished and returns all their states. A file that fails, or
+        cannot be read, ends no other; a glossary that is gone ends the job."""
+        glossary_id = jobs.load(self.spark, store, "jobs", ["job_id"]).where(F.col("job_id") == job_id).first()["glossary_id"]
+        try:
+            terms = self.stored_glossary(store, glossary_id) if glossary_id else {}
+        except KeyError:
+            jobs.fail(self.spark, store, job_id, f"no such glossary, or past its time: {glossary_id}")
+            return jobs.states(self.spark, store, job_id)
+
+        def step(segments: DataFrame, progress: str) -> DataFrame:
+            done = translate.translate_segments(segments, terms, self.make, self.callers, feedback, progress)
+            return translate.number_document(done, ["file_id", "region"])
+
+        return jobs.run(self.spark, store, job_id, lambda ids: docx.read_docx(self.spark, ids), step, group)
+
+    def progress(self, store: str, job_id: str) -> DataFrame:
+        return jobs.live_progress(self.spark, store, job_id)
+
     def result(self, results: DataFrame, file_id: str | None = None) -> DataFrame:
         return jobs.first_result(results, file_id)
 

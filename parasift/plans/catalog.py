@@ -786,3 +786,35 @@ SELECT o_custkey::VARCHAR AS file_id, count(*) AS total, CASE WHEN count(*) FILT
 def job_progress(orders: DataFrame) -> DataFrame:
     rows = orders.select(_n(F.col("o_custkey")).alias("file_id"), "o_orderstatus")
     return jobs.progress(rows, rows.where("o_orderstatus <> 'F'"))
+
+
+@query("job_life_cycle", "documents", """
+SELECT coalesce(source, 'none') AS file_id, CASE WHEN min(doc_id) % 5 = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN min(doc_id) % 5 = 2 THEN 2 ELSE 1 END AS attempts,
+  CASE WHEN min(doc_id) % 5 = 1 THEN NULL ELSE count(*) END AS segments, CASE WHEN min(doc_id) % 5 = 1 THEN NULL ELSE count(*) FILTER (doc_id % 7 = 0) END AS warnings,
+  CASE WHEN min(doc_id) % 5 = 1 THEN NULL ELSE coalesce(sum(length(text)), 0)::BIGINT END AS chars, CASE WHEN min(doc_id) % 5 = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS fraction
+FROM documents GROUP BY 1
+""")
+def job_life_cycle(docs: DataFrame) -> DataFrame:
+    """A job over all documents, those of one source a file. Some files fail, one by one; some were under way when an
+    earlier run stopped; the others are done in that run."""
+    spark, job_id = docs.sparkSession, "all"
+    store = f"{shared_dir(spark)}/parasift/store-{uuid.uuid4().hex}"
+    rows = docs.select(F.coalesce("source", F.lit("none")).alias("file_id"), "doc_id", "text")
+    first = rows.groupBy("file_id").agg(F.min("doc_id").alias("first"))
+    marked = rows.join(F.broadcast(first), "file_id")
+    jobs.start(first.select("file_id", F.col("file_id").alias("name"), F.col("first").alias("pos")), store, job_id)
+    read = lambda ids: marked.where(F.col("file_id").isin(ids))
+
+    def step(segments: DataFrame, progress: str) -> DataFrame:
+        told = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("seventh"))).otherwise(F.array().cast("array<string>"))
+        broken = F.when(F.col("first") % 5 == 1, F.raise_error(F.lit("a broken file")).cast("string")).otherwise(F.col("text"))
+        return segments.select("file_id", "doc_id", broken.alias("text"), told.alias("warnings"))
+
+    under_way = jobs.states(spark, store, job_id).where("pos % 5 = 2").withColumns({"status": F.lit("processing"), "attempt": F.lit(1)})
+    jobs.save(under_way, store, "files", jobs.FILE_KEYS)
+    found = jobs.run(spark, store, job_id, read, step)
+    chars = jobs.results(spark, store, job_id).groupBy("file_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    seen = jobs.live_progress(spark, store, job_id).select("file_id", "fraction")
+    done = F.col("status") == "completed"
+    found = found.join(chars, "file_id", "left").join(seen, "file_id")
+    return found.select("file_id", "status", F.col("attempt").alias("attempts"), *(F.when(done, F.col(c)).alias(c) for c in ("segments", "warnings", "chars")), "fraction")

@@ -9,16 +9,20 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping
+from itertools import count
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
+from parasift.plans import jobs
 from parasift.plans.calls import ATTEMPTS, FIRST_PAUSE, OFFLINE, REMOTE, Answer, Calls, Window
 from parasift.sources import docx
 from parasift.staging import stage
@@ -67,7 +71,7 @@ def with_retries(call: Callable[[], str], attempts: int = ATTEMPTS, pause: float
     raise AssertionError
 
 
-def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: Calls | int | None = None, instruction: str | None = None) -> DataFrame:
+def call_model(df: DataFrame, column: str, make: Callable[[], Translator], method: str, terms: Mapping[str, str] | None = None, callers: Calls | int | None = None, instruction: str | None = None, progress: str | None = None) -> DataFrame:
     """``df`` with ``column`` run through the translator and ``model_error`` where it failed in all attempts: the
     text then stays as it was. ``instruction`` names a column with what the model is told beside the text.
     ``callers`` bounds the calls under way at once: so many tasks, and in each a window of calls whose answers come in
@@ -75,9 +79,10 @@ def call_model(df: DataFrame, column: str, make: Callable[[], Translator], metho
     or lost executor asks again for what has been answered."""
     calls = callers if isinstance(callers, Calls) else Calls(callers)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", model_error string"
+    label = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, window, held = make(), Window(calls), deque()
+        model, window, held, number = make(), Window(calls), deque(), count()
 
         def asked() -> Iterator[tuple]:
             for frame in frames:
@@ -92,7 +97,11 @@ def call_model(df: DataFrame, column: str, make: Callable[[], Translator], metho
             for answer in answers:
                 got.append(answer)
                 while held and len(got) >= len(held[0]):
-                    yield _answered(held.popleft(), column, got)
+                    done = _answered(held.popleft(), column, got)
+                    if progress:
+                        whole = done[done["__n"] == 0]["file_id"].value_counts()
+                        jobs.mark(progress, f"{label}-{TaskContext.get().partitionId()}-{next(number)}", {str(f): int(n) for f, n in whole.items()})
+                    yield done
             for frame in held:  # empty ones
                 yield _answered(frame, column, got)
         finally:
@@ -112,7 +121,8 @@ def _answered(frame: pd.DataFrame, column: str, got: list[Answer]) -> pd.DataFra
 class _Job:
     """What all steps of one translation share."""
 
-    def __init__(self, terms: Mapping[str, str], make: Callable[[], Translator], callers: Calls | int | None, keys: list[str], feedback: str | None = None):
+    def __init__(self, terms: Mapping[str, str], make: Callable[[], Translator], callers: Calls | int | None, keys: list[str], feedback: str | None = None, progress: str | None = None):
+        self.progress = progress
         self.terms, self.make, self.keys, self.feedback = dict(terms), make, keys, feedback
         self.callers = callers if callers is not None else OFFLINE if make is OfflineTranslator else REMOTE
         self.source: DataFrame | None = None
@@ -142,7 +152,7 @@ class _Job:
             none = none.unionByName(dedup.with_protected(some, text, self.keys, self.rare()))
         return stage(cleaning.clean_segments(none, text, "protected").drop("dedup_audit", "protected"), "cleaned")
 
-    def speak(self, rows: DataFrame, instruction: Column | str | None = None) -> DataFrame:
+    def speak(self, rows: DataFrame, instruction: Column | str | None = None, progress: str | None = None) -> DataFrame:
         """``rows`` with ``spoken`` and ``model_error``: dates converted, numbers masked, chunks of whole
         sentences translated, joined and unmasked; labels, remarks and marks of the model taken out. A URL
         line is no business of the model; where it failed, ``spoken`` is the source."""
@@ -152,7 +162,7 @@ class _Job:
             told = F.concat_ws("\n\n", F.when(told != "", told), F.lit(self.feedback))
         masked = rows.withColumn("__told", told).withColumn("__g", guards.mask(tn.convert_chinese_dates(F.col("text")))).withColumn("__row", F.monotonically_increasing_id())
         chunks = masked.select(*columns, "__row", "__told", F.col("__g.guards").alias("__guards"), F.posexplode(tn.split_long(F.col("__g.text"))).alias("__n", "__chunk"))
-        spoken = call_model(chunks, "__chunk", self.make, "translate", self.terms, self.callers, "__told")
+        spoken = call_model(chunks, "__chunk", self.make, "translate", self.terms, self.callers, "__told", progress)
         whole = spoken.groupBy("__row").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__chunk"))), lambda c: c["__chunk"]), "").alias("__text"),
             F.first("__guards").alias("__guards"),
@@ -215,7 +225,7 @@ def _must_preserve() -> Column:
     return F.concat(F.lit(PRESERVE + "\n- "), F.array_join(guards.must_preserve(F.col("text")), "\n- "))
 
 
-def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None, feedback: str | None = None) -> DataFrame:
+def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None, feedback: str | None = None, progress: str | None = None) -> DataFrame:
     """Rows (``file_id``, ``region``, ``pos``, ``text``; other key columns pass) with ``route``,
     ``translated_text`` and ``warnings``.
 
@@ -224,7 +234,7 @@ def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Call
     way at once, to ``REMOTE`` unless the translator is the offline one; ``feedback`` is told to the model with every
     text.
     """
-    job = _Job(terms, make, callers, ["file_id", "region"], feedback)
+    job = _Job(terms, make, callers, ["file_id", "region"], feedback, progress)
     empty = F.array().cast("array<string>")
     keyed = segments.withColumn("route", tn.route(F.col("text"))).withColumn("warnings", empty)
     job.watch(segments)
@@ -250,7 +260,7 @@ def _through_model(rows: DataFrame, job: _Job) -> DataFrame:
     them, which counts if it has fewer findings. Then the findings."""
     columns = rows.columns
     terms_only = glossary.translate_terms(F.col("text"), job.terms)
-    first = job.speak(rows)
+    first = job.speak(rows, progress=job.progress)
     first = first.withColumn("translated_text", F.when(F.col("model_error").isNotNull(), tidied(terms_only)).otherwise(F.col("spoken"))).drop("spoken", "model_error")
     left = _residue(F.col("translated_text")) > 0
     second = job.again(stage(first, "spoken"), left, FULLY, F.lit(True)).withColumnRenamed("retaken", "__second")

@@ -142,8 +142,15 @@ def parse_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({n: whole[n] if n in whole else pd.Series(columns[n], dtype=object) for n in names})
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """``SEGMENTS`` of all ``.docx`` files below ``path``; ``file_id`` is the file's path. ``error`` is null but
+def list_docx(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, name) of all ``.docx`` files below ``path``: their paths, and their names without the ending. No content
+    is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select(F.col("path").alias("file_id"))
+    return files.withColumn("name", F.regexp_replace(F.element_at(F.split("file_id", "/"), -1), F.lit(r"\.docx$"), F.lit("")))
+
+
+def read_docx(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``SEGMENTS`` of all ``.docx`` files below ``path``, or of the files that it lists; ``file_id`` is the file's path. ``error`` is null but
     for the one row of a file that cannot be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
     return files.select("path", "content").mapInPandas(parse_files, SEGMENTS)

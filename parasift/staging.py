@@ -36,8 +36,13 @@ def in_order(staged: DataFrame, block: str) -> list[list[str]]:
     return [sorted(r["files"]) for r in sorted(own, key=lambda r: r[block])]
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the path in it, for workers."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri[5:] if uri.startswith('file:') else uri}")
+
+
 def read_file(file: str, columns: list[str]) -> pa.Table:
     """A file of a staged table, for a worker."""
-    system, path = fs.FileSystem.from_uri(file if "://" in file else f"file://{file[5:] if file.startswith('file:') else file}")
+    system, path = file_system(file)
     with system.open_input_file(path) as source:
         return pq.read_table(source, columns=columns)
