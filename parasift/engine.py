@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
-from parasift.operators import glossary, numbering, quality
+from parasift.operators import glossary, quality
 from parasift.plans import jobs, translate
 from parasift.plans.calls import Calls
 from parasift.sources import docx, tables
@@ -72,10 +72,14 @@ class Engine:
         return self.fix(translate.audited(pairs, terms), fixes, terms)
 
     def revise(self, segments: DataFrame, previous: DataFrame | None, feedback: str, terms: Mapping[str, str], ask: Callable[[str], str]) -> DataFrame:
-        """A translation revised after ``feedback``; ``ask`` is one call to a model about formats."""
-        listed = [r["text"] or "" for r in segments.where("region in ('body', 'cell')").orderBy("file_id", numbering.document_order()).select("text").toLocalIterator()]
-        answer = translate.interpret_feedback(listed, feedback, ask)
-        return translate.revise_segments(segments, previous, feedback, answer, terms, self.make, self.callers)
+        """Translations revised after ``feedback``; ``ask``, one call to a model about formats, is made once a file."""
+        answers = translate.feedback_actions(segments, feedback, ask, self.callers or Calls())
+        return translate.revise_segments(segments, previous, feedback, answers, terms, self.make, self.callers)
+
+    def revise_with(self, segments: DataFrame, previous: DataFrame | None, feedback: str, answers: DataFrame, terms: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+        """The same for known ``answers`` (of ``translate.feedback_actions``), and (file_id, applied): what was done."""
+        done = translate.revise_segments(segments, previous, feedback, answers, terms, self.make, self.callers)
+        return done, docx.applied(segments, translate.format_actions(answers, feedback))
 
     def quality_report(self, translated: DataFrame) -> DataFrame:
         counts = translated.groupBy("file_id").agg(F.count("*").alias("paragraphs"))

@@ -675,13 +675,45 @@ SELECT l_orderkey, bold OR l_orderkey % 5 IN (0, 2) AS bold, italic, CASE WHEN l
 """)
 def revise_formats(items: DataFrame) -> DataFrame:
     """What a feedback's actions do to the formats that go to the file."""
-    segments = _runs(items).select("l_orderkey", _n(F.col("l_orderkey")).alias("file_id"), F.lit("body").alias("region"), (F.col("l_orderkey") % 5).cast("int").alias("pos"), F.lit("x").alias("translated_text"), "runs")
+    segments = _runs(items).select("l_orderkey", _n(F.col("l_orderkey")).alias("file_id"), F.lit("body").alias("region"), (F.col("l_orderkey") % 5).cast("int").alias("number"), F.lit("x").alias("translated_text"), "runs")
+    # Five lines a file, of which the one by the order's number is looked at.
+    lines = segments.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos"), *(F.lit(None).cast("int").alias(c) for c in ("tbl", "row", "col", "box")), F.lit("x").alias("text"))
     reply = '{"needs_retranslation": false, "actions": [{"indices": [0, 2], "action": "bold", "value": true}, {"indices": [2], "action": "font_color", "value": "0000FF"}, {"indices": [3], "action": "font_name", "value": "宋体"}, {"indices": [4], "action": "line_spacing", "value": "double"}]}'
-    answer = translate.interpret_feedback(["x"] * 5, "bold the first", lambda prompt: f"Here: {reply}")
-    done = translate.revise_segments(segments, segments, "bold the first", answer, {})
+    answers = segments.select("file_id", translate.parse_actions(F.lit(f"Here: {reply}")).alias("a")).select("file_id", "a.*")
+    done = translate.revise_segments(lines, lines, "bold the first", answers, {}).where("pos = number")
     return done.select("l_orderkey", docx.union_format(F.col("runs"), F.col("asked")).alias("f"), "line_spacing").select("l_orderkey", "f.bold", "f.italic", "f.color", "f.font_name", "line_spacing")
 
 
+@query("revise_targets", "orders", """
+WITH p AS (
+  SELECT o_custkey::VARCHAR AS file_id, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'body' WHEN 1 THEN 'cell' ELSE 'textbox' END AS region FROM orders
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE region WHEN 'body' THEN 1 WHEN 'cell' THEN 2 ELSE 3 END, o_orderkey) - 1 AS number, file_id::INTEGER % 2 = 0 AS even FROM p
+)
+SELECT file_id, o_orderkey, region, CASE WHEN even AND number IN (1, 4) THEN true WHEN NOT even AND number = 0 THEN false END AS bold, CASE WHEN number = 2 THEN '00FF00' ELSE 'FF0000' END AS color,
+  CASE WHEN even THEN 'single' END AS line_spacing, CASE WHEN even THEN 'line_spacing → single (all paragraphs)|bold → true (paragraphs [1, 4])|' ELSE 'bold → false (paragraphs [0, 99])|' END || 'font_color → FF0000 (all paragraphs)|font_color → 00FF00 (paragraphs [2])' AS applied
+FROM n
+""")
+def revise_targets(orders: DataFrame) -> DataFrame:
+    """Actions of every file and of some, with and without numbers, over body, cells and text boxes: numbers are those of
+    each file's own listing."""
+    kind, none = F.col("o_orderkey") % 3, F.lit(None).cast("int")
+    key, zero = F.col("o_orderkey").cast("int"), F.lit(0)
+    segments = orders.select(
+        _n(F.col("o_custkey")).alias("file_id"), "o_orderkey", F.when(kind == 0, "body").when(kind == 1, "cell").otherwise("textbox").alias("region"), F.when(kind == 0, key).otherwise(zero).alias("pos"),
+        F.when(kind == 1, zero).alias("tbl"), F.when(kind == 1, key).alias("row"), F.when(kind == 1, zero).alias("col"), F.when(kind == 2, key).otherwise(none).alias("box")
+    )
+    files = segments.select("file_id").distinct()
+    even = F.col("file_id").cast("int") % 2 == 0
+    act = lambda n, action, value, *indices: F.struct(F.lit(n).alias("ord"), F.lit(action).alias("action"), F.lit(value).alias("value"), F.array(*map(F.lit, indices)).cast("array<int>").alias("indices"))
+    own = files.select("file_id", F.inline(F.when(even, F.array(act(0, "line_spacing", "single"), act(1, "bold", "true", 1, 4))).otherwise(F.array(act(1, "bold", "false", 0, 99)))))
+    shared = orders.sparkSession.range(1).select(F.lit(None).cast("string").alias("file_id"), F.inline(F.array(act(2, "font_color", "FF0000"), act(3, "font_color", "00FF00", 2))))
+    actions = own.unionByName(shared)
+    done = docx.apply_actions(segments, actions, numbering.document_order())
+    told = docx.applied(segments, actions).select("file_id", F.array_join("applied", "|").alias("applied"))
+    return done.join(told, "file_id").select("file_id", "o_orderkey", "region", "asked.bold", "asked.color", "line_spacing", "applied")
+
+
 @query("docx_round_trip", "orders", """
 WITH p AS (SELECT o_custkey::VARCHAR AS file_id, o_orderkey, o_orderkey % 3 = 0 AS in_table, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY o_orderkey) - 1 AS n FROM orders)
 SELECT file_id, CASE WHEN in_table THEN 'cell' ELSE 'body' END AS region, CASE WHEN in_table THEN 0 ELSE n END::INTEGER AS pos, CASE WHEN in_table THEN n ELSE -1 END::INTEGER AS row,
@@ -789,9 +821,9 @@ def job_progress(orders: DataFrame) -> DataFrame:
 
 
 @query("job_life_cycle", "documents", """
-SELECT coalesce(source, 'none') AS file_id, CASE WHEN min(doc_id) % 5 = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN min(doc_id) % 5 = 2 THEN 2 ELSE 1 END AS attempts,
-  CASE WHEN min(doc_id) % 5 = 1 THEN NULL ELSE count(*) END AS segments, CASE WHEN min(doc_id) % 5 = 1 THEN NULL ELSE count(*) FILTER (doc_id % 7 = 0) END AS warnings,
-  CASE WHEN min(doc_id) % 5 = 1 THEN NULL ELSE coalesce(sum(length(text)), 0)::BIGINT END AS chars, CASE WHEN min(doc_id) % 5 = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS fraction
+SELECT coalesce(source, 'none') AS file_id, CASE WHEN min(doc_id) = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN min(doc_id) = 2 THEN 2 ELSE 1 END AS attempts,
+  CASE WHEN min(doc_id) = 1 THEN NULL ELSE count(*) END AS segments, CASE WHEN min(doc_id) = 1 THEN NULL ELSE count(*) FILTER (doc_id % 7 = 0) END AS warnings,
+  CASE WHEN min(doc_id) = 1 THEN NULL ELSE coalesce(sum(length(text)), 0)::BIGINT END AS chars, CASE WHEN min(doc_id) = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS fraction
 FROM documents GROUP BY 1
 """)
 def job_life_cycle(docs: DataFrame) -> DataFrame:
@@ -807,10 +839,10 @@ def job_life_cycle(docs: DataFrame) -> DataFrame:
 
     def step(segments: DataFrame, progress: str) -> DataFrame:
         told = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("seventh"))).otherwise(F.array().cast("array<string>"))
-        broken = F.when(F.col("first") % 5 == 1, F.raise_error(F.lit("a broken file")).cast("string")).otherwise(F.col("text"))
+        broken = F.when(F.col("first") == 1, F.raise_error(F.lit("a broken file")).cast("string")).otherwise(F.col("text"))
         return segments.select("file_id", "doc_id", broken.alias("text"), told.alias("warnings"))
 
-    under_way = jobs.states(spark, store, job_id).where("pos % 5 = 2").withColumns({"status": F.lit("processing"), "attempt": F.lit(1)})
+    under_way = jobs.states(spark, store, job_id).where("pos = 2").withColumns({"status": F.lit("processing"), "attempt": F.lit(1)})
     jobs.save(under_way, store, "files", jobs.FILE_KEYS)
     found = jobs.run(spark, store, job_id, read, step)
     chars = jobs.results(spark, store, job_id).groupBy("file_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))

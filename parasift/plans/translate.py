@@ -350,20 +350,55 @@ def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str]
     return fresh.select(columns).unionByName(kept)
 
 
-def revise_segments(segments: DataFrame, previous: DataFrame | None, feedback: str, answer: Mapping, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None) -> DataFrame:
-    """A translation revised after ``feedback``: translated again with it where ``answer`` (of
-    ``interpret_feedback``) asks for that or there is no ``previous`` translation, then with the formats that
-    it asks for, or, if it names none, that the feedback's own words do."""
-    if answer["needs_retranslation"] or previous is None:
-        done = number_document(translate_segments(segments, terms, make, callers, feedback), ["file_id", "region"])
+def feedback_actions(segments: DataFrame, feedback: str, ask: Callable[[str], str], callers: Calls | int | None = REMOTE) -> DataFrame:
+    """(file_id, needs_retranslation, actions): what a model makes of a feedback for each file. It is shown the file's
+    listing, the first 60 characters of each segment by number: body, cells, boxes. Files are asked about in tasks;
+    where the model fails or answers without an object, nothing is asked of the file."""
+    calls = callers if isinstance(callers, Calls) else Calls(callers)
+    line = F.concat(F.lit("["), F.col("number"), F.lit("] "), F.substring(F.coalesce("text", F.lit("")), 1, 60))
+    numbered = docx.listed(segments, numbering.document_order()).select("file_id", F.struct("number", line.alias("line")).alias("l"))
+    pages = numbered.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("page"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        window = Window(calls)
+        try:
+            for frame in frames:
+                answers = window.ordered((ask, f"{page}\n\n{feedback}") for page in frame["page"])
+                yield pd.DataFrame({"file_id": frame["file_id"], "reply": [a.value or "" for a in answers]})
+        finally:
+            window.close()
+
+    asked = pages if calls.callers is None else pages.repartition(calls.callers)
+    replies = stage(asked.mapInPandas(run, "file_id string, reply string"), "feedback")
+    return replies.select("file_id", parse_actions(F.col("reply")).alias("a")).select("file_id", "a.*")
+
+
+def format_actions(answers: DataFrame, feedback: str) -> DataFrame:
+    """``docx.ACTIONS`` of ``feedback_actions``; a file of whose formats the answer tells nothing gets those that the
+    feedback's own words ask for."""
+    told = answers.where(F.size("actions") > 0).select("file_id", F.posexplode("actions").alias("ord", "a"))
+    plain = answers.where(F.size("actions") == 0).select("file_id", F.posexplode(docx.keyword_actions(F.lit(feedback))).alias("ord", "a"))
+    none = F.array().cast("array<int>")
+    return told.select("file_id", "ord", "a.action", "a.value", F.coalesce("a.indices", none).alias("indices")).unionByName(plain.select("file_id", "ord", "a.action", "a.value", none.alias("indices")))
+
+
+def revise_segments(segments: DataFrame, previous: DataFrame | None, feedback: str, answers: DataFrame, terms: Mapping[str, str], make: Callable[[], Translator] = OfflineTranslator, callers: Calls | int | None = None) -> DataFrame:
+    """Translations revised after ``feedback``, file by file: translated again with it where ``answers`` (of
+    ``feedback_actions``) asks for that or there is no ``previous`` translation of the file, then with the formats that
+    the answer asks for, or, if it names none, that the feedback's own words do."""
+    again = answers.where("needs_retranslation").select("file_id")
+    if previous is not None:
+        again = again.unionByName(segments.select("file_id").distinct().join(previous.select("file_id").distinct(), "file_id", "left_anti"))
     else:
-        done = previous
-    spark = segments.sparkSession
-    rows = [(i, a["action"], str(a.get("value")), a.get("region"), list(a.get("indices") or [])) for i, a in enumerate(answer["actions"])]
-    if not rows:
-        asked = spark.range(1).select(docx.keyword_actions(F.lit(feedback)).alias("a")).first()["a"]
-        rows = [(i, a["action"], a["value"], None, []) for i, a in enumerate(asked)]
-    return docx.apply_actions(done, spark.createDataFrame(rows, "ord int, action string, value string, region string, indices array<int>"))
+        again = segments.select("file_id").distinct()
+    again = stage(again.distinct(), "again")
+    parts = [] if previous is None else [previous.join(again, "file_id", "left_anti")]
+    if again.limit(1).count():
+        chosen = segments.join(again, "file_id", "left_semi")
+        parts.append(number_document(translate_segments(chosen, terms, make, callers, feedback), ["file_id", "region"]))
+    if len(parts) == 2:
+        parts = [p.select(*parts[0].columns) for p in parts]
+    return docx.apply_actions(unions(parts), format_actions(answers, feedback), numbering.document_order())
 
 
 def parse_actions(response: Column) -> Column:

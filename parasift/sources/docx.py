@@ -11,11 +11,12 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
@@ -216,27 +217,48 @@ def union_format(runs: Column, asked: Column | None = None) -> Column:
     return F.struct(*flags, name.alias("font_name"), F.lit(12.0).alias("font_size"), first("highlight").alias("highlight"), color.alias("color"))
 
 
-def apply_actions(segments: DataFrame, actions: DataFrame) -> DataFrame:
-    """Run formats after ``actions`` (ord, action, value, region, indices): body positions by default,
-    all segments if there are no indices; later actions win. What was asked of a segment is also in its column
-    ``asked`` (``FORMATS``), line spacing and shading in ``line_spacing`` and ``clear_shading``."""
-    rows = actions.select("ord", "action", "value", "region", "indices").collect()  # one request's actions
-    out, runs = segments.withColumns({"line_spacing": F.lit(None).cast("string"), "clear_shading": F.lit(False)}), F.col("runs")
-    asked: dict[str, Column] = {"bold": F.lit(None).cast("boolean"), "italic": F.lit(None).cast("boolean"), "font_name": F.lit(None).cast("string"), "color": F.lit(None).cast("string")}
-    for row in sorted(rows, key=lambda r: r["ord"]):
-        hit = F.lit(True)
-        if row["indices"]:
-            hit = (F.col("region") == (row["region"] or "body")) & F.col("pos").isin(list(row["indices"]))
-        value, on = row["value"], F.lit(str(row["value"]).lower() == "true")
-        field = {"font_color": ("color", F.lit(value)), "font_name": ("font_name", F.lit(value)), "bold": ("bold", on), "italic": ("italic", on)}.get(row["action"])
-        if field:
-            changed = F.transform(runs, lambda r: r.withField(*field))
-            out = out.withColumn("runs", F.when(hit, changed).otherwise(runs))
-            asked[field[0]] = F.when(hit, field[1]).otherwise(asked[field[0]])
-        elif row["action"] in ("line_spacing", "clear_shading"):
-            new = F.lit(value) if row["action"] == "line_spacing" else F.lit(True)
-            out = out.withColumn(row["action"], F.when(hit, new).otherwise(F.col(row["action"])))
-    return out.withColumn("asked", F.struct(*(c.alias(n) for n, c in asked.items())))
+ACTIONS = "file_id string, ord int, action string, value string, indices array<int>"
+#: What each action sets of a segment, and its field in a run's format.
+FIELDS = {"bold": "bold", "italic": "italic", "font_name": "font_name", "font_color": "color", "line_spacing": None, "clear_shading": None}
+
+
+def listed(segments: DataFrame, order: Column, name: str = "number") -> DataFrame:
+    """``segments`` with ``name``: their place in their file's listing, from zero, by ``order``."""
+    return segments.withColumn(name, F.row_number().over(Window.partitionBy("file_id").orderBy(order)) - 1)
+
+
+def apply_actions(segments: DataFrame, actions: DataFrame, order: Column | str = "pos") -> DataFrame:
+    """Run formats after ``actions`` (``ACTIONS``): each goes to the segments of its file, or without one of every file,
+    whose number in their file's listing (by ``order``: body, cells, boxes) is among its ``indices``, or to all if there
+    are none. Of actions of one kind on a segment the one of the highest ``ord`` counts; other actions change nothing.
+
+    What was asked of a segment is also in its column ``asked`` (``FORMATS``), line spacing and shading in
+    ``line_spacing`` and ``clear_shading``. Actions stay a table: they meet the segments in joins on file and number, and
+    those without either are one row.
+    """
+    known = actions.where(F.col("action").isin(list(FIELDS)))
+    each = known.select("file_id", F.explode_outer(F.when(F.size("indices") > 0, F.col("indices"))).alias("__number"), "action", F.struct("ord", "value").alias("told"))
+    chosen = lambda df, keys: df.groupBy(*keys).agg(*(F.max(F.when(F.col("action") == a, F.col("told"))).alias(a) for a in FIELDS))
+    columns = [c for c in segments.columns if c not in ("line_spacing", "clear_shading", "asked")]
+    out = listed(segments.select(columns), F.col(order) if isinstance(order, str) else order, "__number")
+    found: dict[str, list[Column]] = {a: [] for a in FIELDS}
+    for n, (file, number) in enumerate([(True, True), (True, False), (False, True), (False, False)]):
+        keys = ["file_id"] * file + ["__number"] * number
+        own = each.where((F.col("file_id").isNotNull() if file else F.col("file_id").isNull()) & (F.col("__number").isNotNull() if number else F.col("__number").isNull()))
+        own = chosen(own, keys).select(*(F.col(k).alias(f"{k}__") for k in keys), *(F.col(a).alias(f"__{a}_{n}") for a in FIELDS))
+        same = [out[k] == own[f"{k}__"] for k in keys]
+        out = out.join(own, same, "left").drop(*(f"{k}__" for k in keys)) if keys else out.join(F.broadcast(own), F.lit(True), "left")
+        for a in FIELDS:
+            found[a].append(F.col(f"__{a}_{n}"))
+    # The one asked last; nulls stand for what nobody asked.
+    last = {a: F.greatest(*some)["value"] for a, some in found.items()}
+    value = {a: F.lower(last[a]) == "true" if a in ("bold", "italic") else last[a] for a in FIELDS}
+    out = out.withColumn("asked", F.struct(*(value[a].alias(field) for a, field in FIELDS.items() if field)))
+    given = {"line_spacing": value["line_spacing"], "clear_shading": last["clear_shading"].isNotNull()}
+    if "runs" in columns:
+        set_all = lambda r: reduce(lambda run, f: run.withField(f, F.coalesce(F.col("asked")[f], r[f])), ["bold", "italic", "font_name", "color"], r)
+        given["runs"] = F.transform("runs", set_all)
+    return out.withColumns(given).select(*columns, "line_spacing", "clear_shading", "asked")
 
 
 def describe_actions(actions: DataFrame) -> DataFrame:
@@ -245,6 +267,17 @@ def describe_actions(actions: DataFrame) -> DataFrame:
     return actions.withColumn("description", F.concat_ws(" ", F.concat("action", F.lit(" → "), "value"), where))
 
 
+def applied(segments: DataFrame, actions: DataFrame) -> DataFrame:
+    """(file_id, applied): the descriptions of what was asked of each file, in the order of ``actions``."""
+    told = describe_actions(actions).select(F.col("file_id").alias("__file"), F.struct("ord", "description").alias("told"))
+    files = segments.select("file_id").distinct()
+    shared = told.where("__file is null").agg(F.collect_list("told").alias("__every"))
+    own = told.where("__file is not null").groupBy("__file").agg(F.collect_list("told").alias("__own"))
+    both = files.join(own, F.col("file_id") == F.col("__file"), "left").join(F.broadcast(shared), F.lit(True), "left")
+    every = F.array_sort(F.concat(F.coalesce("__own", F.array().cast("array<struct<ord:int,description:string>>")), "__every"))
+    return both.select("file_id", F.transform(every, lambda t: t["description"]).alias("applied"))
+
+
 def keyword_actions(feedback: Column) -> Column:
     """Actions that plain words in a feedback ask for, in the order of the rules."""
     rule = lambda words, action, value: F.when(F.greatest(*(feedback.contains(w) for w in words), F.lit(False)), F.struct(F.lit(action).alias("action"), F.lit(value).alias("value")))

@@ -52,7 +52,7 @@ def test_format_expressions(spark, folder):
     texts, form = first.select(docx.full_text_runs(F.col("runs"), F.lit("new")), docx.union_format(F.col("runs"))).first()
     assert texts == ["  ", "new", ""]
     assert (form.bold, form.italic, form.highlight, form.color, form.font_size) == (True, True, 7, "FF0000", 12.0)
-    actions = spark.createDataFrame([(0, "bold", "true", None, []), (1, "font_color", "0000FF", "body", [0]), (2, "line_spacing", "1.5", "body", [5])], "ord int, action string, value string, region string, indices array<int>")
+    actions = spark.createDataFrame([(None, 0, "bold", "true", []), (None, 1, "font_color", "0000FF", [0]), (None, 2, "line_spacing", "1.5", [5])], docx.ACTIONS)
     changed = docx.apply_actions(first, actions).first()
     assert all(r.bold and r.color == "0000FF" for r in changed.runs) and changed.line_spacing is None
     assert docx.describe_actions(actions).orderBy("ord").first().description == "bold → true (all paragraphs)"

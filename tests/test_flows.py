@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parasift.engine import Engine
 from parasift.operators import dedup, glossary, quality
 from parasift.plans import jobs, translate
+from parasift.plans.calls import Calls
 from parasift.sources import docx
 from tests.test_documents import BODY, STYLES, package
 
@@ -85,10 +86,8 @@ def test_a_revision_reaches_the_file(spark, tmp_path):
     source = engine.read_docx(str(tmp_path / "in"))
     assert source.select("file_id").distinct().count() == 1
     done = engine.translate(source, {"合同": "Contract"})
-    asked = []
     reply = '{"needs_retranslation": false, "actions": [{"indices": [0], "action": "font_name", "value": "宋体"}, {"indices": [0], "action": "line_spacing", "value": "1.5"}, {"indices": [], "action": "italic", "value": "true"}]}'
-    revised = engine.revise(source, done, "宋体 please", {}, lambda prompt: asked.append(prompt) or reply)
-    assert "[0]   一、合同" in asked[0] and "单元格" in asked[0]
+    revised = engine.revise(source, done, "宋体 please", {}, lambda prompt: reply if prompt.startswith("[0]   一、合同") and "[3] 单元格" in prompt and prompt.endswith("宋体 please") else "wrong")
     files = {}
     status = engine.write_docx(str(tmp_path / "in"), revised, lambda f, data: str((tmp_path / f.split("/")[-1]).write_bytes(data))).collect()
     assert {r.file_id[-6:]: r.status for r in status} == {"a.docx": "completed", "b.docx": "failed"}, files
@@ -98,6 +97,38 @@ def test_a_revision_reaches_the_file(spark, tmp_path):
     assert again.where("asked.bold").count() == again.count()  # the feedback's own words, translated anew
 
 
+def test_actions_go_to_the_listed_segments_of_their_file(spark):
+    place = lambda file, region, **at: (file, region, *(at.get(k) for k in ("pos", "tbl", "row", "col", "box")), f"{file} {region} {at}", [("x", False, False, False, None, None, None, "00AA00")])
+    rows = [place(f, "textbox", pos=0, box=0) for f in "ab"] + [place(f, "cell", pos=0, tbl=0, row=r, col=0) for f in "ab" for r in (1, 0)] + [place(f, "body", pos=p) for f in "ab" for p in range(3)]
+    segments = spark.createDataFrame(rows, f"file_id string, region string, pos int, tbl int, row int, col int, box int, text string, runs array<{docx.RUN}>").repartition(5)
+    done = segments.withColumns({"translated_text": F.concat(F.lit("old "), "text"), "warnings": F.array().cast("array<string>")})
+
+    def ask(prompt):
+        if prompt.startswith("[0] a"):
+            return '{"needs_retranslation": false, "actions": [{"indices": [1, 4, 5, 77], "action": "bold", "value": true}, {"indices": [], "action": "font_color", "value": "0000FF"}, {"indices": [1], "action": "font_color", "value": "FF0000"}, {"indices": [], "action": "dance", "value": "x"}]}'
+        raise OSError("down")
+
+    answers = translate.feedback_actions(segments, "make it italic", ask, Calls(2, 2, pause=0.01))
+    found, applied = Engine(spark).revise_with(segments, done, "make it italic", answers, {})
+    rows = found.select("file_id", "region", "pos", "row", "asked.*", F.col("runs")[0].alias("run"), "translated_text").collect()
+    at = {(r.file_id, r.region, r.row if r.region == "cell" else r.pos): r for r in rows}
+    assert len(at) == 12 and all(r.translated_text.startswith("old ") for r in rows)
+    assert {k[1:] for k, r in at.items() if k[0] == "a" and r.bold} == {("body", 1), ("cell", 1), ("textbox", 0)}
+    assert at["a", "body", 1].color == "FF0000" and at["a", "cell", 0].color == "0000FF" and at["a", "cell", 0].run.color == "0000FF"
+    assert all(r.italic and r.bold is None and r.color is None and r.run.color == "00AA00" for k, r in at.items() if k[0] == "b")
+    told = {r.file_id: r.applied for r in applied.collect()}
+    assert told["b"] == ["italic → true (all paragraphs)"] and told["a"][0] == "bold → true (paragraphs [1, 4, 5, 77])"
+
+
+def test_only_the_files_that_need_it_are_translated_again(spark):
+    rows = [(f, "body", i, None, None, None, None, "系统") for f in "abc" for i in range(2)]
+    source = spark.createDataFrame(rows, SEGMENT)
+    done = source.where("file_id <> 'c'").withColumns({"route": F.lit("model"), "warnings": F.array().cast("array<string>"), "translated_text": F.lit("old")})
+    answers = spark.createDataFrame([("a", True, []), ("b", False, []), ("c", False, [])], "file_id string, needs_retranslation boolean, actions array<struct<indices:array<int>,action:string,value:string>>")
+    found = translate.revise_segments(source, done, "shorter", answers, {"系统": "system"})
+    assert sorted((r.file_id, r.translated_text) for r in found.collect()) == [("a", "system")] * 2 + [("b", "old")] * 2 + [("c", "system")] * 2
+
+
 def test_reports_tell_what_they_leave_out(spark):
     warned = [{"file_id": f"f{i}", "warning": "Para 1: x"} for i in range(3)]
     page = quality.render_html("t", [{"file_id": "f0", "severity": "minor", "warning_count": 1}], warned, 5, 7)
