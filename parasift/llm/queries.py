@@ -199,8 +199,8 @@ WITH raw AS (
 ), filed AS (
   SELECT doc_id, pos, array_to_string(t, ' ') AS key FROM lines
   UNION ALL
-  SELECT doc_id, pos, concat_ws(chr(10), n, i, array_to_string(t[1:3], ' '), array_to_string(t[1 : i * n // 5], ' '), array_to_string(t[(i + 1) * n // 5 + 1 : n], ' ')) AS key
-  FROM lines, range(5) r(i) WHERE n >= 5 AND c - ((i + 1) * n // 5 - i * n // 5) >= 3
+  SELECT doc_id, pos, concat_ws(chr(10), n, i, array_to_string(t[1 : i * n // 5], ' '), array_to_string(t[(i + 1) * n // 5 + 1 : n], ' ')) AS key
+  FROM lines, range(5) r(i) WHERE n >= 4 AND (i + 1) * n // 5 > i * n // 5 AND c - ((i + 1) * n // 5 - i * n // 5) >= 3 AND (i * n // 5 >= 3 OR (i + 1) * n // 5 <= n - 2)
 ), first AS (
   SELECT key, min(doc_id) AS first FROM filed GROUP BY key HAVING min(doc_id) < max(doc_id)
 ), gone AS (
