@@ -219,12 +219,22 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
     return stage(dealt.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
+#: Bytes of a file that the reader unpacks at a time: what lies behind a record's end is read again by the next.
+READ_WINDOW = 1 << 14
+
+
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one after another."""
-    while data:
-        unzip = zlib.decompressobj(31)
-        yield unzip.decompress(data)
-        data = unzip.unused_data
+    """The gzip members of a file, one after another; one that is cut off raises."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        unzip, parts = zlib.decompressobj(31), []
+        while not unzip.eof:
+            window = view[at : at + READ_WINDOW]
+            if not len(window):
+                raise ValueError("the last record is cut off")
+            parts.append(unzip.decompress(window))
+            at += len(window) - len(unzip.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes) -> dict:
