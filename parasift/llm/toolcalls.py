@@ -13,6 +13,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -31,30 +32,117 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, _TYPES[kind])
 
 
-def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """Where ``value`` breaks ``schema`` (type, enum, bounds, properties, items)."""
+#: Keywords of a schema that are checked, and those that only tell of it.
+CHECKED = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems", "uniqueItems",
+    "properties", "required", "additionalProperties", "minProperties", "maxProperties", "anyOf", "oneOf", "allOf", "not",
+}
+TOLD = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly"}
+
+
+def check_schema(schema: Any, at: str = "$") -> None:
+    """Raises where a schema holds a keyword or type that ``violations`` does not know: nothing is taken as valid because
+    it was not understood."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema")
+    unknown = set(schema) - CHECKED - TOLD
+    if unknown:
+        raise ValueError(f"{at}: unknown keywords {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    odd = set([kinds] if isinstance(kinds, str) else kinds) - set(_TYPES) - {"integer", "number"}
+    if odd:
+        raise ValueError(f"{at}: unknown types {sorted(odd)}")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    for name, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{name}")
+    for word in ("items", "additionalProperties", "not"):
+        if word in schema:
+            check_schema(schema[word], f"{at}.{word}")
+    for word in ("anyOf", "oneOf", "allOf"):
+        for i, own in enumerate(schema.get(word, [])):
+            check_schema(own, f"{at}.{word}[{i}]")
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equal as JSON: 1 is 1.0, but not true."""
+    return canonical(a) == canonical(b)
+
+
+def _of_number(value: float, schema: dict, at: str) -> Iterator[str]:
+    if value < schema.get("minimum", -math.inf) or value <= schema.get("exclusiveMinimum", -math.inf):
+        yield f"{at}: below the minimum"
+    if value > schema.get("maximum", math.inf) or value >= schema.get("exclusiveMaximum", math.inf):
+        yield f"{at}: above the maximum"
+    if "multipleOf" in schema and Decimal(str(value)) % Decimal(str(schema["multipleOf"])) != 0:
+        yield f"{at}: not a multiple"
+
+
+def _of_text(value: str, schema: dict, at: str) -> Iterator[str]:
+    if len(value) < schema.get("minLength", 0):
+        yield f"{at}: too short"
+    if len(value) > schema.get("maxLength", math.inf):
+        yield f"{at}: too long"
+    if "pattern" in schema and not re.search(schema["pattern"], value):
+        yield f"{at}: not of the pattern"
+
+
+def _of_list(value: list, schema: dict, at: str) -> Iterator[str]:
+    if len(value) < schema.get("minItems", 0):
+        yield f"{at}: too few items"
+    if len(value) > schema.get("maxItems", math.inf):
+        yield f"{at}: too many items"
+    if schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
+        yield f"{at}: repeated items"
+    for i, item in enumerate(value if "items" in schema else []):
+        yield from violations(item, schema["items"], f"{at}[{i}]")
+
+
+def _of_object(value: dict, schema: dict, at: str) -> Iterator[str]:
+    known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+    if len(value) < schema.get("minProperties", 0):
+        yield f"{at}: too few properties"
+    if len(value) > schema.get("maxProperties", math.inf):
+        yield f"{at}: too many properties"
+    yield from (f"{at}.{name}: missing" for name in schema.get("required", []) if name not in value)
+    for name in sorted(value):
+        if name in known:
+            yield from violations(value[name], known[name], f"{at}.{name}")
+        elif others is False:
+            yield f"{at}.{name}: unknown"
+        else:
+            yield from violations(value[name], others, f"{at}.{name}")
+
+
+def violations(value: Any, schema: dict | bool, at: str = "$") -> list[str]:
+    """Where ``value`` breaks ``schema``, of the keywords that ``check_schema`` lets pass."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not of type {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
         out.append(f"{at}: not one of the allowed values")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"{at}: below the minimum"] * (value < schema.get("minimum", -math.inf)) + [f"{at}: above the maximum"] * (value > schema.get("maximum", math.inf))
-    if isinstance(value, str):
-        out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", math.inf))
-    if isinstance(value, list) and "items" in schema:
-        for i, item in enumerate(value):
-            out += violations(item, schema["items"], f"{at}[{i}]")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{name}: missing" for name in schema.get("required", []) if name not in value]
-        for name in sorted(value):
-            if name in known:
-                out += violations(value[name], known[name], f"{at}.{name}")
-            elif schema.get("additionalProperties", True) is False:
-                out.append(f"{at}.{name}: unknown")
+        out += _of_number(value, schema, at)
+    elif isinstance(value, str):
+        out += _of_text(value, schema, at)
+    elif isinstance(value, list):
+        out += _of_list(value, schema, at)
+    elif isinstance(value, dict):
+        out += _of_object(value, schema, at)
+    for own in schema.get("allOf", []):
+        out += violations(value, own, at)
+    if "anyOf" in schema and all(violations(value, own, at) for own in schema["anyOf"]):
+        out.append(f"{at}: fits none of the schemas")
+    if "oneOf" in schema and sum(not violations(value, own, at) for own in schema["oneOf"]) != 1:
+        out.append(f"{at}: does not fit one schema alone")
+    if "not" in schema and not violations(value, schema["not"], at):
+        out.append(f"{at}: fits what it must not")
     return out
 
 
@@ -160,8 +248,10 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     JSON and meet the tool's schema; null for other kinds. A tool without a schema, arguments that are no
     JSON, too deeply nested or null are invalid; then ``json`` holds them as a string. Rows with a null
     ``conv_id`` or ``call_id`` are never linked; repeated rows give a row each, and repeated identifiers are
-    one node of the order. Empty tables give no rows.
+    one node of the order. Empty tables give no rows. A schema with keywords that are not checked raises.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     columns = ["conv_id", "turn", "role", "kind", "call_id", "name", "arguments", "content"]
     linkable = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & F.col("kind").isin("call", "result")
     linkable = F.coalesce(linkable, F.lit(False))
