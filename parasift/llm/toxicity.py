@@ -22,7 +22,8 @@ MOST_EXAMPLES = 16_000
 EPOCHS = 5
 PENALTY = 0.5
 PREFIXES = (4, 5, 6)
-#: Identity terms by kind, in English, French, German and Spanish. Swaps stay in a kind.
+#: Identity terms by kind, in English, French, German and Spanish. Swaps stay in a
+#: kind, and so in a language: no term stands in two.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -36,7 +37,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("old", "young"),
     ("musulmans", "chrétiens", "juifs", "hindous"),
     ("femmes", "hommes"),
-    ("muslime", "christen", "juden", "hindus"),
+    ("muslime", "christen", "juden", "buddhisten"),
     ("frauen", "männer"),
     ("musulmanes", "cristianos", "judíos", "hindúes"),
     ("mujeres", "hombres"),
