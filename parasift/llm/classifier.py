@@ -78,13 +78,15 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, text: str, key
     """(text, y, turn) of at most ``most`` labelled rows, chosen and ordered by a hash of the key.
 
     Rows with a null key, label or text are no examples; several labels of one key count as their
-    maximum. ``most`` bounds what the join broadcasts.
+    maximum, and of several texts of one key the least counts, so copies of a key add nothing. ``most`` bounds what
+    the join broadcasts and what is learned from.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & may_learn(key)).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     turn = F.xxhash64(F.lit(7), F.col(key))
     few = known.withColumn("__turn", turn).orderBy("__turn", key).limit(most).withColumnRenamed(key, "__key")
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(few), "__key").select("text", F.col("__y").alias("y"), F.col("__turn").alias("turn"))
+    found = texts.join(F.broadcast(few), "__key").groupBy("__key", "__y", "__turn").agg(F.min("text").alias("text"))
+    return found.select("text", F.col("__y").alias("y"), F.col("__turn").alias("turn"))
 
 
 def fit(sample: DataFrame, featurize: Callable[[list[bytes]], list[dict]], train: Callable[[pd.DataFrame], Model]) -> Model:

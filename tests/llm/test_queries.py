@@ -1,8 +1,10 @@
 """The registered queries over a small folder of tables, against plain versions; and plain FTRL."""
 
 import base64
+import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from parasift.llm import classifier, media, quality, queries, toxicity
+from parasift.llm import classifier, media, quality, queries, toolcalls, toxicity, warc
 from tests.llm.test_text_operators import plain_components, plain_fingerprint
 
 
@@ -206,3 +208,58 @@ def test_several_swaps_in_one_text():
     own, swapped = (set(np.frombuffer(rows[0][k], np.int32).tolist()) for k in ("slots", "swapped"))
     assert toxicity.counterfactual("women and men, gay or old, and a muslim") == "men and women, lesbian or young, and a christian"
     assert own - swapped and swapped - own and rows[1]["swapped"] == b""
+
+
+def test_no_identity_term_stands_in_two_kinds():
+    terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+    assert len(terms) == len(set(terms)) and toxicity.counterfactual("Hindus met") == "buddhists met" and toxicity.counterfactual("Juden") == "buddhisten"
+
+
+def test_copies_of_a_labelled_key_are_one_example(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(200)] + [(5, "other"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 0), (5, 1)], "doc_id long, quality int")
+    may = [r.doc_id for r in labels.where(classifier.may_learn("doc_id")).select("doc_id").distinct().collect()]
+    found = classifier.labelled_sample(docs, labels, "quality", "text", "doc_id", 2).collect()
+    assert sorted((r.text, r.y) for r in found) == sorted({1: ("text 0", 1), 5: ("other", 1)}[i] for i in may)
+
+
+def test_a_file_of_many_small_records_is_read_in_linear_time():
+    rng = random.Random(1)
+    records = [bytes(rng.randrange(256) for _ in range(60)) * 5 for _ in range(300)] + [b"", b"x" * 200_000]
+    files = [b"".join(gzip.compress(r, mtime=0) for r in records) * times for times in (4, 32)]
+    took = []
+    for file in files:
+        began = time.process_time()
+        found = list(warc.members(file))
+        took.append(time.process_time() - began)
+        assert found[: len(records)] == records and len(found) % len(records) == 0
+    assert took[1] < 24 * max(took[0], 0.005)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(files[0][:-3]))
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"enum": [1, "a", None]}, [1, 1.0, "a", None], [True, "b", 2]),
+        ({"const": {"a": [1]}}, [{"a": [1.0]}], [{"a": [True]}, {}]),
+        ({"type": "number", "exclusiveMinimum": 0, "exclusiveMaximum": 2, "multipleOf": 0.1}, [0.3, 1], [0, 2, 0.25]),
+        ({"type": "string", "pattern": "^a+$", "maxLength": 3}, ["a", "aaa"], ["b", "aaaa"]),
+        ({"type": "array", "minItems": 1, "maxItems": 3, "uniqueItems": True, "items": {"type": "integer"}}, [[1, 2]], [[], [1, 1.0], [1, 2, 3, 4], ["x"]]),
+        ({"type": "object", "minProperties": 1, "maxProperties": 2, "additionalProperties": {"type": "string"}}, [{"a": "x"}], [{}, {"a": 1}, {"a": "", "b": "", "c": ""}]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["x", 7, None], [3]),
+        ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, [3, 5.5], [7]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 2}], "not": {"const": 2}}, [1, 1.5], [0, 2, 3]),
+        ({"items": False}, [[], 3], [[1]]),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    toolcalls.check_schema(schema)
+    assert [v for v in good if toolcalls.violations(v, schema)] == [] and [v for v in bad if not toolcalls.violations(v, schema)] == []
+
+
+@pytest.mark.parametrize("schema", [{"patternProperties": {}}, {"items": {"format": "date"}}, {"anyOf": [{"$ref": "#"}]}, {"type": "text"}, 3])
+def test_unknown_keywords_are_refused(spark, schema):
+    messages = toolcalls.turns_as_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"))
+    with pytest.raises(ValueError, match="unknown|not a schema"):
+        toolcalls.format_chat(messages, {"reply": schema})
