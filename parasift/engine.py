@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import glossary, quality
-from parasift.plans import jobs, translate
+from parasift.plans import jobs, reports, translate
 from parasift.plans.calls import Calls
 from parasift.sources import docx, tables
 
@@ -85,21 +85,18 @@ class Engine:
         counts = translated.groupBy("file_id").agg(F.count("*").alias("paragraphs"))
         return quality.file_summary(translate.quality_gate(translated), counts)
 
-    def html_report(self, translated: DataFrame, title: str, limit: int = 500) -> str:
-        """A page of the ``limit`` first files and warnings; it says how many there are where it shows fewer."""
-        report, gate = self.quality_report(translated), translate.quality_gate(translated)
-        summary = report.orderBy("file_id").limit(limit).collect()
-        warnings = gate.orderBy("file_id", "warning").limit(limit).collect()
-        return quality.render_html(title, [r.asDict() for r in summary], [r.asDict() for r in warnings], report.count(), gate.count())
-
-    def job_report(self, results: DataFrame, names: DataFrame, title: str, limit: int = 500) -> dict[str, str]:
-        """A page for each job of ``results`` (job_id, file_id, pos, status, warning_count, severity, categories)."""
-        pages = {}
-        for totals in quality.job_summary(results).orderBy("job_id").toLocalIterator():
-            own = jobs.named(results.where(F.col("job_id") == totals["job_id"]), names)
-            files = own.orderBy("pos", "file_id").limit(limit).collect()
-            pages[totals["job_id"]] = quality.render_job_html(title, totals.asDict(), [f.asDict() for f in files], own.count())
-        return pages
+    def html_report(self, translated: DataFrame, title: str) -> DataFrame:
+        """Pages (file_id, page, pages, html) with all warnings of each file, each with its source and translation."""
+        return reports.file_pages(reports.numbered_warnings(translated), translated, title)
+
+    def job_report(self, results: DataFrame, names: DataFrame, title: str) -> DataFrame:
+        """Pages (job_id, page, pages, html) of each job of ``results`` (job_id, file_id, pos, status, warning_count, severity,
+        categories)."""
+        return reports.job_pages(results, names, title)
+
+    def store_pages(self, pages: DataFrame, folder: str) -> DataFrame:
+        """The pages of a report in files, written where they are made: (file_id or job_id, page, path)."""
+        return reports.store_pages(pages, pages.columns[0], folder)
 
     def preview(self, translated: DataFrame, file_id: str | None = None) -> DataFrame:
         rows = translated if file_id is None else translated.where(F.col("file_id") == file_id)

@@ -52,8 +52,9 @@ def location(region: Column, pos: Column, tbl: Column, row: Column, col: Column,
     )
 
 
-def residue_warnings(segments: DataFrame, text: str = "text") -> DataFrame:
-    """A warning for each segment, or whole table cell, with Chinese characters left."""
+def residue_warnings(segments: DataFrame, text: str = "text", placed: bool = False) -> DataFrame:
+    """A warning for each segment, or whole table cell, with Chinese characters left; ``placed`` ones have the columns of
+    ``PLACE``, a cell's that of its first paragraph."""
     body = segments.where("region <> 'cell'")
     cell = segments.where("region = 'cell'").groupBy("file_id", "region", "tbl", "row", "col").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text))), lambda s: s[text]), "\n").alias(text), F.min("pos").alias("pos")
@@ -62,7 +63,7 @@ def residue_warnings(segments: DataFrame, text: str = "text") -> DataFrame:
     left = every.where(F.col(text).rlike(tn.CJK))
     bare = F.regexp_replace(text, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
     where = location(*(F.col(c) for c in ("region", "pos", "tbl", "row", "col", "box")))
-    return left.select("file_id", F.concat(where, F.lit(": "), F.substring(bare, 1, PREVIEW)).alias("warning"))
+    return left.select(*(PLACE if placed else ["file_id"]), F.concat(where, F.lit(": "), F.substring(bare, 1, PREVIEW)).alias("warning"))
 
 
 def split_warning(warning: Column) -> Column:
@@ -112,36 +113,3 @@ def aligned(source: DataFrame, target: DataFrame, place: list[str] | None = None
     other = target.select(*(F.col(c).alias(f"__{c}") for c in place), F.col("text").alias("translated_text"))
     same = [source[c].eqNullSafe(F.col(f"__{c}")) for c in place]
     return source.join(other, same).drop(*(f"__{c}" for c in place))
-
-
-def _escape(value: object) -> str:
-    return str(value).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-
-
-def render_html(title: str, summary: list[dict], warnings: list[dict], files: int | None = None, warned: int | None = None) -> str:
-    """A report page: one card a file, then its warnings by place. ``files`` and ``warned`` are the whole
-    numbers of files and warnings; where the page shows fewer, it says so."""
-    by_file: dict = {}
-    for w in warnings:
-        by_file.setdefault(w["file_id"], []).append(w["warning"])
-    cards = []
-    for row in summary:
-        items = "".join(f"<li><b>{_escape(w.partition(': ')[0])}</b> {_escape(w.partition(': ')[2][:SHOWN])}</li>" for w in by_file.get(row["file_id"], []))
-        cards.append(f"<section class='{_escape(row['severity'] or 'clean')}'><h2>{_escape(row['file_id'])}</h2><p>{row['warning_count']}</p><ul>{items}</ul></section>")
-    notes = [f"{len(some)} of {every} {what} shown" for some, every, what in ((summary, files, "files"), (warnings, warned, "warnings")) if every is not None and every > len(some)]
-    return _page(title, "".join(f"<p class='note'>{n}</p>" for n in notes) + "".join(cards))
-
-
-def render_job_html(title: str, totals: dict, files: list[dict], every: int | None = None) -> str:
-    """A job's page: its totals, then a card a file with its severity and categories."""
-    head = "".join(f"<dt>{_escape(k)}</dt><dd>{_escape(totals[k])}</dd>" for k in ("severity", "warnings", "clean_files", "done", "failed_count"))
-    cards = []
-    for f in files:
-        kinds = "".join(f"<li>{_escape(k)}: {n}</li>" for k, n in sorted((f.get("categories") or {}).items()))
-        cards.append(f"<section class='{_escape(f.get('severity') or 'clean')}'><h2>{_escape(f['name'])}</h2><p>{_escape(f['status'])}, {f.get('warning_count') or 0}</p><ul>{kinds}</ul></section>")
-    note = f"<p class='note'>{len(files)} of {every} files shown</p>" if every is not None and every > len(files) else ""
-    return _page(title, f"<dl class='{_escape(totals['severity'])}'>{head}</dl>{note}{''.join(cards)}")
-
-
-def _page(title: str, body: str) -> str:
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{_escape(title)}</title></head><body><h1>{_escape(title)}</h1>{body}</body></html>"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parasift.functions import amounts
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
-from parasift.plans import jobs, translate
+from parasift.plans import jobs, reports, translate
 from parasift.sources import docx, tables
 from parasift.staging import shared_dir
 
@@ -850,3 +850,32 @@ def job_life_cycle(docs: DataFrame) -> DataFrame:
     done = F.col("status") == "completed"
     found = found.join(chars, "file_id", "left").join(seen, "file_id")
     return found.select("file_id", "status", F.col("attempt").alias("attempts"), *(F.when(done, F.col(c)).alias(c) for c in ("segments", "warnings", "chars")), "fraction")
+
+
+@query("report_pages", "orders", """
+WITH s AS (
+  SELECT o_custkey::VARCHAR AS file_id, o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['术语缺失: <a> & b'] WHEN 2 THEN ['数字缺失: 5', 'plain'] ELSE ['编号重复: 1', '术语补全: x', '金额/数量缺失: y'] END) AS w,
+    unnest(CASE o_orderkey % 4 WHEN 0 THEN [] WHEN 1 THEN [1] WHEN 2 THEN [1, 2] ELSE [1, 2, 3] END) AS n FROM orders
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey, n) - 1 AS number,
+    CASE left(w, 2) WHEN '术语' THEN '术语' WHEN '数字' THEN '数字保真' WHEN '金额' THEN '数字保真' WHEN '编号' THEN '编号' ELSE '其他' END AS category FROM s
+), i AS (
+  SELECT file_id, number, '<li value=''' || number || ''' data-fix=''' || CASE category WHEN '术语' THEN 'term' WHEN '数字保真' THEN 'fidelity' WHEN '编号' THEN 'numbering' ELSE '' END || '''><b>' || split_part(w, ': ', 1) || '</b> <i>' || category || '</i> ' ||
+    replace(replace(replace(split_part(w, ': ', 2), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '<p>source ' || o_orderkey || '</p><p>target &amp; ' || o_orderkey || '</p></li>' AS item FROM w
+), p AS (
+  SELECT file_id, string_agg(item, '' ORDER BY number) AS items, count(*) AS n FROM i GROUP BY file_id
+)
+SELECT f.file_id, 1 AS page, 1 AS pages, md5('<!DOCTYPE html><html><head><meta charset=''utf-8''><title>t</title></head><body><h1>t</h1><section class=''' ||
+  CASE WHEN coalesce(n, 0) > 5 THEN 'critical' WHEN n > 2 THEN 'moderate' WHEN n > 0 THEN 'minor' ELSE 'clean' END || '''><h2>' || f.file_id || '</h2><p>' || coalesce(n, 0) || '</p><ol>' || coalesce(items, '') || '</ol></section></body></html>') AS html_md5
+FROM (SELECT DISTINCT o_custkey::VARCHAR AS file_id FROM orders) f LEFT JOIN p USING (file_id)
+""")
+def report_pages(orders: DataFrame) -> DataFrame:
+    """The page of each customer's document: warnings by number, with source and translation."""
+    kind, texts = F.col("o_orderkey") % 4, lambda *some: F.array(*map(F.lit, some)).cast("array<string>")
+    told = F.when(kind == 0, texts()).when(kind == 1, texts("术语缺失: <a> & b")).when(kind == 2, texts("数字缺失: 5", "plain")).otherwise(texts("编号重复: 1", "术语补全: x", "金额/数量缺失: y"))
+    segments = orders.select(
+        _n(F.col("o_custkey")).alias("file_id"), F.lit("body").alias("region"), F.col("o_orderkey").cast("int").alias("pos"), *(F.lit(None).cast("int").alias(c) for c in ("tbl", "row", "col", "box")),
+        F.concat(F.lit("source "), "o_orderkey").alias("text"), F.concat(F.lit("target & "), "o_orderkey").alias("translated_text"), told.alias("warnings"),
+    )
+    pages = reports.file_pages(reports.numbered_warnings(segments), segments, "t")
+    return pages.select("file_id", "page", "pages", F.md5("html").alias("html_md5"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numbering, quality
-from parasift.plans import jobs
+from parasift.plans import jobs, reports
 from parasift.plans.calls import ATTEMPTS, FIRST_PAUSE, OFFLINE, REMOTE, Answer, Calls, Window
 from parasift.sources import docx
 from parasift.staging import stage
@@ -297,11 +297,8 @@ def quality_gate(translated: DataFrame) -> DataFrame:
     """(file_id, warning): fidelity and completion findings, residue, and repeats left in the result."""
     own = translated.select("file_id", F.explode("warnings").alias("warning"))
     left = quality.residue_warnings(translated, "translated_text")
-    found = dedup.audit(F.col("translated_text"))
-    repeats = translated.select("file_id", F.explode(found).alias("d")).select(
-        "file_id",
-        F.concat(F.when(F.col("d.removable"), "重复检测[可自动删除]: 「").otherwise("重复检测[需人工确认]: 「"), F.col("d.dup"), F.when(F.col("d.removable"), "」置信度: 高").otherwise("」置信度: 中")).alias("warning"),
-    )
+    found = translated.select("file_id", F.explode(dedup.audit(F.col("translated_text"))).alias("d"))
+    repeats = found.select("file_id", reports.repeat_warning(F.col("d")).alias("warning"))
     return own.unionByName(left).unionByName(repeats)
 
 

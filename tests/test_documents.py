@@ -80,7 +80,7 @@ def test_translate_write_read(spark, folder):
     assert "asciiTheme" not in styles and 'w:ascii="Arial"' in styles
     report = engine.quality_report(done).first()
     assert report.paragraphs == 5
-    assert "<html>" in engine.html_report(done, "report")
+    assert "<html>" in engine.html_report(done, "report").first()["html"]
     fixed = engine.fix(done, ["duplicate", "numbering", "term", "fidelity", "chinese"], {"x": "Harbor Co., Ltd."})
     assert fixed.count() == 5
     with pytest.raises(ValueError):

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parasift.engine import Engine
-from parasift.operators import dedup, glossary, quality
-from parasift.plans import jobs, translate
+from parasift.operators import dedup, glossary
+from parasift.plans import jobs, reports, translate
 from parasift.plans.calls import Calls
 from parasift.sources import docx
 from tests.test_documents import BODY, STYLES, package
@@ -129,14 +129,34 @@ def test_only_the_files_that_need_it_are_translated_again(spark):
     assert sorted((r.file_id, r.translated_text) for r in found.collect()) == [("a", "system")] * 2 + [("b", "old")] * 2 + [("c", "system")] * 2
 
 
-def test_reports_tell_what_they_leave_out(spark):
-    warned = [{"file_id": f"f{i}", "warning": "Para 1: x"} for i in range(3)]
-    page = quality.render_html("t", [{"file_id": "f0", "severity": "minor", "warning_count": 1}], warned, 5, 7)
-    assert "1 of 5 files shown" in page and "3 of 7 warnings shown" in page
-    results = spark.createDataFrame([("j", "a", 0, "completed", 3, "moderate", {"术语": 3}), ("j", "b", 1, "failed", 0, None, None)], "job_id string, file_id string, pos int, status string, warning_count long, severity string, categories map<string,int>")
-    names = spark.createDataFrame([("a", "Contract")], "file_id string, name string")
-    page = Engine(spark).job_report(results, names, "job", 1)["j"]
-    assert "Contract" in page and "术语: 3" in page and "1 of 2 files shown" in page and "<dd>1</dd>" in page
+def test_pages_hold_all_warnings_with_their_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "WARNINGS_A_PAGE", 3)
+    schema = SEGMENT + ", translated_text string, warnings array<string>"
+    rows = [("a b/1", "body", i, None, None, None, None, f"源 <{i}>", f"target & {i}", [f"术语缺失: 「{i}」"]) for i in range(4)]
+    rows += [("a b/1", "cell", p, 0, 1, 0, None, f"格{p}", f"cell 留{p}", []) for p in range(2)] + [("a b/1", "textbox", 0, None, None, None, 0, "框", "the the box", None), ("clean", "body", 0, None, None, None, None, "x", "x", [])]
+    translated = spark.createDataFrame(rows, schema).repartition(4)
+    warned = {r.number: r for r in reports.numbered_warnings(translated).collect()}
+    assert [warned[n].cn for n in range(6)] == ["源 <0>", "源 <1>", "源 <2>", "源 <3>", "格0", "框"] and sorted(warned) == list(range(6))
+    assert warned[4].warning.startswith("Table 1R2C1: cell 留0") and warned[4].fix == "chinese" and warned[5].fix == "duplicate" and warned[5].en == "the the box"
+    engine = Engine(spark)
+    pages = engine.html_report(translated, "t & t")
+    found = {(r.file_id, r.page): (r.pages, r.html) for r in pages.collect()}
+    assert set(found) == {("a b/1", 1), ("a b/1", 2), ("clean", 1)} and {p for p, _ in found.values()} == {2, 1}
+    assert "<p>源 &lt;2&gt;</p><p>target &amp; 2</p>" in found["a b/1", 1][1] and "t &amp; t" in found["clean", 1][1] and "class='clean'" in found["clean", 1][1]
+    assert "data-fix='duplicate'" in found["a b/1", 2][1] and "<li value='3'" in found["a b/1", 2][1] and "<li value='2'" not in found["a b/1", 2][1]
+    stored = engine.store_pages(pages, f"{tmp_path}/pages").collect()
+    assert {open(r.path, encoding="utf-8").read() for r in stored} == {h for _, h in found.values()} and len({r.path for r in stored}) == 3
+
+
+def test_pages_of_jobs(spark, monkeypatch):
+    monkeypatch.setattr(reports, "FILES_A_PAGE", 2)
+    schema = "job_id string, file_id string, pos int, status string, warning_count long, severity string, categories map<string,int>, error string"
+    rows = [("j", f"f{i}", i, "completed", 3, "moderate", {"术语": 2, "其他": 1}, None) for i in range(3)] + [("j", "bad", 3, "failed", 0, None, None, "<no zip>"), ("k", "one", None, "completed", 0, None, None, None)]
+    names = spark.createDataFrame([("f1", "Contract")], "file_id string, name string")
+    pages = {(r.job_id, r.page): r for r in Engine(spark).job_report(spark.createDataFrame(rows, schema), names, "job").collect()}
+    assert set(pages) == {("j", 1), ("j", 2), ("k", 1)} and pages["j", 2].pages == 2 and pages["k", 1].pages == 1
+    assert "<h2>Contract</h2>" in pages["j", 1].html and "<li>其他: 1</li><li>术语: 2</li>" in pages["j", 1].html and "f2" not in pages["j", 1].html
+    assert "&lt;no zip&gt;" in pages["j", 2].html and "<dt>warnings</dt><dd>9</dd>" in pages["j", 2].html and "<dd>1</dd>" in pages["j", 2].html
 
 
 def test_stored_glossaries_and_bundles(spark, tmp_path):
