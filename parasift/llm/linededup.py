@@ -4,14 +4,16 @@ A line's path in the tree has fixed depth: its token count, then its first ``DEP
 that hold a digit generalised to ``<*>`` (unless no token would be left). At a leaf lie templates. Lines
 equal after generalisation share one. A line of ``SHORTEST`` tokens or more is also cut into ``STRETCHES``
 stretches, and shares a template with every line of its leaf that differs from it in one stretch only:
-that stretch is a variable field. A field among the leading tokens is a wildcard of the tree there; such
-lines are kept together by their last ``TAIL`` tokens instead. Any two such lines meet, as each distinct line
-is filed under one key for each stretch left out; no line of a leaf is preferred. A template recurs if lines of
-several documents have it; its lines stay in the document of the least key and are dropped from all others.
+that stretch is a variable field. A field among the leading tokens is a wildcard of the tree there, with the
+last ``TAIL`` tokens constant. Any two such lines meet, as each distinct line is filed under one key for each
+stretch left out; no line of a leaf is preferred. A template recurs if lines of several documents have it; its
+lines stay in the document of the least key and are dropped from all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ def _wide(*parts: Column) -> list[Column]:
 
 
 def template_lines(df: DataFrame, text: str, key: str) -> DataFrame:
-    """One row per line that is not blank: document, row hash, position, token count, constant tokens, the leaves
-    by leading and by last tokens (null if the line has one template only) and hashes of its stretches."""
+    """One row per line that is not blank: document, row hash, position, token count, constant tokens, leaf
+    (null if the line has one template only) and hashes of its stretches."""
     # The hash of a text is taken before its lines are: what goes along with each line is short.
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.split(text, "\n").alias("lines"))
     lines = rows.select("doc", "row", F.posexplode("lines").alias("pos", "line")).where(F.col("line").rlike(rf"[^{BLANK}]"))
@@ -62,9 +64,9 @@ def template_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     cut = masked.select("doc", "row", "pos", F.when(F.contains("masked", F.lit("<*>")), variable).otherwise(0).alias("v"), F.split(own, " ").alias("t"))
     sized = cut.select("doc", "row", "pos", "t", F.size("t").alias("n"), (F.size("t") - F.col("v")).alias("c"))
     several = (F.col("n") >= SHORTEST) & (F.col("c") > LEAST_CONSTANTS)
-    leaf, tail = F.when(several, F.xxhash64("n", F.slice("t", 1, DEPTH))), F.when(several, F.xxhash64("n", F.slice("t", -TAIL, TAIL)))
+    leaf = F.when(several, F.xxhash64("n", F.slice("t", 1, DEPTH)))
     stretches = [F.xxhash64(F.slice("t", _edge(i) + 1, _edge(i + 1) - _edge(i))).alias(_S[i]) for i in range(STRETCHES)]
-    return sized.select("doc", "row", "pos", "n", "c", leaf.alias("leaf"), tail.alias("tail"), *stretches)
+    return sized.select("doc", "row", "pos", "n", "c", leaf.alias("leaf"), *stretches)
 
 
 def _template() -> list[Column]:
@@ -74,27 +76,26 @@ def _template() -> list[Column]:
 def recurring_templates(lines: DataFrame) -> DataFrame:
     """(t1, t2, first, lines) of the distinct lines that share a template with a document of lesser key than
     one of their own; ``first`` is the least such key, ``lines`` how often the line occurs."""
-    distinct = lines.groupBy("n", "c", "leaf", "tail", *_S).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("lines"))
-    filed = _filed(distinct, "leaf").unionByName(_filed(distinct, "tail"))
+    distinct = lines.groupBy("n", "c", "leaf", *_S).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("lines"))
+    # Only leaves with several lines of several documents can generalise behind their leading tokens.
+    leaves = distinct.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("k"), F.min("first").alias("a"), F.max("last").alias("z")).where("k > 1 and a < z").select("leaf")
+    behind = lambda i: _edge(i) >= DEPTH
+    ahead = lambda i: ~behind(i) & (_edge(i + 1) <= F.col("n") - TAIL)
+    filed = _filed(distinct.join(leaves, "leaf", "left_semi"), behind).unionByName(_filed(distinct.where("leaf is not null"), ahead))
     groups = filed.groupBy("k1", "k2").agg(F.min("first").alias("group_first"), F.max("last").alias("z")).where("group_first < z").drop("z")
     alike = filed.join(groups, ["k1", "k2"]).where("group_first < last").select(*_TEMPLATE, F.col("group_first").alias("first"), "lines")
     same = distinct.where("first < last").select(*_template(), "first", "lines")
     return same.unionByName(alike).groupBy(*_TEMPLATE).agg(F.min("first").alias("first"), F.max("lines").alias("lines"))
 
 
-def _filed(distinct: DataFrame, leaf: str) -> DataFrame:
-    """Distinct lines under a key for each stretch left out: behind the leading tokens in the leaves of those, among them
-    in the leaves of the last ones. Only leaves with several lines of several documents can generalise further."""
-    leaves = distinct.where(F.col(leaf).isNotNull()).groupBy(leaf).agg(F.count("*").alias("k"), F.min("first").alias("a"), F.max("last").alias("z")).where("k > 1 and a < z").select(leaf)
-    within = distinct.join(leaves, leaf, "left_semi")
-    behind = lambda i: _edge(i) >= DEPTH
-    own = behind if leaf == "leaf" else lambda i: ~behind(i) & (_edge(i + 1) <= F.col("n") - TAIL)
+def _filed(lines: DataFrame, which: Callable[[int], Column]) -> DataFrame:
+    """Distinct lines under a key for each stretch left out, of those that ``which`` names."""
     width = lambda i: _edge(i + 1) - _edge(i)
     left_out = [
-        F.when(own(i) & (width(i) > 0) & (F.col("c") - width(i) >= LEAST_CONSTANTS), F.struct(*_wide(F.col(leaf), F.lit(i), *(F.col(s) for s in _S if s != _S[i]))))
+        F.when(which(i) & (width(i) > 0) & (F.col("c") - width(i) >= LEAST_CONSTANTS), F.struct(*_wide(F.col("n"), F.lit(i), *(F.col(s) for s in _S if s != _S[i]))))
         for i in range(STRETCHES)
     ]
-    filed = within.select(*_template(), "first", "last", "lines", F.explode(F.array(*left_out)).alias("k")).where("k is not null")
+    filed = lines.select(*_template(), "first", "last", "lines", F.explode(F.array(*left_out)).alias("k")).where("k is not null")
     return filed.select(*_TEMPLATE, "first", "last", "lines", F.col("k.*")).toDF(*_TEMPLATE, "first", "last", "lines", "k1", "k2")
 
 
