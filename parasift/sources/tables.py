@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -37,30 +38,81 @@ def _rows_of_csv(raw: bytes) -> list[tuple]:
     return [(i, r[0], r[1]) for i, r in enumerate(rows) if len(r) >= 2]
 
 
+# The built-in number formats of workbooks that show dates and times, and the one that shows a span.
+DATE_FORMATS, SPAN_FORMATS = {*range(14, 23), 45, 47}, {46}
+_QUIET = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!(?:h+|m+|s+)\])[^\]]*\]', re.IGNORECASE)
+_SPAN = re.compile(r"\[(?:h+|m+|s+)\]", re.IGNORECASE)
+
+
+def format_kind(code: str) -> str | None:
+    """``date`` or ``span`` for a number format that shows one: a letter of d, m, y, h, s outside of quotes, escapes and
+    brackets in its first section."""
+    bare = _QUIET.sub("", code.split(";")[0])
+    return "span" if _SPAN.search(bare) else "date" if re.search("[dmyhs]", bare, re.IGNORECASE) else None
+
+
+def _format_kinds(styles: ElementTree.Element | None) -> list[str | None]:
+    """What each cell style shows."""
+    if styles is None:
+        return []
+    own = {int(f.get("numFmtId")): format_kind(f.get("formatCode", "")) for f in styles.iter(f"{_S}numFmt")}
+    kinds = {**dict.fromkeys(DATE_FORMATS, "date"), **dict.fromkeys(SPAN_FORMATS, "span"), **own}
+    used = styles.find(f"{_S}cellXfs")
+    return [] if used is None else [kinds.get(int(x.get("numFmtId", 0))) for x in used.iter(f"{_S}xf")]
+
+
+def _number(raw: str, kind: str | None, epoch: datetime) -> str:
+    value = float(raw) if re.search("[.eE]", raw) else int(raw)
+    if kind is None:
+        return str(value)
+    days, part = divmod(value, 1)
+    part = timedelta(milliseconds=round(part * 86_400_000))
+    if kind == "span":
+        return str(timedelta(days=days) + part)
+    if 0 <= value < 1 and not part.days:
+        return str((datetime.min + part).time())
+    # Day 60 of the older calendar is a 29 February that never was.
+    return str(epoch + timedelta(days=days + (0 < value < 60 and epoch.year < 1900)) + part)
+
+
+def _cell(cell: ElementTree.Element, shared: list[str], kinds: list[str | None], epoch: datetime) -> str | None:
+    """A cell's value as text: booleans, dates, times, spans and numbers by their type; formulas by what they last gave."""
+    kind, value = cell.get("t", "n"), cell.find(f"{_S}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{_S}t"))
+    if value is None or value.text is None:
+        return None
+    if kind == "s":
+        return shared[int(value.text)]
+    if kind == "b":
+        return str(bool(int(value.text)))
+    if kind == "d":
+        return str(datetime.fromisoformat(value.text))
+    if kind == "n":
+        style = int(cell.get("s", 0))
+        return _number(value.text, kinds[style] if style < len(kinds) else None, epoch)
+    return value.text
+
+
 def _rows_of_xlsx(raw: bytes) -> list[tuple]:
-    """First two columns of the active sheet; cached values only."""
+    """First two columns of the active sheet, with the values that were stored."""
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
         names = set(book.namelist())
         read = lambda name: ElementTree.fromstring(book.read(name))
         text = lambda node: "".join(t.text or "" for t in node.iter(f"{_S}t"))
         shared = [text(si) for si in read("xl/sharedStrings.xml").iter(f"{_S}si")] if "xl/sharedStrings.xml" in names else []
+        kinds = _format_kinds(read("xl/styles.xml") if "xl/styles.xml" in names else None)
         workbook = read("xl/workbook.xml")
-        view = workbook.find(f"{_S}bookViews/{_S}workbookView")
+        about, view = workbook.find(f"{_S}workbookPr"), workbook.find(f"{_S}bookViews/{_S}workbookView")
+        epoch = datetime(1904, 1, 1) if about is not None and about.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
         active = int(view.get("activeTab", 0)) if view is not None else 0
         wanted = workbook.find(f"{_S}sheets")[active].get(f"{_R}id")
         target = next(r.get("Target") for r in read("xl/_rels/workbook.xml.rels") if r.get("Id") == wanted)
         sheet = read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
     out = []
     for number, row in enumerate(sheet.iter(f"{_S}row")):
-        cells: dict[str, str] = {}
-        for cell in row.iter(f"{_S}c"):
-            value = cell.find(f"{_S}v")
-            column = re.match("[A-Z]+", cell.get("r", "A"))[0]
-            if cell.get("t") == "inlineStr":
-                cells[column] = text(cell)
-            elif value is not None and value.text is not None:
-                cells[column] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-        if "A" in cells and "B" in cells:
+        cells = {re.match("[A-Z]+", c.get("r", "A"))[0]: _cell(c, shared, kinds, epoch) for c in row.iter(f"{_S}c")}
+        if cells.get("A") is not None and cells.get("B") is not None:
             out.append((int(row.get("r", number + 1)) - 1, cells["A"], cells["B"]))
     return out
 
