@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
+from parasift.staging import stage
 
 # Fixed values.
 _NUMERAL = r"I{1,3}|IV|V|VI{0,3}|IX|X|[1-9]\d{0,2}"
@@ -36,6 +37,23 @@ def document_order() -> Column:
     return F.struct(region.alias("region"), *(F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("tbl", "row", "col", "box", "pos")))
 
 
+#: A document, or a number of one, with over one in so many of all lines is hot; there can be no more such than that.
+HOT_SHARE = 1000
+
+
+def _told(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows``, left-joined to ``table``, which has a row a key and in ``__n`` its number of lines; null keys are equal.
+    Hot keys come by broadcast, so their lines stay where they lie; all others meet in a hash join."""
+    values = [c for c in table.columns if c not in [*keys, "__n"]]
+    named = table.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.struct(*values).alias("__found"), "__n")
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    bound = total / HOT_SHARE
+    gone = [f"__key_{k}" for k in keys] + ["__n"]
+    first = rows.join(F.broadcast(named.where(F.col("__n") > bound)), same, "left").drop(*gone)
+    rest = first.where("__found is null").drop("__found").join(named.where(F.col("__n") <= bound), same, "left").drop(*gone)
+    return first.where("__found is not null").unionByName(rest).select(*rows.columns, *(F.col("__found")[v].alias(v) for v in values))
+
+
 def normalize(df: DataFrame, keys: list[str], pos: str | Column = "pos", text: str = "text") -> DataFrame:
     """``df`` with ``kind``, ``seq``, ``new_text`` and what is to be told of each line.
 
@@ -43,27 +61,33 @@ def normalize(df: DataFrame, keys: list[str], pos: str | Column = "pos", text: s
     on a tie; Arabic numbers over ten stay (``beyond``). ``first_pos`` is the ``pos`` of the first line with
     the same kind and number, for later ones. ``mixed`` is the document's style if it was mixed, ``articles``
     tells of article markers beside list markers, ``opening`` marks the document's first line. ``pos`` is a
-    column or an expression that orders a document. One shuffle by document; lines of one document share a
-    task.
+    column or an expression that orders a document.
+
+    Documents are counted, and the first places of their numbers found, by tasks first and then together; the lines
+    meet those tables. No document is brought into one task, however long it is. ``df`` is read three times.
     """
     order = F.col(pos) if isinstance(pos, str) else pos
     tagged = df.withColumn("__c", classify(F.col(text))).withColumns({"kind": F.col("__c.kind"), "seq": F.col("__c.seq"), "__at": order}).drop("__c")
-    whole = Window.partitionBy(*keys)
-    counted = tagged.withColumns({f"__{k}": F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(whole) for k in ("roman", "arabic", "article")})
-    counted = counted.withColumn("opening", F.col("__at") == F.min("__at").over(whole))
+    kinds = ("roman", "arabic", "article")
+    counts = tagged.groupBy(*keys).agg(*(F.count_if(F.col("kind") == k).alias(f"__{k}") for k in kinds), F.min("__at").alias("__opening"), F.count("*").alias("__n"))
+    counts = stage(counts, "numbering")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    firsts = tagged.where("kind is not null").groupBy(*keys, "kind", "seq").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    counted = _told(tagged, counts, keys, total)
+    counted = counted.where("kind is null").withColumn("__first", F.lit(None).cast(tagged.schema["__at"].dataType)).unionByName(_told(counted.where("kind is not null"), stage(firsts, "numbering"), [*keys, "kind", "seq"], total))
     mixed = F.when((F.col("__roman") > 0) & (F.col("__arabic") > 0), F.when(F.col("__roman") >= F.col("__arabic"), "roman").otherwise("arabic"))
     roman = F.get(F.array(*map(F.lit, tn.ROMAN_NUMERALS)), F.col("seq") - 1)
     mark = F.when(F.col("mixed") == "roman", F.when(F.col("kind") == "arabic", roman)).when((F.col("mixed") == "arabic") & (F.col("kind") == "roman"), F.col("seq").cast("string"))
     rest = F.concat(F.regexp_extract(text, MARKER, 3), F.regexp_replace(text, F.lit(MARKER), F.lit("")))
-    first = F.min(F.when(F.col("kind").isNotNull(), F.col("__at"))).over(Window.partitionBy(*keys, "kind", "seq"))
     beyond = (F.col("mixed") == "roman") & (F.col("kind") == "arabic") & (F.col("seq") > 10)
     return (
         counted.withColumn("mixed", mixed)
+        .withColumn("opening", F.col("__at") == F.col("__opening"))
         .withColumn("articles", (F.col("__article") > 0) & (F.col("__roman") + F.col("__arabic") > 0))
         .withColumn("new_text", F.when(mark.isNotNull(), F.concat(mark, F.lit("."), rest)).otherwise(F.col(text)))
-        .withColumn("first_pos", F.when(F.col("kind").isNotNull() & (first < F.col("__at")), first))
+        .withColumn("first_pos", F.when(F.col("__first") < F.col("__at"), F.col("__first")))
         .withColumn("beyond", F.coalesce(beyond, F.lit(False)))
-        .drop("__roman", "__arabic", "__article", "__at")
+        .drop("__roman", "__arabic", "__article", "__opening", "__first", "__at")
     )
 
 
