@@ -19,6 +19,7 @@ from parasift.operators import cleaning, dedup, fidelity, glossary, guards, numb
 from parasift.plans import jobs, reports, translate
 from parasift.sources import docx, tables
 from parasift.staging import shared_dir
+from parasift.streaming import expiry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -879,3 +880,24 @@ def report_pages(orders: DataFrame) -> DataFrame:
     )
     pages = reports.file_pages(reports.numbered_warnings(segments), segments, "t")
     return pages.select("file_id", "page", "pages", F.md5("html").alias("html_md5"))
+
+
+def glossary_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as uses of twenty glossaries of theirs: the lives that ended, from the stream of all events."""
+    # A pattern, as a stream's plain path has to be a folder.
+    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long").parquet(f"{sf_dir}/events.parque[t]")
+    uses = events.select(F.concat_ws("-", "user_id", (F.col("event_id") % 20).cast("string")).alias("glossary_id"), F.col("ts").cast("timestamp").alias("used_at"))
+    folder = f"{shared_dir(spark)}/parasift/lives-{uuid.uuid4().hex}"
+    written = expiry.expiries(uses, 7, "0 seconds").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    done = written.trigger(availableNow=True).start()
+    done.awaitTermination()
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.schema(expiry.SCHEMA).parquet(f"{folder}/out").select("glossary_id", shown("last_used"), shown("expired_at"))
+
+
+QUERIES["glossary_lives"] = glossary_lives
+ORACLE_SQL["glossary_lives"] = """
+SELECT g AS glossary_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_used, strftime(ts + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS expired_at
+FROM (SELECT g, ts, lead(ts) OVER (PARTITION BY g ORDER BY ts) AS next, max(ts) OVER () AS last FROM (SELECT DISTINCT user_id || '-' || event_id % 20 AS g, ts FROM events))
+WHERE next - ts > INTERVAL 7 DAY OR (next IS NULL AND epoch_ms(ts + INTERVAL 7 DAY) < epoch_ms(last))
+"""
