@@ -30,6 +30,11 @@ URL_PATTERN = rf"https?://{URL_CHAR}+|www\.{URL_CHAR}+\.\w{{2,}}|[a-zA-Z0-9]{URL
 #: What each kind of URL cannot do without; quick to look for, whatever the length of a word.
 URL_MARK = rf"https?://|www\.|\.(?:{URL_TLDS})(?!\w)"
 INLINE_URL_PATTERN = rf"https?://{URL_CHAR}+|www\.{URL_CHAR}+\.\w{{2,}}"
+#: A host name in a word of ASCII letters or digits, upper and lower case told apart. It is looked for from the word's
+#: beginning only, so a word's length costs no square.
+DOMAIN_PATTERN = rf"(?<![^ \t\n\f\r])[^ \t\n\f\ra-zA-Z0-9]*+[a-zA-Z0-9][^ \t\n\f\r]*\.(?:{URL_TLDS})(?![a-zA-Z0-9_])"
+#: A word that is an address, in ASCII.
+ADDRESS_PATTERN = r"(?<![^ \t\n\f\r])[a-zA-Z0-9_.+-]++@[a-zA-Z0-9_.-]++(?![^ \t\n\f\r])"
 EMAIL_PATTERN = r"[\w.+-]+@[\w.-]+\.\w{2,}"
 PROTECTED_TOKEN_PATTERNS = [
     r"\d[\d,.]*",
@@ -121,6 +126,16 @@ def contains_url(text: Column) -> Column:
     return text.rlike(f"(?iu)(?:{URL_MARK})") & text.rlike(f"(?iu)(?:{URL_PATTERN})")
 
 
+def has_domain(text: Column) -> Column:
+    """Whether a word names a host under one of the known top-level domains; narrower than ``contains_url``."""
+    return text.rlike(DOMAIN_PATTERN)
+
+
+def addresses(text: Column) -> Column:
+    """The e-mail addresses among the words between ASCII white space."""
+    return F.regexp_extract_all(text, F.lit(ADDRESS_PATTERN), F.lit(0))
+
+
 def url_parts(text: Column) -> tuple[Column, Column]:
     """What lies between a text's URLs (one more than those, maybe empty), and the URLs."""
     pattern = f"(?iu)(?:{URL_PATTERN})"
