@@ -168,9 +168,11 @@ def is_blank(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(r"(?U)\s+"), F.lit("")) == ""
 
 
-def route(text: Column) -> Column:
-    """Which path of the translation a paragraph takes: blank, url, term or model."""
-    return F.when(is_blank(text), "blank").when(is_url_line(text), "url").when(is_term_only(text), "term").when(text.isNotNull(), "model")
+def route(text: Column, blank: Column | None = None, url: Column | None = None, term: Column | None = None) -> Column:
+    """Which path of the translation a paragraph takes: blank, url, term or model. Conditions that are given stand in
+    for the usual ones."""
+    blank, url, term = (own if own is not None else usual(text) for own, usual in ((blank, is_blank), (url, is_url_line), (term, is_term_only)))
+    return F.when(blank, "blank").when(url, "url").when(term, "term").when(text.isNotNull(), "model")
 
 
 def is_sentence_like(value: Column) -> Column:

@@ -12,7 +12,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["email_filter"])
+@pytest.mark.parametrize("name", ["email_filter", "term_route"])
 def test_odd_texts(spark, tmp_path, name):
     rows = [(i * 4 + k, text) for i, text in enumerate(TEXTS) for k in range(4)] + [(None, "a.com"), (-3, "a")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
