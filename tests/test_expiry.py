@@ -39,3 +39,9 @@ def test_lives_end_after_seven_days_without_a_use(spark, tmp_path):
 def test_two_lives_in_one_batch(spark, tmp_path):
     found = ended(spark, tmp_path, [[("a", at(30)), ("a", at(0)), ("a", at(2)), ("b", at(31))], [("z", at(32))]], days=5, delay="0 seconds")
     assert found == [("a", at(2), at(7))]
+
+
+def test_no_use_is_handed_to_python(spark):
+    uses = spark.readStream.format("rate").load().selectExpr("cast(value as string) AS glossary_id", "timestamp AS used_at")
+    plan = expiries(uses)._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "Pandas" not in plan and "Python" not in plan
