@@ -21,7 +21,10 @@ def _number(token: Column) -> Column:
 
 def classify(text: Column) -> Column:
     """Struct of ``kind`` (article, roman, arabic or null) and ``seq`` of a line's marker."""
-    article, marker = F.regexp_extract(text, ARTICLE, 1), F.regexp_extract(text, MARKER, 1)
+    return _marked(F.regexp_extract(text, ARTICLE, 1), F.regexp_extract(text, MARKER, 1))
+
+
+def _marked(article: Column, marker: Column) -> Column:
     kind = F.when(article != "", F.when(_number(article).isNotNull(), "article")).when(marker.rlike("^[0-9]"), "arabic").when(marker != "", "roman")
     seq = F.when(article != "", _number(article)).when(marker != "", _number(marker))
     return F.struct(F.when(seq.isNotNull(), kind).alias("kind"), seq.alias("seq"))
@@ -43,15 +46,19 @@ HOT_SHARE = 1000
 
 def _told(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``rows``, left-joined to ``table``, which has a row a key and in ``__n`` its number of lines; null keys are equal.
-    Hot keys come by broadcast, so their lines stay where they lie; all others meet in a hash join."""
+    Hot keys, if there are any, come by broadcast, so their lines stay where they lie; all others meet in one join."""
     values = [c for c in table.columns if c not in [*keys, "__n"]]
     named = table.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.struct(*values).alias("__found"), "__n")
     same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
     bound = total / HOT_SHARE
     gone = [f"__key_{k}" for k in keys] + ["__n"]
-    first = rows.join(F.broadcast(named.where(F.col("__n") > bound)), same, "left").drop(*gone)
+    out = lambda found: found.select(*rows.columns, *(F.col("__found")[v].alias(v) for v in values))
+    hot = named.where(F.col("__n") > bound)
+    if not hot.limit(1).count():
+        return out(rows.join(named, same, "left").drop(*gone))
+    first = rows.join(F.broadcast(hot), same, "left").drop(*gone)
     rest = first.where("__found is null").drop("__found").join(named.where(F.col("__n") <= bound), same, "left").drop(*gone)
-    return first.where("__found is not null").unionByName(rest).select(*rows.columns, *(F.col("__found")[v].alias(v) for v in values))
+    return out(first.where("__found is not null").unionByName(rest))
 
 
 def normalize(df: DataFrame, keys: list[str], pos: str | Column = "pos", text: str = "text") -> DataFrame:
@@ -63,18 +70,23 @@ def normalize(df: DataFrame, keys: list[str], pos: str | Column = "pos", text: s
     tells of article markers beside list markers, ``opening`` marks the document's first line. ``pos`` is a
     column or an expression that orders a document.
 
-    Documents are counted, and the first places of their numbers found, by tasks first and then together; the lines
-    meet those tables. No document is brought into one task, however long it is. ``df`` is read three times.
+    Lines are classified once and written. Each number of a document is counted, and its first place found, by tasks
+    first and then together; a document has some two thousand of them at most, from which its own counts are made. The
+    lines meet that table once. No document is brought into one task, however long it is. ``df`` is read once.
     """
     order = F.col(pos) if isinstance(pos, str) else pos
-    tagged = df.withColumn("__c", classify(F.col(text))).withColumns({"kind": F.col("__c.kind"), "seq": F.col("__c.seq"), "__at": order}).drop("__c")
+    # Columns of their own, so that each pattern runs once a line.
+    marks = df.withColumns({"__a": F.regexp_extract(text, ARTICLE, 1), "__m": F.regexp_extract(text, MARKER, 1), "__at": order})
+    tagged = marks.withColumn("__c", _marked(F.col("__a"), F.col("__m"))).withColumns({"kind": F.col("__c.kind"), "seq": F.col("__c.seq")}).drop("__a", "__m", "__c")
+    tagged = stage(tagged, "numbered-lines")
+    numbers = stage(tagged.groupBy(*keys, "kind", "seq").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")), "numbering")
+    total = numbers.agg(F.sum("__n")).first()[0] or 0
     kinds = ("roman", "arabic", "article")
-    counts = tagged.groupBy(*keys).agg(*(F.count_if(F.col("kind") == k).alias(f"__{k}") for k in kinds), F.min("__at").alias("__opening"), F.count("*").alias("__n"))
-    counts = stage(counts, "numbering")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    firsts = tagged.where("kind is not null").groupBy(*keys, "kind", "seq").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    counted = _told(tagged, counts, keys, total)
-    counted = counted.where("kind is null").withColumn("__first", F.lit(None).cast(tagged.schema["__at"].dataType)).unionByName(_told(counted.where("kind is not null"), stage(firsts, "numbering"), [*keys, "kind", "seq"], total))
+    documents = numbers.groupBy(*keys).agg(*(F.sum(F.when(F.col("kind") == k, F.col("__n")).otherwise(0)).alias(f"__{k}") for k in kinds), F.min("__first").alias("__opening"))
+    own = documents.select(*(F.col(k).alias(f"__doc_{k}") for k in keys), *(f"__{k}" for k in kinds), "__opening")
+    table = numbers.join(own, [F.col(k).eqNullSafe(F.col(f"__doc_{k}")) for k in keys]).drop(*(f"__doc_{k}" for k in keys))
+    table = stage(table.withColumn("__first", F.when(F.col("kind").isNotNull(), F.col("__first"))), "numbering")
+    counted = _told(tagged, table, [*keys, "kind", "seq"], total)
     mixed = F.when((F.col("__roman") > 0) & (F.col("__arabic") > 0), F.when(F.col("__roman") >= F.col("__arabic"), "roman").otherwise("arabic"))
     roman = F.get(F.array(*map(F.lit, tn.ROMAN_NUMERALS)), F.col("seq") - 1)
     mark = F.when(F.col("mixed") == "roman", F.when(F.col("kind") == "arabic", roman)).when((F.col("mixed") == "arabic") & (F.col("kind") == "roman"), F.col("seq").cast("string"))

@@ -45,3 +45,12 @@ def test_nothing_to_number(spark):
     rows = {r.pos: r for r in numbering.normalize(df, ["file"]).collect()}
     assert rows[0].opening and not rows[1].opening and rows[1].kind is None and rows[0].new_text is None
     assert numbering.normalize(df.where("false"), ["file"]).withColumn("told", F.size(numbering.warnings())).collect() == []
+
+
+def test_lines_are_classified_once_and_meet_one_table(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "HOT_SHARE", 2)
+    df = spark.createDataFrame([(f"f{i % 7}", i, f"{i % 9 + 1}. x") for i in range(70)], "file string, pos int, text string")
+    found = numbering.normalize(df, ["file"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Article|Clause" not in plan
+    assert sum(r.first_pos is not None for r in found.collect()) == 70 - 7 * 9
