@@ -96,8 +96,11 @@ Place = tuple[str, int, int | None, int | None, int | None, int | None]
 
 def _boxes(root: ET.Element) -> list[ET.Element]:
     """Text boxes; the fallback copy that Word keeps beside a drawing counts as the same box."""
+    found = list(root.iter(_W + "txbxContent"))
+    if not found:  # nearly all documents; a look at every element costs more than all else here
+        return []
     hidden = {id(x) for f in root.iter() if f.tag.endswith("}Fallback") for x in f.iter()}
-    return [b for b in root.iter(_W + "txbxContent") if id(b) not in hidden]
+    return [b for b in found if id(b) not in hidden]
 
 
 def paragraphs(root: ET.Element) -> Iterator[tuple[Place, ET.Element]]:
@@ -390,10 +393,11 @@ def rewrite(raw: bytes, edits: list[dict], spacing: str | None = "double") -> by
     by_place = {(e["region"], *(None if pd.isna(e[k]) else int(e[k]) for k in ("pos", "tbl", "row", "col", "box"))): e for e in edits}
     with zipfile.ZipFile(io.BytesIO(raw)) as package:
         files = {name: package.read(name) for name in package.namelist()}
-    for _, (prefix, uri) in ET.iterparse(io.BytesIO(files["word/document.xml"]), events=["start-ns"]):
+    parsed = ET.iterparse(io.BytesIO(files["word/document.xml"]), events=["start-ns"])
+    for _, (prefix, uri) in parsed:
         if not re.fullmatch(r"ns\d+", prefix):
             ET.register_namespace(prefix, uri)
-    root = ET.fromstring(files["word/document.xml"])
+    root = parsed.root
     for (region, pos, tbl, row, col, box), p in list(paragraphs(root)):
         edit = by_place.get((region, pos, tbl, row, col, box))
         if edit is None:
