@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
 from parasift.functions.amounts import NUMBER, render_text, unit_pattern
+from parasift.staging import slices
 
 GUARDED = "struct<text:string,guards:array<struct<token:string,original:string>>>"
 _AMOUNT = re.compile(rf"({NUMBER})\s*({unit_pattern()})")
@@ -65,11 +66,16 @@ def mask_for_polish(text: str) -> tuple[str, list[tuple[str, str]]]:
 
 
 def _struct(mask):
-    @F.pandas_udf(GUARDED)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def part(texts: pd.Series) -> pd.DataFrame:
         rows = [(None, None) if t is None else mask(t) for t in texts]
         return pd.DataFrame([(t, g and [{"token": a, "original": b} for a, b in g] if g is not None else None) for t, g in rows], columns=["text", "guards"])
 
+    @F.pandas_udf(GUARDED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for some in slices(texts):
+                yield part(texts.iloc[some])
+
     return run
 
 

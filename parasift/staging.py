@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -36,6 +38,20 @@ def in_order(staged: DataFrame, block: str) -> list[list[str]]:
     return [sorted(r["files"]) for r in sorted(own, key=lambda r: r[block])]
 
 
+def slices(texts: pd.Series, rows: int = 256, chars: int = 1_000_000) -> Iterator[slice]:
+    """A batch's rows in slices of at most ``rows`` and about ``chars`` characters: what a worker makes of one, in
+    objects many times its text, goes back before the next begins. A longer text is a slice of its own."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        size = len(text) if isinstance(text, str) else 0
+        if i > begin and (i - begin >= rows or held + size > chars):
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += size
+    if len(texts) > begin:
+        yield slice(begin, len(texts))
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder and the path in it, for workers."""
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri[5:] if uri.startswith('file:') else uri}")

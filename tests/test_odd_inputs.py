@@ -1,9 +1,11 @@
 """Catalog queries against their SQL on texts that the given tables do not hold."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from parasift.plans import catalog
+from parasift.staging import slices
 
 TEXTS = [
     None, "", " ", "\n", "　", "\u00a0 \u2009", "\u200b", "\t", "plain words", "SEE A.COM now", "Mail x@Y.Org", "http://localhost/page", "www.example.net", "https://a.example/x", "见a中.com", "中文a.com", "中文" * 30 + " a.com", "a b.com", ".com", "-.com -.com", "é.com a",
@@ -21,3 +23,10 @@ def test_odd_texts(spark, tmp_path, name):
     want = db.execute(catalog.ORACLE_SQL[name]).fetchall()
     got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_slices_hold_every_row_once_and_are_bounded():
+    texts = pd.Series(["x" * 10] * 600 + [None, "y" * 2_000_000, ""])
+    found = [texts.iloc[s] for s in slices(texts)]
+    assert pd.concat(found).tolist() == texts.tolist() and max(map(len, found)) <= 256
+    assert all(len(f) == 1 or f.str.len().sum() <= 1_000_000 for f in found) and list(slices(texts[:0])) == []
