@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parasift.functions import textnorm as tn
-from parasift.staging import stage
+from parasift.staging import slices, stage
 
 LONGEST = 8
 AUDIT = "array<struct<dup:string,removed:string,reason:string,confidence:string,action:string>>"
@@ -149,7 +149,12 @@ def _find(texts: pd.Series) -> pd.Series:
 
 def dedup(text: Column, protected: Column | None = None) -> Column:
     """Struct of the cleaned ``text`` and its ``audit``."""
-    run = F.pandas_udf(_remove, f"struct<text:string,audit:{AUDIT}>")
+    def sliced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, rare in batches:
+            for some in slices(texts):
+                yield _remove(texts.iloc[some], rare.iloc[some])
+
+    run = F.pandas_udf(sliced, f"struct<text:string,audit:{AUDIT}>")
     return run(text, F.array().cast("array<string>") if protected is None else protected)
 
 
