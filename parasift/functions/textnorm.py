@@ -278,8 +278,11 @@ def enumerations(text: Column) -> Column:
 
 
 def fix_cn_labels(text: Column) -> Column:
-    plain = substitute(literal(text, list(CN_LABELS.items())), [(p, "") for p in MODEL_REMARKS])
-    return enumerations(literal(plain, [("[Photo]", "[Image]"), ("[Picture]", "[Image]")]))
+    """Labels in English, remarks of the model gone, list markers made Roman. Each of these rules needs a Chinese
+    character or a Chinese comma, but for two names of images."""
+    images = lambda t: literal(t, [("[Photo]", "[Image]"), ("[Picture]", "[Image]")])
+    labelled = lambda t: substitute(literal(t, list(CN_LABELS.items())), [(p, "") for p in MODEL_REMARKS])
+    return let(text, lambda t: F.when(t.rlike(r"[\u3001\u4e00-\u9fff]"), enumerations(images(labelled(t)))).otherwise(images(t)))
 
 
 def convert_chinese_dates(text: Column) -> Column:

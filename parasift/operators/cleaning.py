@@ -24,19 +24,49 @@ URL_LABELS = {
 }
 
 
+def stretched(text: Column) -> Column:
+    """A text's stretches (``part``, ``url``), those outside URLs after the rules that come before repeats; null for null.
+    Texts without a URL, nearly all, stay whole."""
+    stretches = tn.let(text, lambda t: F.when(tn.contains_url(t), tn.url_stretches(t)).otherwise(F.array(F.struct(t.alias("part"), F.lit(False).alias("url")))))
+    ready = F.transform(stretches, lambda s: F.struct(F.when(s["url"], s["part"]).otherwise(tn.before_dedup(s["part"])).alias("part"), s["url"].alias("url")))
+    return F.when(text.isNotNull(), ready)
+
+
+def word_twice(text: Column) -> Column:
+    """Whether a word comes twice: in all other texts the removal of repeats changes nothing. White space is what Python
+    takes for it, which is more than Unicode's."""
+    words = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+", -1), lambda w: w != "")
+    return F.coalesce(tn.let(words, lambda w: F.size(F.array_distinct(w)) < F.size(w)), F.lit(False))
+
+
+def repeated(ready: Column) -> Column:
+    """The same in one of the stretches outside URLs."""
+    return F.coalesce(F.exists(ready, lambda s: ~s["url"] & word_twice(s["part"])), F.lit(False))
+
+
+def finished(ready: Column, judged: Column | None = None) -> Column:
+    """The text from its stretches, after the rules that come after repeats; ``judged`` are the stretches without these."""
+    if judged is None:
+        return F.array_join(F.transform(ready, lambda r: F.when(r["url"], r["part"]).otherwise(tn.after_dedup(r["part"]))), "")
+    return F.array_join(F.zip_with(ready, judged, lambda r, s: F.when(r["url"], r["part"]).otherwise(tn.after_dedup(s["part"]))), "")
+
+
 def clean_segments(df: DataFrame, text: str = "text", protected: str | None = None) -> DataFrame:
     """``df`` with ``text`` cleaned and ``dedup_audit``: only stretches outside URLs change.
 
-    Texts without a URL, nearly all, stay whole. Repeated words are judged in each stretch apart. One scan;
-    Python sees the words between the two runs of rules, and nothing else.
+    Repeated words are judged in each stretch apart. One scan; Python sees the words between the two runs of rules, and
+    nothing else.
     """
-    stretches = tn.let(F.col(text), lambda t: F.when(tn.contains_url(t), tn.url_stretches(t)).otherwise(F.array(F.struct(t.alias("part"), F.lit(False).alias("url")))))
-    ready = F.transform(stretches, lambda s: F.struct(F.when(s["url"], s["part"]).otherwise(tn.before_dedup(s["part"])).alias("part"), s["url"].alias("url")))
+    return clean_stretched(df.withColumn("__r", stretched(F.col(text))), text, protected)
+
+
+def clean_stretched(df: DataFrame, text: str, protected: str | None = None) -> DataFrame:
+    """The same of a table that has its texts' stretches in ``__r``."""
     # Read twice, so that it stays a column of its own and the Python function's argument is a plain one.
-    judged = df.withColumn("__r", F.when(F.col(text).isNotNull(), ready)).withColumn("__s", dedup_stretches(F.col("__r"), F.col(protected) if protected else None))
-    parts = F.zip_with("__r", "__s", lambda r, s: F.when(r["url"], r["part"]).otherwise(tn.after_dedup(s["part"])))
+    judged = df.withColumn("__s", dedup_stretches(F.col("__r"), F.col(protected) if protected else None))
     audit = F.flatten(F.transform("__s", lambda s: s["audit"]))
-    return judged.select(*(F.array_join(parts, "").alias(c) if c == text else F.col(c) for c in df.columns), audit.alias("dedup_audit"))
+    names = [c for c in df.columns if c != "__r"]
+    return judged.select(*(finished(F.col("__r"), F.col("__s")).alias(c) if c == text else F.col(c) for c in names), audit.alias("dedup_audit"))
 
 
 def url_line(text: Column, terms: Mapping[str, str]) -> Column:

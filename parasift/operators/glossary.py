@@ -270,7 +270,10 @@ def translate_terms(text: Column, glossary: Mapping[str, str]) -> Column:
     terms = {**COMMON_TERMS, **glossary}
     for cn, en in list(terms.items()):
         terms.setdefault(cn.replace(" ", "").replace("\u3000", ""), en)
-    return replaced_in_order(tn.convert_chinese_dates(tn.normalize_quotes(text)), terms)
+    even = tn.normalize_quotes(text)
+    # As an argument of a Python function, for many terms, it may hold no lambda in another.
+    dated = tn.let(even, tn.convert_chinese_dates) if len(terms) <= MOST_EXPRESSIONS else tn.convert_chinese_dates(even)
+    return replaced_in_order(dated, terms)
 
 
 def _variants(en: str) -> list[str]:

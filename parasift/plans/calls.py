@@ -2,7 +2,8 @@
 
 A task keeps a window of calls open on an event loop of its own thread. An asynchronous method is awaited and, past
 its time, cancelled; a plain one runs in a daemon thread of its own and is left behind. Results come in the order
-of the rows, whatever order the answers have.
+of the rows, whatever order the answers have. Calls that have no time limit and go one after another, as those to a
+translator within the worker, are made in the task's own thread.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import http.client
 import inspect
 import json
 import threading
+import time
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
@@ -27,18 +29,18 @@ MOST_HUNG = 64
 @dataclass(frozen=True)
 class Calls:
     """``callers`` tasks (None: as many as there are partitions) with ``window`` calls each under way: so many calls at
-    once in the whole cluster as the two multiply to."""
+    once in the whole cluster as the two multiply to. Without ``timeout`` a call may take as long as it likes."""
 
     callers: int | None = None
     window: int = 1
-    timeout: float = TIMEOUT
+    timeout: float | None = TIMEOUT
     attempts: int = ATTEMPTS
     pause: float = FIRST_PAUSE
 
 
 #: Six calls at once to a remote model.
 REMOTE = Calls(callers=2, window=3)
-OFFLINE = Calls()
+OFFLINE = Calls(timeout=None)
 
 
 @dataclass(frozen=True)
@@ -48,10 +50,12 @@ class Answer:
 
 
 class Window:
-    """Runs calls on an event loop in a thread of its own; ``close`` ends it, and what still hangs with it."""
+    """Runs calls on an event loop in a thread of its own; ``close`` ends it, and what still hangs with it. Plain calls
+    without a time limit, one at a time, need neither."""
 
     def __init__(self, calls: Calls):
         self.calls, self.hung, self.lock = calls, 0, threading.Lock()
+        self.here = calls.timeout is None and calls.window == 1
         self.loop = asyncio.new_event_loop()
         self.thread = threading.Thread(target=self.loop.run_forever, daemon=True)
         self.thread.start()
@@ -61,18 +65,31 @@ class Window:
         wide, and ``asked`` is read no further than that."""
         open_calls: deque = deque()
         for call in asked:
+            if self.here and not inspect.iscoroutinefunction(call[0]):
+                yield self._here(*call)
+                continue
             open_calls.append(asyncio.run_coroutine_threadsafe(self._answer(*call), self.loop))
             if len(open_calls) >= self.calls.window:
                 yield open_calls.popleft().result()
         while open_calls:
             yield open_calls.popleft().result()
 
+    def _here(self, method: Callable, *args: Any) -> Answer:
+        for attempt in range(self.calls.attempts):
+            try:
+                return Answer(method(*args))
+            except Exception as error:
+                failure = error
+            if attempt + 1 < self.calls.attempts:
+                time.sleep(self.calls.pause * 2**attempt)
+        return Answer(None, str(failure) or type(failure).__name__)
+
     async def _answer(self, method: Callable, *args: Any) -> Answer:
         for attempt in range(self.calls.attempts):
             try:
                 return Answer(await asyncio.wait_for(self._started(method, args), self.calls.timeout))
             except TimeoutError as late:
-                failure: Exception = TimeoutError(str(late) or f"no answer in {self.calls.timeout:g} s")
+                failure: Exception = TimeoutError(str(late) or f"no answer in {self.calls.timeout:g} s" if self.calls.timeout else "no answer in time")
             except Exception as error:
                 failure = error
             if attempt + 1 < self.calls.attempts:

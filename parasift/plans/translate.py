@@ -10,12 +10,13 @@ import json
 import re
 import time
 import uuid
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator, Mapping
 from itertools import count
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,14 +82,17 @@ def call_model(df: DataFrame, column: str, make: Callable[[], Translator], metho
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", model_error string"
     label = uuid.uuid4().hex
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, window, held, number = make(), Window(calls), deque(), count()
 
         def asked() -> Iterator[tuple]:
-            for frame in frames:
-                held.append(frame)
-                told = frame[instruction] if instruction else [""] * len(frame)
-                for text, more in zip(frame[column], told):
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                held.append((batch, texts))
+                told = batch.column(instruction).to_pylist() if instruction else [""] * len(texts)
+                for text, more in zip(texts, told):
                     yield (model.translate, text, terms or {}, more or "") if method == "translate" else (model.polish, text)
 
         try:
@@ -96,26 +100,27 @@ def call_model(df: DataFrame, column: str, make: Callable[[], Translator], metho
             got: list[Answer] = []
             for answer in answers:
                 got.append(answer)
-                while held and len(got) >= len(held[0]):
-                    done = _answered(held.popleft(), column, got)
+                while held and len(got) >= len(held[0][1]):
+                    done = _answered(*held.popleft(), at, got)
                     if progress:
-                        whole = done[done["__n"] == 0]["file_id"].value_counts()
-                        jobs.mark(progress, f"{label}-{TaskContext.get().partitionId()}-{next(number)}", {str(f): int(n) for f, n in whole.items()})
+                        whole = Counter(f for f, n in zip(done.column("file_id").to_pylist(), done.column("__n").to_pylist()) if n == 0)
+                        jobs.mark(progress, f"{label}-{TaskContext.get().partitionId()}-{next(number)}", {str(f): n for f, n in whole.items()})
                     yield done
-            for frame in held:  # empty ones
-                yield _answered(frame, column, got)
+            for batch, texts in held:  # empty ones
+                yield _answered(batch, texts, at, got)
         finally:
             window.close()
 
     asked = df if calls.callers is None else df.repartition(calls.callers)
-    return stage(asked.mapInPandas(run, schema), f"model-{method}")
+    return stage(asked.mapInArrow(run, schema), f"model-{method}")
 
 
-def _answered(frame: pd.DataFrame, column: str, got: list[Answer]) -> pd.DataFrame:
-    """``frame`` with its answers, the first of ``got``, which are taken off there."""
-    own, got[:] = got[: len(frame)], got[len(frame) :]
-    texts = [text if a.error is not None else a.value or text for text, a in zip(frame[column], own)]
-    return frame.assign(**{column: texts, "model_error": [a.error for a in own]})
+def _answered(batch: pa.RecordBatch, texts: list[str | None], at: int, got: list[Answer]) -> pa.RecordBatch:
+    """``batch`` with its answers in column ``at``, the first of ``got``, which are taken off there."""
+    own, got[:] = got[: len(texts)], got[len(texts) :]
+    told = [text if a.error is not None else a.value or text for text, a in zip(texts, own)]
+    columns = [pa.array(told, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([a.error for a in own], pa.string())], names=[*batch.schema.names, "model_error"])
 
 
 class _Job:
@@ -139,18 +144,18 @@ class _Job:
         return self._rare
 
     def clean(self, rows: DataFrame, text: str) -> DataFrame:
-        """``rows`` with ``text`` cleaned, written once. A row gets those of its region's protected words that it
-        holds."""
-        if self.source is None:
-            return stage(cleaning.clean_segments(rows, text).drop("dedup_audit"), "cleaned")
-        rows = stage(rows, "rows")
-        # Only where some word comes twice can a repeat be removed, and a protected word matter.
-        again = F.coalesce(tn.let(tn.tokens(tn.before_dedup(F.col(text))), lambda t: F.size(F.array_distinct(t)) < F.size(t)), F.lit(False))
-        none = rows.where(~again).withColumn("protected", F.lit(None).cast("array<string>"))
-        some = rows.where(again)
+        """``rows`` with ``text`` cleaned, written once. Only texts in which a word comes twice go through the removal of
+        repeats, in Python; there a row gets those of its region's protected words that it holds."""
+        ready = rows.withColumn("__r", cleaning.stretched(F.col(text))).withColumn("__again", cleaning.repeated(F.col("__r")))
+        ready = stage(ready, "rows")
+        done = ready.where("not __again").withColumn(text, cleaning.finished(F.col("__r"))).select(rows.columns)
+        some = ready.where("__again").drop("__again")
         if some.limit(1).count():
-            none = none.unionByName(dedup.with_protected(some, text, self.keys, self.rare()))
-        return stage(cleaning.clean_segments(none, text, "protected").drop("dedup_audit", "protected"), "cleaned")
+            if self.source is not None:
+                some = dedup.with_protected(some, text, self.keys, self.rare())
+            judged = cleaning.clean_stretched(some, text, "protected" if self.source is not None else None)
+            done = done.unionByName(judged.select(rows.columns))
+        return stage(done, "cleaned")
 
     def speak(self, rows: DataFrame, instruction: Column | str | None = None, progress: str | None = None) -> DataFrame:
         """``rows`` with ``spoken`` and ``model_error``: dates converted, numbers masked, chunks of whole
@@ -197,15 +202,18 @@ class _Job:
         back = spoken.withColumn("translated_text", guards.restore(F.trim("translated_text"), F.col("__g.guards"))).drop("__g", "model_error")
         return cleaning.clean_segments(back, "translated_text").drop("dedup_audit").unionByName(asked.where("__link")).drop("__link")
 
-    def complete(self, rows: DataFrame, notes: str) -> DataFrame:
-        """``translated_text`` with cut terms made whole, and what was done added to the array ``notes``."""
+    def complete(self, rows: DataFrame, notes: str, lost: str | None = None) -> DataFrame:
+        """``translated_text`` with cut terms made whole, and what was done added to the array ``notes``. ``lost`` names a
+        column for the warnings of numbers of the result, so that these are looked for once."""
         done = rows.withColumn("__c", glossary.completed(F.col("translated_text"), self.terms))
         told = F.transform("__c.audit", lambda a: F.concat(F.lit("术语补全: 「"), a["from_text"], F.lit("」→「"), a["to_text"], F.lit("」")))
-        return stage(done.withColumn("translated_text", F.col("__c.text")).withColumn(notes, F.concat(notes, told)).drop("__c"), "completed")
+        done = done.withColumn("translated_text", F.col("__c.text")).withColumn(notes, F.concat(notes, told)).drop("__c")
+        return stage(done.withColumn(lost, fidelity.warnings(F.col("text"), F.col("translated_text"))) if lost else done, "completed")
 
-    def findings(self) -> Column:
-        """Warnings of a row's numbers and terms."""
-        return F.concat(fidelity.warnings(F.col("text"), F.col("translated_text")), glossary.term_warnings(F.col("text"), F.col("translated_text"), self.terms))
+    def findings(self, lost: Column | None = None) -> Column:
+        """Warnings of a row's numbers, unless ``lost`` has them, and of its terms."""
+        numbers = fidelity.warnings(F.col("text"), F.col("translated_text")) if lost is None else lost
+        return F.concat(numbers, glossary.term_warnings(F.col("text"), F.col("translated_text"), self.terms))
 
 
 def tidied(text: Column) -> Column:
@@ -236,8 +244,9 @@ def translate_segments(segments: DataFrame, terms: Mapping[str, str], make: Call
     """
     job = _Job(terms, make, callers, ["file_id", "region"], feedback, progress)
     empty = F.array().cast("array<string>")
-    keyed = segments.withColumn("route", tn.route(F.col("text"))).withColumn("warnings", empty)
-    job.watch(segments)
+    # Each route reads the table anew, so what made the texts, and their routes, is written once.
+    keyed = stage(segments.withColumn("route", tn.route(F.col("text"))).withColumn("warnings", empty), "routed")
+    job.watch(keyed)
     blank = keyed.where("route = 'blank' or route is null").withColumn("translated_text", F.col("text"))
     url = keyed.where("route = 'url'").withColumn("translated_text", tn.fix_cn_labels(cleaning.url_line(F.col("text"), job.terms)))
     term = keyed.where("route = 'term'").withColumn("translated_text", tidied(glossary.translate_terms(F.col("text"), job.terms)))
@@ -271,15 +280,14 @@ def _through_model(rows: DataFrame, job: _Job) -> DataFrame:
     clean = job.clean(third, "translated_text")
     long = F.coalesce(F.length("translated_text") > max(POLISH_FROM, POLISH_LEAST - 1), F.lit(False))
     both = job.polish(clean.where(long)).unionByName(clean.where(~long))
-    done = job.complete(both.withColumn("__notes", F.array().cast("array<string>")), "__notes")
-    lost = _lost(F.col("translated_text"))
-    asked = (lost > 0) & guards.must_preserve(F.col("text")).isNotNull()
-    kept = job.again(done, asked, _must_preserve(), _lost(F.col("spoken")) < lost)
-    retaken = job.complete(kept.where("retaken").withColumn("__more", F.array().cast("array<string>")), "__more")
-    status = F.when(_lost(F.col("translated_text")) > 0, NOT_RESTORED).otherwise(RESTORED)
+    done = job.complete(both.withColumn("__notes", F.array().cast("array<string>")), "__notes", "__lost")
+    asked = (F.size("__lost") > 0) & guards.must_preserve(F.col("text")).isNotNull()
+    kept = job.again(done, asked, _must_preserve(), _lost(F.col("spoken")) < F.size("__lost"))
+    retaken = job.complete(kept.where("retaken").withColumn("__more", F.array().cast("array<string>")), "__more", "__lost")
+    status = F.when(F.size("__lost") > 0, NOT_RESTORED).otherwise(RESTORED)
     retaken = retaken.withColumn("__notes", F.concat("__more", F.array(status), "__notes")).drop("__more")
     whole = retaken.unionByName(kept.where("not retaken"))
-    return whole.withColumn("warnings", F.concat(job.findings(), "__notes")).select(*columns, "translated_text")
+    return whole.withColumn("warnings", F.concat(job.findings(F.col("__lost")), "__notes")).select(*columns, "translated_text")
 
 
 def number_document(translated: DataFrame, keys: list[str]) -> DataFrame:

@@ -51,6 +51,21 @@ def test_no_further_than_the_window():
     window.close()
 
 
+def test_calls_without_a_limit_stay_in_the_thread():
+    tried = []
+
+    def where(n):
+        tried.append(n)
+        if n == 1 and tried.count(1) < 3 or n == 2:
+            raise ValueError("no")
+        return threading.current_thread()
+
+    found = answers(where, [(n,) for n in range(4)], timeout=None)
+    own = threading.current_thread()
+    assert [a.value for a in found] == [own, own, None, own] and found[2].error == "no"
+    assert tried == [0, 1, 1, 1, 2, 2, 2, 3]
+
+
 @pytest.mark.parametrize("kind", ["plain", "async"])
 def test_a_hung_call_is_an_error(kind):
     async def waits(n):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parasift.engine import Engine
-from parasift.operators import dedup, glossary
+from parasift.operators import cleaning, dedup, glossary
 from parasift.plans import jobs, reports, translate
 from parasift.plans.calls import Calls
 from parasift.sources import docx
@@ -197,3 +197,14 @@ def test_new_documents_read_back():
     given = [{"region": "body", "tbl": None, "text": "a\nb"}, {"region": "cell", "tbl": 0, "runs": [("x", True, False, "FF0000")]}]
     found = docx.segments_of(docx.new_document(given))
     assert [(s["region"], s["text"]) for s in found] == [("body", "a\nb"), ("cell", "x")] and found[1]["runs"][0]["bold"]
+
+
+def test_only_texts_with_a_word_twice_are_searched_for_repeats(spark):
+    texts = ["the the end", "http://a.b中 中", "see http://a.com the the", "a\x1ca of\x1fof b", "x，y y", "中国　中国 12 12", "no word again", "www.a.com aaa", "", None, "for for www.b.com or"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    job = translate._Job({}, translate.OfflineTranslator, None, [])
+    got = {r.n: r.text for r in job.clean(rows, "text").collect()}
+    assert got == {r.n: r.text for r in cleaning.clean_segments(rows, "text").select("n", "text").collect()}
+    twice = {r.n for r in rows.where(cleaning.repeated(cleaning.stretched(F.col("text")))).collect()}
+    assert twice == {0, 1, 2, 3, 5, 10}
+    assert {r.n for r in rows.where(cleaning.word_twice(F.col("text"))).collect()} >= {0, 2, 3, 5}
