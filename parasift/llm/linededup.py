@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parasift.llm.common import join_counted, stage
+from parasift.llm.common import join_counted, stage, unstage
 
 DEPTH = 3
 TAIL = 2
@@ -75,17 +75,29 @@ def _template() -> list[Column]:
 
 def recurring_templates(lines: DataFrame) -> DataFrame:
     """(t1, t2, first, lines) of the distinct lines that share a template with a document of lesser key than
-    one of their own; ``first`` is the least such key, ``lines`` how often the line occurs."""
-    distinct = lines.groupBy("n", "c", "leaf", *_S).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("lines"))
+    one of their own; ``first`` is the least such key, ``lines`` how often the line occurs. A staged table.
+
+    Distinct lines, and what they are filed under, are read several times with different columns. They are written
+    once, as each reading would else shuffle all lines anew, and deleted when nothing reads them any more.
+    """
+    distinct = stage(lines.groupBy("n", "c", "leaf", *_S).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("lines")), "distinct-lines")
+    filed = stage(filed_lines(distinct), "filed-lines")
+    groups = filed.groupBy("k1", "k2").agg(F.min("first").alias("group_first"), F.max("last").alias("z")).where("group_first < z").drop("z")
+    alike = filed.join(groups, ["k1", "k2"]).where("group_first < last").select(*_TEMPLATE, F.col("group_first").alias("first"), "lines")
+    same = distinct.where("first < last").select(*_template(), "first", "lines")
+    found = stage(same.unionByName(alike).groupBy(*_TEMPLATE).agg(F.min("first").alias("first"), F.max("lines").alias("lines")), "templates")
+    unstage(filed)
+    unstage(distinct)
+    return found
+
+
+def filed_lines(distinct: DataFrame) -> DataFrame:
+    """Distinct lines under the keys by which they may share a template with others."""
     # Only leaves with several lines of several documents can generalise behind their leading tokens.
     leaves = distinct.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("k"), F.min("first").alias("a"), F.max("last").alias("z")).where("k > 1 and a < z").select("leaf")
     behind = lambda i: _edge(i) >= DEPTH
     ahead = lambda i: ~behind(i) & (_edge(i + 1) <= F.col("n") - TAIL)
-    filed = _filed(distinct.join(leaves, "leaf", "left_semi"), behind).unionByName(_filed(distinct.where("leaf is not null"), ahead))
-    groups = filed.groupBy("k1", "k2").agg(F.min("first").alias("group_first"), F.max("last").alias("z")).where("group_first < z").drop("z")
-    alike = filed.join(groups, ["k1", "k2"]).where("group_first < last").select(*_TEMPLATE, F.col("group_first").alias("first"), "lines")
-    same = distinct.where("first < last").select(*_template(), "first", "lines")
-    return same.unionByName(alike).groupBy(*_TEMPLATE).agg(F.min("first").alias("first"), F.max("lines").alias("lines"))
+    return _filed(distinct.join(leaves, "leaf", "left_semi"), behind).unionByName(_filed(distinct.where("leaf is not null"), ahead))
 
 
 def _filed(lines: DataFrame, which: Callable[[int], Column]) -> DataFrame:
@@ -101,7 +113,7 @@ def _filed(lines: DataFrame, which: Callable[[int], Column]) -> DataFrame:
 
 def recurring_lines(lines: DataFrame) -> DataFrame:
     """(doc, row, pos) of the lines whose template occurs in a document of lesser key."""
-    templates = stage(recurring_templates(lines), "templates")
+    templates = recurring_templates(lines)
     found = join_counted(lines.select("doc", "row", "pos", *_template()), templates, _TEMPLATE, "lines")
     return found.where("doc > first").select("doc", "row", "pos")
 

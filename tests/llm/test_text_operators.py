@@ -312,6 +312,23 @@ def test_line_dedup_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_distinct_lines_are_written_once_and_deleted(spark, monkeypatch):
+    texts = [(1, "Posted by Ann Lee on Monday in the news section of our site"), (2, "Posted by Bob Ray on Monday in the news section of our site"), (3, "a b c d")]
+    lines = linededup.stage(linededup.template_lines(documents(spark, texts), "text", "doc_id"), "lines")
+    made, gone = {}, []
+
+    def staged(df, label):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+        made[label] = common.stage(df, label)
+        return made[label]
+
+    monkeypatch.setattr(linededup, "stage", staged)
+    monkeypatch.setattr(linededup, "unstage", lambda df: (gone.append(df.staged_path), common.unstage(df)))
+    found = linededup.recurring_templates(lines)
+    assert [r.first for r in found.collect()] == [1] and list(made) == ["distinct-lines", "filed-lines", "templates"]
+    assert sorted(gone) == sorted(made[label].staged_path for label in ("distinct-lines", "filed-lines"))
+
+
 # Decontamination
 
 
