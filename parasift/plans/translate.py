@@ -338,7 +338,9 @@ def fix_segments(segments: DataFrame, fixes: list[str], terms: Mapping[str, str]
         elif fix == "numbering":
             now = number_document(now, ["file_id"])
         elif fix == "duplicate":
-            now = stage(now.withColumn("translated_text", dedup.dedup(target)["text"]), "fixed")
+            told = stage(now.withColumn("__twice", cleaning.word_twice(target)), "fixed")
+            some = told.where("__twice").withColumn("translated_text", dedup.dedup(target)["text"])
+            now = stage(told.where("not __twice").unionByName(some).drop("__twice"), "fixed")
         elif fix == "fidelity":
             # The source of a table cell is no part of this fix, as it is found by body position only.
             asked = (F.col("region") == "body") & (_lost(target) > 0) & guards.must_preserve(F.col("text")).isNotNull()
