@@ -23,7 +23,12 @@ from parasift.functions import textnorm as tn
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_XML_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
+_XML = "http://www.w3.org/XML/1998/namespace"
+_XML_SPACE = f"{{{_XML}}}space"
+_P, _R, _T, _P_FORM, _R_FORM, _FONTS, _SHADE = (_W + name for name in "p r t pPr rPr rFonts shd".split())
+_VAL, _SIZE, _COLOR, _MARK = (_W + name for name in "val sz color highlight".split())
+_FLAGS, _BOXED = {_W + "b": "bold", _W + "i": "italic", _W + "u": "underline"}, (_W + "b", _W + "i")
+_BREAKS = {_W + "br": "\n", _W + "cr": "\n", _W + "tab": "\t"}
 FONT = "Times New Roman"
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,font_name:string,font_size:double,highlight:int,color:string>"
 SEGMENTS = f"file_id string, region string, pos int, tbl int, row int, col int, box int, text string, alignment int, runs array<{RUN}>, error string"
@@ -33,6 +38,7 @@ HIGHLIGHTS = "black blue turquoise brightGreen pink red yellow white darkBlue te
 HIGHLIGHT_NAMES = {"cyan": "turquoise", "magenta": "pink", "darkCyan": "teal", "darkGreen": "green", "darkMagenta": "violet", "darkGray": "gray50", "lightGray": "gray25", "green": "brightGreen"}
 FONT_SLOTS = ["ascii", "hAnsi", "eastAsia", "cs"]
 THEME_FONTS = ["asciiTheme", "hAnsiTheme", "eastAsiaTheme", "cstheme"]
+_SLOTS, _THEME_SLOTS = [_W + s for s in FONT_SLOTS], {_W + s for s in THEME_FONTS}
 FORMATS = "struct<bold:boolean,italic:boolean,font_name:string,color:string>"
 PROPERTIES_BEFORE_SPACING = ["pStyle", "keepNext", "keepLines", "pageBreakBefore", "framePr", "widowControl", "numPr", "suppressLineNumbers", "pBdr", "shd", "tabs", "suppressAutoHyphens", "kinsoku", "wordWrap", "overflowPunct", "topLinePunct", "autoSpaceDE", "autoSpaceDN", "bidi", "adjustRightInd", "snapToGrid"]
 FORMAT_KEYWORDS = [
@@ -57,38 +63,106 @@ def _val(node: ET.Element | None, name: str = "val") -> str | None:
     return None if node is None else node.get(_W + name)
 
 
-def _on(properties: ET.Element | None, name: str) -> bool:
-    node = None if properties is None else properties.find(_W + name)
-    return node is not None and _val(node) not in ("0", "false", "none")
-
-
-def _run_text(run: ET.Element, first_only: bool = False) -> str:
-    out = []
+class _Tree(ET.TreeBuilder):
+    """Builds a tree and keeps the prefixes that its text gives to namespaces."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.prefixes: dict[str, str] = {}
+
+    def start_ns(self, prefix: str, uri: str) -> None:
+        self.prefixes[uri] = prefix
+
+
+def _parsed(data: bytes) -> tuple[ET.Element, dict[str, str]]:
+    tree = _Tree()
+    return ET.fromstring(data, ET.XMLParser(target=tree)), tree.prefixes
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
+
+
+def _xml(root: ET.Element, prefixes: dict[str, str]) -> bytes:
+    """The text of a tree, with ``prefixes`` where they are free. The library's own writer looks at every element twice and
+    keeps prefixes for all documents together; here each start of an element is made once a document."""
+    spaces, names, given, starts, ends, out = {_XML: "xml"}, {}, {}, {}, {}, []
+
+    def name(tag: str) -> str:
+        if tag not in names:
+            uri, _, local = tag[1:].rpartition("}") if tag[0] == "{" else ("", "", tag)
+            if uri and uri not in spaces:
+                prefix = prefixes.get(uri)
+                spaces[uri] = f"ns{len(spaces)}" if not prefix or prefix in spaces.values() or re.fullmatch(r"ns\d+", prefix) else prefix
+            names[tag] = f"{spaces[uri]}:{local}" if uri else local
+        return names[tag]
+
+    def start(key: str | tuple, node: ET.Element) -> str:
+        told = f"<{name(node.tag)}"
+        ends[node.tag] = f"</{name(node.tag)}>"
+        for pair in node.items():
+            if pair not in given:
+                value = _escaped(pair[1]).replace('"', "&quot;").replace("\n", "&#10;").replace("\t", "&#9;")
+                given[pair] = f' {name(pair[0])}="{value}"'
+            told += given[pair]
+        starts[key] = told
+        return told
+
+    def put(nodes: Iterable[ET.Element]) -> None:
+        for node in nodes:
+            tag, pairs, text, tail = node.tag, node.items(), node.text, node.tail
+            key = (tag, *pairs) if pairs else tag
+            opened = starts.get(key) or start(key, node)
+            if len(node):
+                add(f"{opened}>{_escaped(text)}" if text else f"{opened}>")
+                put(node)
+                add(ends[tag])
+            else:
+                add(f"{opened}>{_escaped(text)}{ends[tag]}" if text else f"{opened}/>")
+            if tail:
+                add(_escaped(tail))
+
+    add = out.append
+    put(root)
+    opened = start("", root)
+    declared = "".join(f' xmlns:{prefix}="{_escaped(uri)}"' for uri, prefix in spaces.items() if uri != _XML)
+    return f"<?xml version='1.0' encoding='UTF-8'?>\n{opened}{declared}>{_escaped(root.text or '')}{''.join(out)}{ends[root.tag]}".encode()
+
+
+def _run_text(run: ET.Element) -> str:
+    out = ""
     for node in run:
-        if node.tag == _W + "t" and not (first_only and out):
-            out.append(node.text or "")
-        elif node.tag in (_W + "br", _W + "cr") and not first_only:
-            out.append("\n")
-        elif node.tag == _W + "tab" and not first_only:
-            out.append("\t")
-    return "".join(out)
+        tag = node.tag
+        if tag == _T:
+            out += node.text or ""
+        elif tag in _BREAKS:
+            out += _BREAKS[tag]
+    return out
 
 
 def _run_row(run: ET.Element, boxed: bool) -> dict:
-    p = run.find(_W + "rPr")
-    get = lambda name: None if p is None or boxed else p.find(_W + name)
-    fonts, size, color, mark = get("rFonts"), None if p is None else p.find(_W + "sz"), _val(get("color")), _val(get("highlight"))
-    mark = HIGHLIGHT_NAMES.get(mark, mark) if mark else None
-    return {
-        "text": _run_text(run, boxed),
-        "bold": _on(p, "b"),
-        "italic": _on(p, "i"),
-        "underline": not boxed and _on(p, "u"),
-        "font_name": _val(fonts, "ascii"),
-        "font_size": int(_val(size)) / 2 if _val(size) and not boxed else None,
-        "highlight": HIGHLIGHTS.index(mark) + 1 if mark in HIGHLIGHTS else None,
-        "color": color.upper() if color and color != "auto" else None,
-    }
+    """Of text boxes the first text and bold and italic alone are read."""
+    text = run.findtext(_T, "") if boxed else _run_text(run)
+    row = {"text": text, "bold": False, "italic": False, "underline": False, "font_name": None, "font_size": None, "highlight": None, "color": None}
+    p = run.find(_R_FORM)
+    if p is None:
+        return row
+    for node in reversed(p):  # of several alike the first counts
+        tag, value = node.tag, node.get(_VAL)
+        if boxed and tag not in _BOXED:
+            continue
+        if tag in _FLAGS:
+            row[_FLAGS[tag]] = value not in ("0", "false", "none")
+        elif tag == _FONTS:
+            row["font_name"] = node.get(_SLOTS[0])
+        elif tag == _SIZE:
+            row["font_size"] = int(value) / 2 if value else None
+        elif tag == _COLOR:
+            row["color"] = value.upper() if value and value != "auto" else None
+        elif tag == _MARK:
+            value = HIGHLIGHT_NAMES.get(value, value)
+            row["highlight"] = HIGHLIGHTS.index(value) + 1 if value in HIGHLIGHTS else None
+    return row
 
 
 Place = tuple[str, int, int | None, int | None, int | None, int | None]
@@ -106,7 +180,7 @@ def _boxes(root: ET.Element) -> list[ET.Element]:
 def paragraphs(root: ET.Element) -> Iterator[tuple[Place, ET.Element]]:
     """All paragraphs with their place: (region, pos, tbl, row, col, box)."""
     body = root.find(_W + "body")
-    for pos, p in enumerate(body.findall(_W + "p")):
+    for pos, p in enumerate(body.findall(_P)):
         yield ("body", pos, None, None, None, None), p
     for t, table in enumerate(body.findall(_W + "tbl")):
         for r, row in enumerate(table.findall(_W + "tr")):
@@ -123,11 +197,12 @@ def segments_of(raw: bytes) -> list[dict]:
         root = ET.fromstring(package.read("word/document.xml"))
     rows = []
     for (region, pos, tbl, row, col, box), p in paragraphs(root):
-        runs = [_run_row(r, region == "textbox") for r in p.findall(_W + "r")]
-        text = "".join(r["text"] for r in runs)
+        runs = [_run_row(r, region == "textbox") for r in p.findall(_R)]
+        text = "".join([r["text"] for r in runs])
         if region != "body" and not text.strip():
             continue
-        jc = p.find(f"{_W}pPr/{_W}jc")
+        form = p.find(_P_FORM)
+        jc = None if form is None else form.find(_W + "jc")
         rows.append({"region": region, "pos": pos, "tbl": tbl, "row": row, "col": col, "box": box, "text": text, "alignment": ALIGNMENTS.get(_val(jc) or ""), "runs": runs})
     return rows
 
@@ -164,33 +239,30 @@ def new_document(segments: list[dict]) -> bytes:
     """A package with body paragraphs and tables of one cell a row from (region, tbl, row, text, runs), in order;
     ``runs`` are (text, bold, italic, color) or, if absent, the text is one run."""
 
-    def paragraph(s: dict) -> ET.Element:
-        p = ET.Element(_W + "p")
+    def paragraph(s: dict) -> str:
+        out = ["<w:p>"]
         for text, bold, italic, color in s.get("runs") or [(s["text"], False, False, None)]:
-            r = ET.SubElement(p, _W + "r")
-            form = ET.SubElement(r, _W + "rPr")
-            for name, on in (("b", bold), ("i", italic)):
-                if on:
-                    ET.SubElement(form, _W + name)
-            if color:
-                ET.SubElement(form, _W + "color", {_W + "val": color})
-            _set_text(r, text)
-        return p
-
-    root = ET.Element(_W + "document")
-    body = ET.SubElement(root, _W + "body")
+            lines = "<w:br/>".join([line and f'<w:t{'' if line == line.strip() else ' xml:space="preserve"'}>{line}</w:t>' for line in _escaped(text).split("\n")])
+            form = ("<w:b/>" if bold else "") + ("<w:i/>" if italic else "") + (f'<w:color w:val="{color}"/>' if color else "")
+            out.append(f"<w:r><w:rPr>{form}</w:rPr>{lines}</w:r>" if form else f"<w:r>{lines}</w:r>")
+        return "".join(out) + "</w:p>"
+
+    body: list[list[str]] = []
     tables: dict = {}
     for s in segments:
         if s["region"] == "body":
-            body.append(paragraph(s))
+            body.append([paragraph(s)])
         else:
             if s["tbl"] not in tables:
-                tables[s["tbl"]] = ET.SubElement(body, _W + "tbl")
-            cell = ET.SubElement(ET.SubElement(tables[s["tbl"]], _W + "tr"), _W + "tc")
-            cell.append(paragraph(s))
+                tables[s["tbl"]] = ["<w:tbl>"]
+                body.append(tables[s["tbl"]])
+            tables[s["tbl"]].append(f"<w:tr><w:tc>{paragraph(s)}</w:tc></w:tr>")
+    for table in tables.values():
+        table.append("</w:tbl>")
+    text = "".join("".join(part) for part in body)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
-        package.writestr("word/document.xml", ET.tostring(root, encoding="UTF-8", xml_declaration=True))
+        package.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<w:document xmlns:w="{_W[1:-1]}"><w:body>{text}</w:body></w:document>'.encode())
     return out.getvalue()
 
 
@@ -299,43 +371,44 @@ def _child(parent: ET.Element, name: str, at: int | None = None) -> ET.Element:
 
 
 def _set_text(run: ET.Element, text: str) -> None:
-    for node in [n for n in run if n.tag.removeprefix(_W) in ("t", "br", "cr", "tab")]:  # drawings and boxes stay
+    for node in [n for n in run if n.tag == _T or n.tag in _BREAKS]:  # drawings and boxes stay
         run.remove(node)
-    for i, line in enumerate(text.split("\n")):
+    for i, line in enumerate(text.split("\n") if text else ()):
         if i:
             ET.SubElement(run, _W + "br")
-        node = ET.SubElement(run, _W + "t", {_XML_SPACE: "preserve"})
+        node = ET.SubElement(run, _T, {_XML_SPACE: "preserve"} if line != line.strip() else {})
         node.text = line
 
 
-def _set_fonts(properties: ET.Element, name: str = FONT) -> None:
+def _set_fonts(properties: ET.Element) -> None:
     fonts = _child(properties, "rFonts", 0)
-    for slot in FONT_SLOTS:
-        fonts.set(_W + slot, name)
+    fonts.attrib.update(dict.fromkeys(_SLOTS, FONT))
     _drop_theme(fonts)
 
 
 def _drop_theme(fonts: ET.Element) -> None:
     """A theme's font goes before a named one, so it must not be there."""
-    for name in THEME_FONTS:
-        fonts.attrib.pop(_W + name, None)
+    for name in _THEME_SLOTS.intersection(fonts.attrib):
+        del fonts.attrib[name]
 
 
 def _fill_fonts(properties: ET.Element) -> None:
     """The font in the slots that name none, where fonts are named at all."""
-    fonts = properties.find(_W + "rFonts")
+    fonts = properties.find(_FONTS)
     if fonts is not None:
         _drop_theme(fonts)
-        for slot in FONT_SLOTS:
-            fonts.attrib.setdefault(_W + slot, FONT)
+        for slot in _SLOTS:
+            fonts.attrib.setdefault(slot, FONT)
+
+
+_SET_FORMATS = {_W + name for name in "rFonts b i color sz szCs highlight u".split()}
 
 
 def _set_format(run: ET.Element, form: dict, boxed: bool) -> None:
     p = _child(run, "rPr", 0)
-    for name in ["rFonts", "b", "i", "color", "sz", "szCs", "highlight", "u"]:
-        for node in p.findall(_W + name):
-            p.remove(node)
-    _set_fonts(p, form.get("font_name") or FONT)
+    for node in [n for n in p if n.tag in _SET_FORMATS]:
+        p.remove(node)
+    p.insert(0, ET.Element(_FONTS, dict.fromkeys(_SLOTS, form.get("font_name") or FONT)))
     for flag, name in (("bold", "b"), ("italic", "i")):
         if form.get(flag):
             ET.SubElement(p, _W + name)
@@ -352,7 +425,7 @@ def _set_format(run: ET.Element, form: dict, boxed: bool) -> None:
 
 def _set_spacing(paragraph: ET.Element, line: str) -> None:
     p = _child(paragraph, "pPr", 0)
-    before = sum(node.tag.removeprefix(_W) in PROPERTIES_BEFORE_SPACING for node in p)
+    before = sum(node.tag.removeprefix(_W) in PROPERTIES_BEFORE_SPACING for node in p) if len(p) else 0
     spacing = _child(p, "spacing", before)
     spacing.set(_W + "line", str(LINE_UNITS[line]))
     spacing.set(_W + "lineRule", "auto")
@@ -363,9 +436,9 @@ def _set_spacing(paragraph: ET.Element, line: str) -> None:
 
 def clear_shading(root: ET.Element) -> None:
     """No shading of paragraphs and runs; that of table cells stays."""
-    for kind in ("pPr", "rPr"):
-        for properties in root.iter(_W + kind):
-            for node in properties.findall(_W + "shd"):
+    for kind in (_P_FORM, _R_FORM):
+        for properties in root.iter(kind):
+            for node in properties.findall(_SHADE):
                 properties.remove(node)
 
 
@@ -390,44 +463,43 @@ def _fix_theme(root: ET.Element) -> None:
 def rewrite(raw: bytes, edits: list[dict], spacing: str | None = "double") -> bytes:
     """The document with new texts: each edit has a place, ``new_text``, a ``format`` (or null) and
     optionally ``line_spacing``. Shading is cleared and fonts are made one."""
-    by_place = {(e["region"], *(None if pd.isna(e[k]) else int(e[k]) for k in ("pos", "tbl", "row", "col", "box"))): e for e in edits}
+    number = lambda n: n if type(n) is int else None if pd.isna(n) else int(n)
+    by_place = {(e["region"], *[number(e[k]) for k in ("pos", "tbl", "row", "col", "box")]): e for e in edits}
     with zipfile.ZipFile(io.BytesIO(raw)) as package:
         files = {name: package.read(name) for name in package.namelist()}
-    parsed = ET.iterparse(io.BytesIO(files["word/document.xml"]), events=["start-ns"])
-    for _, (prefix, uri) in parsed:
-        if not re.fullmatch(r"ns\d+", prefix):
-            ET.register_namespace(prefix, uri)
-    root = parsed.root
-    for (region, pos, tbl, row, col, box), p in list(paragraphs(root)):
-        edit = by_place.get((region, pos, tbl, row, col, box))
+    root, prefixes = _parsed(files["word/document.xml"])
+    for place, p in list(paragraphs(root)):
+        edit = by_place.get(place)
         if edit is None:
             continue
-        runs = p.findall(_W + "r")
-        if not edit["new_text"].strip() and not any(_run_text(r).strip() for r in runs):
+        boxed = place[0] == "textbox"
+        runs = p.findall(_R)
+        filled = [r for r in runs if _run_text(r).strip()]
+        if not edit["new_text"].strip() and not filled:
             continue
-        first = next((r for r in runs if _run_text(r).strip()), runs[0] if runs else None)
+        first = next(iter(filled or runs), None)
         if first is None:
-            first = ET.SubElement(p, _W + "r")
-        for r in runs:
-            if r is not first and (region == "textbox" or _run_text(r).strip()):
-                p.remove(r) if region == "textbox" else _set_text(r, "")
+            first = ET.SubElement(p, _R)
+        for r in runs if boxed else filled:
+            if r is not first:
+                p.remove(r) if boxed else _set_text(r, "")
         _set_text(first, edit["new_text"])
         if edit.get("format") is not None:
             form = edit["format"]
-            _set_format(first, form if isinstance(form, dict) else form.asDict(), region == "textbox")
+            _set_format(first, form if isinstance(form, dict) else form.asDict(), boxed)
         line = edit.get("line_spacing") or spacing
         if line:
             _set_spacing(p, line)
     clear_shading(root)
-    for properties in root.iter(_W + "rPr"):
+    for properties in root.iter(_R_FORM):
         _fill_fonts(properties)
     root.attrib.pop("{http://schemas.openxmlformats.org/markup-compatibility/2006}Ignorable", None)  # names prefixes that may go unused
-    files["word/document.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    files["word/document.xml"] = _xml(root, prefixes)
     for name, fix in (("word/styles.xml", _fix_styles), ("word/theme/theme1.xml", _fix_theme)):
         if name in files:
-            part = ET.fromstring(files[name])
+            part, own = _parsed(files[name])
             fix(part)
-            files[name] = ET.tostring(part, encoding="UTF-8", xml_declaration=True)
+            files[name] = _xml(part, own)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
         for name, data in files.items():

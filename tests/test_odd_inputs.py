@@ -30,3 +30,16 @@ def test_slices_hold_every_row_once_and_are_bounded():
     found = [texts.iloc[s] for s in slices(texts)]
     assert pd.concat(found).tolist() == texts.tolist() and max(map(len, found)) <= 256
     assert all(len(f) == 1 or f.str.len().sum() <= 1_000_000 for f in found) and list(slices(texts[:0])) == []
+
+
+def test_round_trip_of_odd_orders(spark, tmp_path):
+    """Nulls, blank starts and line ends in texts; documents are dealt out to all tasks, not merged by their few bytes."""
+    starts = [None, "", " ", "\n", "\t", "plain", "  lead", "tail  ", "a\nb", "a\r\nb", "\r", "<&>\"'", "]]>", "中文", "　", " ", "😀"]
+    rows = [(key, customer, status, start) for n, start in enumerate(starts) for m, (customer, status) in enumerate([(1, "F"), (1, "O"), (-2, "P"), (None, None), (7 + n, "O")]) for key in range(-70 + n * 40 + m * 7, -70 + n * 40 + m * 7 + 7)]
+    rows += [(None, 1, "F", "no key"), (None, None, None, None), (None, 7, "O", "no key"), (5000, None, "O", None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    found = catalog.QUERIES["docx_round_trip"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(db.execute(catalog.ORACLE_SQL["docx_round_trip"]).fetchall(), key=repr)
+    assert found.rdd.getNumPartitions() == 4
