@@ -71,7 +71,8 @@ class _Tree(ET.TreeBuilder):
         self.prefixes: dict[str, str] = {}
 
     def start_ns(self, prefix: str, uri: str) -> None:
-        self.prefixes[uri] = prefix
+        if prefix:  # attributes cannot do without one
+            self.prefixes[uri] = prefix
 
 
 def _parsed(data: bytes) -> tuple[ET.Element, dict[str, str]]:
@@ -83,6 +84,11 @@ def _escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
 
 
+def _quoted(value: str) -> str:
+    inner = _escaped(value).replace('"', "&quot;").replace("\n", "&#10;").replace("\t", "&#9;")
+    return f'"{inner}"'
+
+
 def _xml(root: ET.Element, prefixes: dict[str, str]) -> bytes:
     """The text of a tree, with ``prefixes`` where they are free. The library's own writer looks at every element twice and
     keeps prefixes for all documents together; here each start of an element is made once a document."""
@@ -93,7 +99,7 @@ def _xml(root: ET.Element, prefixes: dict[str, str]) -> bytes:
             uri, _, local = tag[1:].rpartition("}") if tag[0] == "{" else ("", "", tag)
             if uri and uri not in spaces:
                 prefix = prefixes.get(uri)
-                spaces[uri] = f"ns{len(spaces)}" if not prefix or prefix in spaces.values() or re.fullmatch(r"ns\d+", prefix) else prefix
+                spaces[uri] = f"ns{len(spaces)}" if prefix is None or prefix in spaces.values() or re.fullmatch(r"ns\d+", prefix) else prefix
             names[tag] = f"{spaces[uri]}:{local}" if uri else local
         return names[tag]
 
@@ -102,8 +108,7 @@ def _xml(root: ET.Element, prefixes: dict[str, str]) -> bytes:
         ends[node.tag] = f"</{name(node.tag)}>"
         for pair in node.items():
             if pair not in given:
-                value = _escaped(pair[1]).replace('"', "&quot;").replace("\n", "&#10;").replace("\t", "&#9;")
-                given[pair] = f' {name(pair[0])}="{value}"'
+                given[pair] = f" {name(pair[0])}={_quoted(pair[1])}"
             told += given[pair]
         starts[key] = told
         return told
@@ -125,7 +130,7 @@ def _xml(root: ET.Element, prefixes: dict[str, str]) -> bytes:
     add = out.append
     put(root)
     opened = start("", root)
-    declared = "".join(f' xmlns:{prefix}="{_escaped(uri)}"' for uri, prefix in spaces.items() if uri != _XML)
+    declared = "".join(f" xmlns:{prefix}={_quoted(uri)}" for uri, prefix in spaces.items() if uri != _XML)
     return f"<?xml version='1.0' encoding='UTF-8'?>\n{opened}{declared}>{_escaped(root.text or '')}{''.join(out)}{ends[root.tag]}".encode()
 
 
@@ -242,11 +247,12 @@ def new_document(segments: list[dict]) -> bytes:
     def paragraph(s: dict) -> str:
         out = ["<w:p>"]
         for text, bold, italic, color in s.get("runs") or [(s["text"], False, False, None)]:
-            lines = "<w:br/>".join([line and f'<w:t{'' if line == line.strip() else ' xml:space="preserve"'}>{line}</w:t>' for line in _escaped(text).split("\n")])
-            form = ("<w:b/>" if bold else "") + ("<w:i/>" if italic else "") + (f'<w:color w:val="{color}"/>' if color else "")
+            lines = "<w:br/>".join([line and f"<w:t{'' if line == line.strip() else preserved}>{_escaped(line)}</w:t>" for line in text.split("\n")])
+            form = ("<w:b/>" if bold else "") + ("<w:i/>" if italic else "") + (f"<w:color w:val={_quoted(color)}/>" if color else "")
             out.append(f"<w:r><w:rPr>{form}</w:rPr>{lines}</w:r>" if form else f"<w:r>{lines}</w:r>")
         return "".join(out) + "</w:p>"
 
+    preserved = ' xml:space="preserve"'
     body: list[list[str]] = []
     tables: dict = {}
     for s in segments:

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from xml.etree import ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,21 @@ def test_translate_write_read(spark, folder):
         engine.fix(done, ["magic"], {})
 
 
+def test_line_ends_and_prefixes_survive():
+    given = [{"region": "body", "tbl": None, "runs": [("a\r\nb", False, False, 'x"<'), ("\r", True, False, None)]}, {"region": "body", "tbl": None, "text": ""}]
+    raw = docx.new_document(given)
+    assert [(s["text"], s["runs"][0]["color"]) for s in docx.segments_of(raw)] == [("a\r\nb\r", 'X"<'), ("", None)]
+    place = {"region": "body", "pos": 1, "tbl": None, "row": None, "col": None, "box": None}
+    assert [s["text"] for s in docx.segments_of(docx.rewrite(raw, [place | {"new_text": "\r\n c", "format": None}]))] == ["a\r\nb\r", "\r\n c"]
+    # The main namespace once with a prefix and once without, and a prefix that means two things.
+    more = ' xmlns="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:x="urn:one" x:k="&quot;&#10;"'
+    other = package(word__document_xml=BODY.replace(W, W + more).replace("<w:p/>", '<x:y xmlns:x="urn:two" x:k="1"/><w:p/>'))
+    done = docx.rewrite(other, [place | {"pos": 0, "new_text": "new", "format": None}])
+    assert [(s["text"], s["alignment"]) for s in docx.segments_of(done)] == [("  new", 2)] + [(s["text"], s["alignment"]) for s in docx.segments_of(other)][1:]
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(done)).read("word/document.xml"))
+    assert root.get("{urn:one}k") == '"\n' and root.find(".//{urn:two}y").get("{urn:two}k") == "1"
+
+
 def test_broken_file_fails_alone(spark, folder):
     (folder / "in/b.docx").write_bytes(b"no zip")
     good = [f"file:{folder}/in/a.docx", f"file:{folder}/in/b.docx"]
