@@ -42,4 +42,4 @@ def test_round_trip_of_odd_orders(spark, tmp_path):
     db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     found = catalog.QUERIES["docx_round_trip"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(db.execute(catalog.ORACLE_SQL["docx_round_trip"]).fetchall(), key=repr)
-    assert found.rdd.getNumPartitions() == 4
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
